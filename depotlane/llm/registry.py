@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from depotlane.llm import bpe, contamination
+from depotlane.llm import bpe, contamination, sharding
 
-MODULES = (bpe, contamination)
+MODULES = (bpe, contamination, sharding)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
