@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from depotlane.llm import bpe, contamination, sharding
+from depotlane.llm import bpe, contamination, quality, sharding
 
-MODULES = (bpe, contamination, sharding)
+MODULES = (quality, sharding, contamination, bpe)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
