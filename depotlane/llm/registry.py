@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from depotlane.llm import bpe, contamination, neardup, quality, sharding
+from depotlane.llm import bpe, contamination, neardup, quality, sharding, substrings
 
-MODULES = (quality, sharding, contamination, neardup, bpe)
+MODULES = (quality, substrings, sharding, contamination, neardup, bpe)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
