@@ -184,8 +184,8 @@ link AS (SELECT a.k AS u, b.k AS v FROM bag a JOIN bag b ON a.k < b.k AND abs(a.
   AND abs(a.c[1] - b.c[1]) <= 2 AND abs(a.c[2] - b.c[2]) <= 2 AND abs(a.c[3] - b.c[3]) <= 2 AND abs(a.c[4] - b.c[4]) <= 2
   AND abs(a.c[5] - b.c[5]) <= 2 AND abs(a.c[6] - b.c[6]) <= 2 AND abs(a.c[7] - b.c[7]) <= 2 AND abs(a.c[8] - b.c[8]) <= 2
   WHERE levenshtein(a.s, b.s) <= 2),
-both AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
-reach AS (SELECT u, v FROM both UNION SELECT r.u, b.v FROM reach r JOIN both b ON b.u = r.v),
+pair AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach AS (SELECT u, v FROM pair UNION SELECT r.u, b.v FROM reach r JOIN pair b ON b.u = r.v),
 root AS (SELECT k, least(k, coalesce(min(v), k)) AS root FROM judged LEFT JOIN reach ON u = k GROUP BY k),
 kept AS (SELECT doc_id, count(*) FILTER (gone) AS gone, string_agg(s, chr(10) ORDER BY i) FILTER (NOT gone) AS text, count(*) AS n FROM (
   SELECT doc_id, i, s, coalesce(root < k OR (doc_id, i) != first, false) AS gone FROM line LEFT JOIN judged USING (s) LEFT JOIN root USING (k)) GROUP BY doc_id)
