@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from depotlane.llm import bpe, contamination, fingerprints, lines, neardup, quality, sharding, substrings
+from depotlane.llm import bpe, contamination, fingerprints, lines, neardup, pii, quality, sharding, substrings
 
-MODULES = (quality, substrings, sharding, fingerprints, lines, contamination, neardup, bpe)
+MODULES = (quality, substrings, sharding, fingerprints, lines, contamination, neardup, bpe, pii)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
