@@ -37,6 +37,8 @@ WINDOW = 20
 MINIMISER = 3
 #: Strings that one bucket gathers.
 BUCKET = 256
+#: Bytes of text whose words a worker holds at once (a longer text is held alone).
+PIECE = 2_000_000
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _UNBASE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
@@ -90,16 +92,26 @@ def super_kmers(texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
     return text_of[head], first[head], counts, runs[at[head]].view(np.int64), content.view(np.int64)
 
 
-def _words(texts: pa.Array) -> list[list[bytes]]:
-    """bytes.split() parts at space and 09 to 0D."""
-    return [t.encode().split() if t else [] for t in texts.to_pylist()]
+def _words(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The words of one text after the other; bytes.split() parts at space and 09 to 0D."""
+    for t in texts:
+        yield t.as_py().encode().split() if t.is_valid else []
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch (row, text) of about PIECE bytes, so that a worker holds few words at once."""
+    sizes = np.fromiter((len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)), np.int64, batch.num_rows)
+    part = (np.cumsum(sizes) - sizes) // PIECE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def _records(docs: DataFrame, only_minimisers: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = _words(batch.column(1))
-            at, first, n, minimiser, content = super_kmers(texts)
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
+            at, first, n, minimiser, content = super_kmers(list(_words(batch.column(1))))
             if only_minimisers:
                 yield pa.RecordBatch.from_arrays([pa.array(minimiser)], ["v"])
             else:
