@@ -128,7 +128,7 @@ def _search(state: DataFrame, rows: list) -> DataFrame:
 def contamination(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", at_once: int = PATTERNS_AT_ONCE
 ) -> DataFrame:
-    """`key`, n_words, n_hit, items (sorted strings), spans (of hit words) and contaminated, for each row of `docs`."""
+    """`key`, text, n_words, n_hit, items (sorted strings), spans (of hit words) and contaminated, for each row of `docs`."""
     found = patterns(benchmark)
     blocks = -(-found.count() // at_once)
     state = docs.select(
@@ -142,7 +142,7 @@ def contamination(
         for block in range(2 * blocks):
             state = _search(state, dealt.where(F.col("block") == block).select("words", "items").collect())
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    out = state.select(F.col("key").alias(key), "n_words", hits.alias("n_hit"), "items", "spans")
+    out = state.select(F.col("key").alias(key), F.col("text").alias(text), "n_words", hits.alias("n_hit"), "items", "spans")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -149,12 +149,13 @@ def line_groups(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return components(links.unionByName(more))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
-    """`key`, text, n_lines, n_removed and kept (the text without removed lines) for each row."""
-    own = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, rest: str | None = None) -> DataFrame:
+    """`key`, text, n_lines, n_removed and kept (the text without removed lines) for each row, with column `rest` if one is named."""
+    carried = [docs[rest].alias("rest")] if rest else []
+    own = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"), *carried)
     unique = own.groupBy("key").count().where("count > 1").isEmpty()
     mark = F.lit(0).cast("long") if unique else F.xxhash64("text")
-    own = own.select(F.struct(F.col("key").isNull().alias("absent"), "key", mark.alias("mark")).alias("row"), "text")
+    own = own.select(F.struct(F.col("key").isNull().alias("absent"), "key", mark.alias("mark")).alias("row"), "text", *(["rest"] if rest else []))
     lines = _lines(own)
     roots = line_groups(lines, edits)
     classes = lines.groupBy("id", "id2").agg(F.min(F.struct("row", "place")).alias("first"))
@@ -167,7 +168,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int =
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
-    return out.select(F.col("row.key").alias(key), F.col("text").alias(text), n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
+    return out.select(F.col("row.key").alias(key), F.col("text").alias(text), n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"), *([F.col("rest").alias(rest)] if rest else []))
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from depotlane.llm.tables import read
 
@@ -96,7 +97,10 @@ def _sample(docs: DataFrame, labels: DataFrame, folds: list[int], key: str, text
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Callable[[DataFrame], DataFrame]:
-    """Learns from labels outside fold 2; the result adds column score to (key, text, ...) tables."""
+    """Learns from labels outside fold 2; the result adds a last column, score, to tables with the text.
+
+    A column of the table that has this name already must be renamed or nested before.
+    """
     place = lambda salt: F.substring("text", F.pmod(F.xxhash64(key, F.lit(salt)), F.greatest(F.length("text") - STRETCH + 1, F.lit(1))).cast("int") + 1, F.lit(STRETCH))
     parts = _sample(docs, labels, [0, 1], key, text)
     parts = parts.select("y", F.explode(F.array(place(1), place(2))).alias("part")).orderBy("part").collect()
@@ -120,10 +124,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     beta = curve(np.array([r.x for r in shown]), y, weights).tolist()
 
     def score(df: DataFrame) -> DataFrame:
-        from pyspark.sql.types import DoubleType, StructField, StructType
-
-        if text not in df.columns or "score" in df.columns:
-            raise ValueError(f"needs a column {text} and no column score")
         at = df.columns.index(text)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
