@@ -42,7 +42,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def near(long: Column, short: Column, edits: int) -> Column:
-    """Whether the edit distance is at most `edits`; `long` has as many characters as `short` or more.
+    """Whether the edit distance of two strings is at most `edits`; `long` has as many characters as `short` or more."""
+    return let(F.split(long, ""), lambda a: let(F.split(short, ""), lambda b: _near(a, b, edits)))
+
+
+def _near(long: Column, short: Column, edits: int) -> Column:
+    """The same for arrays of characters.
 
     Bit t of a word stands for row j - edits + t of column j, rows being characters of `long`
     and columns of `short`. Known differences: `up` and `down` of a cell to the one above it.
@@ -127,7 +132,6 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v")
     longer = F.length("a") >= F.length("b")
     both = both.select("u", "v", F.when(longer, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(longer, F.col("b")).otherwise(F.col("a")).alias("y"))
-    both = both.select("u", "v", F.split("x", "").alias("x"), F.split("y", "").alias("y"))
     return cut(both.where(near(F.col("x"), F.col("y"), edits)).select("u", "v").distinct())
 
 

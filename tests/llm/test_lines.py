@@ -33,7 +33,7 @@ def test_near(spark):
         rows.append((*sorted((a, b), key=len, reverse=True),))
     chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
     for k in (1, 2, 3):
-        for r in spark.createDataFrame(rows, "a string, b string").select("a", "b", m.near(chars("a"), chars("b"), k).alias("n")).collect():
+        for r in spark.createDataFrame(rows, "a string, b string").select("a", "b", m._near(chars("a"), chars("b"), k).alias("n")).collect():
             assert r.n == (distance(r.a, r.b) <= k), (r, k)
 
 
