@@ -76,24 +76,28 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), F.lit(1.0)).when((F.col(a) == "") | (F.col(b) == ""), F.lit(0.0)).otherwise(estimate)
 
 
-def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
-    """`df` with next_<column> from the next row in descending key order, the last row taking the first one's.
+def with_next(df: DataFrame) -> DataFrame:
+    """key, text, fingerprint and next_text, next_fingerprint of the next row in descending key order; the first row follows the last.
 
     Blocks of consecutive keys are ordered side by side; where a block ends, the first row of
-    the next block, fetched by its key, follows. There are at most BLOCKS blocks.
+    the next block, fetched by its key, follows. There are at most BLOCKS blocks. Fingerprints
+    are made where texts are read, once for each row and once more for each block.
     """
+    columns = ["text", "fingerprint"]
     low, high, n = df.agg(F.min("key"), F.max("key"), F.count("*")).first()
     blocks = max(1, min(BLOCKS, n // BLOCK_ROWS))
     width = max(1, -(-(high - low + 1) // blocks)) if low is not None else 1
     block = F.coalesce(F.floor((F.col("key") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
     df = df.withColumn("block", block)
     tops = df.groupBy("block").agg(F.max("key").alias("top")).withColumnRenamed("block", "at")
-    heads = df.join(F.broadcast(tops), (F.col("block") == F.col("at")) & F.col("key").eqNullSafe(F.col("top"))).select("block", *columns)
-    heads = heads.groupBy("block").agg(F.max(F.struct(*columns)).alias("head"))
+    heads = df.join(F.broadcast(tops), (F.col("block") == F.col("at")) & F.col("key").eqNullSafe(F.col("top"))).select("block", "text")
+    heads = with_fingerprint(heads.groupBy("block").agg(F.max("text").alias("text")), "text", "fingerprint")
+    heads = heads.select("block", F.struct(*columns).alias("head"))
     around = Window.orderBy(F.col("block").desc())  # over blocks, of which there are few
     first = F.first("head").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select(F.col("block").alias("ends"), F.coalesce(F.lead("head").over(around), first).alias("after"))
-    inside = Window.partitionBy("block").orderBy(F.col("key").desc_nulls_last(), *[F.col(c).desc() for c in columns])
+    df = with_fingerprint(df, "text", "fingerprint")
+    inside = Window.partitionBy("block").orderBy(F.col("key").desc_nulls_last(), F.col("text").desc())
     out = df.withColumn("following", F.lead(F.struct(*columns)).over(inside))
     out = out.join(F.broadcast(heads), F.when(F.col("following").isNull(), F.col("block")) == F.col("ends"), "left")
     following = F.coalesce("following", "after")
@@ -103,7 +107,7 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The fingerprint of each text and of its edited text, and how like they and the next text are."""
     own = df.select(df[key].alias("key"), text_of(text).alias("text"))
-    own = with_next(with_fingerprint(own, "text", "fingerprint"), ["text", "fingerprint"])
+    own = with_next(own)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     own = own.withColumn("edited", edited)
