@@ -27,6 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from depotlane.llm.shingles import offsets, run_hashes, word_hashes
@@ -116,31 +118,53 @@ def _records(docs: DataFrame, only_minimisers: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(minimiser)], ["v"])
             else:
                 rows = batch.column(0).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(minimiser), pa.array(content), rows, pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["v", "h", "row", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(minimiser), pa.array(content), rows, pa.array(first * 32 + n)], ["v", "h", "row", "place"])
 
     kind = docs.schema["row"].dataType.simpleString()
-    return docs.mapInArrow(run, "v long" if only_minimisers else f"v long, h long, row {kind}, start int, n int")
+    return docs.mapInArrow(run, "v long" if only_minimisers else f"v long, h long, row {kind}, place long")
 
 
-def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words of super-k-mers (row, v, start, n, size) as packed strings."""
-    per_row = wanted.groupBy("row").agg(F.collect_list(F.struct("v", "start", "n", "size")).alias("parts"))
-    joined = docs.join(per_row, "row").select("row", "text", "parts")
+def _compressed(docs: DataFrame) -> DataFrame:
+    """The same rows with the text compressed, for joins by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
+            packed = [compress(t.encode()) if t else b"" for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["row", "text"])
+
+    return docs.mapInArrow(run, f"row {docs.schema['row'].dataType.simpleString()}, text binary")
+
+
+def _unpacked(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The words of one compressed text after the other."""
+    decompress = zstandard.ZstdDecompressor().decompress
+    for t in texts:
+        yield decompress(t.as_py()).split() if len(t.as_buffer()) else []
+
+
+def _packed(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The words of super-k-mers (row, v, place, size) as packed strings; texts as from _compressed."""
+    per_row = wanted.groupBy("row").agg(F.collect_list(F.struct("v", "place", "size")).alias("parts"))
+    # the same outer join as for the result, so that the texts are shuffled once for both
+    joined = texts.join(per_row, "row", "left").select("row", "text", "parts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(2)))
             at, columns = [], [[], [], [], []]
-            for i, (words, parts) in enumerate(zip(_words(batch.column(1)), batch.column(2).to_pylist(), strict=True)):
+            for i, (words, parts) in enumerate(zip(_unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True)):
                 for p in parts:
                     at.append(i)
-                    row = p["v"], p["size"], p["start"], b" ".join(words[p["start"] : p["start"] + p["n"] + WINDOW - 1]).decode()
+                    start, n = divmod(p["place"], 32)
+                    row = p["v"], p["size"], start, b" ".join(words[start : start + n + WINDOW - 1]).decode()
                     for column, value in zip(columns, row, strict=True):
                         column.append(value)
             kinds = pa.int64(), pa.int64(), pa.int32(), pa.string()
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays], ["row", "v", "size", "start", "words"])
 
-    kind = docs.schema["row"].dataType.simpleString()
+    kind = texts.schema["row"].dataType.simpleString()
     return joined.mapInArrow(run, f"row {kind}, v long, size long, start int, words string")
 
 
@@ -181,16 +205,17 @@ def _spans(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([rows, pa.array(starts), pa.array(starts + np.int32(WINDOW))], ["row", "a", "b"])
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """Spans (row, a, b) of words in windows that start earlier elsewhere; docs: row, text."""
+def repeated(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Spans (row, a, b) of words in windows that start earlier elsewhere; docs: row, text, and texts the same compressed."""
     common = _records(docs, True).groupBy("v").count().where("count > 1").select("v")
     found = cut(_records(docs, False).join(common, "v", "left_semi"))
-    firsts = cut(found.groupBy("v", "h").agg(F.min(F.struct("row", "start")).alias("first"), F.first("n").alias("n")))
-    whole = found.join(firsts.select("v", "h", "first"), ["v", "h"]).where("struct(row, start) != first")
-    whole = whole.select("row", F.col("start").alias("a"), (F.col("start") + F.col("n") + (WINDOW - 1)).alias("b"))
+    firsts = cut(found.groupBy("v", "h").agg(F.min(F.struct("row", "place")).alias("first")))
+    whole = found.join(firsts, ["v", "h"]).where("struct(row, place) != first")
+    start, n = F.floor(F.col("place") / 32).cast("int"), (F.col("place") % 32).cast("int")
+    whole = whole.select("row", start.alias("a"), (start + n + (WINDOW - 1)).alias("b"))
     several = firsts.groupBy("v").agg(F.count("*").alias("size")).where("size > 1")
-    mixed = firsts.join(several, "v").select("v", "size", "first.row", "first.start", "n")
-    packed = cut(_packed(docs, mixed))
+    mixed = cut(firsts.join(several, "v").select("v", "size", "first.row", "first.place"))
+    packed = _packed(texts, mixed)
     kind = docs.schema["row"].dataType.simpleString()
     few = packed.where(F.col("size") <= BUCKET)
     few = few.repartition("v").sortWithinPartitions("v", "row", "start").mapInArrow(_buckets, f"row {kind}, a int, b int")
@@ -205,16 +230,17 @@ def repeated(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, n_words, n_removed and kept (the words left, joined by one space) for each row."""
     own = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
-    unique = own.groupBy("key").count().where("count > 1").isEmpty()
-    mark = F.lit(0).cast("long") if unique else F.xxhash64("text")
-    own = own.select(F.struct(F.col("key").isNull().alias("absent"), "key", mark.alias("mark")).alias("row"), "text")
-    spans = repeated(own).groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    joined = own.join(spans, "row", "left").select("row.key", "text", "spans")
+    plain = own.groupBy("key").count().where("count > 1 or key is null").isEmpty()
+    row = F.col("key") if plain else F.struct(F.col("key").isNull().alias("absent"), "key", F.xxhash64("text").alias("mark"))
+    own = own.select(row.alias("row"), "text")
+    texts = _compressed(own)
+    spans = repeated(own, texts).groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    joined = texts.join(spans, "row", "left").select(F.col("row" if plain else "row.key").alias("key"), "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, kept = [], [], []
-            for words, spans in zip(_words(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for words, spans in zip(_unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 left = words
                 if spans:
                     keep = np.ones(len(words), bool)
