@@ -79,10 +79,9 @@ PREFIXES = (("SGP", "SGP"), ("SGE", "SGE"), ("SG", "SGE"), ("EGE", "EGE"), ("EG"
 
 def service_class(code: Column, action: Column, concept: Column) -> Column:
     """Struct (service_type, service_class, reason): type by code prefix, class by action, type or concept."""
-    code, concept, by_action = F.coalesce(normalize_text(code), F.lit("")), F.coalesce(normalize_text(concept), F.lit("")), flow(action)
-    kind = F.lit(None).cast("string")
-    for prefix, name in reversed(PREFIXES):
-        kind = F.when(code.startswith(prefix), name).otherwise(kind)
+    concept, by_action = F.coalesce(normalize_text(concept), F.lit("")), flow(action)
+    prefixes = F.create_map(*[F.lit(x) for pair in PREFIXES for x in pair])
+    kind = F.try_element_at(prefixes, F.regexp_extract(F.upper(F.trim(code)), f"^({'|'.join(p for p, _ in PREFIXES)})", 1))
     usual = F.when(kind == "EGE", "pickup").when(kind.isNotNull(), "delivery")
     by_words = F.when(concept.rlike("|".join(PICKUP_WORDS)), "pickup").when(concept.rlike("|".join(DELIVERY_WORDS)), "delivery")
     reason = (
@@ -105,14 +104,14 @@ def mapped(c: Column, mapping: Mapping[str, str] = URGENCY, unknown: str = "UNKN
 
 def first_date(preferred: Mapping[str, Sequence[str]], fallback: Mapping[str, Sequence[str]], bucket: Column) -> Column:
     """Struct (date, field, rank, fallback, missing): the first non-null field of the row's bucket, preferred ones first."""
-    out = {"date": F.lit(None).cast("date"), "field": F.lit("<MISSING>"), "rank": F.lit(999), "fallback": F.lit(False)}
-    for name in preferred:
-        fields = [*preferred[name], *fallback.get(name, ())]
-        for rank, field in reversed(list(enumerate(fields, 1))):
-            here = (bucket == name) & F.col(field).isNotNull()
-            values = {"date": F.to_date(field), "field": F.lit(field), "rank": F.lit(rank), "fallback": F.lit(field in fallback.get(name, ()))}
-            out = {k: F.when(here, values[k]).otherwise(out[k]) for k in out}
-    return F.struct(*[v.alias(k) for k, v in out.items()], (out["rank"] == 999).alias("missing"))
+    names = list(preferred)
+    fields = {name: [*preferred[name], *fallback.get(name, ())] for name in names}
+    first = lambda name: F.coalesce(*[F.when(F.col(f).isNotNull(), F.struct(F.to_date(f).alias("date"), F.lit(f).alias("field"), F.lit(k).alias("rank"), F.lit(k > len(preferred[name])).alias("fallback"), F.lit(False).alias("missing"))) for k, f in enumerate(fields[name], 1)])
+    nothing = F.struct(F.lit(None).cast("date").alias("date"), F.lit("<MISSING>").alias("field"), F.lit(999).alias("rank"), F.lit(False).alias("fallback"), F.lit(True).alias("missing"))
+    choice = F.lit(None)
+    for name in reversed(names):
+        choice = F.when(bucket == name, first(name)).otherwise(choice)
+    return F.coalesce(choice, nothing)
 
 
 def billable_weight(kg: Column, m3: Column, density: int = 270) -> Column:
