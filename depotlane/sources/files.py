@@ -48,9 +48,9 @@ def project(df: DataFrame, schema: StructType) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, csv: bool = False) -> None:
     """Parquet, and CSV beside it if asked for."""
-    df.write.mode("overwrite").parquet(f"{path}/parquet")
+    df.write.mode("overwrite").parquet(f"{path}.parquet")
     if csv:
-        df.write.mode("overwrite").csv(f"{path}/csv", header=True)
+        df.write.mode("overwrite").csv(f"{path}.csv", header=True)
 
 
 def write_top(df: DataFrame, path: str, order: Sequence, n: int = 5000) -> None:
