@@ -32,8 +32,9 @@ from depotlane.llm.tables import cut, read
 
 EDITS = 2
 SHORTEST = 24
-#: Lines (of 16 bytes each) that may be broadcast to fetch their texts; more are joined.
-BROADCAST_ROWS = 500_000
+#: Ids (of 8 bytes each) that may be broadcast to fetch lines, and removed lines (of 40 bytes at
+#: most, with their rows) that may be broadcast to their texts; more are joined by shuffles.
+BROADCAST_ROWS, BROADCAST_LINES = 500_000, 1_000_000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -147,6 +148,7 @@ def line_groups(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     roots = components(links)
     # buckets of several indexed lines: theirs and the probes' groups may differ still
     several = cut(index.groupBy("bucket").agg(F.min("id").alias("v"), F.max("id").alias("top")).where("top > v").select("bucket"))
+    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
     placed = lambda df: df.join(several, "bucket", "left_semi").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "bucket", F.coalesce("root", "id").alias("root"))
     across = placed(index).toDF("v", "bucket", "other").join(placed(probes), "bucket").where("root != other").select(*ordered).distinct()
     more = _confirmed(across.join(links, ["u", "v"], "left_anti"), lines, edits)
@@ -167,7 +169,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int =
     heads = classes.where("root is not null").groupBy("root").agg(F.min("first").alias("head"))
     stays = classes.join(heads, "root", "left").select("id", "id2", F.coalesce("head", "first").alias("stays"))
     gone = lines.select("row", "place", "id", "id2").join(stays, ["id", "id2"]).where("struct(row, place) != stays")
-    gone = gone.groupBy("row").agg(F.collect_set("place").alias("gone"))
+    gone = cut(gone.groupBy("row").agg(F.collect_set("place").alias("gone")))
+    n_gone = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
+    gone = F.broadcast(gone) if n_gone <= BROADCAST_LINES else gone
     out = own.join(gone, "row", "left").withColumn("lines", F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
