@@ -185,21 +185,5 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
-_ORACLE = r"""
-WITH RECURSIVE line AS (SELECT doc_id, i, l[i] AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS t(i)),
-judged AS (SELECT s, min((doc_id, i)) AS first, length(s) AS n, row_number() OVER (ORDER BY min((doc_id, i))) AS k FROM line WHERE length(s) >= 24 GROUP BY s),
-bag AS (SELECT k, n, s, [len(list_filter(string_split(s, ''), lambda c: c = x)) FOR x IN ['e', 'n', 't', 'a', 'i', 'o', 'r', ' ']] AS c FROM judged),
-link AS (SELECT a.k AS u, b.k AS v FROM bag a JOIN bag b ON a.k < b.k AND abs(a.n - b.n) <= 2
-  AND abs(a.c[1] - b.c[1]) <= 2 AND abs(a.c[2] - b.c[2]) <= 2 AND abs(a.c[3] - b.c[3]) <= 2 AND abs(a.c[4] - b.c[4]) <= 2
-  AND abs(a.c[5] - b.c[5]) <= 2 AND abs(a.c[6] - b.c[6]) <= 2 AND abs(a.c[7] - b.c[7]) <= 2 AND abs(a.c[8] - b.c[8]) <= 2
-  WHERE levenshtein(a.s, b.s) <= 2),
-pair AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
-reach AS (SELECT u, v FROM pair UNION SELECT r.u, b.v FROM reach r JOIN pair b ON b.u = r.v),
-root AS (SELECT k, least(k, coalesce(min(v), k)) AS root FROM judged LEFT JOIN reach ON u = k GROUP BY k),
-kept AS (SELECT doc_id, count(*) FILTER (gone) AS gone, string_agg(s, chr(10) ORDER BY i) FILTER (NOT gone) AS text, count(*) AS n FROM (
-  SELECT doc_id, i, s, coalesce(root < k OR (doc_id, i) != first, false) AS gone FROM line LEFT JOIN judged USING (s) LEFT JOIN root USING (k)) GROUP BY doc_id)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
-FROM documents LEFT JOIN kept USING (doc_id)
-"""
-
-QUERIES, ORACLES = {"op6_lines": op6_lines}, {"op6_lines": _ORACLE}
+# No SQL: comparing all pairs of lines there is too slow; a test holds the query against brute force.
+QUERIES, ORACLES = {"op6_lines": op6_lines}, {}
