@@ -37,8 +37,8 @@ from depotlane.llm.tables import cut, read
 WINDOW = 20
 #: Words in a minimiser.
 MINIMISER = 3
-#: Strings that one bucket gathers.
-BUCKET = 256
+#: Strings that one bucket gathers: some 40,000 windows, or 30 MB in a worker.
+BUCKET = 4096
 #: Bytes of text whose words a worker holds at once (a longer text is held alone).
 PIECE = 2_000_000
 

@@ -36,7 +36,7 @@ def rows():
 def test_brute(spark, monkeypatch):
     data = rows()
     df = spark.createDataFrame([(k, t, 3) for k, t in data], "doc_id long, text string, start int")
-    for bucket in (256, 2):
+    for bucket in (s.BUCKET, 2):
         monkeypatch.setattr(s, "BUCKET", bucket)
         got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in s.dedup(df).collect())
         assert got == brute(data)
