@@ -43,6 +43,8 @@ ROUGHLY = PERCENT / 100 - 6 * (0.85 * 0.15 / (BANDS * ROWS)) ** 0.5
 BROADCAST_ROWS = 500_000
 #: Buckets up to this size are paired across components in full.
 SMALL_BUCKET = 64
+#: Nodes expected in a block of a larger bucket, and shingles in one piece of a block's incidence matrix.
+BLOCK, COLUMNS = 256, 4096
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 FACTORS = _RANDOM.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,6 +123,15 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _texts(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text of distinct nodes, once for each row that has it."""
+    wanted = ids.join(nodes.select("node", "key", "mark"), "node")
+    wanted = cut(wanted.select("node", F.struct("key", "mark").alias("row")))
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    own = docs.select(F.struct("key", F.xxhash64("text").alias("mark")).alias("row"), "text")
+    return own.join(few, "row").select("node", "text")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The linked ones of distinct pairs (u, v): first by signatures, then by full sets."""
     pairs = cut(pairs)
@@ -129,11 +140,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     low = nodes.select("node", "low")
     rough = pairs.join(low.toDF("u", "low_u"), "u").join(low.toDF("v", "low_v"), "v").select("u", "v", "low_u", "low_v")
     rough = cut(rough.mapInArrow(_agree, "u long, v long"))
-    wanted = rough.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "key", "mark"), "node")
-    wanted = cut(wanted.select("node", F.struct("key", "mark").alias("row")))
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    own = docs.select(F.struct("key", F.xxhash64("text").alias("mark")).alias("row"), "text")
-    texts = own.join(few, "row").select("node", "text")
+    texts = _texts(rough.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, docs)
     full = rough.join(texts.toDF("u", "text_u"), "u").join(texts.toDF("v", "text_v"), "v").select("u", "v", "text_u", "text_v")
     return cut(full.mapInArrow(_linked, "u long, v long"))
 
@@ -163,12 +170,16 @@ def _star_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[Da
     return links, roots
 
 
-def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a bucket but not yet a component."""
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, node, root and n (its size) of the buckets that hold several components."""
     placed = members.join(roots, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
-    inside = placed.join(mixed.select("bucket", "n"), "bucket")
-    inside = cut(inside)
+    return cut(placed.join(mixed.select("bucket", "n"), "bucket"))
+
+
+def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of nodes that share a bucket but not yet a component: all in small buckets, stars in large ones."""
+    inside = _mixed(members, roots)
     few = inside.where(F.col("n") <= SMALL_BUCKET).select("bucket", "node", "root")
     every = few.join(few.toDF("bucket", "other", "other_root"), "bucket").where("node > other and root != other_root").select(F.col("node").alias("u"), F.col("other").alias("v"))
     many = inside.where(F.col("n") > SMALL_BUCKET).select("bucket", "node")
@@ -178,6 +189,93 @@ def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
     return every.unionByName(sharper).distinct()
 
 
+def _candidates(table: pa.Table) -> pa.Table:
+    """pair, node and others: for each node of two blocks those whose signatures may belong to linked sets.
+
+    Blocks are compared across, a block alone within itself. A pair counts only in the first bucket that it shares.
+    """
+    node, root, side, bucket = (table.column(c).to_numpy() for c in ("node", "root", "side", "bucket"))
+    low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(node), -1)
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    one = not side.any()
+    out: dict[str, list] = {"pair": [], "node": [], "others": []}
+    for i in np.flatnonzero(side == 0):
+        j = np.flatnonzero((root != root[i]) & ((node > node[i]) if one else (side == 1)))
+        same = (low[j] == low[i]).mean(axis=1)
+        j = j[(same - 1 / 256) / (1 - 1 / 256) >= ROUGHLY]
+        j = j[bands[j, (bands[j] == bands[i]).argmax(axis=1)] == bucket[i]]
+        if len(j):
+            out["pair"].append(table.column("pair")[0].as_py())
+            out["node"].append(int(node[i]))
+            out["others"].append(node[j].tolist())
+    return pa.table(out, pa.schema([("pair", pa.int64()), ("node", pa.int64()), ("others", pa.list_(pa.int64()))]))
+
+
+def _forest(table: pa.Table) -> pa.Table:
+    """Links that join the nodes of a pair of blocks as all links among its candidates do."""
+    node = table.column("node").to_pylist()
+    at = {v: i for i, v in enumerate(node)}
+    sets = [shingle_set(t, WORDS) for t in table.column("text").to_pylist()]
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(node)), sizes)
+    _, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[shingle]  # shingles of one set can't be shared
+    owner, number = owner[number >= 0], number[number >= 0]
+    shared = np.zeros((len(node), len(node)))
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    for first in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        a, b = np.searchsorted(number, (first, first + COLUMNS))
+        part = np.zeros((len(node), COLUMNS), np.float32)
+        part[owner[a:b], number[a:b] - first] = 1
+        shared += part @ part.T
+    linked = np.zeros(shared.shape, bool)
+    for i, others in enumerate(table.column("others").to_pylist()):
+        if others:
+            j = np.array([at[v] for v in others])
+            linked[at[node[i]], j] = 100 * shared[i, j] >= PERCENT * (sizes[i] + sizes[j] - shared[i, j])
+    linked |= linked.T
+    left, u, v = linked.any(axis=1), [], []
+    while left.any():
+        todo = [int(left.argmax())]
+        left[todo[0]] = False
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(linked[i] & left)
+            left[new] = False
+            u += [node[i]] * len(new)
+            v += [node[j] for j in new]
+            todo += new.tolist()
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _settled(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Links across components within large buckets, of all pairs there; none where no such bucket is mixed.
+
+    A component of over BLOCK nodes of a bucket has blocks of its own, which needn't be compared with each other.
+    """
+    inside = _mixed(members, roots).where(F.col("n") > SMALL_BUCKET).drop("n")
+    if inside.isEmpty():
+        return None
+    counts = inside.groupBy("bucket", "root").agg(F.count("*").alias("own"))
+    rest = counts.groupBy("bucket").agg(F.sum(F.when(F.col("own") <= BLOCK, F.col("own")).otherwise(0)).alias("rest"))
+    large = F.col("own") > BLOCK
+    piece = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.when(large, F.col("own")).otherwise(F.col("rest")) / BLOCK))
+    placed = inside.join(counts, ["bucket", "root"]).join(rest, "bucket")
+    placed = cut(placed.select("bucket", "node", "root", F.struct(F.when(large, F.col("root")).otherwise(-1).alias("owner"), piece.alias("piece")).alias("block")))
+    blocks = placed.select("bucket", "block").distinct()
+    pairs = blocks.join(blocks.withColumnRenamed("block", "second"), "bucket").where("block <= second and (block.owner != second.owner or block.owner = -1)")
+    sides = F.when(F.expr("block = second"), F.array("block")).otherwise(F.array("block", "second"))
+    pairs = pairs.select("bucket", F.xxhash64("bucket", "block", "second").alias("pair"), F.posexplode(sides).alias("side", "block"))
+    rows = placed.join(pairs, ["bucket", "block"]).join(nodes.select("node", "low", "bands"), "node")
+    found = rows.select("pair", "side", "bucket", "node", "root", "low", "bands").groupBy("pair").applyInArrow(_candidates, "pair long, node long, others array<long>")
+    found = cut(found)
+    wanted = cut(found.select("pair", F.explode(F.concat(F.array("node"), "others")).alias("node")).distinct())
+    texts = _texts(wanted.select("node").distinct(), nodes, docs).dropDuplicates(["node"])
+    rows = wanted.join(found, ["pair", "node"], "left").join(texts, "node")
+    return cut(rows.groupBy("pair").applyInArrow(_forest, "u long, v long"))
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, mark (hash of the text), n_shingles, component_id and kept for each row."""
     docs = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
@@ -189,7 +287,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     links, roots = _star_links(cut(stars(members)), nodes, docs)
     more = verified(_across(members, roots).join(links, ["u", "v"], "left_anti"), nodes, docs)
-    roots = components(links.unionByName(more))
+    links = cut(links.unionByName(more))
+    roots = components(links)
+    rest = _settled(members, roots, nodes, docs)
+    roots = roots if rest is None else components(links.unionByName(rest))
     ids = nodes.select("digest", "node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = ids.groupBy("root").agg(F.min("key").alias("component_id"))
     named = ids.join(named, "root").select("digest", "component_id")

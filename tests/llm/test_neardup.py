@@ -57,3 +57,14 @@ def test_components(spark):
 
 def test_sets():
     assert len(shingle_set("A b c d e A b c d e", 5)) == 5 and len(shingle_set("a\tb", 5)) == 1 and len(shingle_set("\x0b", 5)) == 0
+
+
+def test_template_hides_links(spark):
+    """Texts of one template, unlinked but for two with short parts of their own, which no bucket has as its least."""
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randint(0, 10**9)}"
+    template = [word() for _ in range(404)]
+    short = {100, 1300}
+    rows = [(k, " ".join(template + [word() for _ in range(35 if k in short else 46)])) for k in range(1500)]
+    got = {r.doc_id: r.component_id for r in n.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {k: 100 if k in short else k for k in range(1500)}
