@@ -18,6 +18,10 @@ from depotlane.llm import bpe, contamination, lines, neardup, quality
 from depotlane.llm.tables import cut, read
 
 
+#: Near-dedup here links from a similarity of 0.80 (of sets of five-word shingles).
+PERCENT = 80
+
+
 def _nested(docs: DataFrame) -> DataFrame:
     """doc_id and text, and all columns but the text in one, whose names then can't clash."""
     return docs.select("doc_id", F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("rest"), docs["text"].cast("string").alias("text"))
@@ -43,7 +47,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each group of near-duplicates."""
-    linked = cut(neardup.link(docs))
+    linked = cut(neardup.link(docs, percent=PERCENT))
     gone = linked.where("not kept").select(F.struct("doc_id", "mark").alias("row")).distinct()
     row = F.struct("doc_id", F.xxhash64("text").alias("mark"))
     out = _nested(docs).select(row.alias("row"), "rest", "text").join(gone, "row", "left_anti")

@@ -1,6 +1,6 @@
 """MinHash near-dedup: links, components and the documents to keep.
 
-1. A task turns each text into its set of word shingles, the minima of `BANDS * ROWS`
+1. A task turns each text into its set of word shingles, the minima of `MINIMA`
    universal hash functions over it, and a digest of the set.
 2. Equal sets become one node (aggregated before any pairing), so copies cost nothing more.
 3. Rows of the signature are banded. In each bucket every node is paired with the least
@@ -11,8 +11,8 @@
 4. Signatures verify a pair roughly, then the full sets decide it exactly.
 5. Components of the links come from alternating large-star and small-star.
 
-At the linking similarity of 0.85 the chance that a linked pair shares no bucket is
-(1 - 0.85**6)**32 = 3e-7. Shingles are compared by 64-bit hashes of their words.
+At a linking similarity of 0.85 the chance that a linked pair shares no bucket is
+(1 - 0.85**6)**32 = 3e-7, at 0.80 (1 - 0.80**5)**38 = 3e-7. Shingles are compared by 64-bit hashes of their words.
 
 Cases: null texts and texts without words have no shingles, are linked with nothing and are
 kept; a text of fewer than five words is one shingle; repeated rows share a component whose
@@ -23,7 +23,7 @@ table; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +34,11 @@ from depotlane.llm.shingles import digest, mix, offsets, shingle_set
 from depotlane.llm.tables import cut, read
 
 WORDS = 5
-BANDS, ROWS = 32, 6
-#: Links: 100 * intersection >= 85 * union.
+MINIMA = 192
+#: Links: 100 * intersection >= 85 * union, if no other percentage is given.
 PERCENT = 85
-#: Signatures rule out a pair when their agreement is six standard errors below the linking similarity.
-ROUGHLY = PERCENT / 100 - 6 * (0.85 * 0.15 / (BANDS * ROWS)) ** 0.5
+#: The chance that a pair at the linking similarity shares no bucket is at most this.
+MISSED = 1e-6
 #: Nodes (of some 40 bytes each) that may be broadcast to fetch their texts; more are joined.
 BROADCAST_ROWS = 500_000
 #: Buckets up to this size are paired across components in full.
@@ -47,14 +47,24 @@ SMALL_BUCKET = 64
 BLOCK, COLUMNS = 256, 4096
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
-FACTORS = _RANDOM.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _RANDOM.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-BAND_SALTS = _RANDOM.integers(0, 2**63, BANDS, dtype=np.uint64)
+FACTORS = _RANDOM.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFTS = _RANDOM.integers(0, 2**63, MINIMA, dtype=np.uint64)
+BAND_SALTS = _RANDOM.integers(0, 2**63, MINIMA, dtype=np.uint64)
+
+
+def shape(percent: int) -> tuple[int, int]:
+    """Bands and rows of a band: as many rows as MISSED allows."""
+    return next((MINIMA // r, r) for r in range(MINIMA, 0, -1) if r == 1 or (1 - (percent / 100) ** r) ** (MINIMA // r) <= MISSED)
+
+
+def roughly(percent: int) -> float:
+    """Signatures rule out a pair when their agreement is six standard errors below the linking similarity."""
+    return percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / MINIMA) ** 0.5
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """One row of hash minima for each non-empty set."""
-    out = np.empty((len(sets), BANDS * ROWS), np.uint64)
+    out = np.empty((len(sets), MINIMA), np.uint64)
     at = 0
     while at < len(sets):  # a piece at a time, which stays in the cache
         end, size = at, 0
@@ -63,7 +73,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             end += 1
         values = np.concatenate(sets[at:end])
         starts, hashed = offsets(map(len, sets[at:end])), np.empty_like(values)
-        for k in range(BANDS * ROWS):
+        for k in range(MINIMA):
             np.multiply(values, FACTORS[k], out=hashed)
             np.add(hashed, SHIFTS[k], out=hashed)
             out[at:end, k] = np.minimum.reduceat(hashed, starts)
@@ -71,16 +81,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(minima: np.ndarray) -> np.ndarray:
+def band_keys(minima: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """One 64-bit bucket key for each band."""
-    parts = minima.reshape(len(minima), BANDS, ROWS)
-    keys = np.broadcast_to(BAND_SALTS, parts.shape[:2]).copy()
-    for k in range(ROWS):
+    bands, size = shape(percent)
+    parts = minima[:, : bands * size].reshape(len(minima), bands, size)
+    keys = np.broadcast_to(BAND_SALTS[:bands], parts.shape[:2]).copy()
+    for k in range(size):
         keys = mix(keys ^ (parts[:, :, k] * np.uint64(0x9E3779B97F4A7C15)))
     return keys.view(np.int64)
 
 
-def profile(docs: DataFrame) -> DataFrame:
+def profile(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """key, mark (hash of the text), n_shingles, digest, bands and low bytes of the minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +100,7 @@ def profile(docs: DataFrame) -> DataFrame:
             full = [i for i, s in enumerate(sets) if len(s)]
             minima = signatures([sets[i] for i in full])
             keys, low = [None] * len(sets), [None] * len(sets)
-            for i, k, m in zip(full, band_keys(minima).tolist(), minima, strict=True):
+            for i, k, m in zip(full, band_keys(minima, percent).tolist(), minima, strict=True):
                 keys[i], low[i] = k, m.astype(np.uint8).tobytes()
             arrays = [pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary())]
             arrays += [pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())]
@@ -100,27 +111,35 @@ def profile(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"key {kind}, mark long, n_shingles long, digest binary, bands array<long>, low binary")
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _agree(percent: int) -> Callable:
     """Pairs whose signatures may belong to linked sets."""
-    for batch in batches:
-        low = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in batch.columns[2:4]]
-        same = (low[0] == low[1]).mean(axis=1)
-        keep = pa.array((same - 1 / 256) / (1 - 1 / 256) >= ROUGHLY)
-        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(keep)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, MINIMA) for c in batch.columns[2:4]]
+            same = (low[0] == low[1]).mean(axis=1)
+            keep = pa.array((same - 1 / 256) / (1 - 1 / 256) >= roughly(percent))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(keep)
+
+    return run
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _linked(percent: int) -> Callable:
     """Pairs whose full sets are linked."""
-    last: tuple[str, np.ndarray] = ("", np.empty(0, np.uint64))
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if last[0] != a:
-                last = a, shingle_set(a, WORDS)
-            own = shingle_set(b, WORDS)
-            shared = len(np.intersect1d(last[1], own, assume_unique=True))
-            keep.append(100 * shared >= PERCENT * (len(last[1]) + len(own) - shared))
-        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str, np.ndarray] = ("", np.empty(0, np.uint64))
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if last[0] != a:
+                    last = a, shingle_set(a, WORDS)
+                own = shingle_set(b, WORDS)
+                shared = len(np.intersect1d(last[1], own, assume_unique=True))
+                keep.append(100 * shared >= percent * (len(last[1]) + len(own) - shared))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _texts(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -132,17 +151,17 @@ def _texts(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return own.join(few, "row").select("node", "text")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The linked ones of distinct pairs (u, v): first by signatures, then by full sets."""
     pairs = cut(pairs)
     if pairs.isEmpty():
         return pairs
     low = nodes.select("node", "low")
     rough = pairs.join(low.toDF("u", "low_u"), "u").join(low.toDF("v", "low_v"), "v").select("u", "v", "low_u", "low_v")
-    rough = cut(rough.mapInArrow(_agree, "u long, v long"))
+    rough = cut(rough.mapInArrow(_agree(percent), "u long, v long"))
     texts = _texts(rough.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, docs)
     full = rough.join(texts.toDF("u", "text_u"), "u").join(texts.toDF("v", "text_v"), "v").select("u", "v", "text_u", "text_v")
-    return cut(full.mapInArrow(_linked, "u long, v long"))
+    return cut(full.mapInArrow(_linked(percent), "u long, v long"))
 
 
 def stars(members: DataFrame) -> DataFrame:
@@ -151,20 +170,20 @@ def stars(members: DataFrame) -> DataFrame:
     return members.join(centres.select("bucket", "v"), "bucket").where("node > v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def _star_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _star_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links among star pairs, and components of them.
 
-    A node has up to BANDS centres, mostly of one component. So one pair of each node is
+    A node has a centre for each band at most, mostly of one component. So one pair of each node is
     decided first, then up to three of those that still join two components, then all such.
     """
     links, roots = None, None
-    for most in (1, 3, BANDS):
+    for most in (1, 3, MINIMA):
         if links is not None:
             side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
             pairs = pairs.join(pick.select("u", "v"), ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
             pairs = cut(pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v"))
         pick = pairs.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy("v"))).where(F.col("k") <= most).select("u", "v")
-        found = verified(pick, nodes, docs)
+        found = verified(pick, nodes, docs, percent)
         links = found if links is None else cut(links.unionByName(found))
         roots = components(links)
     return links, roots
@@ -189,67 +208,75 @@ def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
     return every.unionByName(sharper).distinct()
 
 
-def _candidates(table: pa.Table) -> pa.Table:
+def _candidates(percent: int) -> Callable:
     """pair, node and others: for each node of two blocks those whose signatures may belong to linked sets.
 
     Blocks are compared across, a block alone within itself. A pair counts only in the first bucket that it shares.
     """
-    node, root, side, bucket = (table.column(c).to_numpy() for c in ("node", "root", "side", "bucket"))
-    low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(node), -1)
-    bands = np.array(table.column("bands").to_pylist(), np.int64)
-    one = not side.any()
-    out: dict[str, list] = {"pair": [], "node": [], "others": []}
-    for i in np.flatnonzero(side == 0):
-        j = np.flatnonzero((root != root[i]) & ((node > node[i]) if one else (side == 1)))
-        same = (low[j] == low[i]).mean(axis=1)
-        j = j[(same - 1 / 256) / (1 - 1 / 256) >= ROUGHLY]
-        j = j[bands[j, (bands[j] == bands[i]).argmax(axis=1)] == bucket[i]]
-        if len(j):
-            out["pair"].append(table.column("pair")[0].as_py())
-            out["node"].append(int(node[i]))
-            out["others"].append(node[j].tolist())
-    return pa.table(out, pa.schema([("pair", pa.int64()), ("node", pa.int64()), ("others", pa.list_(pa.int64()))]))
-
-
-def _forest(table: pa.Table) -> pa.Table:
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, side, bucket = (table.column(c).to_numpy() for c in ("node", "root", "side", "bucket"))
+        low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(node), -1)
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        one = not side.any()
+        out: dict[str, list] = {"pair": [], "node": [], "others": []}
+        for i in np.flatnonzero(side == 0):
+            j = np.flatnonzero((root != root[i]) & ((node > node[i]) if one else (side == 1)))
+            same = (low[j] == low[i]).mean(axis=1)
+            j = j[(same - 1 / 256) / (1 - 1 / 256) >= roughly(percent)]
+            j = j[bands[j, (bands[j] == bands[i]).argmax(axis=1)] == bucket[i]]
+            if len(j):
+                out["pair"].append(table.column("pair")[0].as_py())
+                out["node"].append(int(node[i]))
+                out["others"].append(node[j].tolist())
+        return pa.table(out, pa.schema([("pair", pa.int64()), ("node", pa.int64()), ("others", pa.list_(pa.int64()))]))
+
+    return run
+
+
+def _forest(percent: int) -> Callable:
     """Links that join the nodes of a pair of blocks as all links among its candidates do."""
-    node = table.column("node").to_pylist()
-    at = {v: i for i, v in enumerate(node)}
-    sets = [shingle_set(t, WORDS) for t in table.column("text").to_pylist()]
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(node)), sizes)
-    _, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[shingle]  # shingles of one set can't be shared
-    owner, number = owner[number >= 0], number[number >= 0]
-    shared = np.zeros((len(node), len(node)))
-    order = np.argsort(number, kind="stable")
-    owner, number = owner[order], number[order]
-    for first in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
-        a, b = np.searchsorted(number, (first, first + COLUMNS))
-        part = np.zeros((len(node), COLUMNS), np.float32)
-        part[owner[a:b], number[a:b] - first] = 1
-        shared += part @ part.T
-    linked = np.zeros(shared.shape, bool)
-    for i, others in enumerate(table.column("others").to_pylist()):
-        if others:
-            j = np.array([at[v] for v in others])
-            linked[at[node[i]], j] = 100 * shared[i, j] >= PERCENT * (sizes[i] + sizes[j] - shared[i, j])
-    linked |= linked.T
-    left, u, v = linked.any(axis=1), [], []
-    while left.any():
-        todo = [int(left.argmax())]
-        left[todo[0]] = False
-        while todo:
-            i = todo.pop()
-            new = np.flatnonzero(linked[i] & left)
-            left[new] = False
-            u += [node[i]] * len(new)
-            v += [node[j] for j in new]
-            todo += new.tolist()
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-
-def _settled(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
+
+    def run(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_pylist()
+        at = {v: i for i, v in enumerate(node)}
+        sets = [shingle_set(t, WORDS) for t in table.column("text").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(node)), sizes)
+        _, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[shingle]  # shingles of one set can't be shared
+        owner, number = owner[number >= 0], number[number >= 0]
+        shared = np.zeros((len(node), len(node)))
+        order = np.argsort(number, kind="stable")
+        owner, number = owner[order], number[order]
+        for first in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+            a, b = np.searchsorted(number, (first, first + COLUMNS))
+            part = np.zeros((len(node), COLUMNS), np.float32)
+            part[owner[a:b], number[a:b] - first] = 1
+            shared += part @ part.T
+        linked = np.zeros(shared.shape, bool)
+        for i, others in enumerate(table.column("others").to_pylist()):
+            if others:
+                j = np.array([at[v] for v in others])
+                linked[at[node[i]], j] = 100 * shared[i, j] >= percent * (sizes[i] + sizes[j] - shared[i, j])
+        linked |= linked.T
+        left, u, v = linked.any(axis=1), [], []
+        while left.any():
+            todo = [int(left.argmax())]
+            left[todo[0]] = False
+            while todo:
+                i = todo.pop()
+                new = np.flatnonzero(linked[i] & left)
+                left[new] = False
+                u += [node[i]] * len(new)
+                v += [node[j] for j in new]
+                todo += new.tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _settled(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
     """Links across components within large buckets, of all pairs there; none where no such bucket is mixed.
 
     A component of over BLOCK nodes of a bucket has blocks of its own, which needn't be compared with each other.
@@ -268,28 +295,28 @@ def _settled(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataF
     sides = F.when(F.expr("block = second"), F.array("block")).otherwise(F.array("block", "second"))
     pairs = pairs.select("bucket", F.xxhash64("bucket", "block", "second").alias("pair"), F.posexplode(sides).alias("side", "block"))
     rows = placed.join(pairs, ["bucket", "block"]).join(nodes.select("node", "low", "bands"), "node")
-    found = rows.select("pair", "side", "bucket", "node", "root", "low", "bands").groupBy("pair").applyInArrow(_candidates, "pair long, node long, others array<long>")
+    found = rows.select("pair", "side", "bucket", "node", "root", "low", "bands").groupBy("pair").applyInArrow(_candidates(percent), "pair long, node long, others array<long>")
     found = cut(found)
     wanted = cut(found.select("pair", F.explode(F.concat(F.array("node"), "others")).alias("node")).distinct())
     texts = _texts(wanted.select("node").distinct(), nodes, docs).dropDuplicates(["node"])
     rows = wanted.join(found, ["pair", "node"], "left").join(texts, "node")
-    return cut(rows.groupBy("pair").applyInArrow(_forest, "u long, v long"))
+    return cut(rows.groupBy("pair").applyInArrow(_forest(percent), "u long, v long"))
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key`, mark (hash of the text), n_shingles, component_id and kept for each row."""
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """`key`, mark (hash of the text), n_shingles, component_id and kept for each row; links from `percent` of similarity."""
     docs = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
-    rows = cut(profile(docs))
+    rows = cut(profile(docs, percent))
     least = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "mark"))
     nodes = rows.where("digest is not null").groupBy("digest").agg(least.alias("m"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     nodes = nodes.select("digest", "m.key", "m.mark", "bands", "low", F.monotonically_increasing_id().alias("node"))
     nodes = cut(nodes)  # fixes the ids, which depend on how rows were dealt out
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    links, roots = _star_links(cut(stars(members)), nodes, docs)
-    more = verified(_across(members, roots).join(links, ["u", "v"], "left_anti"), nodes, docs)
+    links, roots = _star_links(cut(stars(members)), nodes, docs, percent)
+    more = verified(_across(members, roots).join(links, ["u", "v"], "left_anti"), nodes, docs, percent)
     links = cut(links.unionByName(more))
     roots = components(links)
-    rest = _settled(members, roots, nodes, docs)
+    rest = _settled(members, roots, nodes, docs, percent)
     roots = roots if rest is None else components(links.unionByName(rest))
     ids = nodes.select("digest", "node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = ids.groupBy("root").agg(F.min("key").alias("component_id"))

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as cp
+from depotlane.llm import neardup
 from tests.llm import test_contamination, test_lines, test_neardup
 
 
@@ -49,3 +50,14 @@ def test_stages(spark, tmp_path):
     assert sorted(map(key, rows[4])) == sorted(key(r) for r in rows[3] if not test_contamination.brute(r[1], items)[3])
     assert seen[5].count() == len(rows[4]) < len(rows[3]) < len(rows[0])
     assert cp.run(spark, str(tmp_path)).count() == len(rows[4])
+
+
+def test_near_copies_from_80_percent(spark):
+    """A pair of similarity 0.83 falls in the pipeline, not in op8_neardup; one of 0.79 stays in both."""
+    text = lambda own, shared, name: " ".join([f"{name}{i}" for i in range(shared + 4)] + [f"{own}{i}" for i in range(100 - shared)])
+    rows = [(1, text("a", 91, "s")), (2, text("b", 91, "s")), (3, text("c", 88, "t")), (4, text("d", 88, "t"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 0.80 <= 91 / 109 < 0.85 and 88 / 112 < 0.80
+    assert sorted(r.doc_id for r in cp.dedup_documents(spark, docs, "").collect()) == [1, 3, 4]
+    assert all(r.kept for r in neardup.link(docs).collect())
+    assert neardup.shape(85) == (32, 6) and neardup.shape(80) == (38, 5)
