@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, written once to the folder in spark.checkpoint.dir; only where none is set, to one of this process."""
+    """`df`, written once to the checkpoint folder, so that no lost executor costs the work before it.
+
+    The folder is the one that the session names in spark.checkpoint.dir, which all executors
+    share. A cluster without one has nowhere to write that they all see, so this fails there;
+    in local mode, as in tests, where driver and executors are one process, a folder of that
+    process is set.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix=f"depotlane-{os.getpid()}-"))
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="depotlane-"))
     return df.checkpoint(eager=True)
