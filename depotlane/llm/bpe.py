@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from depotlane.llm.tables import read
+from depotlane.llm.tables import read, slices
 
 #: How byte-level vocabularies cut text into pieces before merging, for given
 #: classes of white space, letters and numbers.
@@ -33,8 +33,10 @@ ANY = {"S": r"\p{White_Space}", "L": r"\p{L}", "N": r"\p{N}"}
 LATIN = {"S": r"\t-\r\x20\x85\xa0", "L": r"A-Za-zªµºÀ-ÖØ-öø-ſ", "N": r"0-9²³¹¼-¾"}
 BEYOND_LATIN = re.compile(r"[^\x00-\u017f]")
 
-#: Pieces of at most LONG characters whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED, LONG = 1_000_000, 40
+#: Pieces of at most LONG characters whose ids a worker remembers (some 20 MB); beyond it the memory starts anew.
+REMEMBERED, LONG = 100_000, 40
+#: Bytes of text that a worker encodes at a time (a longer text is one slice).
+SLICE = 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -136,47 +138,39 @@ def own_encoder(path: str, held) -> Encoder:
     return _OWN[path]
 
 
-def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key`, n_tokens, ids (binary: little-endian unsigned 32-bit) and decoded, for each row."""
-    held = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = own_encoder(path, held)
-        for batch in batches:
-            ids = [encoder(t) if t else b"" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(encoder.decode, ids), pa.string())],
-                ["key", "n_tokens", "ids", "decoded"],
-            )
+#: What `encode` can return of a text: name, Spark's type, Arrow's type and the value from packed ids and decoded text.
+OUTPUTS = {
+    "n_tokens": ("long", pa.int64(), lambda packed, text: len(packed) // 4),
+    "ids": ("binary", pa.binary(), lambda packed, text: packed),
+    "decoded": ("string", pa.string(), lambda packed, text: text),
+    "ids_sha256": ("string", pa.string(), lambda packed, text: hashlib.sha256(packed).hexdigest()),
+    "decoded_sha256": ("string", pa.string(), lambda packed, text: hashlib.sha256(text.encode()).hexdigest()),
+}
 
-    kind = df.schema[key].dataType.simpleString()
-    out = df.select(df[key].alias("key"), df[text].cast("string").alias("text"))
-    out = out.mapInArrow(run, f"key {kind}, n_tokens long, ids binary, decoded string")
-    return out.withColumnRenamed("key", key)
 
+def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+    """`key` and the named OUTPUTS for each row: ids are packed as little-endian unsigned 32-bit, digests are lowercase hex.
 
-def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As `encode`, with ids and decoded text as lowercase hex SHA-256, made where they arise."""
+    A worker encodes some SLICE bytes of text at a time, so that it holds little beside the vocabulary.
+    """
     held = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    makers = [OUTPUTS[name] for name in outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = own_encoder(path, held)
-        sha = hashlib.sha256
-        for batch in batches:
-            counts, ids_hex, text_hex = [], [], []
-            for t in batch.column(1).to_pylist():
-                packed = encoder(t) if t else b""
-                counts.append(len(packed) // 4)
-                ids_hex.append(sha(packed).hexdigest())
-                text_hex.append(sha(encoder.decode(packed).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())],
-                ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE)):
+            columns = [[] for _ in makers]
+            for t in batch.column(1):
+                packed = encoder(t.as_py()) if t.is_valid else b""
+                decoded = encoder.decode(packed)
+                for column, (_, _, make) in zip(columns, makers, strict=True):
+                    column.append(make(packed, decoded))
+            arrays = [pa.array(column, kind) for column, (_, kind, _) in zip(columns, makers, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["key", *outputs])
 
     kind = df.schema[key].dataType.simpleString()
     out = df.select(df[key].alias("key"), df[text].cast("string").alias("text"))
-    out = out.mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = out.mapInArrow(run, f"key {kind}, " + ", ".join(f"{name} {OUTPUTS[name][0]}" for name in outputs))
     return out.withColumnRenamed("key", key)
 
 
@@ -188,7 +182,7 @@ def vocabulary_path() -> str:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(read(spark, sf_dir, "documents"), vocabulary_path())
+    return encode(read(spark, sf_dir, "documents"), vocabulary_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 QUERIES, ORACLES = {"op9_bpe": op9_bpe}, {}

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from depotlane.llm.shingles import offsets, run_hashes, word_hashes
-from depotlane.llm.tables import cut, read
+from depotlane.llm.tables import cut, read, slices
 
 WINDOW = 20
 #: Words in a minimiser.
@@ -100,19 +100,9 @@ def _words(texts: pa.Array) -> Iterator[list[bytes]]:
         yield t.as_py().encode().split() if t.is_valid else []
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch (row, text) of about PIECE bytes, so that a worker holds few words at once."""
-    sizes = np.fromiter((len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)), np.int64, batch.num_rows)
-    part = (np.cumsum(sizes) - sizes) // PIECE
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def _records(docs: DataFrame, only_minimisers: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in _pieces(whole)):
+        for batch in (piece for whole in batches for piece in slices(whole, 1, PIECE)):
             at, first, n, minimiser, content = super_kmers(list(_words(batch.column(1))))
             if only_minimisers:
                 yield pa.RecordBatch.from_arrays([pa.array(minimiser)], ["v"])

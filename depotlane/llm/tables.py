@@ -1,12 +1,17 @@
-"""Reading tables and cutting lineage where every executor can see the result."""
+"""Reading tables, and small helpers of the operators."""
 
 from __future__ import annotations
 
-import os
-import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from depotlane.lineage import cut
+
+__all__ = ["SPACE", "cut", "read", "same", "slices", "text_of"]
+
 #: White space between words: space and the five controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -16,17 +21,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, written once to the checkpoint folder of the cluster.
-
-    The folder is the one named in spark.checkpoint.dir, which all executors share. Only
-    where nothing is set, as in local tests, a folder of this process is set.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix=f"depotlane-{os.getpid()}-"))
-    return df.checkpoint(eager=True)
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `size` bytes each in a column of strings, so that a worker holds few at once."""
+    sizes = np.fromiter((len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(column)), np.int64, batch.num_rows)
+    part = (np.cumsum(sizes) - sizes) // size
+    ends = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(ends, ends[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def text_of(name: str) -> Column:

@@ -1,11 +1,14 @@
 """BPE against the tokenizers library, and exact round trips."""
 
+import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from depotlane.llm import bpe
+from depotlane.llm.tables import slices
 
 CASES = [
     "", " ", "  a", "a  b ", "\n\n x\t", "don't we'll I'm", "naïve café ßÄ", "日本語 テスト", "x" * 5000, "ab" * 3000,
@@ -39,4 +42,13 @@ def test_frame(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
     got = {(r.doc_id, r.n_tokens, r.decoded) for r in bpe.encode(df, bpe.vocabulary_path()).collect()}
     assert (2, 0, "") in got and {g[2] for g in got} == {"Hello  world", "", "z" * 2000}
-    assert bpe.digests(df.limit(0), bpe.vocabulary_path()).count() == 0
+    assert bpe.encode(df.limit(0), bpe.vocabulary_path()).count() == 0
+    names = ("decoded_sha256", "ids_sha256", "n_tokens")
+    out = bpe.encode(df, bpe.vocabulary_path(), outputs=names)
+    assert out.columns == ["doc_id", *names] and all(r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for r, t in zip(out.collect(), ["Hello  world", "", "", "z" * 2000], strict=True))
+
+
+def test_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 5, None, "", "b" * 30, "c", "d" * 8])], ["key", "text"])
+    parts = [p.column(0).to_pylist() for p in slices(batch, 1, 10)]
+    assert sum(parts, []) == list(range(6)) and len(parts) > 1 and list(slices(batch.slice(0, 0), 1, 10)) == []
