@@ -51,10 +51,9 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = linked.where("not kept").select(F.struct("doc_id", "mark").alias("row")).distinct()
     row = F.struct("doc_id", F.xxhash64("text").alias("mark"))
     out = _nested(docs).select(row.alias("row"), "rest", "text").join(gone, "row", "left_anti")
-    twice = linked.where("kept and n_shingles > 0").groupBy("doc_id", "mark").count().where("count > 1")
-    if not twice.isEmpty():  # rows that repeat a doc_id and its text
-        first = out.where(F.size(F.split(F.trim("text"), r"\s+")) > 0).dropDuplicates(["row"])
-        out = first.unionByName(out.where("text is null"))
+    twice = cut(linked.where("kept and n_shingles > 0").groupBy(F.struct("doc_id", "mark").alias("row")).count().where("count > 1").select("row"))
+    if not twice.isEmpty():  # rows that repeat a doc_id and its text, which has words: one of them stays
+        out = out.join(twice, "row", "left_anti").unionByName(out.join(twice, "row", "left_semi").dropDuplicates(["row"]))
     return _flat(out, docs.columns)
 
 
@@ -66,8 +65,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and digests of the ids and of the text decoded from them."""
-    out = bpe.encode(docs, bpe.vocabulary_path())
-    return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.encode(docs, bpe.vocabulary_path(), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 
 STAGES = [
