@@ -3,11 +3,13 @@
 1. A task turns each text into its set of word shingles, the minima of `MINIMA`
    universal hash functions over it, and a digest of the set.
 2. Equal sets become one node (aggregated before any pairing), so copies cost nothing more.
-3. Rows of the signature are banded. In each bucket every node is paired with the least
-   node, never with all others, and a node that has found its component isn't paired within
-   it again; where a bucket still falls into several components after that, its nodes are
-   paired across components: all pairs in small buckets, and in large ones through buckets
-   of two bands at once, which tell texts apart more sharply.
+3. Rows of the signature are banded. Buckets are worked on in rounds: a round pairs a node
+   with the least node of another component in one of its buckets, once each, so it has no
+   more pairs than nodes; its links merge components. What shares buckets but no component
+   after the last round is joined exactly: links between two sets need a common shingle among
+   the rarest of both (prefix filter), far enough from the end of both to reach the linking
+   similarity (position filter), and parity bits of the sets that differ in few places; so texts
+   of one template that aren't linked rarely make a pair.
 4. Signatures verify a pair roughly, then the full sets decide it exactly.
 5. Components of the links come from alternating large-star and small-star.
 
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from depotlane.llm.components import components
 from depotlane.llm.shingles import digest, mix, offsets, shingle_set
-from depotlane.llm.tables import cut, read
+from depotlane.llm.tables import cut, read, slices
 
 WORDS = 5
 MINIMA = 192
@@ -41,10 +43,14 @@ PERCENT = 85
 MISSED = 1e-6
 #: Nodes (of some 40 bytes each) that may be broadcast to fetch their texts; more are joined.
 BROADCAST_ROWS = 500_000
-#: Buckets up to this size are paired across components in full.
-SMALL_BUCKET = 64
-#: Nodes expected in a block of a larger bucket, and shingles in one piece of a block's incidence matrix.
-BLOCK, COLUMNS = 256, 4096
+#: Bytes of text that a worker holds as shingles at once.
+SLICE = 1_000_000
+#: Rounds of one pair for each node, before what is left is joined exactly; fewer where a round finds nothing.
+ROUNDS = 3
+#: Words of 64 parity bits for each node of the exact join.
+PARITIES = 8
+#: Shingles of the nodes in one block of the exact join.
+SPAN = 65_536
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 FACTORS = _RANDOM.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -164,143 +170,127 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     return cut(full.mapInArrow(_linked(percent), "u long, v long"))
 
 
-def stars(members: DataFrame) -> DataFrame:
-    """Each node of a bucket with the least node of it."""
-    centres = members.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("top")).where("top > v")
-    return members.join(centres.select("bucket", "v"), "bucket").where("node > v").select(F.col("node").alias("u"), "v").distinct()
+def _in_blocks(percent: int) -> Callable:
+    """Pairs of one job whose full sets are linked; each text of the job is made a set once."""
 
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        sets = {n: shingle_set(t, WORDS) for n, t in zip(texts.column("node").to_pylist(), texts.column("text").to_pylist(), strict=True)}
+        keep = []
+        for u, v in zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist(), strict=True):
+            a, b = sets[u], sets[v]
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
+        return pairs.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-def _star_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links among star pairs, and components of them.
+    return run
 
-    A node has a centre for each band at most, mostly of one component. So one pair of each node is
-    decided first, then up to three of those that still join two components, then all such.
-    """
-    links, roots = None, None
-    for most in (1, 3, MINIMA):
-        if links is not None:
-            side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-            pairs = pairs.join(pick.select("u", "v"), ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
-            pairs = cut(pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v"))
-        pick = pairs.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy("v"))).where(F.col("k") <= most).select("u", "v")
-        found = verified(pick, nodes, docs, percent)
-        links = found if links is None else cut(links.unionByName(found))
-        roots = components(links)
-    return links, roots
-
-
-def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """bucket, node, root and n (its size) of the buckets that hold several components."""
-    placed = members.join(roots, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
-    return cut(placed.join(mixed.select("bucket", "n"), "bucket"))
-
-
-def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a bucket but not yet a component: all in small buckets, stars in large ones."""
-    inside = _mixed(members, roots)
-    few = inside.where(F.col("n") <= SMALL_BUCKET).select("bucket", "node", "root")
-    every = few.join(few.toDF("bucket", "other", "other_root"), "bucket").where("node > other and root != other_root").select(F.col("node").alias("u"), F.col("other").alias("v"))
-    many = inside.where(F.col("n") > SMALL_BUCKET).select("bucket", "node")
-    keys = members.join(many.select("node").distinct(), "node", "left_semi")
-    finer = many.join(keys.select("node", F.col("bucket").alias("second")), "node").where("bucket != second")
-    sharper = stars(finer.select("node", F.xxhash64("bucket", "second").alias("bucket")))
-    return every.unionByName(sharper).distinct()
-
-
-def _candidates(percent: int) -> Callable:
-    """pair, node and others: for each node of two blocks those whose signatures may belong to linked sets.
-
-    Blocks are compared across, a block alone within itself. A pair counts only in the first bucket that it shares.
+
+def decided(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of distinct pairs (u, v), for nodes of many pairs: by full sets, pairs of blocks of nodes at a time.
+
+    Nodes of one centre (the least of a node and its partners) lie in blocks of some SPAN shingles,
+    so a text travels to a few jobs, not to each of its pairs.
     """
+    pairs = cut(pairs)
+    if pairs.isEmpty():
+        return pairs
+    sizes = nodes.select("node", F.col("n_shingles").alias("size"))
+    homes = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("home"))
+    homes = cut(homes.select("node", F.least("node", "home").alias("home")).join(sizes, "node"))
+    totals = homes.groupBy("home").agg(F.sum("size").alias("total"))
+    small = totals.where(F.col("total") <= SPAN).agg(F.sum("total")).first()[0] or 0
+    parts = F.ceil(F.col("total") / SPAN)
+    lump = F.xxhash64(F.lit(-1), F.pmod(F.xxhash64("home"), F.lit(1 + small // SPAN)))
+    block = F.when(F.col("total") <= SPAN, lump).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("node"), parts)))
+    blocks = homes.join(totals, "home").select("node", block.alias("block"))
+    jobs = pairs.join(blocks.toDF("u", "block_u"), "u").join(blocks.toDF("v", "block_v"), "v")
+    jobs = cut(jobs.select("u", "v", F.xxhash64(F.least("block_u", "block_v"), F.greatest("block_u", "block_v")).alias("job")))
+    wanted = cut(jobs.select("job", F.explode(F.array("u", "v")).alias("node")).distinct())
+    texts = _texts(wanted.select("node").distinct(), nodes, docs).join(wanted, "node")
+    return cut(jobs.groupBy("job").cogroup(texts.groupBy("job")).applyInArrow(_in_blocks(percent), "u long, v long"))
+
+
+def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """node, bucket, root and `other` (a node of another component) in buckets of several components."""
+    root = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = root.groupBy("bucket").agg(F.min(F.struct("root", "node")).alias("low"), F.max(F.struct("root", "node")).alias("high")).where("low.root < high.root")
+    other = F.when(F.col("root") == F.col("low.root"), F.col("high.node")).otherwise(F.col("low.node"))
+    return root.join(ends, "bucket").select("node", "bucket", "root", other.alias("other"))
+
+
+def _rounds(members: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of pairs of a node with the centre of a bucket, at most one new pair of each node in a round, and components of them."""
+    links = roots = tried = None
+    for _ in range(ROUNDS):
+        pairs = _mixed(members, roots).select("node", F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        pairs = cut(pairs.groupBy("node").agg(F.min(F.struct("v", "u")).alias("p")).select("p.u", "p.v").distinct())
+        found = verified(pairs, nodes, docs, percent)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        if not found.isEmpty():
+            roots = components(links)
+        elif roots is not None or pairs.isEmpty():
+            break
+    return links, components(links) if roots is None else roots
+
+
+def _shingles(texts: DataFrame) -> DataFrame:
+    """node and shingle, once each, of node and text."""
 
-    def run(table: pa.Table) -> pa.Table:
-        node, root, side, bucket = (table.column(c).to_numpy() for c in ("node", "root", "side", "bucket"))
-        low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(node), -1)
-        bands = np.array(table.column("bands").to_pylist(), np.int64)
-        one = not side.any()
-        out: dict[str, list] = {"pair": [], "node": [], "others": []}
-        for i in np.flatnonzero(side == 0):
-            j = np.flatnonzero((root != root[i]) & ((node > node[i]) if one else (side == 1)))
-            same = (low[j] == low[i]).mean(axis=1)
-            j = j[(same - 1 / 256) / (1 - 1 / 256) >= roughly(percent)]
-            j = j[bands[j, (bands[j] == bands[i]).argmax(axis=1)] == bucket[i]]
-            if len(j):
-                out["pair"].append(table.column("pair")[0].as_py())
-                out["node"].append(int(node[i]))
-                out["others"].append(node[j].tolist())
-        return pa.table(out, pa.schema([("pair", pa.int64()), ("node", pa.int64()), ("others", pa.list_(pa.int64()))]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE)):
+            sets = [shingle_set(t.as_py(), WORDS) for t in batch.column(1)]
+            for a in range(0, len(sets), 64):
+                part = sets[a : a + 64]
+                of = pa.array(np.repeat(np.arange(a, a + len(part)), [len(s) for s in part]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(np.concatenate(part).view(np.int64))], ["node", "shingle"])
 
-    return run
+    return texts.mapInArrow(run, "node long, shingle long")
 
 
-def _forest(percent: int) -> Callable:
-    """Links that join the nodes of a pair of blocks as all links among its candidates do."""
-
-    def run(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_pylist()
-        at = {v: i for i, v in enumerate(node)}
-        sets = [shingle_set(t, WORDS) for t in table.column("text").to_pylist()]
-        sizes = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(len(node)), sizes)
-        _, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[shingle]  # shingles of one set can't be shared
-        owner, number = owner[number >= 0], number[number >= 0]
-        shared = np.zeros((len(node), len(node)))
-        order = np.argsort(number, kind="stable")
-        owner, number = owner[order], number[order]
-        for first in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
-            a, b = np.searchsorted(number, (first, first + COLUMNS))
-            part = np.zeros((len(node), COLUMNS), np.float32)
-            part[owner[a:b], number[a:b] - first] = 1
-            shared += part @ part.T
-        linked = np.zeros(shared.shape, bool)
-        for i, others in enumerate(table.column("others").to_pylist()):
-            if others:
-                j = np.array([at[v] for v in others])
-                linked[at[node[i]], j] = 100 * shared[i, j] >= percent * (sizes[i] + sizes[j] - shared[i, j])
-        linked |= linked.T
-        left, u, v = linked.any(axis=1), [], []
-        while left.any():
-            todo = [int(left.argmax())]
-            left[todo[0]] = False
-            while todo:
-                i = todo.pop()
-                new = np.flatnonzero(linked[i] & left)
-                left[new] = False
-                u += [node[i]] * len(new)
-                v += [node[j] for j in new]
-                todo += new.tolist()
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+def _parities(shingles: DataFrame) -> DataFrame:
+    """node and parity: bits that tell whether an odd number of the node's shingles falls on them.
 
-    return run
+    Two sets differ in as many shingles at least as in bits.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("shingle", 8), F.lit(64)).cast("int"))
+    words = [F.coalesce(F.bit_xor(F.when(F.pmod("shingle", F.lit(PARITIES)) == i, bit)), F.lit(0).cast("long")).alias(f"p{i}") for i in range(PARITIES)]
+    return shingles.groupBy("node").agg(F.struct(*words).alias("parity"))
 
 
-def _settled(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
-    """Links across components within large buckets, of all pairs there; none where no such bucket is mixed.
+def _exactly(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links across components among all nodes of mixed buckets, candidates by their rarest shingles.
 
-    A component of over BLOCK nodes of a bucket has blocks of its own, which needn't be compared with each other.
+    Of two linked sets the smaller has a common shingle among its rarest |x| - 2p/(100+p) |x| + 1,
+    the larger among its rarest |y| - p/100 |y| + 1, in one order of all shingles.
     """
-    inside = _mixed(members, roots).where(F.col("n") > SMALL_BUCKET).drop("n")
+    inside = cut(_mixed(members, roots).select("node", "root").distinct())
     if inside.isEmpty():
-        return None
-    counts = inside.groupBy("bucket", "root").agg(F.count("*").alias("own"))
-    rest = counts.groupBy("bucket").agg(F.sum(F.when(F.col("own") <= BLOCK, F.col("own")).otherwise(0)).alias("rest"))
-    large = F.col("own") > BLOCK
-    piece = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.when(large, F.col("own")).otherwise(F.col("rest")) / BLOCK))
-    placed = inside.join(counts, ["bucket", "root"]).join(rest, "bucket")
-    placed = cut(placed.select("bucket", "node", "root", F.struct(F.when(large, F.col("root")).otherwise(-1).alias("owner"), piece.alias("piece")).alias("block")))
-    blocks = placed.select("bucket", "block").distinct()
-    pairs = blocks.join(blocks.withColumnRenamed("block", "second"), "bucket").where("block <= second and (block.owner != second.owner or block.owner = -1)")
-    sides = F.when(F.expr("block = second"), F.array("block")).otherwise(F.array("block", "second"))
-    pairs = pairs.select("bucket", F.xxhash64("bucket", "block", "second").alias("pair"), F.posexplode(sides).alias("side", "block"))
-    rows = placed.join(pairs, ["bucket", "block"]).join(nodes.select("node", "low", "bands"), "node")
-    found = rows.select("pair", "side", "bucket", "node", "root", "low", "bands").groupBy("pair").applyInArrow(_candidates(percent), "pair long, node long, others array<long>")
-    found = cut(found)
-    wanted = cut(found.select("pair", F.explode(F.concat(F.array("node"), "others")).alias("node")).distinct())
-    texts = _texts(wanted.select("node").distinct(), nodes, docs).dropDuplicates(["node"])
-    rows = wanted.join(found, ["pair", "node"], "left").join(texts, "node")
-    return cut(rows.groupBy("pair").applyInArrow(_forest(percent), "u long, v long"))
+        return inside.select(F.col("node").alias("u"), F.col("root").alias("v")).limit(0)
+    texts = _texts(inside.select("node"), nodes, docs)
+    every = cut(_shingles(texts.dropDuplicates(["node"])).join(inside, "node"))
+    several = every.groupBy("shingle").agg(F.count("*").alias("times"), F.min("root").alias("low"), F.max("root").alias("high"))
+    several = several.select("shingle", "times", (F.col("low") < F.col("high")).alias("several"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("times", "shingle")).cast("long")
+    sizes = nodes.select("node", F.col("n_shingles").alias("size")).join(_parities(every), "node")
+    ranked = every.join(several, "shingle").withColumn("place", place).join(sizes, "node")
+    need = lambda numerator, denominator: -F.floor(-F.col("size") * numerator / denominator)
+    ranked = ranked.where(F.col("several") & (F.col("place") <= F.col("size") - need(percent, 100) + 1))
+    ranked = ranked.withColumn("first", F.col("place") <= F.col("size") - need(2 * percent, 100 + percent) + 1)
+    ranked = cut(ranked.select("shingle", "node", "root", "size", "place", "first", "parity"))
+    both = ranked.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("first").alias("any")).where("low < high and any")
+    ranked = ranked.join(both.select("shingle"), "shingle", "left_semi")
+    x = ranked.where("first").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "root", "size", "place", "parity")])
+    y = ranked.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("node", "root", "size", "place", "parity")])
+    smaller = "(size_x < size_y or size_x = size_y and node_x < node_y)"
+    reach = f"(1 + least(size_x - place_x, size_y - place_y)) * {100 + percent} >= {percent} * (size_x + size_y)"
+    apart = " + ".join(f"bit_count(parity_x.p{i} ^ parity_y.p{i})" for i in range(PARITIES))
+    bits = f"(size_x + size_y - ({apart})) * {100 + percent} >= {2 * percent} * (size_x + size_y)"
+    pairs = x.join(y, "shingle").where(f"root_x != root_y and {smaller} and 100 * size_x >= {percent} * size_y and {reach} and {bits}")
+    pairs = pairs.select(F.greatest("node_x", "node_y").alias("u"), F.least("node_x", "node_y").alias("v")).distinct()
+    return decided(pairs, nodes, docs, percent)
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -308,16 +298,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     docs = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     rows = cut(profile(docs, percent))
     least = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "mark"))
-    nodes = rows.where("digest is not null").groupBy("digest").agg(least.alias("m"), F.first("bands").alias("bands"), F.first("low").alias("low"))
-    nodes = nodes.select("digest", "m.key", "m.mark", "bands", "low", F.monotonically_increasing_id().alias("node"))
+    nodes = rows.where("digest is not null").groupBy("digest").agg(least.alias("m"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("n_shingles").alias("n_shingles"))
+    nodes = nodes.select("digest", "m.key", "m.mark", "bands", "low", "n_shingles", F.monotonically_increasing_id().alias("node"))
     nodes = cut(nodes)  # fixes the ids, which depend on how rows were dealt out
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
-    links, roots = _star_links(cut(stars(members)), nodes, docs, percent)
-    more = verified(_across(members, roots).join(links, ["u", "v"], "left_anti"), nodes, docs, percent)
-    links = cut(links.unionByName(more))
-    roots = components(links)
-    rest = _settled(members, roots, nodes, docs, percent)
-    roots = roots if rest is None else components(links.unionByName(rest))
+    shared = nodes.select(F.explode("bands").alias("bucket")).groupBy("bucket").count().where("count > 1").select("bucket")
+    members = cut(nodes.select("node", F.explode("bands").alias("bucket")).join(shared, "bucket", "left_semi"))
+    links, roots = _rounds(members, nodes, docs, percent)
+    rest = _exactly(members, roots, nodes, docs, percent)
+    if not rest.isEmpty():
+        roots = components(links.unionByName(rest))
     ids = nodes.select("digest", "node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = ids.groupBy("root").agg(F.min("key").alias("component_id"))
     named = ids.join(named, "root").select("digest", "component_id")
