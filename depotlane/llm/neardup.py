@@ -50,7 +50,7 @@ ROUNDS = 3
 #: Words of 64 parity bits for each node of the exact join.
 PARITIES = 8
 #: Shingles of the nodes in one block of the exact join.
-SPAN = 65_536
+SPAN = 16_384
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 FACTORS = _RANDOM.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -219,13 +219,17 @@ def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _rounds(members: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links of pairs of a node with the centre of a bucket, at most one new pair of each node in a round, and components of them."""
+    """Links of pairs of a node with centres of its buckets, and components of them.
+
+    A round has at most one new pair of each node, with the centre that most of its buckets share.
+    """
     links = roots = tried = None
     for _ in range(ROUNDS):
-        pairs = _mixed(members, roots).select("node", F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+        pairs = _mixed(members, roots).select("node", F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"))
+        pairs = pairs.groupBy("node", "u", "v").agg(F.count("*").alias("times"))
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = cut(pairs.groupBy("node").agg(F.min(F.struct("v", "u")).alias("p")).select("p.u", "p.v").distinct())
+        pairs = cut(pairs.groupBy("node").agg(F.max(F.struct("times", "v", "u")).alias("p")).select("p.u", "p.v").distinct())
         found = verified(pairs, nodes, docs, percent)
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
