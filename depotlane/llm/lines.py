@@ -9,16 +9,20 @@ the first line in order (key, then place in the text) stays, every other occurre
    under (length, segment number, segment) and probes, for each length that a near line may
    have, the substrings at places that the number of edits left and right of them allows.
 2. In a bucket each probe is paired with the least indexed line, never with all. Where a
-   bucket then still spans several groups, its lines are paired across groups.
-3. A banded bit-parallel edit distance confirms pairs: the cells on 2 * EDITS + 1 diagonals of
-   a column are bits of one word, and a column takes a few operations on it.
+   bucket then still spans several groups, its lines are segmented more finely: a line is
+   indexed under the rarest of its `GRAM`-character pieces with their places, one more than
+   the edits can destroy, and the others probe all their pieces. Lines of one template that
+   differ in a word then meet only those with the same piece there.
+3. Common prefixes and suffixes are trimmed; what is left is compared by a banded bit-parallel
+   edit distance: the cells on 2 * EDITS + 1 diagonals of a column are bits of one word, and a
+   column takes a few operations on it.
 4. Connected components of the links are the groups; equal lines are one node throughout.
 
-Cases: lines end at line feeds; a line of fewer than `SHORTEST` characters is never judged
-and always stays; a null text has no lines and stays null; a document left with no text has
-kept "" (or null if it was null); a null key comes after all others; rows that repeat key and
-text are one document; rows that share a key only are ordered by a hash of the text; an empty
-table gives an empty table; other columns are ignored.
+Cases: lines end at line feeds; a blank line is never judged and always stays; a line of fewer
+than `shortest` characters is near to equal lines only; a null text has no lines and stays
+null; a document left with no text has kept "" (or null if it was null); a null key comes after
+all others; rows that repeat key and text are one document; rows that share a key only are
+ordered by a hash of the text; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +35,12 @@ from depotlane.llm.components import components
 from depotlane.llm.tables import cut, read
 
 EDITS = 2
+#: Characters of the shortest lines that may be near without being equal.
 SHORTEST = 24
-#: Ids (of 8 bytes each) that may be broadcast to fetch lines, and removed lines (of 40 bytes at
-#: most, with their rows) that may be broadcast to their texts; more are joined by shuffles.
+#: Characters of a piece, and places that one key of a piece covers.
+GRAM, PLACES = 3, 8
+#: Rows of a few longs that may be broadcast, and removed lines (of 40 bytes at most, with their
+#: rows) that may be broadcast to their texts; more are joined by shuffles.
 BROADCAST_ROWS, BROADCAST_LINES = 500_000, 1_000_000
 
 
@@ -42,9 +49,29 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _common(a: Column, b: Column, most: Column) -> Column:
+    """Length of the common prefix of two strings, up to `most`, by doubling steps."""
+    steps = F.array(*[F.lit(1 << k) for k in range(16, -1, -1)])
+    fits = lambda p, w: (p + w <= most) & (F.substring(a, p + 1, w) == F.substring(b, p + 1, w))
+    return F.aggregate(steps, F.lit(0), lambda p, w: p + F.when(fits(p, w), w).otherwise(F.lit(0)))
+
+
 def near(long: Column, short: Column, edits: int) -> Column:
     """Whether the edit distance of two strings is at most `edits`; `long` has as many characters as `short` or more."""
-    return let(F.split(long, ""), lambda a: let(F.split(short, ""), lambda b: _near(a, b, edits)))
+    n, m = F.length(long), F.length(short)
+    chars = lambda s: F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, ""))
+
+    def trimmed(before: Column, after: Column) -> Column:
+        x, y = F.substring(long, before + 1, n - before - after), F.substring(short, before + 1, m - before - after)
+        return let(F.struct(x.alias("x"), y.alias("y")), decided)
+
+    def decided(s: Column) -> Column:
+        # of two edits one is at either end of what is left, and what is between them is unchanged
+        may = F.contains(s["y"], F.substring(s["x"], F.lit(2), F.length(s["x"]) - 2)) if edits == 2 else F.lit(True)
+        return F.when(may, let(chars(s["x"]), lambda a: let(chars(s["y"]), lambda b: _near(a, b, edits)))).otherwise(F.lit(False))
+
+    ends = let(_common(long, short, m), lambda before: let(_common(F.reverse(long), F.reverse(short), m - before), lambda after: trimmed(before, after)))
+    return F.when(n - m > edits, F.lit(False)).otherwise(ends)
 
 
 def _near(long: Column, short: Column, edits: int) -> Column:
@@ -87,75 +114,99 @@ def _near(long: Column, short: Column, edits: int) -> Column:
     return F.when(apart > edits, F.lit(False)).otherwise(distance <= edits)
 
 
-def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of a segment of a line of so many characters; later ones may be longer by one."""
-    parts = edits + 1
-    base, rest = F.floor(length / parts).cast("int"), length % parts
-    start = base * number + F.greatest(F.lit(0), F.lit(number - parts) + rest)
-    return start, base + (F.lit(number) >= F.lit(parts) - rest).cast("int")
-
-
-def _bucket(line: Column, length: Column, number: int, shift: int, edits: int) -> Column:
-    start, size = _segment(length, number, edits)
-    return F.xxhash64(length, F.lit(number), F.substring(line, start + (shift + 1), size))
-
-
-def index_keys(line: Column, edits: int = EDITS) -> Column:
-    return F.array(*[_bucket(line, F.length(line), i, 0, edits) for i in range(edits + 1)])
-
-
-def probe_keys(line: Column, edits: int = EDITS) -> Column:
-    """Buckets of near lines that are as long or shorter by up to `edits`.
+def _shifts(edits: int) -> list[tuple[int, int, int]]:
+    """(less, number, shift): segments at which a line may meet one that is `less` characters shorter.
 
     With i segments before it, a segment can be off by i places at most, and by what the
-    edits left after it can mend.
+    edits left after it can mend. (0, i, 0) are the line's own segments, under which it is indexed.
     """
-    keys = []
+    out = []
     for less in range(edits + 1):
         for i in range(edits + 1):
-            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                keys.append(_bucket(line, F.length(line) - less, i, shift, edits))
-    return F.array(*keys)
+            out += [(less, i, shift) for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)]
+    return out
+
+
+def _keys(lines: DataFrame, edits: int) -> DataFrame:
+    """id, bucket and indexed of each probe of the lines (id, line). Later segments may be longer by one character.
+
+    One row a shift, then one expression: an expression for each shift would be too long to be compiled well.
+    """
+    spec = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(i).alias("number"), F.lit(b).alias("shift")) for a, i, b in _shifts(edits)])
+    rows = lines.select("id", "line", F.length("line").alias("n"), F.explode(spec).alias("s")).select("id", "line", (F.col("n") - F.col("s.less")).alias("n"), "s")
+    parts = edits + 1
+    base, rest, number = F.floor(F.col("n") / parts).cast("int"), F.col("n") % parts, F.col("s.number")
+    start = base * number + F.greatest(F.lit(0), number - parts + rest) + F.col("s.shift")
+    size = base + (number >= F.lit(parts) - rest).cast("int")
+    indexed = (F.col("s.less") == 0) & (F.col("s.shift") == 0)
+    return rows.select("id", F.xxhash64("n", number, F.substring("line", start + 1, size)).alias("bucket"), indexed.alias("indexed"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """row, place, line of each judged line, with two 64-bit hashes of the line."""
-    out = docs.select("row", F.posexplode(F.split("text", "\n")).alias("place", "line")).where(F.length("line") >= SHORTEST)
+    out = docs.select("row", F.posexplode(F.split("text", "\n")).alias("place", "line")).where(F.trim("line") != "")
     return out.withColumns({"id": F.xxhash64("line"), "id2": F.xxhash64(F.lit(29), "line")})
 
 
-def _confirmed(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """The near ones of distinct pairs (u, v) of line ids."""
-    pairs = cut(pairs)
-    wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = lines.join(few, "id", "left_semi").groupBy("id", "id2").agg(F.first("line").alias("line")).select("id", "line")
+def _few(df: DataFrame) -> DataFrame:
+    """`df`, written, and broadcast where it is small."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """The near ones of distinct pairs (u, v) of line ids; texts: id, line."""
     both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v")
     longer = F.length("a") >= F.length("b")
     both = both.select("u", "v", F.when(longer, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(longer, F.col("b")).otherwise(F.col("a")).alias("y"))
     return cut(both.where(near(F.col("x"), F.col("y"), edits)).select("u", "v").distinct())
 
 
-def line_groups(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(node, root) of the line ids that are near another line, by groups."""
-    index = lines.select("id", F.explode(index_keys(F.col("line"), edits)).alias("bucket"))
-    probes = lines.select("id", F.explode(probe_keys(F.col("line"), edits)).alias("bucket"))
-    ordered = (F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v"))
-    centres = index.groupBy("bucket").agg(F.min("id").alias("v"), F.max("id").alias("top"))
-    stars = probes.join(centres, "bucket").where("id != v").select(*ordered, "bucket", (F.col("top") > F.col("v")).alias("several"))
-    stars = cut(stars.distinct())
-    links = _confirmed(stars.select("u", "v").distinct(), lines, edits)
+def _pieces(lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """Keys (key, id, at, n, root) of the rarest pieces of each line (id, line, root), and of all its pieces at all places near theirs."""
+    at = F.explode(F.sequence(F.lit(0), F.length("line") - GRAM)).alias("at")
+    pieces = lines.select("id", "root", F.length("line").alias("n"), "line", at).select("id", "root", "n", "at", F.substring("line", F.col("at") + 1, F.lit(GRAM)).alias("piece"))
+    place = lambda c: F.floor(c / PLACES)
+    own = pieces.withColumn("key", F.xxhash64("piece", place(F.col("at"))))
+    times = own.groupBy("key").agg(F.count("*").alias("times"), F.min("root").alias("low"), F.max("root").alias("high"))
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("times", "key", "at", "useful"))), 1, edits * GRAM + 1)
+    index = own.join(times.select("key", "times", (F.col("low") < F.col("high")).alias("useful")), "key").groupBy("id", "root", "n").agg(rarest.alias("rarest"))
+    index = index.select("id", "root", "n", F.explode("rarest").alias("r")).select("r.key", "id", "r.at", "n", "root")
+    near_places = F.array_distinct(F.array(place(F.col("at") - edits), place(F.col("at") + edits)))
+    probes = pieces.select("id", "root", "n", "at", "piece", F.explode(near_places).alias("p"))
+    return index, probes.select(F.xxhash64("piece", "p").alias("key"), "id", "at", "n", "root")
+
+
+def line_groups(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+    """(node, root) of the line ids that are near another line, by groups; lines: id, line."""
+    if shortest < (edits + 1) * GRAM:
+        raise ValueError(f"lines that are near by {edits} edits need {(edits + 1) * GRAM} characters or more")
+    lines = lines.select("id", "line").where(F.length("line") >= shortest)
+    keys = _keys(lines, edits)
+    own = F.when(F.col("indexed"), F.col("id"))
+    live = keys.groupBy("bucket").agg(F.min(own).alias("v"), F.max(own).alias("top"), F.min("id").alias("low"), F.max("id").alias("high"))
+    live = _few(live.where("v is not null and low < high").select("bucket", "v", "top"))
+    members = cut(keys.join(live, "bucket").select("id", "bucket", "v", (F.col("top") > F.col("v")).alias("several")).distinct())
+    wanted = _few(members.select("id").distinct())
+    texts = cut(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
+    pair = (F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v"))
+    links = _confirmed(members.where("id != v").select(*pair).distinct(), texts, edits)
     roots = components(links)
-    # buckets of several indexed lines: theirs and the probes' groups may differ still
-    several = cut(index.groupBy("bucket").agg(F.min("id").alias("v"), F.max("id").alias("top")).where("top > v").select("bucket"))
-    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
-    placed = lambda df: df.join(several, "bucket", "left_semi").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "bucket", F.coalesce("root", "id").alias("root"))
-    across = placed(index).toDF("v", "bucket", "other").join(placed(probes), "bucket").where("root != other").select(*ordered).distinct()
-    more = _confirmed(across.join(links, ["u", "v"], "left_anti"), lines, edits)
-    return components(links.unionByName(more))
-
-
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, rest: str | None = None) -> DataFrame:
+    # buckets of several indexed lines that still span groups
+    placed = members.where("several").select("id", "bucket").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "bucket", F.coalesce("root", "id").alias("root"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    hot = cut(placed.join(mixed, "bucket").select("id", "root").distinct().join(texts, "id"))
+    if hot.isEmpty():
+        return roots
+    index, probes = _pieces(hot, edits)
+    index = _few(index)
+    side = lambda df, name: df.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("id", "at", "n", "root")])
+    met = side(probes, "y").join(side(index, "x"), "key").where(f"root_x != root_y and abs(n_x - n_y) <= {edits} and abs(at_x - at_y) <= {edits}")
+    met = cut(met.select(F.greatest("id_x", "id_y").alias("u"), F.least("id_x", "id_y").alias("v")).distinct().join(links, ["u", "v"], "left_anti"))
+    return components(links.unionByName(_confirmed(met, texts, edits)))
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, rest: str | None = None, shortest: int = SHORTEST) -> DataFrame:
     """`key`, text, n_lines, n_removed and kept (the text without removed lines) for each row, with column `rest` if one is named."""
     carried = [docs[rest].alias("rest")] if rest else []
     own = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"), *carried)
@@ -163,12 +214,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int =
     mark = F.lit(0).cast("long") if unique else F.xxhash64("text")
     own = own.select(F.struct(F.col("key").isNull().alias("absent"), "key", mark.alias("mark")).alias("row"), "text", *(["rest"] if rest else []))
     lines = _lines(own)
-    roots = line_groups(lines, edits)
+    repeats = cut(lines.groupBy("id", "id2").count().where("count > 1").select("id", "id2"))
+    roots = cut(line_groups(lines, edits, shortest))
+    # occurrences of lines that repeat or are near others; all other lines stay
+    found = _few(repeats.select("id").unionByName(roots.select(F.col("node").alias("id"))).distinct())
+    lines = cut(lines.join(found, "id", "left_semi").select("row", "place", "id", "id2"))
     classes = lines.groupBy("id", "id2").agg(F.min(F.struct("row", "place")).alias("first"))
     classes = cut(classes.join(roots.withColumnRenamed("node", "id"), "id", "left"))
     heads = classes.where("root is not null").groupBy("root").agg(F.min("first").alias("head"))
     stays = classes.join(heads, "root", "left").select("id", "id2", F.coalesce("head", "first").alias("stays"))
-    gone = lines.select("row", "place", "id", "id2").join(stays, ["id", "id2"]).where("struct(row, place) != stays")
+    gone = lines.join(stays, ["id", "id2"]).where("struct(row, place) != stays")
     gone = cut(gone.groupBy("row").agg(F.collect_set("place").alias("gone")))
     n_gone = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
     gone = F.broadcast(gone) if n_gone <= BROADCAST_LINES else gone
