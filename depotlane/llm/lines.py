@@ -12,7 +12,8 @@ the first line in order (key, then place in the text) stays, every other occurre
    bucket then still spans several groups, its lines are segmented more finely: a line is
    indexed under the rarest of its `GRAM`-character pieces with their places, one more than
    the edits can destroy, and the others probe all their pieces. Lines of one template that
-   differ in a word then meet only those with the same piece there.
+   differ in a word then meet only those with the same piece there, and make a pair only where
+   parity bits of their pairs of characters differ in as few places as the edits can change.
 3. Common prefixes and suffixes are trimmed; what is left is compared by a banded bit-parallel
    edit distance: the cells on 2 * EDITS + 1 diagonals of a column are bits of one word, and a
    column takes a few operations on it.
@@ -39,6 +40,8 @@ EDITS = 2
 SHORTEST = 24
 #: Characters of a piece, and places that one key of a piece covers.
 GRAM, PLACES = 3, 8
+#: Words of 64 parity bits of a line, parts of a line that are looked for in another, lines in one task of the finer join, pairs in one that compares.
+PARITIES, PARTS, LINES_IN_PART, PAIRS_IN_PART = 4, 8, 512, 2048
 #: Rows of a few longs that may be broadcast, and removed lines (of 40 bytes at most, with their
 #: rows) that may be broadcast to their texts; more are joined by shuffles.
 BROADCAST_ROWS, BROADCAST_LINES = 500_000, 1_000_000
@@ -50,19 +53,22 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _common(a: Column, b: Column, most: Column) -> Column:
-    """Length of the common prefix of two strings, up to `most`, by doubling steps."""
+    """Bytes of whole characters at the start of two UTF-8 strings that are equal, up to `most`, by halving steps."""
     steps = F.array(*[F.lit(1 << k) for k in range(16, -1, -1)])
     fits = lambda p, w: (p + w <= most) & (F.substring(a, p + 1, w) == F.substring(b, p + 1, w))
-    return F.aggregate(steps, F.lit(0), lambda p, w: p + F.when(fits(p, w), w).otherwise(F.lit(0)))
+    within = lambda p: F.substring(a, p + 1, F.lit(1)).between(F.lit(b"\x80"), F.lit(b"\xbf"))
+    whole = lambda p: F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), p, lambda q, _: q - F.when(within(q), 1).otherwise(0))
+    return let(F.aggregate(steps, F.lit(0), lambda p, w: p + F.when(fits(p, w), w).otherwise(F.lit(0))), whole)
 
 
 def near(long: Column, short: Column, edits: int) -> Column:
     """Whether the edit distance of two strings is at most `edits`; `long` has as many characters as `short` or more."""
-    n, m = F.length(long), F.length(short)
+    n, m = F.octet_length(long), F.octet_length(short)
     chars = lambda s: F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, ""))
+    common = lambda a, b, most: let(a.cast("binary"), lambda x: let(b.cast("binary"), lambda y: _common(x, y, most)))
 
     def trimmed(before: Column, after: Column) -> Column:
-        x, y = F.substring(long, before + 1, n - before - after), F.substring(short, before + 1, m - before - after)
+        x, y = (F.substring(s.cast("binary"), before + 1, size - before - after).cast("string") for s, size in ((long, n), (short, m)))
         return let(F.struct(x.alias("x"), y.alias("y")), decided)
 
     def decided(s: Column) -> Column:
@@ -70,8 +76,8 @@ def near(long: Column, short: Column, edits: int) -> Column:
         may = F.contains(s["y"], F.substring(s["x"], F.lit(2), F.length(s["x"]) - 2)) if edits == 2 else F.lit(True)
         return F.when(may, let(chars(s["x"]), lambda a: let(chars(s["y"]), lambda b: _near(a, b, edits)))).otherwise(F.lit(False))
 
-    ends = let(_common(long, short, m), lambda before: let(_common(F.reverse(long), F.reverse(short), m - before), lambda after: trimmed(before, after)))
-    return F.when(n - m > edits, F.lit(False)).otherwise(ends)
+    rest = lambda before: let(common(F.reverse(long), F.reverse(short), F.least(n, m) - before), lambda after: trimmed(before, after))
+    return F.when(F.length(long) - F.length(short) > edits, F.lit(False)).otherwise(let(common(long, short, F.least(n, m)), rest))
 
 
 def _near(long: Column, short: Column, edits: int) -> Column:
@@ -133,13 +139,16 @@ def _keys(lines: DataFrame, edits: int) -> DataFrame:
     One row a shift, then one expression: an expression for each shift would be too long to be compiled well.
     """
     spec = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(i).alias("number"), F.lit(b).alias("shift")) for a, i, b in _shifts(edits)])
-    rows = lines.select("id", "line", F.length("line").alias("n"), F.explode(spec).alias("s")).select("id", "line", (F.col("n") - F.col("s.less")).alias("n"), "s")
+    plain = F.octet_length("line") == F.length("line")  # bytes are characters, and parts of bytes are found at once
+    rows = lines.select("id", "line", plain.alias("plain"), F.length("line").alias("n"), F.explode(spec).alias("s"))
+    rows = rows.select("id", "line", "plain", (F.col("n") - F.col("s.less")).alias("n"), "s")
     parts = edits + 1
     base, rest, number = F.floor(F.col("n") / parts).cast("int"), F.col("n") % parts, F.col("s.number")
     start = base * number + F.greatest(F.lit(0), number - parts + rest) + F.col("s.shift")
     size = base + (number >= F.lit(parts) - rest).cast("int")
     indexed = (F.col("s.less") == 0) & (F.col("s.shift") == 0)
-    return rows.select("id", F.xxhash64("n", number, F.substring("line", start + 1, size)).alias("bucket"), indexed.alias("indexed"))
+    part = F.when(F.col("plain"), F.substring(F.col("line").cast("binary"), start + 1, size)).otherwise(F.substring("line", start + 1, size).cast("binary"))
+    return rows.select("id", F.xxhash64("n", number, part).alias("bucket"), indexed.alias("indexed"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -154,27 +163,66 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _intact(long: Column, short: Column, edits: int) -> Column:
+    """Whether all but `edits` of some parts of the shorter line lie in the longer one near the same places."""
+    n, found = F.length(short), []
+    for i in range(PARTS):
+        start, end = F.floor(n * i / PARTS).cast("int"), F.floor(n * (i + 1) / PARTS).cast("int")
+        begin = F.greatest(start - edits, F.lit(0))
+        found.append(F.contains(F.substring(long, begin + 1, end + edits - begin), F.substring(short, start + 1, end - start)).cast("int"))
+    return sum(found, F.lit(0)) >= PARTS - edits
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """The near ones of distinct pairs (u, v) of line ids; texts: id, line."""
+    pairs = cut(pairs)
     both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v")
     longer = F.length("a") >= F.length("b")
     both = both.select("u", "v", F.when(longer, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(longer, F.col("b")).otherwise(F.col("a")).alias("y"))
+    both = both.repartition(1 + pairs.count() // PAIRS_IN_PART).where(_intact(F.col("x"), F.col("y"), edits))
     return cut(both.where(near(F.col("x"), F.col("y"), edits)).select("u", "v").distinct())
 
 
-def _pieces(lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
-    """Keys (key, id, at, n, root) of the rarest pieces of each line (id, line, root), and of all its pieces at all places near theirs."""
-    at = F.explode(F.sequence(F.lit(0), F.length("line") - GRAM)).alias("at")
-    pieces = lines.select("id", "root", F.length("line").alias("n"), "line", at).select("id", "root", "n", "at", F.substring("line", F.col("at") + 1, F.lit(GRAM)).alias("piece"))
-    place = lambda c: F.floor(c / PLACES)
-    own = pieces.withColumn("key", F.xxhash64("piece", place(F.col("at"))))
-    times = own.groupBy("key").agg(F.count("*").alias("times"), F.min("root").alias("low"), F.max("root").alias("high"))
-    rarest = F.slice(F.array_sort(F.collect_list(F.struct("times", "key", "at", "useful"))), 1, edits * GRAM + 1)
-    index = own.join(times.select("key", "times", (F.col("low") < F.col("high")).alias("useful")), "key").groupBy("id", "root", "n").agg(rarest.alias("rarest"))
-    index = index.select("id", "root", "n", F.explode("rarest").alias("r")).select("r.key", "id", "r.at", "n", "root")
+def _pieces(lines: DataFrame) -> DataFrame:
+    """id, root, n and hashes of all runs of GRAM (grams) and of two (pairs) characters of each line (id, root, line)."""
+
+    def runs(chars: Column, size: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - size), lambda at: F.hash(*[F.get(chars, at + k) for k in range(size)]))
+
+    # characters are taken from an array: substrings would read the line from its start each
+    both = let(F.split("line", ""), lambda c: F.struct(runs(c, GRAM).alias("grams"), runs(c, 2).alias("pairs")))
+    return lines.select("id", "root", F.length("line").alias("n"), both.alias("b")).select("id", "root", "n", "b.grams", "b.pairs")
+
+
+def _met(lines: DataFrame, edits: int) -> DataFrame:
+    """Pairs (u, v) of lines (id, root, line) of different roots that may be near.
+
+    An edit destroys GRAM pieces of that many characters, so of any edits * GRAM + 1 pieces of a line one is found,
+    shifted by `edits` at most, in every line near to it: its rarest ones are indexed. Parities
+    are bits that tell whether an odd number of a line's pairs of characters falls on them; an
+    edit changes four bits at most.
+    """
+    parts = 1 + lines.count() // LINES_IN_PART
+    lines = cut(_pieces(lines.repartition(parts)))
+    place = lambda at: F.floor(at / PLACES)
+    whole = lines.select("id", "root", "n", F.posexplode("grams").alias("at", "gram"))
+    own = whole.select("id", "at", F.xxhash64("gram", place(F.col("at"))).alias("key"))
+    times = _few(own.groupBy("key").agg(F.count("*").alias("times")))
+    rarest = F.slice(F.sort_array(F.collect_list(F.shiftleft("times", 32) + F.col("at"))), 1, edits * GRAM + 1)
+    index = own.join(times, "key").groupBy("id").agg(rarest.alias("rarest")).select("id", F.explode("rarest").alias("r"))
+    hashed = lines.select("id", F.explode("pairs").alias("h"))
+    bits = hashed.select("id", F.pmod("h", F.lit(PARITIES)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("h", 8), F.lit(64))).alias("bit"))
+    words = [F.coalesce(F.bit_xor(F.when(F.col("word") == i, F.col("bit"))), F.lit(0).cast("long")).alias(f"p{i}") for i in range(PARITIES)]
+    parity = _few(bits.groupBy("id").agg(F.struct(*words).alias("parity")))
+    index = index.select("id", F.pmod("r", F.lit(1 << 32)).cast("int").alias("at")).join(lines.join(parity, "id"), "id")
+    index = _few(index.select("id", "root", "n", "at", "parity", F.xxhash64(F.get("grams", F.col("at")), place(F.col("at"))).alias("key")))
     near_places = F.array_distinct(F.array(place(F.col("at") - edits), place(F.col("at") + edits)))
-    probes = pieces.select("id", "root", "n", "at", "piece", F.explode(near_places).alias("p"))
-    return index, probes.select(F.xxhash64("piece", "p").alias("key"), "id", "at", "n", "root")
+    probes = whole.select("id", "root", "n", "at", "gram", F.explode(near_places).alias("p")).select("id", "root", "n", "at", F.xxhash64("gram", "p").alias("key"))
+    side = lambda df, name: df.select("key", *[F.col(c).alias(f"{c}_{name}") for c in df.columns if c != "key"])
+    met = side(probes, "y").join(parity.select(F.col("id").alias("id_y"), F.col("parity").alias("parity_y")), "id_y").join(side(index, "x"), "key")
+    apart = " + ".join(f"bit_count(parity_x.p{i} ^ parity_y.p{i})" for i in range(PARITIES))
+    met = met.where(f"root_x != root_y and abs(n_x - n_y) <= {edits} and abs(at_x - at_y) <= {edits} and {apart} <= {4 * edits}")
+    return met.select(F.greatest("id_x", "id_y").alias("u"), F.least("id_x", "id_y").alias("v")).distinct()
 
 
 def line_groups(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
@@ -198,11 +246,7 @@ def line_groups(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST)
     hot = cut(placed.join(mixed, "bucket").select("id", "root").distinct().join(texts, "id"))
     if hot.isEmpty():
         return roots
-    index, probes = _pieces(hot, edits)
-    index = _few(index)
-    side = lambda df, name: df.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("id", "at", "n", "root")])
-    met = side(probes, "y").join(side(index, "x"), "key").where(f"root_x != root_y and abs(n_x - n_y) <= {edits} and abs(at_x - at_y) <= {edits}")
-    met = cut(met.select(F.greatest("id_x", "id_y").alias("u"), F.least("id_x", "id_y").alias("v")).distinct().join(links, ["u", "v"], "left_anti"))
+    met = _met(hot, edits).join(links, ["u", "v"], "left_anti")
     return components(links.unionByName(_confirmed(met, texts, edits)))
 
 
