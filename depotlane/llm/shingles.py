@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _KNOWN: dict[bytes, int] = {}
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
