@@ -31,7 +31,7 @@ def dim_date(spark: SparkSession, start: str, end: str, holidays: DataFrame) ->
     free = F.greatest("holiday", "weekend")
     out = out.withColumns({"pre_holiday": F.col("h_after"), "post_holiday": F.col("h_before"), "bridge": ((free == 0) & (F.col("o_before") == 1) & (F.col("o_after") == 1)).cast("int")}).drop("h_before", "h_after", "o_before", "o_after")
     out = out.withColumn("easter_days", F.datediff("date", easter(F.col("year"))))
-    return out.withColumn("easter_week", F.col("easter_days").between(-6, -1).cast("int"))
+    return out.withColumn("easter_week", F.col("easter_days").between(1, 6).cast("int"))
 
 
 def weekly_calendar(days: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ class Boosting:
         return self.start + self.rate * sum(self._walk(t, x) for t in self.trees)
 
 
-def predict(model: str, dates: np.ndarray, values: np.ndarray, horizon: int, season: int = 7, window: int = 28) -> np.ndarray:
+def predict(model: str, dates: np.ndarray, values: np.ndarray, horizon: int, season: int = 7, window: int = 7) -> np.ndarray:
     """`horizon` values after a daily history, recursively; not below 0."""
     if not len(values):
         return np.zeros(horizon)

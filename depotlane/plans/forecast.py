@@ -57,7 +57,7 @@ def forecast_ranking(spark, sf_dir):
 
 def forecast_next(spark, sf_dir):
     daily = _daily_series(spark, sf_dir)
-    chosen = forecast.best_model(forecast.summarize(_oof(spark, sf_dir, ("seasonal_naive", "moving_average", "ridge"))), daily)
+    chosen = forecast.best_model(forecast.summarize(_oof(spark, sf_dir)), daily)
     return forecast.forecast(daily, chosen, RUN, HORIZON)
 
 

@@ -20,7 +20,7 @@ def _round(df, *columns, digits=6):
 
 def text_normalize(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.sha2(t.normalize_text(F.regexp_replace("text", "[^\\x00-\\u017F]", "")), 256).alias("text_sha256"))
+    return docs.select("doc_id", F.sha2(t.normalize_text(F.col("text")), 256).alias("text_sha256"))
 
 
 def text_codes(spark, sf_dir):
@@ -285,11 +285,11 @@ _CAL = f"""{_HOL}, c0 AS (SELECT unnest(generate_series(DATE '{START}', DATE '{E
 ea AS (SELECT y, a, b, c, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM range(1995, 2002) AS t(y))), eb AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS m FROM ea),
 ec AS (SELECT y, make_date(y, (h + m - 7 * ((a + 11 * h + 22 * m) // 451) + 114) // 31, (h + m - 7 * ((a + 11 * h + 22 * m) // 451) + 114) % 31 + 1) AS easter FROM eb),
 cal AS (SELECT date, holiday_national, holiday_region, holiday_city, year(date)::INT AS year, quarter(date)::INT AS quarter, month(date)::INT AS month, day(date)::INT AS day, (isodow(date) - 1)::INT AS weekday, weekofyear(date)::INT AS iso_week, isoyear(date)::INT AS iso_year, ((day(date) - 1) // 7 + 1)::INT AS week_of_month, (last_day(date) = date)::INT AS month_end, weekend, holiday,
- coalesce(lead(holiday) OVER w, 0) AS pre_holiday, coalesce(lag(holiday) OVER w, 0) AS post_holiday, (greatest(holiday, weekend) = 0 AND coalesce(lag(greatest(holiday, weekend)) OVER w, 0) = 1 AND coalesce(lead(greatest(holiday, weekend)) OVER w, 0) = 1)::INT AS bridge, (date - easter)::INT AS easter_days, ((date - easter) BETWEEN -6 AND -1)::INT AS easter_week FROM c1 JOIN ec ON y = year(date) WINDOW w AS (ORDER BY date))"""
+ coalesce(lead(holiday) OVER w, 0) AS pre_holiday, coalesce(lag(holiday) OVER w, 0) AS post_holiday, (greatest(holiday, weekend) = 0 AND coalesce(lag(greatest(holiday, weekend)) OVER w, 0) = 1 AND coalesce(lead(greatest(holiday, weekend)) OVER w, 0) = 1)::INT AS bridge, (date - easter)::INT AS easter_days, ((date - easter) BETWEEN 1 AND 6)::INT AS easter_week FROM c1 JOIN ec ON y = year(date) WINDOW w AS (ORDER BY date))"""
 _FR = lambda w: f"(PARTITION BY series ORDER BY date ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
 
 ORACLES = {
-    "text_normalize": r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(strip_accents(upper(replace(trim(regexp_replace(text, '[^\x00-\x{017F}]', '', 'g'), ' '), 'ß', 'SS'))), '[^\x00-\x7F]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) AS text_sha256 FROM documents",
+    "text_normalize": r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(strip_accents(upper(replace(trim(text, ' '), 'ß', 'SS'))), '[^\x00-\x7F]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) AS text_sha256 FROM documents",
     "text_codes": "SELECT l_orderkey, l_linenumber, l_partkey::VARCHAR AS code, '00' || l_partkey AS identifier, l_partkey::DOUBLE AS number FROM lineitem",
     "text_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate::DATE END AS parsed, CASE year(o_orderdate) WHEN 1999 THEN 'off' WHEN 2000 THEN 'restart' ELSE 'normal' END AS regime, date_trunc('week', o_orderdate)::DATE AS monday, make_date(1996, month(o_orderdate), day(o_orderdate)) AS same_day, CASE WHEN isoyear(o_orderdate) = year(o_orderdate) THEN date_trunc('week', o_orderdate)::DATE ELSE CASE WHEN isoyear(date_trunc('week', make_date(year(o_orderdate), 1, 4)) + INTERVAL (7 * (weekofyear(o_orderdate) - 1)) DAY) = year(o_orderdate) THEN (date_trunc('week', make_date(year(o_orderdate), 1, 4)) + INTERVAL (7 * (weekofyear(o_orderdate) - 1)) DAY)::DATE END END AS iso_monday, o_orderdate::DATE AS day FROM orders",
     "service_classes": f"WITH {CTES}, {_NT} SELECT service_code, service_type, service_class, reason, u AS urgency, urgency IS NULL AS urgency_missing, billable_kg FROM nt",
