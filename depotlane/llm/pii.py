@@ -12,7 +12,8 @@ Nobody labelled spans, so labels come from what the features don't see:
 - a proposal that overlaps a valid base span of another kind is negative;
 - the word before an e-mail address, put in place of its local part, is negative ("meet at host");
 - a long string is positive where it is assigned in quotes (`name = "..."`), else negative; its
-  context is no feature.
+  context is no feature. So where strings of the same format often stand bare (digests of files, say),
+  the kind fails its precision and adds nothing.
 
 At most about `SHOWN` examples of each kind and label, by hash, train the trees. The documents of a quarter
 of all texts (by hash, so that copies stay together) are held back, and all of them set the thresholds: for
@@ -39,7 +40,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from depotlane.llm.tables import cut, read, text_of
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone")
+#: Kinds of all spans: base kinds, and one that only the trees add.
+ALL = (*KINDS, "secret")
 LOCAL, LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 BASE = {
     "email": rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[{LABEL}]++(?:\.[{LABEL}]++)++",
@@ -105,7 +108,7 @@ def valid(kind: str, m: Column) -> Column:
 
 
 def _candidate(kind: str, base: bool) -> Callable[[Column], Column]:
-    number = F.lit(KINDS.index(kind))
+    number = F.lit(ALL.index(kind))
     return lambda s: F.struct(number.alias("kind"), s["a"].alias("a"), s["b"].alias("b"), s["m"].alias("m"), F.lit(base).alias("base"), valid(kind, s["m"]).alias("ok"))
 
 
@@ -141,7 +144,7 @@ def featured(text: str, spans: str) -> Column:
         m = normal(c["kind"], c["m"])
         near = F.substring(body, F.greatest(c["a"] - 23, F.lit(1)), F.least(c["a"], F.lit(24)))
         after = F.substring(body, c["b"] + 1, F.lit(1))
-        plain = c["kind"] != KINDS.index("secret")  # the context of long strings is their label
+        plain = c["kind"] != ALL.index("secret")  # the context of long strings is their label
         count = lambda x, pattern: F.length(F.regexp_replace(x, pattern, ""))
         local = F.regexp_extract(m, "^([^@]*)@", 1)
         values = {
@@ -163,7 +166,7 @@ def _overlap(x: Column, y: Column) -> Column:
 
 def examples(docs: DataFrame) -> DataFrame:
     """Labelled candidates of all texts: y, k, the features, h (hash of the example), held; docs: text."""
-    email, secret = KINDS.index("email"), KINDS.index("secret")
+    email, secret = KINDS.index("email"), ALL.index("secret")
     found_in = docs.select("text", candidates("text").alias("c")).where("size(c) > 0")
     out = found_in.withColumn("base", F.filter("c", lambda c: c["base"] & c["ok"]))
     lure = lambda c: F.struct(
@@ -207,7 +210,7 @@ def fit(docs: DataFrame) -> tuple[Callable[[Column], Column], list[float]] | Non
     held = shown.where("held").select("k", "y", F.round(score({n: F.col(n) for n in FEATURES}), 3).alias("p"))
     rows = held.groupBy("k", "p").agg(F.sum("y").alias("good"), F.count("*").alias("n")).collect()  # at most 5 * 1001 rows
     thresholds = []
-    for k in range(len(KINDS)):
+    for k in range(len(ALL)):
         good = n = 0
         best = 2.0
         for r in sorted((r for r in rows if r.k == k), key=lambda r: -r.p):
@@ -252,14 +255,14 @@ def _best(scored: str) -> Column:
 
 def joined(spans: str) -> Column:
     """kind:start:end, comma-joined, by start and then kind."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ALL])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["a"].cast("string"), s["b"].cast("string"))), ",")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spans(read(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return out.select("doc_id", *[count(k) for k in BASE], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
+    return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES, ORACLES = {"op10_pii": op10_pii}, {}
