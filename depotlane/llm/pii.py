@@ -167,7 +167,7 @@ def _overlap(x: Column, y: Column) -> Column:
 def examples(docs: DataFrame) -> DataFrame:
     """Labelled candidates of all texts: y, k, the features, h (hash of the example), held; docs: text."""
     email, secret = KINDS.index("email"), ALL.index("secret")
-    found_in = docs.select("text", candidates("text").alias("c")).where("size(c) > 0")
+    found_in = docs.select("text", candidates("text").alias("c"))
     out = found_in.withColumn("base", F.filter("c", lambda c: c["base"] & c["ok"]))
     lure = lambda c: F.struct(
         c["kind"].alias("kind"), c["a"].alias("a"), c["b"].alias("b"),
@@ -177,7 +177,7 @@ def examples(docs: DataFrame) -> DataFrame:
     lures = F.filter(F.transform(F.filter("base", lambda c: c["kind"] == email), lure), lambda c: ~c["m"].startswith("@"))
     kept = F.filter("c", lambda c: c["base"] | (c["kind"] == secret) | F.exists("base", lambda b: (b["kind"] != c["kind"]) & _overlap(b, c)))
     out = out.withColumn("all", F.concat(kept, lures)).withColumn("all", featured("text", "all"))
-    out = out.select(F.xxhash64("text", F.lit(6)).alias("d"), F.posexplode("all").alias("i", "e")).select("d", "i", "e.*")
+    out = out.select(F.xxhash64("text", F.lit(6)).alias("d"), F.posexplode_outer("all").alias("i", "e")).where("i is not null").select("d", "i", "e.*")  # not outer: the array would be built twice
     y = F.when(F.col("k") == secret, F.col("told")).otherwise(F.col("base") & F.col("ok")).cast("double")
     return out.select(y.alias("y"), "k", *FEATURES, F.xxhash64("d", "i").alias("h"), (F.pmod("d", F.lit(4)) == 0).alias("held"))
 
