@@ -65,6 +65,8 @@ ASSIGNED = r"[A-Za-z0-9_-]\x20?[:=]\x20?[\x22']$"
 SHOWN = 2000
 PRECISION, LEAST_SHOWN = 0.98, 20
 TREES, DEPTH = 12, 4
+#: Tasks of each training step: the sample is bounded, and the steps are many.
+TASKS = 4
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -199,7 +201,8 @@ def fit(docs: DataFrame) -> tuple[Callable[[Column], Column], list[float]] | Non
     share = F.lit(0)
     for r in counts:
         share = F.when((F.col("k") == r.k) & (F.col("y") == r.y), min(1 << 20, (SHOWN << 20) // r["count"])).otherwise(share)
-    train = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(shown.where(~F.col("held") & (F.pmod("h", F.lit(1 << 20)) < share)))
+    sample = cut(shown.where(~F.col("held") & (F.pmod("h", F.lit(1 << 20)) < share)).select("y", *FEATURES)).coalesce(TASKS)
+    train = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(sample)
     model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1).fit(train)
     trees, weights = list(model._java_obj.trees()), list(model.treeWeights)
 
