@@ -1,4 +1,7 @@
-"""Market baskets: transactions, item pairs, their metrics over time, layout scores."""
+"""Market baskets: transactions, item pairs, their metrics over time, layout scores.
+
+Tables called items have one row per transaction and item, so rows of an item are its transactions.
+"""
 
 from __future__ import annotations
 
@@ -95,7 +98,7 @@ def pair_counts(items: DataFrame) -> DataFrame:
 def item_metrics(items: DataFrame, support_cap: float | None = None) -> DataFrame:
     """Frequency, support and quantity of each item, and whether rules leave it out as too frequent."""
     total = items.agg(F.countDistinct("transaction_id").alias("total"))
-    out = items.groupBy("article").agg(F.countDistinct("transaction_id").alias("transaction_frequency"), F.count("*").alias("row_frequency"), F.sum("quantity_sum").alias("total_quantity"), F.avg("quantity_sum").alias("mean_quantity"))
+    out = items.groupBy("article").agg(F.count("transaction_id").alias("transaction_frequency"), F.count("*").alias("row_frequency"), F.sum("quantity_sum").alias("total_quantity"), F.avg("quantity_sum").alias("mean_quantity"))
     out = out.crossJoin(F.broadcast(total)).withColumn("support", F.try_divide(F.col("transaction_frequency"), F.col("total"))).drop("total")
     return out.withColumn("too_frequent", F.col("support") > support_cap if support_cap is not None else F.lit(False))
 
@@ -144,7 +147,7 @@ def pair_metrics(items: DataFrame, at_least: int | None = None, alpha: float = 2
         counts = counts.crossJoin(F.broadcast(limit)).where("shared_transactions >= min_pair_transactions").drop("min_pair_transactions")
     else:
         counts = counts.where(F.col("shared_transactions") >= at_least)
-    each = items.groupBy("article").agg(F.countDistinct("transaction_id").alias("n"), F.sum("quantity_sum").alias("q"))
+    each = items.groupBy("article").agg(F.count("transaction_id").alias("n"), F.sum("quantity_sum").alias("q"))
     out = counts.join(each.toDF("article_a", "n_a", "q_a"), "article_a").join(each.toDF("article_b", "n_b", "q_b"), "article_b").crossJoin(F.broadcast(total))
     return with_metrics(out, alpha)
 
@@ -177,7 +180,7 @@ def temporal_pairs(items: DataFrame, least_transactions: int = 2) -> DataFrame:
     own = periods(items)
     each = own.select("transaction_id", "article", "quantity_sum", F.explode("periods").alias("period"))
     totals = each.groupBy("period").agg(F.countDistinct("transaction_id").alias("total")).where(F.col("total") >= least_transactions)
-    single = each.groupBy("period", "article").agg(F.countDistinct("transaction_id").alias("n"), F.sum("quantity_sum").alias("q"))
+    single = each.groupBy("period", "article").agg(F.count("transaction_id").alias("n"), F.sum("quantity_sum").alias("q"))
     pairs = pair_rows(own, ["periods"]).withColumn("period", F.explode(F.array_intersect("periods_a", "periods_b")))
     counts = pairs.groupBy("period", *PAIR).agg(F.count("*").alias("shared_transactions"), F.sum("shared_quantity").alias("shared_quantity"))
     out = counts.join(F.broadcast(totals), "period")  # one row for each period
@@ -187,6 +190,11 @@ def temporal_pairs(items: DataFrame, least_transactions: int = 2) -> DataFrame:
     return with_metrics(out)
 
 
+def pairs_of_history(temporal: DataFrame, at_least: int) -> DataFrame:
+    """Metrics over the full history out of those by period, of pairs that share at least so many transactions."""
+    return temporal.where((F.col("period") == "full_history") & (F.col("shared_transactions") >= at_least)).drop("period", "period_transactions")
+
+
 def _steadiness(column: str) -> Column:
     """1 / (1 + coefficient of variation), 0 where the mean is 0."""
     mean = F.avg(column)
@@ -308,6 +316,18 @@ def describe(txs: DataFrame, items: DataFrame) -> DataFrame:
     return out.select("section", "key", *[F.col(v).cast("double").alias(v) for v in values]).unpivot(["section", "key"], values, "metric", "value")
 
 
+def unified_series(described: DataFrame, temporal: DataFrame) -> DataFrame:
+    """One long table of both kinds of series: figures of all transactions by period, and of each pair by period.
+
+    described: section, key, metric, value, as from `describe`. Pair columns are null in the former.
+    """
+    whole = described.where("section in ('year', 'quarter', 'month')").select(F.lit("aggregate_transactions").alias("series_type"), F.col("section").alias("granularity"), F.col("key").alias("period"), "metric", "value")
+    grain = F.when(F.col("period") == "full_history", "full_history").otherwise(F.substring_index("period", "_", 1))
+    figures = ["shared_transactions", "joint_support", "lift", "jaccard", "npmi"]
+    pairs = temporal.select(F.lit("pair_affinity").alias("series_type"), grain.alias("granularity"), "period", *PAIR, *[F.col(c).cast("double").alias(c) for c in figures])
+    return whole.unionByName(pairs.unpivot(["series_type", "granularity", "period", *PAIR], figures, "metric", "value"), allowMissingColumns=True)
+
+
 def highlights(scored: DataFrame, steady: DataFrame, n: int = 10) -> DataFrame:
     """Executive lists of pairs: best, strong but rare, emerging; one row per list and rank."""
     own = scored.join(steady.select(*PAIR, "trend"), PAIR, "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from depotlane.lineage import cut
 from depotlane.operators import basket
 from depotlane.sources.staging import CTES, picks
 
@@ -19,6 +20,11 @@ def _items(spark, sf_dir):
     return basket.transaction_items(_lines(spark, sf_dir))
 
 
+def _thin(spark, sf_dir):
+    """What pairs need of the items, written once, as several parts of a query read it."""
+    return cut(_items(spark, sf_dir).select("transaction_id", "article", "quantity_sum", "last_completion_date"))
+
+
 def _round(df, *columns, digits=9):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -55,7 +61,7 @@ def basket_pairs(spark, sf_dir):
 
 
 def basket_threshold(spark, sf_dir):
-    items = _items(spark, sf_dir)
+    items = _thin(spark, sf_dir)
     return basket.min_pair_transactions(basket.pair_counts(items), items.agg(F.countDistinct("transaction_id").alias("total")))
 
 
@@ -63,7 +69,7 @@ _METRICS = ("support_a", "support_b", "joint_support", "confidence_a_b", "confid
 
 
 def basket_pair_metrics(spark, sf_dir):
-    return _round(basket.pair_metrics(_items(spark, sf_dir), LEAST), *_METRICS, digits=6)
+    return _round(basket.pair_metrics(_thin(spark, sf_dir), LEAST), *_METRICS, digits=6)
 
 
 def basket_item_metrics(spark, sf_dir):
@@ -71,19 +77,23 @@ def basket_item_metrics(spark, sf_dir):
 
 
 def basket_rules(spark, sf_dir):
-    out = basket.rules(basket.pair_metrics(_items(spark, sf_dir), LEAST))
+    out = basket.rules(basket.pair_metrics(_thin(spark, sf_dir), LEAST))
     return _round(out, "antecedent_support", "consequent_support", "confidence", "conviction", "support", "lift", "leverage", "npmi", digits=6)
 
 
 def basket_temporal_pairs(spark, sf_dir):
-    out = basket.temporal_pairs(_items(spark, sf_dir)).select("period", "article_a", "article_b", "period_transactions", "shared_transactions", "joint_support", "lift", "balanced_confidence", "jaccard", "npmi")
+    out = basket.temporal_pairs(_thin(spark, sf_dir)).select("period", "article_a", "article_b", "period_transactions", "shared_transactions", "joint_support", "lift", "balanced_confidence", "jaccard", "npmi")
     return _round(out, "joint_support", "lift", "balanced_confidence", "jaccard", "npmi", digits=6)
 
 
-def _steady(spark, sf_dir):
-    items = _items(spark, sf_dir)
+def _temporal(items):
+    """Pair metrics by period, written once, with the start of each period."""
     last = items.agg(F.max(F.to_date("last_completion_date"))).first()[0]
-    return basket.stability(basket.with_period_start(basket.temporal_pairs(items), str(last)))
+    return basket.with_period_start(cut(basket.temporal_pairs(items)), str(last))
+
+
+def _steady(spark, sf_dir):
+    return basket.stability(_temporal(_thin(spark, sf_dir)))
 
 
 def basket_stability(spark, sf_dir):
@@ -91,8 +101,16 @@ def basket_stability(spark, sf_dir):
     return _round(out, "support_mean", "support_max", "support_stability", "lift_stability", "presence_ratio", "stability_score", digits=6)
 
 
+def _parts(spark, sf_dir):
+    """Items, stability and scored pairs, all from one pairing."""
+    items = _thin(spark, sf_dir)
+    temporal = _temporal(items)
+    steady = basket.stability(temporal)
+    return items, steady, basket.layout_scores(basket.pairs_of_history(temporal.drop("period_start"), LEAST), steady)
+
+
 def _scored(spark, sf_dir):
-    return basket.layout_scores(basket.pair_metrics(_items(spark, sf_dir), LEAST), _steady(spark, sf_dir))
+    return _parts(spark, sf_dir)[2]
 
 
 def basket_layout_scores(spark, sf_dir):
@@ -105,7 +123,8 @@ def basket_graph_edges(spark, sf_dir):
 
 
 def basket_similarity_matrix(spark, sf_dir):
-    return _round(basket.similarity_matrix(_scored(spark, sf_dir), basket.item_metrics(_items(spark, sf_dir))), "score", digits=6)
+    items, _, scored = _parts(spark, sf_dir)
+    return _round(basket.similarity_matrix(scored, basket.item_metrics(items)), "score", digits=6)
 
 
 def basket_describe(spark, sf_dir):
@@ -114,7 +133,13 @@ def basket_describe(spark, sf_dir):
 
 
 def basket_highlights(spark, sf_dir):
-    return _round(basket.highlights(_scored(spark, sf_dir), _steady(spark, sf_dir)), "layout_score", "lift", digits=6)
+    _, steady, scored = _parts(spark, sf_dir)
+    return _round(basket.highlights(scored, steady), "layout_score", "lift", digits=6)
+
+
+def basket_series(spark, sf_dir):
+    described = basket.describe(basket.transactions(_lines(spark, sf_dir)), _items(spark, sf_dir))
+    return _round(basket.unified_series(described, basket.temporal_pairs(_thin(spark, sf_dir))), "value", digits=6)
 
 
 _BASE = f"""WITH {CTES}, l AS (SELECT external_order_id || '|' || owner AS transaction_id, external_order_id, owner, sku AS article, sku_description, location, quantity, coalesce(completed_at, started_at) AS completion_date
@@ -172,7 +197,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         basket_items, basket_transactions, basket_transactions_mode, basket_item_sets, basket_sku_locations, basket_sku_attributes, basket_pairs, basket_threshold, basket_pair_metrics, basket_item_metrics,
-        basket_rules, basket_temporal_pairs, basket_stability, basket_layout_scores, basket_graph_edges, basket_similarity_matrix, basket_describe, basket_highlights,
+        basket_rules, basket_temporal_pairs, basket_stability, basket_layout_scores, basket_graph_edges, basket_similarity_matrix, basket_describe, basket_highlights, basket_series,
     )
 }
 ORACLES = {
@@ -201,6 +226,11 @@ SELECT r.article AS "row", c.article AS "column", round(CASE WHEN r.article = c.
     "basket_describe": f"""{_BASE}, {_TX}, g AS (SELECT 'overall' AS section, 'all' AS key, basket_size, total_quantity FROM x UNION ALL SELECT 'year', year::VARCHAR, basket_size, total_quantity FROM x UNION ALL SELECT 'quarter', quarter, basket_size, total_quantity FROM x
 UNION ALL SELECT 'month', month, basket_size, total_quantity FROM x UNION ALL SELECT 'basket_size', basket_size::VARCHAR, basket_size, total_quantity FROM x), a AS (SELECT section, key, count(*)::DOUBLE AS transactions, avg(basket_size)::DOUBLE AS mean_basket, quantile_cont(basket_size, 0.5)::DOUBLE AS median_basket, sum(total_quantity)::DOUBLE AS quantity FROM g GROUP BY ALL)
 SELECT section, key, metric, round(value, 6) AS value FROM (UNPIVOT a ON transactions, mean_basket, median_basket, quantity INTO NAME metric VALUE value)""",
+    "basket_series": f"""{_BASE}, {_TX}, {_TM}, g AS (SELECT 'year' AS granularity, year::VARCHAR AS period, basket_size, total_quantity FROM x UNION ALL SELECT 'quarter', quarter, basket_size, total_quantity FROM x UNION ALL SELECT 'month', month, basket_size, total_quantity FROM x),
+a AS (SELECT granularity, period, count(*)::DOUBLE AS transactions, avg(basket_size)::DOUBLE AS mean_basket, quantile_cont(basket_size, 0.5)::DOUBLE AS median_basket, sum(total_quantity)::DOUBLE AS quantity FROM g GROUP BY ALL),
+b AS (SELECT CASE WHEN period = 'full_history' THEN period ELSE split_part(period, '_', 1) END AS granularity, period, article_a, article_b, shared_transactions::DOUBLE AS shared_transactions, joint_support::DOUBLE AS joint_support, lift::DOUBLE AS lift, jaccard::DOUBLE AS jaccard, npmi::DOUBLE AS npmi FROM tmet)
+SELECT 'aggregate_transactions' AS series_type, granularity, period, NULL::VARCHAR AS article_a, NULL::VARCHAR AS article_b, metric, round(value, 6) AS value FROM (UNPIVOT a ON transactions, mean_basket, median_basket, quantity INTO NAME metric VALUE value)
+UNION ALL SELECT 'pair_affinity', granularity, period, article_a, article_b, metric, round(value, 6) FROM (UNPIVOT b ON shared_transactions, joint_support, lift, jaccard, npmi INTO NAME metric VALUE value)""",
     "basket_highlights": f"""{_BASE}, {_SC}, h AS (SELECT 'best' AS list, *, row_number() OVER (ORDER BY layout_score DESC, shared_transactions DESC, article_a, article_b) AS k FROM sc
 UNION ALL SELECT 'strong_but_rare', *, row_number() OVER (ORDER BY lift DESC, layout_score DESC, article_a, article_b) FROM sc WHERE manual_review UNION ALL SELECT 'emerging', *, row_number() OVER (ORDER BY layout_score DESC, lift DESC, article_a, article_b) FROM sc WHERE trend = 'growing')
 SELECT list, article_a, article_b, round(layout_score, 6) AS layout_score, round(lift, 6) AS lift, shared_transactions FROM h WHERE k <= 10""",

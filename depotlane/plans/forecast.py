@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from depotlane.functions import text as t
+from depotlane.lineage import cut
 from depotlane.operators import basket, enrich, facts, forecast, graph, nowcast, tracking
 from depotlane.plans import basket as baskets
 from depotlane.plans.service import _ACT, _LV, _level, _picking, _round, _series
@@ -169,8 +170,9 @@ def consumption_checks(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    edges = basket.graph_edges(baskets._scored(spark, sf_dir), 0.18, baskets.LEAST)
-    return edges, graph.clusters(edges)
+    items, _, scored = baskets._parts(spark, sf_dir)
+    edges = cut(basket.graph_edges(scored, 0.18, baskets.LEAST))
+    return items, edges, graph.clusters(edges)
 
 
 def graph_components(spark, sf_dir):
@@ -178,12 +180,12 @@ def graph_components(spark, sf_dir):
 
 
 def graph_clusters(spark, sf_dir):
-    edges, members = _graph(spark, sf_dir)
-    return graph.cluster_summary(edges, members, basket.item_metrics(baskets._items(spark, sf_dir)))
+    items, edges, members = _graph(spark, sf_dir)
+    return graph.cluster_summary(edges, members, basket.item_metrics(items))
 
 
 def graph_hubs(spark, sf_dir):
-    return graph.hubs(*_graph(spark, sf_dir))
+    return graph.hubs(*_graph(spark, sf_dir)[1:])
 
 
 QUERIES = {
