@@ -65,10 +65,14 @@ def day_first(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in FORMATS])
 
 
+def flow_of(action: Column) -> Column:
+    """Flow of goods that a normalised action stands for."""
+    return F.when(action.isin("ENVIO", "ENTREGA"), "delivery").when(action == "RECOGIDA", "pickup")
+
+
 def flow(action: Column) -> Column:
     """Flow of goods that an action stands for."""
-    text = normalize_text(action)
-    return F.when(text.isin("ENVIO", "ENTREGA"), "delivery").when(text == "RECOGIDA", "pickup")
+    return flow_of(normalize_text(action))
 
 
 #: Words of a concept that tell its class, and prefixes of codes that tell their type.
@@ -77,19 +81,39 @@ DELIVERY_WORDS = ("PORTE ENTREGA", "PORTE ENVIO", "EXPEDICION", "ENTREGA")
 PREFIXES = (("SGP", "SGP"), ("SGE", "SGE"), ("SG", "SGE"), ("EGE", "EGE"), ("EG", "EGE"), ("DEGE", "EGE"))
 
 
-def service_class(code: Column, action: Column, concept: Column) -> Column:
-    """Struct (service_type, service_class, reason): type by code prefix, class by action, type or concept."""
-    concept, by_action = F.coalesce(normalize_text(concept), F.lit("")), flow(action)
+def code_type(code: Column) -> Column:
+    """Service type of a code's prefix, or null."""
     prefixes = F.create_map(*[F.lit(x) for pair in PREFIXES for x in pair])
-    kind = F.try_element_at(prefixes, F.regexp_extract(F.upper(F.trim(code)), f"^({'|'.join(p for p, _ in PREFIXES)})", 1))
+    return F.try_element_at(prefixes, F.regexp_extract(F.upper(F.trim(code)), f"^({'|'.join(p for p, _ in PREFIXES)})", 1))
+
+
+def concept_class(concept: Column) -> Column:
+    """Class that the words of a normalised concept tell, or null."""
+    return F.when(concept.rlike("|".join(PICKUP_WORDS)), "pickup").when(concept.rlike("|".join(DELIVERY_WORDS)), "delivery")
+
+
+def decide(kind: Column, by_action: Column, by_words: Column) -> Column:
+    """Struct (service_type, service_class, reason) from what prefix, action and concept tell."""
     usual = F.when(kind == "EGE", "pickup").when(kind.isNotNull(), "delivery")
-    by_words = F.when(concept.rlike("|".join(PICKUP_WORDS)), "pickup").when(concept.rlike("|".join(DELIVERY_WORDS)), "delivery")
     reason = (
         F.when(kind.isNotNull() & (by_action == usual), "prefix and action").when(by_action.isNotNull(), "action").when(kind.isNotNull(), "prefix").when(by_words.isNotNull(), "concept").otherwise("unknown")
     )
     return F.struct(F.coalesce(kind, F.lit("UNK")).alias("service_type"), F.coalesce(by_action, usual, by_words, F.lit("UNK")).alias("service_class"), reason.alias("reason"))
 
 
+def service_class(code: Column, action: Column, concept: Column) -> Column:
+    """Struct (service_type, service_class, reason): type by code prefix, class by action, type or concept."""
+    return decide(code_type(code), flow(action), concept_class(normalize_text(concept)))
+
+
+def operational(started: str, completed: str) -> Column:
+    """Struct (operational_date, date_fallback, duration_seconds): the day of the end, else of the start (flag 1)."""
+    a, b = F.col(started).cast("timestamp"), F.col(completed).cast("timestamp")
+    return F.struct(
+        F.to_date(F.coalesce(b, a)).alias("operational_date"), (b.isNull() & a.isNotNull()).cast("int").alias("date_fallback"), (F.unix_timestamp(b) - F.unix_timestamp(a)).alias("duration_seconds")
+    )
+
+
 #: Spellings of urgency.
 URGENCY = {"NO": "NO", "N": "NO", "NORMAL": "NO", "SI": "SI", "S": "SI", "MUY URGENTE": "MUY_URGENTE", "MUY_URGENTE": "MUY_URGENTE", "MUYURGENTE": "MUY_URGENTE"}
 

@@ -58,8 +58,8 @@ def latest_before(rows: DataFrame, keys: Sequence[str], value: str, made: str, t
     return early.groupBy(*keys, target).agg(F.max_by(value, F.struct(made, stamp)).alias(value), F.max(made).alias(made))
 
 
-def open_at(requests: DataFrame, origins: DataFrame, created: str, target: str, by: Sequence[str]) -> DataFrame:
-    """Requests open at each origin date (created on or before it, due on or after), by target date and more.
+def open_at(requests: DataFrame, origins: DataFrame, created: str, target: str, by: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
+    """Requests open at each origin date (created on or before it, due on or after), and sums of theirs, by target date and more.
 
     A request is expanded over the days it is open, within the range of origins, and meets
     the origins by equality; no range join is needed.
@@ -68,7 +68,7 @@ def open_at(requests: DataFrame, origins: DataFrame, created: str, target: str,
     start, end = F.greatest(F.col(created), F.col("low")), F.least(F.col(target), F.col("high"))
     days = requests.crossJoin(F.broadcast(bounds)).where(start <= end)  # bounds is one row
     days = days.withColumn("origin", F.explode(F.sequence(start, end))).join(origins.select("origin").distinct(), "origin")
-    return days.groupBy("origin", F.col(target).alias("target_date"), *by).agg(F.count("*").alias("open_requests"))
+    return days.groupBy("origin", F.col(target).alias("target_date"), *by).agg(F.count("*").alias("open_requests"), *[F.sum(c).alias(f"open_{c}") for c in sums])
 
 
 def keys_without(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

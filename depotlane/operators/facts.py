@@ -6,17 +6,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from depotlane.functions.text import first_date, monday, service_class
+from depotlane.functions.text import code_type, concept_class, decide, first_date, flow_of, monday, normalize_text
 
 PREFERRED = {"delivery": ["service_date"], "pickup": ["service_date"]}
 FALLBACK = {"delivery": ["event_start", "event_end"], "pickup": ["event_end", "event_start"]}
 
 
+def with_class(df: DataFrame, code: str) -> DataFrame:
+    """Adds service_type, service_class and reason; each text is normalised once, in steps that the optimiser keeps apart."""
+    out = df.withColumns({"_concept": normalize_text(F.col("concept")), "_action": normalize_text(F.col("action")), "_kind": code_type(F.col(code))})
+    out = out.withColumns({"_flow": flow_of(F.col("_action")), "_words": concept_class(F.col("_concept"))})
+    out = out.withColumn("_s", decide(F.col("_kind"), F.col("_flow"), F.col("_words")))
+    return out.select("*", "_s.*").drop("_concept", "_action", "_kind", "_flow", "_words", "_s")
+
+
 def prepare_requests(requests: DataFrame) -> DataFrame:
     """Request lines with service type and class, and the target date with its field and rank."""
-    out = requests.withColumn("s", service_class(F.col("generic_code"), F.col("action"), F.col("concept"))).select("*", "s.*").drop("s")
     bucket = F.when((F.col("service_type") == "EGE") | (F.col("service_class") == "pickup"), "pickup").otherwise("delivery")
-    return out.withColumn("d", first_date(PREFERRED, FALLBACK, bucket)).select("*", "d.*").drop("d")
+    out = with_class(requests, "generic_code").withColumn("_bucket", bucket)
+    return out.withColumn("d", first_date(PREFERRED, FALLBACK, F.col("_bucket"))).select("*", "d.*").drop("d", "_bucket")
 
 
 def request_level(lines: DataFrame, items: DataFrame) -> DataFrame:
@@ -90,8 +98,8 @@ def other_movements_daily(movements: DataFrame) -> DataFrame:
 
 
 def backlog(requests: DataFrame) -> DataFrame:
-    """Requests, lines, items and units by target date, type and class."""
-    return requests.groupBy("date", "service_type", "service_class").agg(F.count("*").alias("requests"), *[F.sum(c).alias(c) for c in ("lines", "items", "units")])
+    """Requests, lines, items, units, weight and volume by target date, type and class."""
+    return requests.groupBy("date", "service_type", "service_class").agg(F.count("*").alias("requests"), *[F.sum(c).alias(c) for c in ("lines", "items", "units", "kg", "m3")])
 
 
 def backlog_by_horizon(requests: DataFrame, most: int = 28, as_of: bool = False) -> DataFrame:

@@ -65,24 +65,31 @@ def postprocess(df: DataFrame, policies: Mapping[str, Mapping[str, float]], kpi:
     return df.withColumn(value, F.greatest(out, F.lit(0.0)))
 
 
-def fit_transformer(matched: DataFrame) -> dict[str, DataFrame]:
-    """How services turn into picks: intensity by type, share by offset, mix of urgencies, and the overall curve.
+def fit_transformer(matched: DataFrame, services: DataFrame) -> dict[str, DataFrame]:
+    """How services turn into picks: intensity and share by offset of each type and urgency, mix of urgencies, overall curve.
 
-    matched: service_type, urgency, code, offset, quantity.
+    matched: service_type, urgency, code, offset, quantity; services: service_type, urgency.
     """
-    per = matched.groupBy("service_type").agg(F.countDistinct("code").alias("services"), F.count("*").alias("lines"), F.sum("quantity").alias("units"))
-    intensity = per.select("service_type", (F.col("lines") / F.col("services")).alias("lines_per_service"), (F.col("units") / F.col("services")).alias("units_per_service"))
-    share = lambda by, own: matched.groupBy(*by).agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*own))).drop("n")
-    return {"intensity": intensity, "offsets": share(["service_type", "offset"], ["service_type"]), "urgency": share(["service_type", "urgency"], ["service_type"]), "overall": share(["offset"], [])}
+    own = ["service_type", "urgency"]
+    per = matched.groupBy(*own).agg(F.countDistinct("code").alias("services"), F.count("*").alias("lines"), F.sum("quantity").alias("units"))
+    intensity = per.select(*own, (F.col("lines") / F.col("services")).alias("lines_per_service"), (F.col("units") / F.col("services")).alias("units_per_service"))
+    share = lambda df, by, within, name: df.groupBy(*by).agg(F.count("*").alias("n")).withColumn(name, F.col("n") / F.sum("n").over(Window.partitionBy(*within))).drop("n")
+    return {"intensity": intensity, "offsets": share(matched, [*own, "offset"], own, "share"), "urgency": share(services, own, ["service_type"], "mix"), "overall": share(matched, ["offset"], [], "share")}
 
 
 def apply_transformer(services: DataFrame, model: Mapping[str, DataFrame]) -> DataFrame:
-    """Picks that forecast services (date, service_type, forecast) lead to, by day and type; unknown types take the overall curve."""
-    known = services.join(F.broadcast(model["intensity"]), "service_type", "left").fillna(0.0, ["lines_per_service", "units_per_service"])
-    own = known.join(F.broadcast(model["offsets"]), "service_type", "left")
-    lacking = own.where("offset is null").drop("offset", "share").crossJoin(F.broadcast(model["overall"]))
-    spread = own.where("offset is not null").unionByName(lacking).withColumn("pick_date", F.expr("date_sub(date, offset)"))
-    return spread.groupBy("pick_date", "service_type").agg(F.sum(F.col("forecast") * F.col("lines_per_service") * F.col("share")).alias("lines"), F.sum(F.col("forecast") * F.col("units_per_service") * F.col("share")).alias("units"))
+    """Picks that forecast services (date, service_type, forecast) lead to, by day and type.
+
+    Types without a mix count as UNKNOWN; types and urgencies without an intensity lead to
+    nothing; those without offsets take the overall curve. Model tables have a few rows each.
+    """
+    own = ["service_type", "urgency"]
+    mixed = services.join(F.broadcast(model["urgency"]), "service_type", "left").fillna({"urgency": "UNKNOWN", "mix": 1.0})
+    known = mixed.join(F.broadcast(model["intensity"]), own).join(F.broadcast(model["offsets"]), own, "left")
+    lacking = known.where("offset is null").drop("offset", "share").crossJoin(F.broadcast(model["overall"]))
+    spread = known.where("offset is not null").unionByName(lacking).withColumn("pick_date", F.expr("date_sub(date, offset)"))
+    part = F.col("forecast") * F.col("mix") * F.col("share")
+    return spread.groupBy("pick_date", "service_type").agg(F.sum(part * F.col("lines_per_service")).alias("lines"), F.sum(part * F.col("units_per_service")).alias("units"))
 
 
 def horizon_metrics(rows: DataFrame, by: Sequence[str], forecast: str = "forecast", actual: str = "actual") -> DataFrame:

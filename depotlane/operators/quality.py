@@ -59,6 +59,12 @@ def top_values(df: DataFrame, column: str, n: int = 20) -> DataFrame:
     return df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("<EMPTY>")).alias("value")).count().orderBy(F.col("count").desc(), "value").limit(n)
 
 
+def prefix_frequencies(df: DataFrame, code: str, n: int = 50) -> DataFrame:
+    """The n most frequent leading letters of a code; codes without any count as OTHER."""
+    letters = F.nullif(F.regexp_extract(F.coalesce(F.upper(F.trim(code)), F.lit("")), "^[A-Z]+", 0), F.lit(""))
+    return df.groupBy(F.coalesce(letters, F.lit("OTHER")).alias("prefix")).count().orderBy(F.col("count").desc(), "prefix").limit(n)
+
+
 def classification_qa(df: DataFrame, code: str = "service_code", concept: str = "concept") -> DataFrame:
     """Per class: rows, share, and up to five example codes."""
     own = Window.partitionBy("service_class")

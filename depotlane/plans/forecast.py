@@ -90,14 +90,20 @@ def nowcast_postprocess(spark, sf_dir):
     return nowcast.postprocess(rows, {"lines": {"round": True}, "units": {"add_bias": 500.0, "multiplier": 0.5, "clip_max": 900.0, "round": True}})
 
 
-def _matched(spark, sf_dir):
-    level = _level(spark, sf_dir).select(F.regexp_extract("generic_code", "([0-9]+)$", 1).alias("code"), "service_type", "date", F.when(F.col("lines") > 4, "SI").otherwise("NO").alias("urgency"))
+def _urgent(spark, sf_dir):
+    """Requests with their code and an urgency."""
+    return _level(spark, sf_dir).select(F.regexp_extract("generic_code", "([0-9]+)$", 1).alias("code"), "service_type", "date", F.when(F.col("lines") > 4, "SI").otherwise("NO").alias("urgency"))
+
+
+def _matched(spark, sf_dir, level):
     picks = staging.movements(spark, sf_dir).where("movement_type = 'PI' and external_order_id is not null").select(F.col("external_order_id").alias("code"), "operational_date", "quantity")
     return level.join(picks, "code").withColumn("offset", F.datediff("date", "operational_date")).where("offset between 0 and 60")
 
 
 def nowcast_transformer(spark, sf_dir):
-    out = nowcast.apply_transformer(_level(spark, sf_dir).groupBy("date", "service_type").agg(F.count("*").cast("double").alias("forecast")), nowcast.fit_transformer(_matched(spark, sf_dir)))
+    level = cut(_urgent(spark, sf_dir))
+    model = nowcast.fit_transformer(cut(_matched(spark, sf_dir, level)), level)
+    out = nowcast.apply_transformer(level.groupBy("date", "service_type").agg(F.count("*").cast("double").alias("forecast")), model)
     return _round(out, "lines", "units")
 
 
@@ -225,10 +231,11 @@ pf AS (SELECT origin, (origin + h::INT)::DATE AS date, service_type, h + 0.5::DO
 bl AS (SELECT pf.*, CASE WHEN h <= 7 THEN coalesce(ws, 0.35) ELSE 1 END::DOUBLE AS statistical, CASE WHEN h <= 7 THEN coalesce(wc, 0.65) ELSE 0 END::DOUBLE AS backlog, signal FROM pf LEFT JOIN sg USING (origin, date, service_type) LEFT JOIN {_WTS} ON wk = service_type AND wb = bucket)
 SELECT origin, date, service_type, forecast, bucket, statistical, backlog, round(forecast * statistical + coalesce(signal, forecast) * backlog, 6) AS blended FROM bl""",
     "nowcast_postprocess": f"WITH {CTES}, {_ACT}, v AS (SELECT date, kpi, actual_value * 1.25 - 3 AS f FROM al WHERE kpi <> 'items') SELECT date, kpi, greatest(CASE kpi WHEN 'lines' THEN round_even(greatest(f, 0), 0) ELSE round_even(least(greatest(f * 0.5 + 500, 0), 900), 0) END, 0)::DOUBLE AS forecast FROM v",
-    "nowcast_transformer": f"""{_LV}, ma AS (SELECT service_type, code, (date - operational_date)::INT AS o, quantity FROM (SELECT regexp_extract(generic_code, '([0-9]+)$', 1) AS code, service_type, date FROM lv) JOIN (SELECT external_order_id AS code, operational_date, quantity FROM movements WHERE movement_type = 'PI' AND external_order_id IS NOT NULL) USING (code) WHERE date - operational_date BETWEEN 0 AND 60),
-it AS (SELECT service_type, count(*) / count(DISTINCT code) AS l, sum(quantity) / count(DISTINCT code) AS u FROM ma GROUP BY 1), os AS (SELECT service_type, o, count(*) / sum(count(*)) OVER (PARTITION BY service_type) AS s FROM ma GROUP BY 1, 2), ov AS (SELECT o, count(*) / sum(count(*)) OVER () AS s FROM ma GROUP BY 1),
-sv AS (SELECT date, service_type, count(*) AS f FROM lv GROUP BY ALL), sp AS (SELECT date, service_type, f, o, s FROM sv JOIN os USING (service_type) UNION ALL SELECT date, service_type, f, o, s FROM sv, ov WHERE service_type NOT IN (SELECT service_type FROM os))
-SELECT (date - o)::DATE AS pick_date, service_type, round(sum(f * coalesce(l, 0) * s), 6) AS lines, round(sum(f * coalesce(u, 0) * s), 6) AS units FROM sp LEFT JOIN it USING (service_type) GROUP BY 1, 2""",
+    "nowcast_transformer": f"""{_LV}, ur AS (SELECT regexp_extract(generic_code, '([0-9]+)$', 1) AS code, service_type, date, CASE WHEN lines > 4 THEN 'SI' ELSE 'NO' END AS urgency FROM lv),
+ma AS (SELECT service_type, urgency, code, (date - operational_date)::INT AS o, quantity FROM ur JOIN (SELECT external_order_id AS code, operational_date, quantity FROM movements WHERE movement_type = 'PI' AND external_order_id IS NOT NULL) USING (code) WHERE date - operational_date BETWEEN 0 AND 60),
+it AS (SELECT service_type, urgency, count(*) / count(DISTINCT code) AS l, sum(quantity) / count(DISTINCT code) AS u FROM ma GROUP BY 1, 2), os AS (SELECT service_type, urgency, o, count(*) / sum(count(*)) OVER (PARTITION BY service_type, urgency) AS s FROM ma GROUP BY 1, 2, 3),
+mx AS (SELECT service_type, urgency, count(*) / sum(count(*)) OVER (PARTITION BY service_type) AS x FROM ur GROUP BY 1, 2), sv AS (SELECT date, service_type, count(*) AS f FROM lv GROUP BY ALL)
+SELECT (date - o)::DATE AS pick_date, service_type, round(sum(f * x * s * l), 6) AS lines, round(sum(f * x * s * u), 6) AS units FROM sv JOIN mx USING (service_type) JOIN it USING (service_type, urgency) JOIN os USING (service_type, urgency) GROUP BY 1, 2""",
     "tracking_history": f"{_HI} SELECT run_id, target_date, kpi, forecast_value, source, run_date FROM hi",
     "tracking_weekly": f"{_HI} SELECT run_id, kpi, date_trunc('week', target_date)::DATE AS week, sum(forecast_value) AS forecast_value, count(*) AS days FROM hi GROUP BY ALL",
     "tracking_errors": f"{_HI}, {_ERR} SELECT run_id, target_date, kpi, error, abs_error, round(ape, 6) AS ape, horizon FROM er",

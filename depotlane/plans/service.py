@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from depotlane.functions import text as t
+from depotlane.lineage import cut
 from depotlane.operators import calendar, enrich, facts, quality
-from depotlane.sources import staging
+from depotlane.sources import normalize, staging
 from depotlane.sources.staging import CTES
 
 SWITCH, START, END = "2000-01-01", "1995-01-01", "2001-12-31"
@@ -36,8 +37,8 @@ def text_dates(spark, sf_dir):
 
 
 def service_classes(spark, sf_dir):
-    return staging.notes(spark, sf_dir).withColumn("s", t.service_class(F.col("service_code"), F.col("action"), F.col("concept"))).withColumn("u", t.mapped(F.col("urgency"))).select(
-        "service_code", "s.*", F.col("u.value").alias("urgency"), F.col("u.missing").alias("urgency_missing"), t.billable_weight(F.col("weight_kg"), F.col("volume_m3")).alias("billable_kg")
+    return facts.with_class(staging.notes(spark, sf_dir), "service_code").withColumn("u", t.mapped(F.col("urgency"))).select(
+        "service_code", "service_type", "service_class", "reason", F.col("u.value").alias("urgency"), F.col("u.missing").alias("urgency_missing"), t.billable_weight(F.col("weight_kg"), F.col("volume_m3")).alias("billable_kg")
     )
 
 
@@ -121,9 +122,10 @@ def join_best_item(spark, sf_dir):
 
 
 def join_open_requests(spark, sf_dir):
-    level = _level(spark, sf_dir)
-    origins = spark.sql("select explode(sequence(date'1998-01-05', date'1998-03-30', interval 7 day)) as origin")
-    return enrich.open_at(level, origins, "created_date", "date", ["service_type"])
+    level = cut(_level(spark, sf_dir))
+    span = level.agg(F.min("created_date").alias("a"), F.max("created_date").alias("b"))
+    origins = span.select(F.explode(F.expr("sequence(a, b, interval 7 day)")).alias("origin"))
+    return enrich.open_at(level, origins, "created_date", "date", ["service_type"], ["lines", "units"])
 
 
 def join_as_of(spark, sf_dir):
@@ -137,8 +139,7 @@ def join_key_difference(spark, sf_dir):
 
 
 def join_unique_notes(spark, sf_dir):
-    notes = staging.notes(spark, sf_dir).withColumn("service_class", t.service_class(F.col("service_code"), F.col("action"), F.col("concept"))["service_class"])
-    return enrich.unique_notes_weekly(notes)
+    return enrich.unique_notes_weekly(facts.with_class(staging.notes(spark, sf_dir), "service_code"))
 
 
 def _level(spark, sf_dir):
@@ -146,8 +147,7 @@ def _level(spark, sf_dir):
 
 
 def _notes(spark, sf_dir):
-    n = staging.notes(spark, sf_dir).withColumns({"s": t.service_class(F.col("service_code"), F.col("action"), F.col("concept")), "urgency_value": t.mapped(F.col("urgency"))["value"], "billable_kg": t.billable_weight(F.col("weight_kg"), F.col("volume_m3")).cast("double")})
-    return n.select("*", "s.*").drop("s")
+    return facts.with_class(staging.notes(spark, sf_dir), "service_code").withColumns({"urgency_value": t.mapped(F.col("urgency"))["value"], "billable_kg": t.billable_weight(F.col("weight_kg"), F.col("volume_m3")).cast("double")})
 
 
 def fact_requests(spark, sf_dir):
@@ -211,6 +211,46 @@ def fact_kpi_cards(spark, sf_dir):
     return _round(facts.kpi_cards(daily.where("kpi != 'items'"), plan, {"lines": "picking", "items": "picking"}, 1999, 2), "delta_pct")
 
 
+def quality_prefixes(spark, sf_dir):
+    return quality.prefix_frequencies(staging.requests(spark, sf_dir), "generic_code")
+
+
+def _raw(spark, sf_dir, **columns):
+    """Order lines as a raw export would show them: text under raw headers."""
+    return staging._lines(spark, sf_dir).select(*[F.expr(e).alias(n.replace("_", " ")) for n, e in columns.items()])
+
+
+def normalize_movements(spark, sf_dir):
+    raw = _raw(
+        spark, sf_dir, Tipo_movimiento="case when l_returnflag = 'R' then ' cr' else 'pi ' end", Fecha_inicio="date_format(o_orderdate, 'dd/MM/yyyy HH:mm:ss')", Fecha_finalización="if(l_linenumber % 7 = 0, 'none', date_format(l_shipdate, 'd/M/yyyy'))",
+        Artículo="concat(' 00', l_partkey, '.0')", Denominación_artículo="concat('  Ítem ', l_partkey)", Cantidad="cast(l_quantity as string)", Propietario="concat('c', o_custkey % 50)", Pedido_externo="if(l_suppkey % 10 = 0, ' ', concat(l_orderkey, '.0'))",
+    )
+    return normalize.movements(raw).select("movement_type", "started_at", "completed_at", "operational_date", "date_fallback", "duration_seconds", "sku", "sku_description", "quantity", "owner", "external_order_id", "external_order_id_source", "external_order_id_enriched", "transaction_id")
+
+
+def normalize_requests(spark, sf_dir):
+    raw = _raw(
+        spark, sf_dir, Código_Genérico="concat('sge', o_orderkey)", Fecha_de_servicio="if(l_suppkey % 4 = 0, null, date_format(date_add(o_orderdate, cast(o_orderkey % 2 * (l_linenumber % 3) as int)), 'dd/MM/yyyy HH:mm:ss'))",
+        Creación_solicitud="date_format(o_orderdate, 'dd/MM/yyyy HH:mm:ss')", Artículo="cast(l_partkey as string)", Acción="case l_linenumber % 3 when 0 then 'envío' when 1 then 'Recogida' end",
+    ).withColumn("Cant. solicitada", F.lit("x"))
+    return normalize.request_lines(raw).select("generic_code", "service_date", "service_date_imputed_from_request", "created_at", "sku", "action", "service_flow", "requested_quantity")
+
+
+def normalize_items(spark, sf_dir):
+    raw = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr("concat('0', p_partkey)").alias("Código"), F.col("p_name").alias("Nombre"), F.col("p_size").cast("string").alias("Kilos"))
+    return normalize.items(raw.unionByName(raw).unionByName(raw.withColumn("Código", F.lit("")))).select("sku", "sku_name", "weight_kg", "m2")
+
+
+def normalize_notes(spark, sf_dir):
+    raw = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("concat(' sgp', o_orderkey) as `Descripción`", "date_format(o_orderdate, 'yyyy-MM-dd') as `Fecha servicio`", "lower(o_orderstatus) as Urgencia", "concat(o_custkey, '.5') as Volumen")
+    return normalize.notes(raw).select("service_code", "description", "service_date", "urgency", "volume_m3", "weight_kg")
+
+
+def normalize_stock(spark, sf_dir):
+    raw = _raw(spark, sf_dir, Propie="concat('0', l_suppkey)", Art_y="if(l_linenumber = 1, '', cast(l_partkey as string))", Stock_pal="cast(l_quantity as string)", Ubicación="concat('s', l_suppkey)")
+    return normalize.stock(raw, staging.SNAPSHOT).select("snapshot_date", "owner_code", "sku", "stock_quantity", "location", "occupancy_status")
+
+
 def _days(spark):
     return calendar.dim_date(spark, START, END, spark.createDataFrame(HOLIDAYS, "date string, national string, region string, city string").withColumn("date", F.to_date("date")))
 
@@ -246,7 +286,7 @@ QUERIES = {
         text_normalize, text_codes, text_dates, service_classes, request_dates, quality_nulls, quality_issues, quality_duplicates, quality_model_rows, quality_top_values, quality_classes, quality_date_fields, quality_several_dates,
         quality_years, quality_delta, join_lookup_fill, join_impute, join_notes, join_unmatched, join_best_item, join_open_requests, join_as_of, join_key_difference, join_unique_notes, fact_requests, fact_services_notes,
         fact_services_requests, fact_services_hybrid, fact_freshness, fact_picking, fact_other_movements, fact_backlog, fact_backlog_horizon, fact_weekly, fact_actuals_daily, fact_actuals_weekly, fact_kpi_cards, calendar_days,
-        calendar_weeks, series_features, series_offsets,
+        calendar_weeks, series_features, series_offsets, quality_prefixes, normalize_movements, normalize_requests, normalize_items, normalize_notes, normalize_stock,
     )
 }
 
@@ -313,7 +353,7 @@ SELECT movement_type, source, enriched, count(*) AS rows, count(DISTINCT x) AS o
 SELECT 'all' AS scope, count(*) AS rows, count(*) FILTER (hit) AS matched, round(avg(hit::INT), 6) AS matched_pct FROM j UNION ALL SELECT coalesce(type, '<UNMATCHED>'), count(*), count(*) FILTER (hit), round(avg(hit::INT), 6) FROM j GROUP BY type""",
     "join_unmatched": f"WITH {CTES} SELECT generic_code, count(*) AS count FROM requests WHERE generic_code NOT IN (SELECT service_code FROM notes) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "join_best_item": "SELECT *, count(*) OVER (PARTITION BY p_name) AS rows FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_retailprice DESC, p_partkey) = 1",
-    "join_open_requests": f"{_LV}, o AS (SELECT unnest(generate_series(DATE '1998-01-05', DATE '1998-03-30', INTERVAL 7 DAY))::DATE AS origin) SELECT origin, date AS target_date, service_type, count(*) AS open_requests FROM lv JOIN o ON created_date <= origin AND origin <= date GROUP BY ALL",
+    "join_open_requests": f"{_LV}, o AS (SELECT unnest(generate_series((SELECT min(created_date) FROM lv), (SELECT max(created_date) FROM lv), INTERVAL 7 DAY))::DATE AS origin) SELECT origin, date AS target_date, service_type, count(*) AS open_requests, sum(lines)::BIGINT AS open_lines, sum(units) AS open_units FROM lv JOIN o ON created_date <= origin AND origin <= date GROUP BY ALL",
     "join_as_of": "WITH r AS (SELECT l_suppkey % 5 AS kpi, l_shipdate::DATE AS target_date, l_shipdate::DATE - (l_linenumber % 4)::INT AS run_date, l_orderkey * 10 + l_linenumber AS emitted, max(l_quantity) AS value FROM lineitem GROUP BY ALL) SELECT kpi, target_date, arg_max(value, (run_date, emitted)) AS value, max(run_date) AS run_date FROM r WHERE run_date < target_date GROUP BY kpi, target_date",
     "join_key_difference": f"WITH {CTES} SELECT DISTINCT sku FROM stock WHERE sku NOT IN (SELECT sku FROM movements WHERE operational_date >= DATE '2001-06-01')",
     "join_unique_notes": f"WITH {CTES}, {_NT}, d AS (SELECT DISTINCT service_code, service_date, service_class FROM nt), w AS (SELECT date_trunc('week', service_date)::DATE AS week, count(*) FILTER (service_class = 'delivery') AS delivery, count(*) FILTER (service_class = 'pickup') AS pickup, count(*) FILTER (service_class = 'UNK') AS unclassified, count(*) AS total FROM d GROUP BY 1) SELECT *, row_number() OVER (ORDER BY week)::INT AS ordinal FROM w",
@@ -324,7 +364,7 @@ SELECT 'all' AS scope, count(*) AS rows, count(*) FILTER (hit) AS matched, round
     "fact_freshness": f"{_LV}, {_NT}, {_SN}, {_SR}, {_HY} SELECT 'last_notes' AS metric, max(date)::VARCHAR AS value FROM sn UNION ALL SELECT 'last_requests', max(date)::VARCHAR FROM sr UNION ALL SELECT 'last_hybrid', max(date)::VARCHAR FROM hy UNION ALL SELECT 'days_from_' || source, count(*)::VARCHAR FROM hy GROUP BY source UNION ALL SELECT 'overlap_days', count(*)::VARCHAR FROM (SELECT date FROM sn WHERE date >= DATE '{SWITCH}' INTERSECT SELECT date FROM sr WHERE date >= DATE '{SWITCH}')",
     "fact_picking": f"WITH {CTES}, {_PK} SELECT * FROM pk",
     "fact_other_movements": f"WITH {CTES} SELECT operational_date AS date, count(*) FILTER (movement_type = 'CR') AS CR, count(*) FILTER (movement_type = 'EP') AS EP FROM movements WHERE movement_type IN ('CR', 'EP') GROUP BY 1",
-    "fact_backlog": f"{_LV} SELECT date, service_type, service_class, count(*) AS requests, sum(lines)::BIGINT AS lines, sum(items)::BIGINT AS items, sum(units) AS units FROM lv GROUP BY ALL",
+    "fact_backlog": f"{_LV} SELECT date, service_type, service_class, count(*) AS requests, sum(lines)::BIGINT AS lines, sum(items)::BIGINT AS items, sum(units) AS units, sum(kg) AS kg, sum(m3) AS m3 FROM lv GROUP BY ALL",
     "fact_backlog_horizon": f"{_LV} SELECT (date - h::INT)::DATE AS snapshot, h::INT AS horizon, service_type, count(*) AS requests FROM lv, range(1, 29) AS t(h) GROUP BY ALL",
     "fact_weekly": f"WITH {CTES}, {_PK} {_WEEKLY}",
     "fact_actuals_daily": f"WITH {CTES}, {_ACT} SELECT date, kpi, actual_value, 'notes' AS actual_source, 'final' AS actual_truth FROM al WHERE kpi <> 'items'",
@@ -338,4 +378,15 @@ SELECT *, lag(target, 7) OVER o AS lag_7, lag(target, 14) OVER o AS lag_14, lag(
 round(avg(target) OVER (PARTITION BY series, isodow(date) ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 6) AS mean_same_weekday FROM f WINDOW o AS (PARTITION BY series ORDER BY date)""",
     "series_offsets": f"""{_LV}, a AS (SELECT regexp_extract(generic_code, '([0-9]+)$', 1) AS code, service_type, date AS service_date FROM lv), p AS (SELECT external_order_id AS code, operational_date AS pick_date, quantity FROM movements WHERE movement_type = 'PI' AND external_order_id IS NOT NULL)
 SELECT service_type, (service_date - pick_date)::INT AS "offset", count(*) AS lines, sum(quantity) AS units FROM a JOIN p USING (code) WHERE service_date - pick_date BETWEEN 0 AND 30 GROUP BY ALL""",
+    "quality_prefixes": f"WITH {CTES} SELECT coalesce(nullif(regexp_extract(upper(generic_code), '^[A-Z]+'), ''), 'OTHER') AS prefix, count(*) AS count FROM requests GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
+    "normalize_movements": """WITH m AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'CR' ELSE 'PI' END AS movement_type, o_orderdate::TIMESTAMP AS started_at, CASE WHEN l_linenumber % 7 <> 0 THEN date_trunc('day', l_shipdate)::TIMESTAMP END AS completed_at, l_partkey, l_quantity::DOUBLE AS quantity, 'C' || (o_custkey % 50) AS owner,
+ CASE WHEN l_suppkey % 10 <> 0 THEN l_orderkey::VARCHAR END AS external_order_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT movement_type, started_at, completed_at, coalesce(completed_at, started_at)::DATE AS operational_date, (completed_at IS NULL)::INT AS date_fallback, (epoch(completed_at) - epoch(started_at))::BIGINT AS duration_seconds, l_partkey::VARCHAR AS sku, 'ITEM ' || l_partkey AS sku_description, quantity, owner, external_order_id,
+ CASE WHEN external_order_id IS NULL THEN 'missing' ELSE 'original' END AS external_order_id_source, 0 AS external_order_id_enriched, external_order_id || '|' || owner AS transaction_id FROM m""",
+    "normalize_requests": """WITH r AS (SELECT 'SGE' || o_orderkey AS generic_code, CASE WHEN l_suppkey % 4 <> 0 THEN o_orderdate::DATE + (o_orderkey % 2 * (l_linenumber % 3))::INT END AS d, o_orderdate::TIMESTAMP AS created_at, l_partkey::VARCHAR AS sku, CASE l_linenumber % 3 WHEN 0 THEN 'ENVIO' WHEN 1 THEN 'RECOGIDA' END AS action FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+w AS (SELECT *, min(d) OVER (PARTITION BY generic_code) AS a, max(d) OVER (PARTITION BY generic_code) AS b FROM r)
+SELECT generic_code, coalesce(d, CASE WHEN a = b THEN a END) AS service_date, (d IS NULL AND a IS NOT NULL AND a = b)::INT AS service_date_imputed_from_request, created_at, sku, action, CASE action WHEN 'ENVIO' THEN 'delivery' WHEN 'RECOGIDA' THEN 'pickup' END AS service_flow, NULL::DOUBLE AS requested_quantity FROM w""",
+    "normalize_items": "SELECT p_partkey::VARCHAR AS sku, upper(p_name) AS sku_name, p_size::DOUBLE AS weight_kg, NULL::DOUBLE AS m2 FROM part",
+    "normalize_notes": "SELECT 'SGP' || o_orderkey AS service_code, 'SGP' || o_orderkey AS description, o_orderdate::DATE AS service_date, o_orderstatus AS urgency, o_custkey + 0.5::DOUBLE AS volume_m3, NULL::DOUBLE AS weight_kg FROM orders",
+    "normalize_stock": f"SELECT DATE '{staging.SNAPSHOT}' AS snapshot_date, l_suppkey::VARCHAR AS owner_code, l_partkey::VARCHAR AS sku, l_quantity::DOUBLE AS stock_quantity, 'S' || l_suppkey AS location, NULL::VARCHAR AS occupancy_status FROM lineitem WHERE l_linenumber <> 1",
 }
