@@ -35,12 +35,12 @@ def request_level(lines: DataFrame, items: DataFrame) -> DataFrame:
     """
     own = lines.where("date is not null").join(items.select("sku", "kilos", "m3"), "sku", "left")
     units = F.coalesce("requested_quantity", F.lit(0.0))
-    order = F.struct(F.col("rank"), -F.coalesce(F.unix_timestamp(F.col("modified_at").cast("timestamp")), F.lit(0)), -F.datediff("date", F.lit("1970-01-01").cast("date")), "service_type", "service_class", "field")
+    order = F.struct(F.col("rank").alias("rank"), -F.coalesce(F.unix_timestamp(F.col("modified_at").cast("timestamp")), F.lit(0)), -F.datediff("date", F.lit("1970-01-01").cast("date")), "service_type", "service_class", "field", "date", "fallback")
     out = own.groupBy("generic_code").agg(
         F.count("*").alias("lines"), F.countDistinct("sku").alias("items"), F.sum(units).alias("units"), F.sum(units * F.coalesce("kilos", F.lit(0.0))).alias("kg"), F.sum(units * F.coalesce("m3", F.lit(0.0))).alias("m3"),
-        F.min("created_date").alias("created_date"), F.min_by(F.struct("date", "service_type", "service_class", "field", "fallback"), order).alias("v"),
+        F.min("created_date").alias("created_date"), F.min(order).alias("v"),
     )
-    return out.select(*[c for c in out.columns if c != "v"], "v.*").withColumn("lead_days", F.datediff("date", "created_date"))
+    return out.select(*[c for c in out.columns if c != "v"], *[f"v.{c}" for c in ("date", "service_type", "service_class", "field", "fallback")]).withColumn("lead_days", F.datediff("date", "created_date"))
 
 
 def _counts() -> list[Column]:
