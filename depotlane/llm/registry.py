@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from depotlane.llm import bpe, contamination, fingerprints, lines, neardup, pages, pii, quality, sharding, substrings
+from depotlane.llm import bpe, centroids, contamination, fingerprints, ledger, lines, neardup, pages, pii, quality, runs, sharding, substrings
 
-MODULES = (quality, substrings, sharding, fingerprints, pages, lines, contamination, neardup, bpe, pii)
+MODULES = (quality, substrings, sharding, fingerprints, pages, lines, contamination, neardup, bpe, pii, ledger, runs, centroids)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
