@@ -148,6 +148,11 @@ def regime(date: Column, off: int = 2025, restart: int = 2026) -> Column:
     return F.when(F.year(date) == off, "off").when(F.year(date) == restart, "restart").otherwise("normal")
 
 
+def ramp_up(date: Column, start: str) -> Column:
+    """Days since a restart, 0 before it."""
+    return F.greatest(F.datediff(date, F.lit(start).cast("date")), F.lit(0))
+
+
 def daily_bucket(days: Column) -> Column:
     """Horizon bucket of a number of days ahead."""
     return F.when(days == 1, "D+1").when(days.between(2, 3), "D+2_D+3").when(days.between(4, 7), "D+4_D+7").when(days.between(8, 14), "D+8_D+14").when(days.between(15, 28), "D+15_D+28")

@@ -1,163 +1,85 @@
-"""Forecasts of daily series: baselines, ridge and boosted trees, backtests and their metrics."""
+"""Forecasts of daily and weekly series: rolling-origin backtests, their metrics, and the next forecast."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-LAGS, WINDOWS = (7, 14, 28), (7, 14, 28)
-MODELS = ("seasonal_naive", "moving_average", "median_weekday", "ridge", "boosting")
-
-
-def _features(values: np.ndarray, day: np.datetime64) -> list[float]:
-    """Features of the day after `values` (one per day): lags, rolling means and medians, weekday, month."""
-    n = len(values)
-    out = [values[n - k] if n >= k else 0.0 for k in LAGS]
-    for w in WINDOWS:
-        tail = values[-w:] if n else np.zeros(1)
-        out += [tail.mean(), float(np.median(tail))]
-    same = values[::-1][6::7][:4]
-    stamp = pd.Timestamp(day)
-    return [*out, same.mean() if len(same) else 0.0, *[float(stamp.weekday() == k) for k in range(6)], float(stamp.month), float(stamp.day)]
-
-
-class Ridge:
-    """Least squares with a penalty of 1 on the slopes, by the normal equations."""
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Ridge:
-        self.mean, self.level = x.mean(axis=0), y.mean()
-        centred = x - self.mean
-        self.slope = np.linalg.solve(centred.T @ centred + np.eye(x.shape[1]), centred.T @ (y - self.level))
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return self.level + (x - self.mean) @ self.slope
-
-
-class Boosting:
-    """Boosted regression trees: squared loss, splits at quantiles of each feature."""
-
-    def __init__(self, rounds: int = 120, depth: int = 3, rate: float = 0.05):
-        self.rounds, self.depth, self.rate = rounds, depth, rate
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosting:
-        self.start, self.trees, self.losses = y.mean(), [], []
-        cuts = [np.unique(np.quantile(x[:, k], np.linspace(0.06, 0.94, 16))) for k in range(x.shape[1])]
-        now = np.full(len(y), self.start)
-        for _ in range(self.rounds):
-            tree = self._grow(x, y - now, cuts, self.depth)
-            self.trees.append(tree)
-            now = now + self.rate * self._walk(tree, x)
-            self.losses.append(float(((y - now) ** 2).mean()))
-        return self
-
-    def _grow(self, x, y, cuts, depth):
-        if depth == 0 or len(y) < 8:
-            return float(y.mean()) if len(y) else 0.0
-        best, total, n = (1e-12, None, None), y.sum(), len(y)
-        for k, limits in enumerate(cuts):
-            left = x[:, k][:, None] <= limits
-            count = left.sum(axis=0)
-            part = y @ left
-            ok = (count > 0) & (count < n)
-            if ok.any():
-                gain = np.where(ok, part**2 / np.maximum(count, 1) + (total - part) ** 2 / np.maximum(n - count, 1) - total**2 / n, -1.0)
-                j = int(gain.argmax())
-                if gain[j] > best[0]:
-                    best = (gain[j], k, limits[j])
-        if best[1] is None:
-            return float(y.mean())
-        side = x[:, best[1]] <= best[2]
-        return best[1], best[2], self._grow(x[side], y[side], cuts, depth - 1), self._grow(x[~side], y[~side], cuts, depth - 1)
-
-    def _walk(self, tree, x):
-        if not isinstance(tree, tuple):
-            return np.full(len(x), tree)
-        k, limit, low, high = tree
-        return np.where(x[:, k] <= limit, self._walk(low, x), self._walk(high, x))
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return self.start + self.rate * sum(self._walk(t, x) for t in self.trees)
-
-
-def predict(model: str, dates: np.ndarray, values: np.ndarray, horizon: int, season: int = 7, window: int = 7) -> np.ndarray:
-    """`horizon` values after a daily history, recursively; not below 0."""
-    if not len(values):
-        return np.zeros(horizon)
-    history, out = values.astype(float), []
-    fitted = None
-    if model in ("ridge", "boosting"):
-        x = np.array([_features(history[:i], dates[i]) for i in range(len(history))])
-        fitted = (Ridge() if model == "ridge" else Boosting()).fit(x[min(28, len(x) - 1) :], history[min(28, len(x) - 1) :])
-    weekdays = pd.DatetimeIndex(dates).weekday.to_numpy()
-    for step in range(horizon):
-        day = dates[-1] + np.timedelta64(step + 1, "D")
-        if model == "seasonal_naive":
-            value = history[-season] if len(history) >= season else values[-season:].mean()
-        elif model == "moving_average":
-            value = history[-window:].mean()
-        elif model == "median_weekday":
-            same = history[-84:][weekdays[-84:] == pd.Timestamp(day).weekday()]
-            value = np.median(same) if len(same) else np.median(history[-84:])
-        else:
-            value = float(np.clip(fitted.predict(np.array([_features(history, day)]))[0], 0, 1e9))
-        out.append(max(0.0, float(value)))
-        history = np.append(history, value)
-        weekdays = np.append(weekdays, pd.Timestamp(day).weekday())
-    return np.array(out)
-
-
-def seasonal_naive(history: DataFrame, origins: DataFrame, horizon: int, season: int, key: str = "series") -> DataFrame:
-    """Seasonal naive in closed form: the value a multiple of `season` days back, on or before the origin.
-
-    origins: series, origin. Without that value, the mean of the last season stands in.
+from depotlane.lineage import cut
+from depotlane.operators import histories, learned
+from depotlane.operators.histories import BASELINES, DAILY, Frequency
+from depotlane.operators.policy import POLICY, Policy
+
+FITTED = ("ridge", "boosting")
+MODELS = (*BASELINES, *FITTED)
+#: Features that ablations leave out, one at a time, and for how many of the last folds.
+ABLATED, RECENT = ("week_of_month", "easter_week", "ramp_up"), 12
+
+
+def features(filled: DataFrame, calendar: DataFrame, frequency: Frequency = DAILY, exclude_years: Sequence[int] = (), policy: Policy = POLICY, key: str = "series") -> tuple[DataFrame, list[str], list[str]]:
+    """(training rows, names of all features, names of those from the calendar): numeric columns that the policy allows."""
+    own = policy.select(calendar)
+    rows = learned.training(filled, calendar.select("date", *own), frequency, exclude_years, key)
+    names = [*own, *learned.lag_names(frequency)]
+    policy.check(names)
+    return rows, names, own
+
+
+def variants(model: str, ablate: Sequence[str] = ()) -> dict[str, tuple[str, ...]]:
+    """The model with all features, and one without each feature named."""
+    return {model: ()} | {f"{model}_no_{n}": (n,) for n in ablate}
+
+
+def predictions(
+    filled: DataFrame, folded: DataFrame, calendar: DataFrame, models: Sequence[str], horizon: int, step: int, frequency: Frequency = DAILY, exclude_years: Sequence[int] = (),
+    ablate: Sequence[str] = (), recent: int = RECENT, policy: Policy = POLICY, key: str = "series",
+) -> DataFrame:
+    """Forecasts of every fold and model: (series, fold, origin, model, step, date, y_true, y_pred).
+
+    folded: histories with folds, `step` periods apart. calendar: date and features, one row for each period that is
+    learnt from or forecast. Ablations are made for the last `recent` folds of each series.
     """
-    steps = origins.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    back = F.expr(f"step - {season} * cast(ceil(step / {season}) as int)")
-    steps = steps.withColumns({"date": F.date_add("origin", F.col("step")), "lookup": F.date_add("origin", back)})
-    known = history.select(key, F.col("date").alias("lookup"), F.col("target").alias("value"))
-    tail = history.join(origins, key).where(F.datediff("origin", "date").between(0, season - 1)).groupBy(key, "origin").agg(F.avg("target").alias("tail"))
-    out = steps.join(known, [key, "lookup"], "left").join(tail, [key, "origin"], "left")
-    return out.select(key, "origin", "date", "step", F.greatest(F.coalesce("value", "tail", F.lit(0.0)), F.lit(0.0)).alias("forecast"))
-
-
-def folds(history: DataFrame, start: str, horizon: int, step: int, key: str = "series") -> DataFrame:
-    """Rolling origins of each series: from `start`, every `step` days, while a whole horizon is known."""
-    last = history.groupBy(key).agg(F.max("date").alias("last"))
-    first, end = F.lit(start).cast("date"), F.date_sub("last", horizon)
-    out = last.where(first <= end).select(key, F.posexplode(F.sequence(first, end, F.expr(f"interval {step} days"))).alias("fold", "origin"))
+    out, fitted = None, [m for m in models if m in FITTED]
+    if chosen := [m for m in models if m in BASELINES]:
+        out = histories.baselines(folded, horizon, chosen, frequency, key)
+    if fitted:
+        rows, names, own = features(filled, calendar, frequency, exclude_years, policy, key)
+        rows, state = cut(rows), learned.states(folded, horizon, frequency, key)
+        for model in fitted:
+            wanted = variants(model, ablate)
+            if model == "ridge":
+                folds = cut(histories.fold_table(folded, frequency, key))
+                slopes = learned.ridge(learned.grams(rows, folds, names, step, frequency, key), names, wanted, key)
+                late = folds.groupBy(key).agg((F.max("fold") - recent).alias("late"))
+                slopes = slopes.join(late, key).where((F.col("model") == model) | (F.col("fold") > F.col("late"))).drop("late")
+                made = learned.by_ridge(state, slopes, names, calendar, own, horizon, frequency, key)
+            else:
+                made = learned.by_boosting(state, rows, names, wanted, calendar, own, horizon, frequency, {m: recent for m in wanted if m != model}, key)
+            out = made if out is None else out.unionByName(made)
     return out
 
 
-def backtest(history: DataFrame, fold_table: DataFrame, models: Sequence[str], horizon: int, exclude_years: Sequence[int] = (), key: str = "series") -> DataFrame:
-    """Out-of-fold predictions of every series, fold and model; a task holds one series up to one origin.
+def backtest(
+    filled: DataFrame, calendar: DataFrame, start: str, horizon: int, step: int, models: Sequence[str] = MODELS, frequency: Frequency = DAILY, exclude_years: Sequence[int] = (),
+    ablate: Sequence[str] = (), recent: int = RECENT, policy: Policy = POLICY, key: str = "series",
+) -> DataFrame:
+    """Out-of-fold forecasts of every series, model and origin, from `start` on every `step` periods.
 
-    Rows of excluded years don't train, but are still forecast.
+    Rows of excluded years don't train and are holes for what looks back, but are still forecast.
     """
-    joined = history.select(key, "date", "target").join(fold_table.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k")).where(F.col("date") <= F.date_add("origin", horizon)).drop("_k")
-    joined = joined.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("date")
-        dates = pd.to_datetime(frame.date)
-        origin = pd.Timestamp(frame.origin.iloc[0])
-        train = frame[(dates <= origin) & ~dates.dt.year.isin(exclude_years)]
-        test = frame[dates > origin]
-        when = pd.to_datetime(train.date).to_numpy().astype("datetime64[D]")
-        made = predict(frame.model.iloc[0], when, train.target.to_numpy(), len(test))
-        return pd.DataFrame({key: frame[key].iloc[0], "fold": frame.fold.iloc[0], "model": frame.model.iloc[0], "date": test.date, "y_true": test.target, "y_pred": made})
+    folded = cut(histories.rolling(histories.dense(filled, exclude_years, key), start, horizon, step, frequency))
+    return predictions(filled, folded, calendar, models, horizon, step, frequency, exclude_years, ablate, recent, policy, key)
 
-    return joined.groupBy(key, "fold", "model").applyInPandas(run, f"{key} string, fold int, model string, date date, y_true double, y_pred double")
 
+def out_of_fold(rows: DataFrame, ranking_until: int = 2000, key: str = "series") -> DataFrame:
+    """Adds abs_error, peak (at least the 90 % quantile of its fold, none if all are 0) and the view.
 
-def out_of_fold(rows: DataFrame, key: str = "series") -> DataFrame:
-    """Adds abs_error, peak (at least the 90 % quantile of its fold, none if all are 0) and the view by year."""
-    limits = rows.groupBy(key, "fold", "model").agg(F.percentile("y_true", F.lit(0.9)).alias("limit"), F.sum(F.abs("y_true")).alias("size"))
-    out = rows.join(limits, [key, "fold", "model"]).withColumn("abs_error", F.abs(F.col("y_pred") - F.col("y_true")))
-    return out.withColumns({"peak": (F.col("size") != 0) & (F.col("y_true") >= F.col("limit")), "view": F.when(F.year("date") <= 2000, "ranking").otherwise("stress")}).drop("limit", "size")
+    Dates up to the year `ranking_until` rank models, later ones test them under stress.
+    """
+    own = Window.partitionBy(key, "fold", "model")
+    out = rows.withColumns({"limit": F.percentile("y_true", F.lit(0.9)).over(own), "size": F.sum(F.abs("y_true")).over(own), "abs_error": F.abs(F.col("y_pred") - F.col("y_true"))})
+    return out.withColumns({"peak": (F.col("size") != 0) & (F.col("y_true") >= F.col("limit")), "view": F.when(F.year("date") <= ranking_until, "ranking").otherwise("stress")}).drop("limit", "size")
 
 
 def metrics(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -171,12 +93,16 @@ def metrics(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def summarize(rows: DataFrame, key: str = "series") -> DataFrame:
-    """Mean, median and spread over folds, the 90 % quantile of errors, and the rank of each model in its series."""
+    """Mean, median and spread over folds, the 90 % quantile of errors, the peaks' MAE and WAPE, and the rank of each model in its series."""
     per_fold = metrics(rows, [key, "fold", "model"])
     out = per_fold.groupBy(key, "model").agg(
         F.avg("mae").alias("mean_mae"), F.percentile("mae", F.lit(0.5)).alias("median_mae"), F.stddev_samp("mae").alias("std_mae"), F.avg("wape").alias("mean_wape"), F.avg("bias").alias("mean_bias")
     )
-    out = out.join(rows.groupBy(key, "model").agg(F.percentile("abs_error", F.lit(0.9)).alias("p90_abs_error")), [key, "model"])
+    peak = lambda c: F.when(F.col("peak"), c)
+    whole = rows.groupBy(key, "model").agg(
+        F.percentile("abs_error", F.lit(0.9)).alias("p90_abs_error"), F.avg(peak(F.col("abs_error"))).alias("mae_peak"), F.try_divide(F.sum(peak(F.col("abs_error"))), F.sum(peak(F.abs("y_true")))).alias("wape_peak")
+    )
+    out = out.join(whole, [key, "model"])
     order = [F.col(c).asc_nulls_last() for c in ("mean_wape", "mean_mae", "p90_abs_error", "model")]
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
@@ -186,15 +112,24 @@ def best_model(summary: DataFrame, series: DataFrame, default: str = "seasonal_n
     return series.select(key).distinct().join(summary.where("rank = 1").select(key, "model"), key, "left").select(key, F.coalesce("model", F.lit(default)).alias("model"))
 
 
-def forecast(history: DataFrame, chosen: DataFrame, run_date: str, horizon: int, key: str = "series") -> DataFrame:
-    """The next `horizon` days after the last actual on or before the run date, by each series' model."""
-    own = history.where(F.col("date") <= F.lit(run_date).cast("date")).join(chosen, key)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("date")
-        when = pd.to_datetime(frame.date).to_numpy().astype("datetime64[D]")
-        made = predict(frame.model.iloc[0], when, frame.target.to_numpy(), horizon)
-        days = pd.date_range(when[-1], periods=horizon + 1)[1:].date
-        return pd.DataFrame({key: frame[key].iloc[0], "model": frame.model.iloc[0], "date": days, "step": range(1, horizon + 1), "forecast": made})
+def forecast(
+    filled: DataFrame, calendar: DataFrame, chosen: DataFrame, run_date: str, horizon: int, frequency: Frequency = DAILY, exclude_years: Sequence[int] = (), policy: Policy = POLICY, key: str = "series",
+) -> DataFrame:
+    """The next `horizon` periods after the last actual on or before the run date, by each series' chosen model.
 
-    return own.groupBy(key).applyInPandas(run, f"{key} string, model string, date date, step int, forecast double")
+    chosen: series, model; a model without a feature is named as in `variants`.
+    """
+    dense = histories.dense(filled, exclude_years, key).join(chosen, key)
+    folded = cut(histories.run_dates(dense, run_date, run_date, frequency))
+    out = None
+    for model in sorted(r.model for r in folded.select("model").distinct().collect()):  # names of models: a handful
+        base, _, gone = model.partition("_no_")
+        if base not in MODELS:
+            raise ValueError(f"no such model: {model}")
+        own = folded.where(F.col("model") == model).drop("model")
+        made = predictions(filled.join(own.select(key), key, "left_semi"), own, calendar, [base], horizon, 1, frequency, exclude_years, [gone] if gone else [], 1, policy, key)
+        made = made.where(F.col("model") == model)
+        out = made if out is None else out.unionByName(made)
+    if out is None:
+        out = histories.baselines(folded.drop("model"), horizon, BASELINES[:1], frequency, key)  # no series, no rows
+    return out.select(key, "model", "date", "step", F.col("y_pred").alias("forecast"))

@@ -6,37 +6,64 @@ from pyspark.sql import functions as F
 
 from depotlane.functions import text as t
 from depotlane.lineage import cut
-from depotlane.operators import basket, enrich, facts, forecast, graph, nowcast, tracking
+from depotlane.operators import basket, enrich, facts, forecast, graph, histories, learned, nowcast, tracking
+from depotlane.operators.calendar import weekly_calendar
 from depotlane.plans import basket as baskets
-from depotlane.plans.service import _ACT, _LV, _level, _picking, _round, _series
+from depotlane.plans.service import _ACT, _CAL, _FR, _LV, _days, _level, _picking, _round, _series
 from depotlane.sources import staging
 from depotlane.sources.staging import CTES
 
 RUN, KPIS = "2001-03-14", ["lines", "units"]
-FOLD_START, HORIZON, STEP = "2000-09-30", 28, 56
+#: First origins, horizons (periods) and steps of backtests, and the year that training leaves out.
+FOLD_START, HORIZON, STEP, WEEKS, LEFT_OUT, RESTART = "1997-12-31", 28, 7, 8, 1999, "2000-01-01"
 
 
 def _daily_series(spark, sf_dir):
     """Orders per day and priority, 0 where there are none."""
-    out = _series(spark, sf_dir)
-    spans = out.groupBy("series").agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    return spans.select("series", F.explode(F.sequence("a", "b")).alias("date")).join(out, ["series", "date"], "left").fillna(0.0, ["target"])
+    return histories.fill(_series(spark, sf_dir))
 
 
-def _origins(spark, sf_dir):
-    return forecast.folds(_daily_series(spark, sf_dir), FOLD_START, HORIZON, STEP)
+def _folded(spark, sf_dir):
+    return histories.rolling(histories.dense(_daily_series(spark, sf_dir), [LEFT_OUT]), FOLD_START, HORIZON, STEP)
+
+
+def _calendar(spark):
+    """Calendar features of every day that is learnt from or forecast."""
+    return _days(spark).withColumn("ramp_up", t.ramp_up(F.col("date"), RESTART))
 
 
 def forecast_folds(spark, sf_dir):
-    return _origins(spark, sf_dir).select("series", F.col("fold").cast("long").alias("fold"), "origin")
+    return histories.fold_table(_folded(spark, sf_dir)).select("series", F.col("fold").cast("long").alias("fold"), "origin")
+
+
+def _baselines(spark, sf_dir, models=forecast.BASELINES):
+    return histories.baselines(_folded(spark, sf_dir), HORIZON, models)
 
 
 def forecast_seasonal_naive(spark, sf_dir):
-    return _round(forecast.seasonal_naive(_daily_series(spark, sf_dir), _origins(spark, sf_dir).select("series", "origin"), HORIZON, 7), "forecast")
+    return _round(_baselines(spark, sf_dir, ("seasonal_naive",)).select("series", "origin", "date", "step", F.col("y_pred").alias("forecast")), "forecast")
+
+
+def forecast_baselines(spark, sf_dir):
+    return _round(_baselines(spark, sf_dir), "y_pred")
+
+
+def forecast_weekly(spark, sf_dir):
+    weeks = histories.WEEKLY
+    filled = histories.fill(histories.weekly(_series(spark, sf_dir)), weeks)
+    return _round(histories.baselines(histories.rolling(histories.dense(filled, [LEFT_OUT]), FOLD_START, WEEKS, 1, weeks), WEEKS, frequency=weeks), "y_pred")
+
+
+def forecast_weekly_fitted(spark, sf_dir):
+    weeks = histories.WEEKLY
+    filled = histories.fill(histories.weekly(_series(spark, sf_dir)), weeks)
+    calendar = weekly_calendar(_days(spark)).withColumnRenamed("week", "date")
+    return _round(forecast.backtest(filled, calendar, FOLD_START, WEEKS, 1, ("ridge",), weeks, [LEFT_OUT]), "y_pred", digits=3)
 
 
 def _oof(spark, sf_dir, models=forecast.MODELS):
-    return forecast.out_of_fold(forecast.backtest(_daily_series(spark, sf_dir), _origins(spark, sf_dir), models, HORIZON))
+    made = forecast.backtest(_daily_series(spark, sf_dir), _calendar(spark), FOLD_START, HORIZON, STEP, models, exclude_years=[LEFT_OUT])
+    return forecast.out_of_fold(made)
 
 
 def forecast_backtest(spark, sf_dir):
@@ -49,17 +76,52 @@ def forecast_backtest_naive(spark, sf_dir):
 
 def forecast_metrics(spark, sf_dir):
     out = forecast.metrics(_oof(spark, sf_dir, ("seasonal_naive",)), ["series", "fold"])
-    return _round(out, "mae", "rmse", "wape", "bias", "mae_peak", "wape_peak")
+    return _round(out, "mae", "rmse", "wape", "bias", "mae_peak", "wape_peak").withColumn("bias", F.col("bias") + 0.0)  # no -0.0
+
+
+def forecast_rank_baselines(spark, sf_dir):
+    out = forecast.summarize(cut(_oof(spark, sf_dir, forecast.BASELINES)))
+    return _round(out, "mean_mae", "median_mae", "std_mae", "mean_wape", "mean_bias", "p90_abs_error", "mae_peak", "wape_peak")
+
+
+#: Models that are ranked and then forecast: trees, fitted anew for every fold, are left to `forecast_backtest`.
+RANKED = (*forecast.BASELINES, "ridge")
 
 
 def forecast_ranking(spark, sf_dir):
-    return forecast.summarize(_oof(spark, sf_dir))
+    return forecast.summarize(cut(_oof(spark, sf_dir, RANKED)))
 
 
 def forecast_next(spark, sf_dir):
     daily = _daily_series(spark, sf_dir)
-    chosen = forecast.best_model(forecast.summarize(_oof(spark, sf_dir)), daily)
-    return forecast.forecast(daily, chosen, RUN, HORIZON)
+    chosen = forecast.best_model(forecast_ranking(spark, sf_dir), daily)
+    return forecast.forecast(daily, _calendar(spark), cut(chosen), RUN, HORIZON, exclude_years=[LEFT_OUT])
+
+
+def _last_folds(spark, sf_dir):
+    """Histories with their last folds, those of ablations."""
+    return cut(_folded(spark, sf_dir).withColumn("folds", histories.last(F.col("folds"), forecast.RECENT)))
+
+
+def forecast_ablations(spark, sf_dir):
+    out = forecast.predictions(_daily_series(spark, sf_dir), _last_folds(spark, sf_dir), _calendar(spark), forecast.FITTED, HORIZON, STEP, exclude_years=[LEFT_OUT], ablate=forecast.ABLATED)
+    return _round(forecast.metrics(forecast.out_of_fold(out), ["series", "fold", "model"]), "mae", "rmse", "wape", "bias", "mae_peak", "wape_peak")
+
+
+def forecast_ridge(spark, sf_dir):
+    rows, names, _ = forecast.features(_daily_series(spark, sf_dir), _calendar(spark), exclude_years=[LEFT_OUT])
+    folds = histories.fold_table(_last_folds(spark, sf_dir))
+    slopes = learned.ridge(learned.grams(rows, folds, names, STEP, histories.DAILY), names, forecast.variants("ridge", forecast.ABLATED))
+    out = slopes.select("series", "fold", "model", F.posexplode("slopes").alias("k", "slope"))
+    return _round(out.select("series", "fold", "model", F.element_at(F.array(*map(F.lit, [*names, "level"])), F.col("k") + 1).alias("feature"), "slope"), "slope", digits=4)
+
+
+def forecast_features(spark, sf_dir):
+    """What the policy lets models learn from, by feature, over all usable rows."""
+    rows, names, _ = forecast.features(_daily_series(spark, sf_dir), _calendar(spark), exclude_years=[LEFT_OUT])
+    long = rows.where("usable").select(*[F.col(n).cast("double").alias(n) for n in names], "target").unpivot(["target"], names, "feature", "value")
+    out = long.groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg(F.col("value") * F.col("target")).alias("product"))
+    return _round(out, "mean", "product", digits=5)
 
 
 def nowcast_maturity(spark, sf_dir):
@@ -197,7 +259,8 @@ def graph_hubs(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        forecast_folds, forecast_seasonal_naive, forecast_backtest, forecast_backtest_naive, forecast_metrics, forecast_ranking, forecast_next, nowcast_maturity, nowcast_scalers, nowcast_blend, nowcast_postprocess, nowcast_transformer,
+        forecast_folds, forecast_seasonal_naive, forecast_baselines, forecast_weekly, forecast_weekly_fitted, forecast_backtest, forecast_backtest_naive, forecast_metrics, forecast_rank_baselines, forecast_ranking, forecast_next, forecast_ablations,
+        forecast_ridge, forecast_features, nowcast_maturity, nowcast_scalers, nowcast_blend, nowcast_postprocess, nowcast_transformer,
         tracking_history, tracking_weekly, tracking_errors, tracking_horizons, tracking_impact, consumption_daily, consumption_year_daily, consumption_year_weekly, consumption_progress, consumption_checks, graph_components, graph_clusters, graph_hubs,
     )
 }
@@ -205,8 +268,62 @@ QUERIES = {
 _DS = """WITH s AS (SELECT o_orderpriority AS series, o_orderdate::DATE AS date, count(*)::DOUBLE AS target FROM orders GROUP BY ALL), b AS (SELECT series, min(date) AS a, max(date) AS z FROM s GROUP BY 1),
 ds AS (SELECT g.series, g.date, coalesce(target, 0) AS target FROM (SELECT series, unnest(generate_series(a, z, INTERVAL 1 DAY))::DATE AS date FROM b) g LEFT JOIN s USING (series, date))"""
 _FO = f"fo AS (SELECT series, (row_number() OVER (PARTITION BY series ORDER BY origin) - 1)::BIGINT AS fold, origin FROM (SELECT series, unnest(generate_series(DATE '{FOLD_START}', max(date) - INTERVAL {HORIZON} DAY, INTERVAL {STEP} DAY))::DATE AS origin FROM ds GROUP BY series))"
-_SN = f"""sn AS (SELECT g.series, g.fold, g.origin, g.date, g.step, greatest(coalesce(v.target, 0), 0) AS forecast FROM (SELECT series, fold, origin, (origin + h::INT)::DATE AS date, h::INT AS step, (origin + (h - 7 * ceil(h / 7))::INT)::DATE AS look FROM fo, range(1, {HORIZON + 1}) AS t(h)) g LEFT JOIN ds v ON v.series = g.series AND v.date = look)"""
-_OOF = f"{_DS}, {_FO}, {_SN}, o0 AS (SELECT sn.series, fold::INT AS fold, sn.date, ds.target AS y_true, forecast AS y_pred FROM sn JOIN ds USING (series, date)), oof AS (SELECT *, sum(abs(y_true)) OVER w <> 0 AND y_true >= quantile_cont(y_true, 0.9) OVER w AS peak, CASE WHEN year(date) <= 2000 THEN 'ranking' ELSE 'stress' END AS view FROM o0 WINDOW w AS (PARTITION BY series, fold))"
+_WS = f"""WITH RECURSIVE w0 AS (SELECT o_orderpriority AS series, date_trunc('week', o_orderdate)::DATE AS date, count(*)::DOUBLE AS target FROM orders GROUP BY ALL), b AS (SELECT series, min(date) AS a, max(date) AS z FROM w0 GROUP BY 1),
+ds AS (SELECT g.series, g.date, coalesce(target, 0) AS target FROM (SELECT series, unnest(generate_series(a, z, INTERVAL 7 DAY))::DATE AS date FROM b) g LEFT JOIN w0 USING (series, date)),
+fo AS (SELECT series, (row_number() OVER (PARTITION BY series ORDER BY origin) - 1)::BIGINT AS fold, origin FROM (SELECT series, unnest(generate_series(date_trunc('week', DATE '{FOLD_START}'), max(date) - INTERVAL {7 * WEEKS} DAY, INTERVAL 7 DAY))::DATE AS origin FROM ds GROUP BY series))"""
+
+
+def _made(days: int, horizon: int, season: int, window: int) -> str:
+    """Baselines as tables: tk (usable values before each origin, latest first), sn, mv and md."""
+    step = f"{days} * " if days > 1 else ""
+    put = lambda size, x: f"list_append(CASE WHEN len(tail) >= {size} THEN tail[2:] ELSE tail END, {x})"
+    out = f"""tk AS MATERIALIZED (SELECT fo.series, fold, origin, date, target, row_number() OVER (PARTITION BY fo.series, fold ORDER BY date DESC) AS k FROM fo JOIN ds ON ds.series = fo.series AND date <= origin AND year(date) <> {LEFT_OUT}),
+fb AS (SELECT series, fold, avg(target) AS mean FROM tk WHERE k <= {season} GROUP BY ALL),
+sn AS (SELECT g.series, g.fold, g.origin, g.date, g.step, greatest(coalesce(v.target, mean, 0), 0) AS forecast FROM (SELECT series, fold, origin, (origin + ({step}h)::INT)::DATE AS date, h::INT AS step, (origin + ({step}(h - {season} * ceil(h / {season})))::INT)::DATE AS look FROM fo, range(1, {horizon + 1}) AS t(h)) g
+LEFT JOIN ds v ON v.series = g.series AND v.date = look AND year(look) <> {LEFT_OUT} LEFT JOIN fb ON fb.series = g.series AND fb.fold = g.fold),
+mv AS (SELECT series, fold, origin, 0 AS h, list(target ORDER BY date) AS tail, NULL::DOUBLE AS m FROM tk WHERE k <= {window} GROUP BY ALL UNION ALL SELECT series, fold, origin, h + 1, {put(window, 'list_avg(tail)')}, list_avg(tail) FROM mv WHERE h < {horizon})"""
+    if days == 1:
+        out += f""",
+md AS (SELECT series, fold, origin, 0 AS h, list({{'w': isodow(date), 'v': target}} ORDER BY date) AS tail, NULL::DOUBLE AS m FROM tk WHERE k <= {histories.MEDIAN_OF} GROUP BY ALL
+UNION ALL SELECT series, fold, origin, h + 1, {put(histories.MEDIAN_OF, "{'w': isodow(origin + h + 1), 'v': n}")}, n FROM (SELECT *, coalesce(list_median([x.v FOR x IN tail IF x.w = isodow(origin + h + 1)]), list_median([x.v FOR x IN tail])) AS n FROM md WHERE h < {horizon}))"""
+    recursive = lambda name, model: f"SELECT series, fold, origin, '{model}', h, (origin + ({step}h)::INT)::DATE, greatest(m, 0) FROM {name} WHERE h > 0"
+    return out + f""",
+p AS (SELECT series, fold, origin, 'seasonal_naive' AS model, step, date, forecast AS y_pred FROM sn UNION ALL {recursive('mv', 'moving_average')} UNION ALL {recursive('md' if days == 1 else 'mv', 'median_weekday')}),
+bl AS (SELECT p.series, fold::INT AS fold, origin, model, step::INT AS step, p.date, ds.target AS y_true, y_pred FROM p LEFT JOIN ds ON ds.series = p.series AND ds.date = p.date)"""
+
+
+_BL = f"{_DS.replace('WITH', 'WITH RECURSIVE', 1)}, {_FO}, {_made(1, HORIZON, 7, 7)}"
+_OOF = f"{_BL}, oof AS (SELECT *, sum(abs(y_true)) OVER w <> 0 AND y_true >= quantile_cont(y_true, 0.9) OVER w AS peak, CASE WHEN year(date) <= 2000 THEN 'ranking' ELSE 'stress' END AS view FROM bl WINDOW w AS (PARTITION BY series, fold, model))"
+_ERRORS = "count(*) AS n, avg(abs(y_pred - y_true)) AS mae, sqrt(avg((y_pred - y_true) * (y_pred - y_true))) AS rmse, sum(abs(y_pred - y_true)) / nullif(sum(abs(y_true)), 0) AS wape, avg(y_pred - y_true) AS bias"
+_CALENDAR = ("month", "weekday", "iso_week", "week_of_month", "month_end", "holiday", "pre_holiday", "post_holiday", "bridge", "easter_days", "easter_week", "ramp_up")
+_LOOK = (*[f"lag_{k}" for k in (7, 14, 28)], *[f"{f}_{k}" for k in (7, 14, 28) for f in ("mean", "median")], "mean_same_weekday")
+_FE = f"""{_DS}, {_CAL}, fe0 AS (SELECT series, date, target, {', '.join([f'lag(target, {k}) OVER o AS lag_{k}' for k in (7, 14, 28)] + [f'avg(target) OVER {_FR(k)} AS mean_{k}, quantile_cont(target, 0.5) OVER {_FR(k)} AS median_{k}' for k in (7, 14, 28)])},
+avg(target) OVER (PARTITION BY series, isodow(date) ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS mean_same_weekday FROM ds WINDOW o AS (PARTITION BY series ORDER BY date)),
+fe AS MATERIALIZED (SELECT fe0.*, cal.* EXCLUDE (date), greatest(fe0.date - DATE '{RESTART}', 0) AS ramp_up FROM fe0 JOIN cal USING (date) WHERE lag_28 IS NOT NULL AND mean_same_weekday IS NOT NULL AND year(date) <> {LEFT_OUT})"""
+
+
+def _ridge_sql() -> str:
+    """Ridge by sums of products over the rows up to each origin, centred, and Gauss-Jordan elimination on lists."""
+    names = [*_CALENDAR, *_LOOK]
+    row = ", ".join(f"{n}::DOUBLE" for n in names)
+    size = len(names)
+    left = "UNION ALL ".join(f"SELECT 'ridge_no_{n}' AS model, {names.index(n) + 1} AS gone " for n in forecast.ABLATED)
+    return f"""{_FE.replace('WITH', 'WITH RECURSIVE', 1)}, {_FO}, lf AS (SELECT * FROM fo QUALIFY row_number() OVER (PARTITION BY series ORDER BY fold DESC) <= {forecast.RECENT}),
+xs AS (SELECT series, date, [{row}, 1, target] AS x FROM fe), bk AS (SELECT xs.series, x, (SELECT min(fold) FROM lf WHERE lf.series = xs.series AND origin >= date) AS fold FROM xs),
+pr AS (SELECT series, fold, i, j, sum(x[i] * x[j]) AS g FROM bk, range(1, {size + 3}) AS a(i), range(1, {size + 3}) AS b(j) WHERE fold IS NOT NULL GROUP BY ALL),
+gr AS (SELECT lf.series, lf.fold, i, j, sum(coalesce(g, 0)) OVER (PARTITION BY lf.series, i, j ORDER BY lf.fold) AS g FROM lf CROSS JOIN range(1, {size + 3}) AS a(i) CROSS JOIN range(1, {size + 3}) AS b(j) LEFT JOIN pr USING (series, fold, i, j)),
+ce AS (SELECT m.series, m.fold, m.i, m.j, m.g - r.g * c.g / n.g AS g FROM gr m JOIN gr r ON r.series = m.series AND r.fold = m.fold AND r.i = m.i AND r.j = {size + 1} JOIN gr c ON c.series = m.series AND c.fold = m.fold AND c.i = {size + 1} AND c.j = m.j
+JOIN gr n ON n.series = m.series AND n.fold = m.fold AND n.i = {size + 1} AND n.j = {size + 1} WHERE m.i <= {size} AND m.j <> {size + 1}),
+mo AS (SELECT 'ridge' AS model, 0 AS gone UNION ALL {left}),
+li AS (SELECT series, fold, model, gone, i, list(CASE WHEN i = gone OR j = gone THEN (i = j)::INT ELSE g + (i = j)::INT END ORDER BY j) AS line FROM ce CROSS JOIN mo GROUP BY ALL),
+gj AS (SELECT series, fold, model, gone, 1 AS k, list(line ORDER BY i) AS m FROM li GROUP BY ALL
+UNION ALL SELECT series, fold, model, gone, k + 1, [CASE WHEN q = k THEN [v / m[k][k] FOR v IN m[k]] ELSE [m[q][c] - m[q][k] / m[k][k] * m[k][c] FOR c IN range(1, {size + 2})] END FOR q IN range(1, {size + 1})] FROM gj WHERE k <= {size}),
+sl AS (SELECT series, fold, model, unnest(range(1, {size + 1})) AS i, unnest([r[{size + 1}] FOR r IN m]) AS slope, gone FROM gj WHERE k = {size + 1}),
+lv AS (SELECT sl.series, sl.fold, model, (max(t.g) - sum(slope * c.g)) / max(n.g) AS slope FROM sl JOIN gr c ON c.series = sl.series AND c.fold = sl.fold AND c.i = sl.i AND c.j = {size + 1} JOIN gr n ON n.series = sl.series AND n.fold = sl.fold AND n.i = {size + 1} AND n.j = {size + 1}
+JOIN gr t ON t.series = sl.series AND t.fold = sl.fold AND t.i = {size + 1} AND t.j = {size + 2} GROUP BY ALL)
+SELECT series, fold::INT AS fold, model, [{', '.join(f"'{n}'" for n in names)}][i] AS feature, round(slope, 4) AS slope FROM sl UNION ALL SELECT series, fold::INT, model, 'level', round(slope, 4) FROM lv"""
+
+
 _HI = f"""WITH {CTES}, {_ACT}, runs AS (SELECT * FROM (VALUES (0, DATE '2001-02-28'), (1, DATE '2001-03-07'), (2, DATE '{RUN}')) AS r(k, run)),
 hi AS (SELECT 'run' || k AS run_id, k, run AS run_date, date AS target_date, kpi, actual_value + k + day(date) AS forecast_value, actual_value, CASE WHEN date < DATE '2001-03-10' THEN 'notes' ELSE 'requests' END AS source FROM al JOIN runs ON date BETWEEN run AND run + 28 WHERE kpi <> 'items')"""
 _ERR = "er AS (SELECT run_id, target_date, kpi, forecast_value - actual_value AS error, abs(forecast_value - actual_value) AS abs_error, abs(forecast_value - actual_value) / nullif(abs(actual_value), 0) AS ape, (target_date - run_date)::INT AS horizon, actual_value FROM hi)"
@@ -220,9 +337,16 @@ _WTS = "(VALUES " + ", ".join(f"('{k}', '{b}', {s}::DOUBLE, {c}::DOUBLE)" for (k
 
 ORACLES = {
     "forecast_folds": f"{_DS}, {_FO} SELECT * FROM fo",
-    "forecast_seasonal_naive": f"{_DS}, {_FO}, {_SN} SELECT series, origin, date, step, forecast FROM sn",
-    "forecast_backtest_naive": f"{_OOF} SELECT * FROM oof",
-    "forecast_metrics": f"{_OOF} SELECT series, fold, count(*) AS n, round(avg(abs(y_pred - y_true)), 6) AS mae, round(sqrt(avg((y_pred - y_true) * (y_pred - y_true))), 6) AS rmse, round(sum(abs(y_pred - y_true)) / nullif(sum(abs(y_true)), 0), 6) AS wape, round(avg(y_pred - y_true), 6) AS bias, round(avg(abs(y_pred - y_true)) FILTER (peak), 6) AS mae_peak, round(sum(abs(y_pred - y_true)) FILTER (peak) / nullif(sum(abs(y_true)) FILTER (peak), 0), 6) AS wape_peak FROM oof GROUP BY series, fold",
+    "forecast_seasonal_naive": f"{_BL} SELECT series, origin, date, step, round(forecast, 6) AS forecast FROM sn",
+    "forecast_baselines": f"{_BL} SELECT * REPLACE (round(y_pred, 6) AS y_pred) FROM bl",
+    "forecast_weekly": f"{_WS}, {_made(7, WEEKS, 52, 4)} SELECT * REPLACE (round(y_pred, 6) AS y_pred) FROM bl",
+    "forecast_backtest_naive": f"{_OOF} SELECT series, fold, date, y_true, round(y_pred, 6) AS y_pred, peak, view FROM oof WHERE model = 'seasonal_naive'",
+    "forecast_metrics": f"{_OOF}, e AS (SELECT series, fold, {_ERRORS}, avg(abs(y_pred - y_true)) FILTER (peak) AS mae_peak, sum(abs(y_pred - y_true)) FILTER (peak) / nullif(sum(abs(y_true)) FILTER (peak), 0) AS wape_peak FROM oof WHERE model = 'seasonal_naive' GROUP BY series, fold) SELECT series, fold, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(wape, 6) AS wape, round(bias, 6) + 0.0 AS bias, round(mae_peak, 6) AS mae_peak, round(wape_peak, 6) AS wape_peak FROM e",
+    "forecast_rank_baselines": f"""{_OOF}, e AS (SELECT series, fold, model, {_ERRORS} FROM oof GROUP BY ALL), a AS (SELECT series, model, avg(mae) AS mean_mae, quantile_cont(mae, 0.5) AS median_mae, stddev_samp(mae) AS std_mae, avg(wape) AS mean_wape, avg(bias) AS mean_bias FROM e GROUP BY ALL),
+w AS (SELECT series, model, quantile_cont(abs(y_pred - y_true), 0.9) AS p90_abs_error, avg(abs(y_pred - y_true)) FILTER (peak) AS mae_peak, sum(abs(y_pred - y_true)) FILTER (peak) / nullif(sum(abs(y_true)) FILTER (peak), 0) AS wape_peak FROM oof GROUP BY ALL)
+SELECT series, model, {', '.join(f'round({c}, 6) AS {c}' for c in ('mean_mae', 'median_mae', 'std_mae', 'mean_wape', 'mean_bias', 'p90_abs_error', 'mae_peak', 'wape_peak'))}, row_number() OVER (PARTITION BY series ORDER BY mean_wape NULLS LAST, mean_mae NULLS LAST, p90_abs_error, model)::INT AS rank FROM a JOIN w USING (series, model)""",
+    "forecast_ridge": _ridge_sql(),
+    "forecast_features": f"{_FE}, u AS (UNPIVOT (SELECT target, {', '.join(f'{n}::DOUBLE AS {n}' for n in (*_CALENDAR, *_LOOK))} FROM fe) ON {', '.join((*_CALENDAR, *_LOOK))} INTO NAME feature VALUE value) SELECT feature, count(*) AS n, round(avg(value), 5) AS mean, min(value) AS least, max(value) AS most, round(avg(value * target), 5) AS product FROM u GROUP BY feature",
     "nowcast_maturity": f"{_LV}, {_MAT(10)} SELECT service_type, horizon, round(visible, 6) AS visible FROM mc",
     "nowcast_scalers": f"{_LV}, {_SCL} SELECT service_type, round(scaler, 6) AS scaler FROM scl",
     "nowcast_blend": f"""{_LV}, {_MAT(14)}, {_SCL}, og AS (SELECT unnest(generate_series(DATE '1998-01-05', DATE '1998-03-30', INTERVAL 7 DAY))::DATE AS origin), op AS (SELECT origin, date, service_type, count(*) AS n FROM lv JOIN og ON created_date <= origin AND origin <= date GROUP BY ALL),

@@ -1,12 +1,9 @@
-"""Baskets, ABC limits, graph and forecast helpers against hand-made or brute-force results."""
+"""Baskets, ABC limits and graph helpers against hand-made or brute-force results."""
 
 import itertools
 import math
-from datetime import date
 
-import numpy as np
-
-from depotlane.operators import abc, basket, forecast, graph
+from depotlane.operators import abc, basket, graph
 
 
 def test_abc_limits(spark):
@@ -50,29 +47,3 @@ def test_graph_helpers():
 def test_components(spark):
     edges = spark.createDataFrame([("b", "a"), ("b", "c"), ("x", "y")], "article_a string, article_b string")
     assert {r.article: r.component for r in graph.components(edges).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
-
-
-def test_models():
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(200, 5))
-    y = x @ np.array([1.0, -2.0, 0.0, 0.5, 3.0]) + 4
-    full = np.column_stack([np.ones(200), x])
-    penalty = np.diag([0.0] + [1.0] * 5)
-    want = np.linalg.solve(full.T @ full + penalty, full.T @ y)
-    ridge = forecast.Ridge().fit(x, y)
-    assert np.allclose(ridge.slope, want[1:]) and np.allclose(ridge.predict(x), full @ want)
-    boosted = forecast.Boosting(rounds=40).fit(x, y)
-    assert all(b <= a + 1e-12 for a, b in itertools.pairwise(boosted.losses)) and boosted.losses[-1] < y.var()
-
-
-def test_baselines_and_folds(spark):
-    days = np.arange(np.datetime64("2024-01-01"), np.datetime64("2024-03-01"))
-    values = np.arange(len(days)) % 7 + 1.0
-    assert np.allclose(forecast.predict("seasonal_naive", days, values, 9), [(len(days) + k) % 7 + 1 for k in range(9)])
-    assert np.allclose(forecast.predict("median_weekday", days, values, 3), [(len(days) + k) % 7 + 1 for k in range(3)])
-    assert len(forecast.predict("ridge", days, values, 4)) == 4 and forecast.predict("moving_average", days[:0], values[:0], 2).tolist() == [0, 0]
-    history = spark.createDataFrame([("s", d.astype(object), float(v)) for d, v in zip(days, values)], "series string, date date, target double")
-    folds = forecast.folds(history, "2024-02-01", 7, 7)
-    assert [r.origin for r in folds.orderBy("fold").collect()] == [date(2024, 2, d) for d in (1, 8, 15, 22)]
-    rows = forecast.backtest(history, folds, ["seasonal_naive"], 7)
-    assert rows.count() == 28 and rows.where("abs(y_true - y_pred) > 1e-9").count() == 0
