@@ -61,14 +61,16 @@ def latest_before(rows: DataFrame, keys: Sequence[str], value: str, made: str, t
 def open_at(requests: DataFrame, origins: DataFrame, created: str, target: str, by: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
     """Requests open at each origin date (created on or before it, due on or after), and sums of theirs, by target date and more.
 
-    A request is expanded over the days it is open, within the range of origins, and meets
-    the origins by equality; no range join is needed.
+    Requests that are open over the same days are added up first; their sums are expanded over
+    these days, within the range of origins, and meet the origins by equality; no range join is needed.
     """
     bounds = origins.agg(F.min("origin").alias("low"), F.max("origin").alias("high"))
+    added = [F.sum(c).alias(f"open_{c}") for c in sums]
+    spans = requests.where(F.col(created) <= F.col(target)).groupBy(created, target, *[c for c in by if c not in (created, target)]).agg(F.count("*").alias("open_requests"), *added)
     start, end = F.greatest(F.col(created), F.col("low")), F.least(F.col(target), F.col("high"))
-    days = requests.crossJoin(F.broadcast(bounds)).where(start <= end)  # bounds is one row
+    days = spans.crossJoin(F.broadcast(bounds)).where(start <= end)  # bounds is one row
     days = days.withColumn("origin", F.explode(F.sequence(start, end))).join(origins.select("origin").distinct(), "origin")
-    return days.groupBy("origin", F.col(target).alias("target_date"), *by).agg(F.count("*").alias("open_requests"), *[F.sum(c).alias(f"open_{c}") for c in sums])
+    return days.groupBy("origin", F.col(target).alias("target_date"), *by).agg(F.sum("open_requests").alias("open_requests"), *[F.sum(f"open_{c}").alias(f"open_{c}") for c in sums])
 
 
 def keys_without(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

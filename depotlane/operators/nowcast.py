@@ -36,24 +36,33 @@ def scalers(actuals: DataFrame, requests: DataFrame) -> DataFrame:
     return both.groupBy("service_type").agg(F.coalesce(F.percentile("ratio", F.lit(0.5)), F.lit(1.0)).alias("scaler"))
 
 
-def blend_weights(spark) -> DataFrame:
+def blend_weights(spark, weights: Mapping[tuple[str, str], tuple[float, float]] = WEIGHTS) -> DataFrame:
     """The weights as a table (a few rows)."""
-    rows = [(k, b, s / (s + c), c / (s + c)) for (k, b), (s, c) in WEIGHTS.items()]
+    rows = [(k, b, s / (s + c), c / (s + c)) for (k, b), (s, c) in weights.items()]
     return spark.createDataFrame(rows, "service_type string, bucket string, statistical double, backlog double")
 
 
-def blend(forecast: DataFrame, opened: DataFrame, scaler: DataFrame, curves: DataFrame, weights: DataFrame) -> DataFrame:
-    """Forecasts (origin, date, service_type, forecast) blended with what open requests (origin, target_date, service_type) signal."""
-    signal = opened.withColumn("horizon", F.greatest(F.datediff("target_date", "origin"), F.lit(0))).join(F.broadcast(scaler), "service_type", "left").join(F.broadcast(curves), ["service_type", "horizon"], "left")
-    signal = signal.select("origin", F.col("target_date").alias("date"), "service_type", (F.col("open_requests") / F.coalesce("visible", F.lit(1.0)) * F.coalesce("scaler", F.lit(1.0))).alias("signal"))
-    out = forecast.join(signal, ["origin", "date", "service_type"], "left").withColumn("horizon", F.datediff("date", "origin")).withColumn("bucket", daily_bucket(F.col("horizon")))
+def signals(opened: DataFrame, scaler: DataFrame, curves: DataFrame) -> DataFrame:
+    """(origin, date, service_type, signal): what open requests (origin, target_date, service_type) lead to expect."""
+    out = opened.withColumn("horizon", F.greatest(F.datediff("target_date", "origin"), F.lit(0))).join(F.broadcast(scaler), "service_type", "left").join(F.broadcast(curves), ["service_type", "horizon"], "left")
+    return out.select("origin", F.col("target_date").alias("date"), "service_type", (F.col("open_requests") / F.coalesce("visible", F.lit(1.0)) * F.coalesce("scaler", F.lit(1.0))).alias("signal"))
+
+
+def weigh(rows: DataFrame, weights: DataFrame, default: tuple[float, float] = DEFAULT) -> DataFrame:
+    """Adds horizon, bucket, weights and the blend of forecast and signal (the forecast itself where there is none)."""
+    out = rows.withColumn("horizon", F.datediff("date", "origin")).withColumn("bucket", daily_bucket(F.col("horizon")))
     out = out.join(F.broadcast(weights), ["service_type", "bucket"], "left")  # some rows of settings
     short = F.col("horizon").between(0, SHORT)
-    s = F.when(short, F.coalesce("statistical", F.lit(DEFAULT[0]))).otherwise(1.0)
-    c = F.when(short, F.coalesce("backlog", F.lit(DEFAULT[1]))).otherwise(0.0)
+    s = F.when(short, F.coalesce("statistical", F.lit(default[0]))).otherwise(1.0)
+    c = F.when(short, F.coalesce("backlog", F.lit(default[1]))).otherwise(0.0)
     return out.withColumns({"statistical": s, "backlog": c, "blended": F.col("forecast") * s + F.coalesce("signal", "forecast") * c})
 
 
+def blend(forecast: DataFrame, opened: DataFrame, scaler: DataFrame, curves: DataFrame, weights: DataFrame) -> DataFrame:
+    """Forecasts (origin, date, service_type, forecast) blended with what open requests (origin, target_date, service_type) signal."""
+    return weigh(forecast.join(signals(opened, scaler, curves), ["origin", "date", "service_type"], "left"), weights)
+
+
 def postprocess(df: DataFrame, policies: Mapping[str, Mapping[str, float]], kpi: str = "kpi", value: str = "forecast") -> DataFrame:
     """Multiplier, bias, limits and rounding (half to even) of each KPI's policy; never below 0."""
     out = F.coalesce(F.col(value), F.lit(0.0))
@@ -77,19 +86,71 @@ def fit_transformer(matched: DataFrame, services: DataFrame) -> dict[str, DataFr
     return {"intensity": intensity, "offsets": share(matched, [*own, "offset"], own, "share"), "urgency": share(services, own, ["service_type"], "mix"), "overall": share(matched, ["offset"], [], "share")}
 
 
-def apply_transformer(services: DataFrame, model: Mapping[str, DataFrame]) -> DataFrame:
+def known_at(rows: DataFrame, origins: DataFrame, by: Sequence[str], sums: Sequence[str], day: str = "day") -> DataFrame:
+    """(origin, by, sums): sums over the rows of each group up to each origin date, for groups that have any by then.
+
+    Rows become sums by the first origin that sees them, and origins add up those of earlier ones: no row meets
+    more than one origin. origins: one column of dates (folds, so few).
+    """
+    one = origins.agg(F.array_sort(F.collect_set("origin")).alias("origins"))
+    days = rows.groupBy(*by, day).agg(*[F.sum(c).alias(c) for c in sums]).crossJoin(F.broadcast(one))  # one row of dates
+    first = days.withColumn("origin", F.get(F.filter("origins", lambda o: o >= F.col(day)), F.lit(0))).where("origin is not null")
+    first = first.groupBy("origin", *by).agg(*[F.sum(c).alias(c) for c in sums])
+    grid = first.select(*by).distinct().crossJoin(F.broadcast(one)).withColumn("origin", F.explode("origins")).drop("origins")
+    so_far = Window.partitionBy(*by).orderBy("origin").rowsBetween(Window.unboundedPreceding, 0)
+    out = grid.join(first, ["origin", *by], "left")
+    return out.withColumns({c: F.sum(c).over(so_far) for c in sums}).where(F.col(sums[0]).isNotNull())
+
+
+def fit_transformer_at(matched: DataFrame, services: DataFrame, origins: DataFrame) -> dict[str, DataFrame]:
+    """The tables of `fit_transformer` as known at each origin, with an origin column.
+
+    matched: service_type, urgency, code, offset, quantity, pick_date, date; a row is known once it was picked and
+    served. services: service_type, urgency, date.
+    """
+    own = ["service_type", "urgency"]
+    rows = matched.withColumns({"day": F.greatest("pick_date", "date"), "lines": F.lit(1), "units": F.col("quantity")})
+    offsets = known_at(rows, origins, [*own, "offset"], ["lines", "units"])
+    codes = known_at(rows.groupBy(*own, "code").agg(F.min("day").alias("day")).withColumn("codes", F.lit(1)), origins, own, ["codes"])
+    whole = offsets.groupBy("origin", *own).agg(F.sum("lines").alias("lines"), F.sum("units").alias("units"))
+    mixes = known_at(services.select(*own, F.col("date").alias("day"), F.lit(1).alias("n")), origins, own, ["n"])
+    share = lambda df, column, within, name: df.withColumn(name, F.col(column) / F.sum(column).over(Window.partitionBy("origin", *within)))
+    overall = offsets.groupBy("origin", "offset").agg(F.sum("lines").alias("lines"))
+    return {
+        "intensity": whole.join(codes, ["origin", *own]).select("origin", *own, (F.col("lines") / F.col("codes")).alias("lines_per_service"), (F.col("units") / F.col("codes")).alias("units_per_service")),
+        "offsets": share(offsets, "lines", own, "share").select("origin", *own, "offset", "share"),
+        "urgency": share(mixes, "n", ["service_type"], "mix").select("origin", *own, "mix"),
+        "overall": share(overall, "lines", [], "share").select("origin", "offset", "share"),
+    }
+
+
+def apply_transformer(services: DataFrame, model: Mapping[str, DataFrame], by: Sequence[str] = ()) -> DataFrame:
     """Picks that forecast services (date, service_type, forecast) lead to, by day and type.
 
     Types without a mix count as UNKNOWN; types and urgencies without an intensity lead to
-    nothing; those without offsets take the overall curve. Model tables have a few rows each.
+    nothing; those without offsets take the overall curve. Model tables have a few rows each
+    (for each value of `by`, columns that services and model share, such as an origin).
     """
-    own = ["service_type", "urgency"]
-    mixed = services.join(F.broadcast(model["urgency"]), "service_type", "left").fillna({"urgency": "UNKNOWN", "mix": 1.0})
+    own = [*by, "service_type", "urgency"]
+    mixed = services.join(F.broadcast(model["urgency"]), [*by, "service_type"], "left").fillna({"urgency": "UNKNOWN", "mix": 1.0})
     known = mixed.join(F.broadcast(model["intensity"]), own).join(F.broadcast(model["offsets"]), own, "left")
-    lacking = known.where("offset is null").drop("offset", "share").crossJoin(F.broadcast(model["overall"]))
+    lacking, overall = known.where("offset is null").drop("offset", "share"), F.broadcast(model["overall"])
+    lacking = lacking.join(overall, list(by)) if by else lacking.crossJoin(overall)
     spread = known.where("offset is not null").unionByName(lacking).withColumn("pick_date", F.expr("date_sub(date, offset)"))
     part = F.col("forecast") * F.col("mix") * F.col("share")
-    return spread.groupBy("pick_date", "service_type").agg(F.sum(part * F.col("lines_per_service")).alias("lines"), F.sum(part * F.col("units_per_service")).alias("units"))
+    return spread.groupBy(*by, "pick_date", "service_type").agg(F.sum(part * F.col("lines_per_service")).alias("lines"), F.sum(part * F.col("units_per_service")).alias("units"))
+
+
+def direct_and_transformed(direct: DataFrame, picks: DataFrame, kpis: Sequence[str] = ("lines", "units")) -> DataFrame:
+    """(origin, kpi, date, source, y_true, y_pred): direct forecasts beside the picks that forecast services lead to.
+
+    direct: origin, kpi, date, y_true, y_pred of every day to compare; picks: of `apply_transformer` by origin, summed
+    over types; 0 on days that no service leads to.
+    """
+    long = picks.groupBy("origin", F.col("pick_date").alias("date")).agg(*[F.sum(k).alias(k) for k in kpis]).unpivot(["origin", "date"], list(kpis), "kpi", "made")
+    other = direct.drop("y_pred").join(long, ["origin", "kpi", "date"], "left").withColumn("y_pred", F.coalesce("made", F.lit(0.0))).drop("made")
+    columns = ["origin", "kpi", "date", "y_true", "y_pred"]
+    return direct.select(*columns, F.lit("direct").alias("source")).unionByName(other.select(*columns, F.lit("transformer").alias("source")))
 
 
 def horizon_metrics(rows: DataFrame, by: Sequence[str], forecast: str = "forecast", actual: str = "actual") -> DataFrame:

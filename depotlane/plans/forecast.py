@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from depotlane.functions import text as t
 from depotlane.lineage import cut
-from depotlane.operators import basket, enrich, facts, forecast, graph, histories, learned, nowcast, tracking
+from depotlane.operators import basket, enrich, facts, forecast, graph, histories, learned, nowcast, replay, tracking
 from depotlane.operators.calendar import weekly_calendar
 from depotlane.plans import basket as baskets
 from depotlane.plans.service import _ACT, _CAL, _FR, _LV, _days, _level, _picking, _round, _series
@@ -169,6 +169,72 @@ def nowcast_transformer(spark, sf_dir):
     return _round(out, "lines", "units")
 
 
+def _direct(spark, sf_dir):
+    """Picking forecast directly and by way of forecast services, as known at origins 28 days apart."""
+    level = cut(_urgent(spark, sf_dir))
+    series = _service_actuals(spark, sf_dir).select(F.col("service_type").alias("series"), "date", F.col("actual").cast("double").alias("target"))
+    picks = facts.actuals_daily(_picking(spark, sf_dir), KPIS).select(F.col("kpi").alias("series"), "date", F.col("actual_value").alias("target"))
+    folded = histories.rolling(histories.dense(histories.fill(series.unionByName(picks)), [LEFT_OUT]), FOLD_START, HORIZON, HORIZON)
+    made = cut(histories.baselines(folded, HORIZON, ["seasonal_naive"]))
+    services = made.where(~F.col("series").isin(KPIS)).select("origin", "date", F.col("series").alias("service_type"), F.col("y_pred").alias("forecast"))
+    direct = made.where(F.col("series").isin(KPIS)).select("origin", F.col("series").alias("kpi"), "date", "y_true", "y_pred")
+    origins = services.select("origin").distinct()
+    matched = _matched(spark, sf_dir, level).withColumnRenamed("operational_date", "pick_date").where(F.year("pick_date") != LEFT_OUT)
+    model = nowcast.fit_transformer_at(cut(matched), level.where(F.year("date") != LEFT_OUT), origins)
+    transformed = nowcast.apply_transformer(services, model, ["origin"])
+    return nowcast.direct_and_transformed(direct.join(origins, "origin", "left_semi"), transformed)
+
+
+def nowcast_direct(spark, sf_dir):
+    return _round(_direct(spark, sf_dir), "y_pred")
+
+
+def nowcast_direct_metrics(spark, sf_dir):
+    rows = _direct(spark, sf_dir).select(F.col("kpi").alias("series"), F.col("origin").alias("fold"), F.col("source").alias("model"), "date", "y_true", "y_pred")
+    out = forecast.metrics(forecast.out_of_fold(rows), ["series", "fold", "model"])
+    return _round(out.select(F.col("series").alias("kpi"), F.col("fold").alias("origin"), F.col("model").alias("source"), "n", "mae", "rmse", "wape", "mae_peak", "wape_peak"), "mae", "rmse", "wape", "mae_peak", "wape_peak", digits=4)
+
+
+#: Run dates that are replayed, KPIs of services with their types, and settings before and after a change.
+REPLAY_FROM, REPLAY_TO, TYPES = "2000-07-01", "2001-06-30", {"sge": "SGE", "sgp": "SGP", "ege": "EGE"}
+SETTINGS = {
+    "before": replay.Settings(),
+    "after": replay.Settings(nowcast.WEIGHTS, policies={"sge": {"round": True}, "ege": {"round": True}, "lines": {"round": True}, "units": {"add_bias": 500.0, "round": True}}),
+}
+
+
+def _kpi_actuals(spark, sf_dir):
+    """Daily actuals of services and picking, one row for each KPI and day between its first and its last."""
+    services = _service_actuals(spark, sf_dir).where(F.col("service_type").isin(*TYPES.values())).select(F.lower("service_type").alias("kpi"), "date", F.col("actual").cast("double").alias("target"))
+    picks = facts.actuals_daily(_picking(spark, sf_dir), KPIS).select("kpi", "date", F.col("actual_value").alias("target"))
+    return histories.fill(services.unionByName(picks), key="kpi")
+
+
+def _replayed(spark, sf_dir, actuals):
+    level = cut(_level(spark, sf_dir))
+    runs = histories.run_dates(histories.dense(actuals, [LEFT_OUT], "kpi"), REPLAY_FROM, REPLAY_TO)
+    origins = spark.sql(f"select explode(sequence(date'{REPLAY_FROM}', date'{REPLAY_TO}')) as origin")
+    opened = enrich.open_at(level, origins, "created_date", "date", ["service_type"])
+    signal = nowcast.signals(opened, nowcast.scalers(_service_actuals(spark, sf_dir), level), nowcast.maturity_curves(level, HORIZON))
+    return replay.replay(replay.base(runs, TYPES, HORIZON), signal, SETTINGS)
+
+
+def forecast_replay(spark, sf_dir):
+    out = _replayed(spark, sf_dir, cut(_kpi_actuals(spark, sf_dir)))
+    return _round(out, "base", "signal", "forecast_value", "error", "abs_error", digits=4)
+
+
+def forecast_replay_report(spark, sf_dir):
+    out = replay.report(cut(_replayed(spark, sf_dir, cut(_kpi_actuals(spark, sf_dir)))), ["kpi", "bucket"])
+    return _round(out, *[c for c, kind in out.dtypes if kind == "double"], digits=4)
+
+
+def forecast_replay_weekly(spark, sf_dir):
+    actuals = cut(_kpi_actuals(spark, sf_dir))
+    out = replay.weekly(_replayed(spark, sf_dir, actuals), actuals.withColumnRenamed("target", "actual_value"))
+    return _round(out, "forecast_value", "error", digits=4)
+
+
 def _history(spark, sf_dir):
     """Three runs of plain forecasts of the picking KPIs, 28 days each."""
     daily = facts.actuals_daily(_picking(spark, sf_dir), KPIS)
@@ -260,7 +326,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         forecast_folds, forecast_seasonal_naive, forecast_baselines, forecast_weekly, forecast_weekly_fitted, forecast_backtest, forecast_backtest_naive, forecast_metrics, forecast_rank_baselines, forecast_ranking, forecast_next, forecast_ablations,
-        forecast_ridge, forecast_features, nowcast_maturity, nowcast_scalers, nowcast_blend, nowcast_postprocess, nowcast_transformer,
+        forecast_ridge, forecast_features, nowcast_maturity, nowcast_scalers, nowcast_blend, nowcast_postprocess, nowcast_transformer, nowcast_direct, nowcast_direct_metrics, forecast_replay, forecast_replay_report, forecast_replay_weekly,
         tracking_history, tracking_weekly, tracking_errors, tracking_horizons, tracking_impact, consumption_daily, consumption_year_daily, consumption_year_weekly, consumption_progress, consumption_checks, graph_components, graph_clusters, graph_hubs,
     )
 }
@@ -273,14 +339,20 @@ ds AS (SELECT g.series, g.date, coalesce(target, 0) AS target FROM (SELECT serie
 fo AS (SELECT series, (row_number() OVER (PARTITION BY series ORDER BY origin) - 1)::BIGINT AS fold, origin FROM (SELECT series, unnest(generate_series(date_trunc('week', DATE '{FOLD_START}'), max(date) - INTERVAL {7 * WEEKS} DAY, INTERVAL 7 DAY))::DATE AS origin FROM ds GROUP BY series))"""
 
 
-def _made(days: int, horizon: int, season: int, window: int) -> str:
-    """Baselines as tables: tk (usable values before each origin, latest first), sn, mv and md."""
+def _naive(days: int, horizon: int, season: int) -> str:
+    """Seasonal naive as tables: tk (usable values before each origin, latest first), fb (fallbacks) and sn."""
     step = f"{days} * " if days > 1 else ""
-    put = lambda size, x: f"list_append(CASE WHEN len(tail) >= {size} THEN tail[2:] ELSE tail END, {x})"
-    out = f"""tk AS MATERIALIZED (SELECT fo.series, fold, origin, date, target, row_number() OVER (PARTITION BY fo.series, fold ORDER BY date DESC) AS k FROM fo JOIN ds ON ds.series = fo.series AND date <= origin AND year(date) <> {LEFT_OUT}),
+    return f"""tk AS MATERIALIZED (SELECT fo.series, fold, origin, date, target, row_number() OVER (PARTITION BY fo.series, fold ORDER BY date DESC) AS k FROM fo JOIN ds ON ds.series = fo.series AND date <= origin AND year(date) <> {LEFT_OUT}),
 fb AS (SELECT series, fold, avg(target) AS mean FROM tk WHERE k <= {season} GROUP BY ALL),
 sn AS (SELECT g.series, g.fold, g.origin, g.date, g.step, greatest(coalesce(v.target, mean, 0), 0) AS forecast FROM (SELECT series, fold, origin, (origin + ({step}h)::INT)::DATE AS date, h::INT AS step, (origin + ({step}(h - {season} * ceil(h / {season})))::INT)::DATE AS look FROM fo, range(1, {horizon + 1}) AS t(h)) g
-LEFT JOIN ds v ON v.series = g.series AND v.date = look AND year(look) <> {LEFT_OUT} LEFT JOIN fb ON fb.series = g.series AND fb.fold = g.fold),
+LEFT JOIN ds v ON v.series = g.series AND v.date = look AND year(look) <> {LEFT_OUT} LEFT JOIN fb ON fb.series = g.series AND fb.fold = g.fold)"""
+
+
+def _made(days: int, horizon: int, season: int, window: int) -> str:
+    """Baselines as tables: those of `_naive`, mv and md."""
+    step = f"{days} * " if days > 1 else ""
+    put = lambda size, x: f"list_append(CASE WHEN len(tail) >= {size} THEN tail[2:] ELSE tail END, {x})"
+    out = f"""{_naive(days, horizon, season)},
 mv AS (SELECT series, fold, origin, 0 AS h, list(target ORDER BY date) AS tail, NULL::DOUBLE AS m FROM tk WHERE k <= {window} GROUP BY ALL UNION ALL SELECT series, fold, origin, h + 1, {put(window, 'list_avg(tail)')}, list_avg(tail) FROM mv WHERE h < {horizon})"""
     if days == 1:
         out += f""",
@@ -335,6 +407,27 @@ _MAT = lambda most: f"mh AS (SELECT date, service_type, h::INT AS horizon, count
 _SCL = "sa AS (SELECT date, service_type, count(*) FILTER (lines > 2) AS actual, count(*) AS due FROM lv GROUP BY ALL), scl AS (SELECT service_type, coalesce(quantile_cont(actual / due, 0.5), 1.0)::DOUBLE AS scaler FROM sa WHERE actual > 0 GROUP BY ALL)"
 _WTS = "(VALUES " + ", ".join(f"('{k}', '{b}', {s}::DOUBLE, {c}::DOUBLE)" for (k, b), (s, c) in nowcast.WEIGHTS.items()) + ") AS wt(wk, wb, ws, wc)"
 
+#: Daily series of services (as lower or upper case types) and picking in one table ds.
+_BOTH = lambda name, kinds: f"""{_LV}, {_ACT}, s AS (SELECT {name} AS series, date, count(*)::DOUBLE AS target FROM lv WHERE lines > 2 {kinds} GROUP BY ALL UNION ALL SELECT kpi, date, actual_value FROM al WHERE kpi <> 'items'), b AS (SELECT series, min(date) AS a, max(date) AS z FROM s GROUP BY 1),
+ds AS MATERIALIZED (SELECT g.series, g.date, coalesce(target, 0) AS target FROM (SELECT series, unnest(generate_series(a, z, INTERVAL 1 DAY))::DATE AS date FROM b) g LEFT JOIN s USING (series, date))"""
+_DIR = f"""{_BOTH('service_type', '')}, fo AS (SELECT series, (row_number() OVER (PARTITION BY series ORDER BY origin) - 1)::BIGINT AS fold, origin FROM (SELECT series, unnest(generate_series(DATE '{FOLD_START}', max(date) - INTERVAL {HORIZON} DAY, INTERVAL {HORIZON} DAY))::DATE AS origin FROM ds GROUP BY series)), {_naive(1, HORIZON, 7)},
+ur AS (SELECT regexp_extract(generic_code, '([0-9]+)$', 1) AS code, service_type, date, CASE WHEN lines > 4 THEN 'SI' ELSE 'NO' END AS urgency FROM lv), og AS (SELECT DISTINCT origin FROM fo WHERE series NOT IN ('lines', 'units')),
+ma AS (SELECT service_type, urgency, code, (date - operational_date)::INT AS o, quantity, greatest(date, operational_date) AS day FROM ur JOIN (SELECT external_order_id AS code, operational_date, quantity FROM movements WHERE movement_type = 'PI' AND external_order_id IS NOT NULL) USING (code) WHERE date - operational_date BETWEEN 0 AND 60 AND year(operational_date) <> {LEFT_OUT}),
+mk AS (SELECT og.origin, ma.* FROM og JOIN ma ON day <= origin), it AS (SELECT origin, service_type, urgency, count(*) / count(DISTINCT code) AS l, sum(quantity) / count(DISTINCT code) AS u FROM mk GROUP BY ALL), os AS (SELECT origin, service_type, urgency, o, count(*) / sum(count(*)) OVER (PARTITION BY origin, service_type, urgency) AS s FROM mk GROUP BY 1, 2, 3, 4),
+mx AS (SELECT origin, service_type, urgency, count(*) / sum(count(*)) OVER (PARTITION BY origin, service_type) AS x FROM og JOIN ur ON date <= origin WHERE year(date) <> {LEFT_OUT} GROUP BY 1, 2, 3),
+pf AS (SELECT sn.origin, (sn.date - o)::DATE AS date, sum(forecast * x * s * l) AS lines, sum(forecast * x * s * u) AS units FROM sn JOIN mx ON mx.origin = sn.origin AND mx.service_type = sn.series JOIN it ON it.origin = sn.origin AND it.service_type = sn.series AND it.urgency = mx.urgency JOIN os ON os.origin = sn.origin AND os.service_type = sn.series AND os.urgency = mx.urgency GROUP BY ALL),
+dr AS (SELECT sn.origin, sn.series AS kpi, sn.date, ds.target AS y_true, forecast AS y_pred FROM sn JOIN og USING (origin) LEFT JOIN ds ON ds.series = sn.series AND ds.date = sn.date WHERE sn.series IN ('lines', 'units')),
+di AS (SELECT *, 'direct' AS source FROM dr UNION ALL SELECT dr.origin, kpi, dr.date, y_true, coalesce(CASE kpi WHEN 'lines' THEN lines ELSE units END, 0), 'transformer' FROM dr LEFT JOIN pf USING (origin, date))"""
+_REP = f"""{_BOTH('lower(service_type)', "AND service_type IN ('SGE', 'SGP', 'EGE')")}, fo AS (SELECT series, (run - DATE '{REPLAY_FROM}')::BIGINT AS fold, run AS origin FROM (SELECT DISTINCT series FROM ds), (SELECT unnest(generate_series(DATE '{REPLAY_FROM}', DATE '{REPLAY_TO}', INTERVAL 1 DAY))::DATE AS run)), {_naive(1, HORIZON, 7)}, {_MAT(HORIZON)}, {_SCL},
+op AS (SELECT fo.origin, lv.date, service_type, count(*) AS n FROM lv JOIN (SELECT DISTINCT origin FROM fo) fo ON created_date <= origin AND origin <= lv.date GROUP BY ALL),
+sg AS (SELECT origin, date, op.service_type, n / coalesce(visible, 1) * coalesce(scaler, 1) AS signal FROM op LEFT JOIN mc ON mc.service_type = op.service_type AND horizon = greatest(date - origin, 0) LEFT JOIN scl ON scl.service_type = op.service_type),
+bs AS (SELECT sn.origin AS run_date, sn.date AS target_date, step AS horizon, CASE WHEN step = 1 THEN 'D+1' WHEN step <= 3 THEN 'D+2_D+3' WHEN step <= 7 THEN 'D+4_D+7' WHEN step <= 14 THEN 'D+8_D+14' ELSE 'D+15_D+28' END AS bucket, sn.series AS kpi, forecast AS base, signal, ds.target AS actual_value, sn.series NOT IN ('lines', 'units') AS service
+FROM sn LEFT JOIN sg ON sg.origin = sn.origin AND sg.date = sn.date AND lower(sg.service_type) = sn.series LEFT JOIN ds ON ds.series = sn.series AND ds.date = sn.date),
+we AS (SELECT 'before' AS variant, bs.*, CASE WHEN service THEN CASE WHEN horizon <= 7 THEN 0.35 ELSE 1 END::DOUBLE END AS statistical, CASE WHEN service THEN CASE WHEN horizon <= 7 THEN 0.65 ELSE 0 END::DOUBLE END AS backlog FROM bs
+UNION ALL SELECT 'after', bs.*, CASE WHEN service THEN CASE WHEN horizon <= 7 THEN coalesce(ws, 0.35) ELSE 1 END::DOUBLE END, CASE WHEN service THEN CASE WHEN horizon <= 7 THEN coalesce(wc, 0.65) ELSE 0 END::DOUBLE END FROM bs LEFT JOIN {_WTS} ON wk = upper(kpi) AND wb = bucket),
+bl AS (SELECT *, CASE WHEN service THEN base * statistical + coalesce(signal, base) * backlog ELSE base END AS v FROM we),
+re AS (SELECT *, greatest(CASE WHEN variant = 'after' AND kpi IN ('sge', 'ege', 'lines') THEN round_even(v, 0) WHEN variant = 'after' AND kpi = 'units' THEN round_even(v + 500, 0) ELSE v END, 0)::DOUBLE AS forecast_value FROM bl)"""
+
 ORACLES = {
     "forecast_folds": f"{_DS}, {_FO} SELECT * FROM fo",
     "forecast_seasonal_naive": f"{_BL} SELECT series, origin, date, step, round(forecast, 6) AS forecast FROM sn",
@@ -360,6 +453,15 @@ ma AS (SELECT service_type, urgency, code, (date - operational_date)::INT AS o,
 it AS (SELECT service_type, urgency, count(*) / count(DISTINCT code) AS l, sum(quantity) / count(DISTINCT code) AS u FROM ma GROUP BY 1, 2), os AS (SELECT service_type, urgency, o, count(*) / sum(count(*)) OVER (PARTITION BY service_type, urgency) AS s FROM ma GROUP BY 1, 2, 3),
 mx AS (SELECT service_type, urgency, count(*) / sum(count(*)) OVER (PARTITION BY service_type) AS x FROM ur GROUP BY 1, 2), sv AS (SELECT date, service_type, count(*) AS f FROM lv GROUP BY ALL)
 SELECT (date - o)::DATE AS pick_date, service_type, round(sum(f * x * s * l), 6) AS lines, round(sum(f * x * s * u), 6) AS units FROM sv JOIN mx USING (service_type) JOIN it USING (service_type, urgency) JOIN os USING (service_type, urgency) GROUP BY 1, 2""",
+    "nowcast_direct": f"{_DIR} SELECT origin, kpi, date, source, y_true, round(y_pred, 6) AS y_pred FROM di",
+    "nowcast_direct_metrics": f"""{_DIR}, dp AS (SELECT *, sum(abs(y_true)) OVER w <> 0 AND y_true >= quantile_cont(y_true, 0.9) OVER w AS peak FROM di WINDOW w AS (PARTITION BY origin, kpi, source)), e AS (SELECT kpi, origin, source, {_ERRORS}, avg(abs(y_pred - y_true)) FILTER (peak) AS mae_peak, sum(abs(y_pred - y_true)) FILTER (peak) / nullif(sum(abs(y_true)) FILTER (peak), 0) AS wape_peak FROM dp GROUP BY ALL)
+SELECT kpi, origin, source, n, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(wape, 4) AS wape, round(mae_peak, 4) AS mae_peak, round(wape_peak, 4) AS wape_peak FROM e""",
+    "forecast_replay": f"{_REP} SELECT variant, run_date, target_date, horizon, bucket, kpi, round(base, 4) AS base, round(signal, 4) AS signal, statistical, backlog, round(forecast_value, 4) AS forecast_value, actual_value, round(forecast_value - actual_value, 4) + 0.0 AS error, round(abs(forecast_value - actual_value), 4) AS abs_error FROM re",
+    "forecast_replay_report": f"""{_REP}, er AS (SELECT *, forecast_value - actual_value AS e FROM re WHERE actual_value IS NOT NULL), me AS (SELECT variant, kpi, bucket, count(*) AS n, avg(abs(e)) AS mae, sum(abs(e)) / nullif(sum(abs(actual_value)), 0) AS wape, avg(e) AS bias, quantile_cont(abs(e), 0.5) AS median_error, quantile_cont(abs(e), 0.9) AS p90_error FROM er GROUP BY ALL),
+j AS (SELECT kpi, bucket, {', '.join(f'b.{c} AS {c}_before, a.{c} AS {c}_after' for c in ('n', 'mae', 'wape', 'bias', 'median_error', 'p90_error'))}, {', '.join(f'a.{c} - b.{c} AS delta_{c}' for c in ('mae', 'wape', 'bias'))} FROM (FROM me WHERE variant = 'before') b JOIN (FROM me WHERE variant = 'after') a USING (kpi, bucket))
+SELECT kpi, bucket, n_before, n_after, {', '.join(f'round({c}_{x}, 4) AS {c}_{x}' for c in ('mae', 'wape', 'bias', 'median_error', 'p90_error') for x in ('before', 'after'))}, {', '.join(f'round(delta_{c}, 4) AS delta_{c}' for c in ('mae', 'wape', 'bias'))},
+CASE WHEN delta_mae <= -0.05 OR delta_wape <= -0.02 THEN 'helpful' WHEN delta_mae >= 0.05 OR delta_wape >= 0.02 THEN 'harmful' ELSE 'neutral' END AS impact FROM j""",
+    "forecast_replay_weekly": f"{_REP}, aw AS (SELECT date_trunc('week', date)::DATE AS week, series AS kpi, sum(target) AS actual_value FROM ds GROUP BY ALL), fw AS (SELECT variant, run_date, kpi, date_trunc('week', target_date)::DATE AS week, sum(forecast_value) AS forecast_value FROM re GROUP BY ALL) SELECT variant, run_date, kpi, week, round(forecast_value, 4) AS forecast_value, actual_value, round(forecast_value - actual_value, 4) + 0.0 AS error FROM fw LEFT JOIN aw USING (week, kpi)",
     "tracking_history": f"{_HI} SELECT run_id, target_date, kpi, forecast_value, source, run_date FROM hi",
     "tracking_weekly": f"{_HI} SELECT run_id, kpi, date_trunc('week', target_date)::DATE AS week, sum(forecast_value) AS forecast_value, count(*) AS days FROM hi GROUP BY ALL",
     "tracking_errors": f"{_HI}, {_ERR} SELECT run_id, target_date, kpi, error, abs_error, round(ape, 6) AS ape, horizon FROM er",
