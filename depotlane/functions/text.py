@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Mapping, Sequence
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -130,12 +130,14 @@ def first_date(preferred: Mapping[str, Sequence[str]], fallback: Mapping[str, Se
     """Struct (date, field, rank, fallback, missing): the first non-null field of the row's bucket, preferred ones first."""
     names = list(preferred)
     fields = {name: [*preferred[name], *fallback.get(name, ())] for name in names}
-    first = lambda name: F.coalesce(*[F.when(F.col(f).isNotNull(), F.struct(F.to_date(f).alias("date"), F.lit(f).alias("field"), F.lit(k).alias("rank"), F.lit(k > len(preferred[name])).alias("fallback"), F.lit(False).alias("missing"))) for k, f in enumerate(fields[name], 1)])
-    nothing = F.struct(F.lit(None).cast("date").alias("date"), F.lit("<MISSING>").alias("field"), F.lit(999).alias("rank"), F.lit(False).alias("fallback"), F.lit(True).alias("missing"))
-    choice = F.lit(None)
-    for name in reversed(names):
-        choice = F.when(bucket == name, first(name)).otherwise(choice)
-    return F.coalesce(choice, nothing)
+    by_bucket = lambda value: reduce(lambda rest, name: F.when(bucket == name, value(name)).otherwise(rest), reversed(names), F.lit(None))
+    rank = by_bucket(lambda name: F.coalesce(*[F.when(F.col(f).isNotNull(), k) for k, f in enumerate(fields[name], 1)]))
+    # the rank is worked out once, in a lambda's variable; all else follows from it
+    return F.element_at(F.transform(F.array(F.coalesce(rank, F.lit(999))), lambda k: F.struct(
+        F.when(k < 999, by_bucket(lambda name: F.coalesce(*[F.to_date(f) for f in fields[name]]))).alias("date"),
+        F.when(k < 999, by_bucket(lambda name: F.get(F.array(*map(F.lit, fields[name])), k - 1))).otherwise("<MISSING>").alias("field"), k.alias("rank"),
+        F.when(k < 999, by_bucket(lambda name: k > len(preferred[name]))).otherwise(False).alias("fallback"), (k == 999).alias("missing"),
+    )), 1)
 
 
 def billable_weight(kg: Column, m3: Column, density: int = 270) -> Column:

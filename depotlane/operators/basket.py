@@ -303,17 +303,39 @@ def similarity_matrix(scored: DataFrame, items: DataFrame, n: int = 20) -> DataF
     return out.select("row", "column", F.when(F.col("row") == F.col("column"), 1.0).otherwise(F.coalesce("layout_score", F.lit(0.0))).alias("score"))
 
 
-def describe(txs: DataFrame, items: DataFrame) -> DataFrame:
-    """Long table (section, key, metric, value): overall figures, per year, quarter and month, and by basket size."""
-    parts = [txs.agg(F.count("*").alias("transactions"), F.avg("basket_size").alias("mean_basket"), F.expr("percentile(basket_size, 0.5)").alias("median_basket"), F.sum("total_quantity").alias("quantity")).select(F.lit("overall").alias("section"), F.lit("all").alias("key"), "*")]
-    for period in ("year", "quarter", "month"):
-        parts.append(txs.groupBy(F.col(period).cast("string").alias("key")).agg(F.count("*").alias("transactions"), F.avg("basket_size").alias("mean_basket"), F.expr("percentile(basket_size, 0.5)").alias("median_basket"), F.sum("total_quantity").alias("quantity")).select(F.lit(period).alias("section"), "key", "transactions", "mean_basket", "median_basket", "quantity"))
-    parts.append(txs.groupBy(F.col("basket_size").cast("string").alias("key")).agg(F.count("*").alias("transactions"), F.avg("basket_size").alias("mean_basket"), F.expr("percentile(basket_size, 0.5)").alias("median_basket"), F.sum("total_quantity").alias("quantity")).select(F.lit("basket_size").alias("section"), "key", "transactions", "mean_basket", "median_basket", "quantity"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def describe(txs: DataFrame) -> DataFrame:
+    """Long table (section, key, metric, value): overall figures, per year, quarter and month, and by basket size.
+
+    All sections come from one pass; a null key is a period of transactions without a date.
+    """
+    sections = {"overall": None, "year": "year", "quarter": "quarter", "month": "month", "basket_size": "size"}
+    keys = [c for c in sections.values() if c]
+    own = txs.select(F.col("basket_size").alias("size"), "year", "quarter", "month", "basket_size", "total_quantity")
+    out = own.groupingSets([[c] if c else [] for c in sections.values()], *keys).agg(
+        F.grouping_id().alias("set"), F.count("*").alias("transactions"), F.avg("basket_size").alias("mean_basket"), F.percentile("basket_size", F.lit(0.5)).alias("median_basket"), F.sum("total_quantity").alias("quantity")
+    )
+    section, key = F.lit("overall"), F.lit("all")
+    for name, column in sections.items():
+        if column:  # a set's number has a bit for each key that is not in it, the last key's bit being 1
+            here = F.col("set") == sum(2**k for k, c in enumerate(reversed(keys)) if c != column)
+            section, key = F.when(here, name).otherwise(section), F.when(here, F.col(column).cast("string")).otherwise(key)
     values = ["transactions", "mean_basket", "median_basket", "quantity"]
-    return out.select("section", "key", *[F.col(v).cast("double").alias(v) for v in values]).unpivot(["section", "key"], values, "metric", "value")
+    return out.select(section.alias("section"), key.alias("key"), *[F.col(v).cast("double").alias(v) for v in values]).unpivot(["section", "key"], values, "metric", "value")
+
+
+def owner_items(items: DataFrame) -> DataFrame:
+    """Per owner and item: transactions, quantity, lines, first and last date."""
+    return items.groupBy("owner", "article").agg(
+        F.countDistinct("transaction_id").alias("transaction_frequency"), F.count("*").alias("row_frequency"), F.sum("quantity_sum").alias("total_quantity"), F.min("last_completion_date").alias("first_seen"), F.max("last_completion_date").alias("last_seen")
+    )
+
+
+def item_summary(per_owner: DataFrame) -> DataFrame:
+    """Per item, from its rows by owner: transactions (each has one owner), rows, quantity and its mean, owners, first and last date."""
+    out = per_owner.groupBy("article").agg(
+        *[F.sum(c).alias(c) for c in ("transaction_frequency", "row_frequency", "total_quantity")], F.count("owner").alias("owner_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+    )
+    return out.withColumn("mean_quantity", F.col("total_quantity") / F.col("row_frequency"))
 
 
 def unified_series(described: DataFrame, temporal: DataFrame) -> DataFrame:

@@ -17,15 +17,26 @@ def unambiguous(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Da
     return out.join(once, list(keys), "left_semi")
 
 
-def fill_orders(movements: DataFrame, lookup: DataFrame, keys: Sequence[str], order: str = "external_order_id") -> DataFrame:
-    """Fills missing orders of picks from a lookup, with flag and source; only candidate rows are joined."""
-    may = F.col(order).isNull() & (F.upper("movement_type") == "PI")
-    label = lambda df, flag, source: df.withColumns({"enriched": flag, "source": source})
-    rest = label(movements.where(~F.coalesce(may, F.lit(False))), F.lit(0), F.when(F.col(order).isNotNull(), "original").otherwise("missing"))
-    found = movements.where(may).drop(order).join(lookup.select(*keys, order), list(keys), "left")
-    hit = F.col(order).isNotNull()
-    found = label(found, hit.cast("int"), F.when(hit, "lookup").otherwise("missing"))
-    return rest.unionByName(found)
+#: What a movement is looked up by, and what a lookup fills.
+LOOKUP_KEYS = ("pallet", "sku", "completed_at", "quantity", "owner")
+LOOKUP_FILL = ("order_id", "external_order_id", "client", "external_client")
+
+
+def fill_orders(movements: DataFrame, lookup: DataFrame, keys: Sequence[str] = LOOKUP_KEYS, fill: Sequence[str] = LOOKUP_FILL, order: str = "external_order_id") -> DataFrame:
+    """Fills picks without an order from a lookup: every column of `fill` that is null, with `enriched` and `source`.
+
+    Lookup rows without an order or a key don't count, and keys that stand for different values are
+    dropped, so that no movement multiplies. Only picks without an order and with all keys are joined. `source`
+    is source, lookup, or null without an order.
+    """
+    known = unambiguous(lookup.where(F.col(order).isNotNull()), keys, fill).withColumnsRenamed({c: f"_{c}" for c in fill})
+    may = F.col(order).isNull() & F.coalesce(F.col("movement_type") == "PI", F.lit(False))
+    for k in keys:
+        may &= F.col(k).isNotNull()
+    label = lambda df, flag: df.withColumns({"enriched": flag, "source": F.when(flag == 1, "lookup").when(F.col(order).isNotNull(), "source")})
+    found = movements.where(may).join(known, list(keys), "left").withColumn("_hit", F.col(f"_{order}").isNotNull().cast("int"))
+    found = label(found.withColumns({c: F.coalesce(c, f"_{c}") for c in fill}), F.col("_hit")).drop("_hit", *[f"_{c}" for c in fill])
+    return label(movements.where(~may), F.lit(0)).unionByName(found)
 
 
 def impute_single(df: DataFrame, code: str, date: str) -> DataFrame:

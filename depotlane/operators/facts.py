@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,20 +28,62 @@ def prepare_requests(requests: DataFrame) -> DataFrame:
     return out.withColumn("d", first_date(PREFERRED, FALLBACK, F.col("_bucket"))).select("*", "d.*").drop("d", "_bucket")
 
 
-def request_level(lines: DataFrame, items: DataFrame) -> DataFrame:
+#: Timestamps of a request line, of which the greatest tells how new its version is; those that a table lacks are left out.
+VERSIONS = ("modified_at", "line_modified_at", "order_created_at", "request_created_at", "created_date")
+TYPES, CLASSES = ("EGE", "SGE", "SGP", "UNK"), ("UNK", "delivery", "pickup")
+_RANKS, _SECONDS, _DAYS = 2**3, 2**33, 2**17
+
+
+class Choice:
+    """The order of versions as one positive number: the best date field, the newest change, the latest date, then names.
+
+    Fixed-width parts follow each other: rank (3 bits), seconds and days since 1900 counted down (33 and
+    17 bits, up to 2172 and 2258; beyond these limits all count as the limit), type, class, field and fallback. Its least value
+    is found by hash aggregation, where a struct with strings would be sorted.
+    """
+
+    def __init__(self, fields: Sequence[str]):
+        self.parts = (("service_type", TYPES), ("service_class", CLASSES), ("field", tuple(sorted(set(fields)))))
+        self.size = math.prod(len(names) for _, names in self.parts)
+
+    def of(self, version: Column) -> Column:
+        within = lambda c, size: F.least(F.greatest(c, F.lit(0)), F.lit(size - 1)).cast("long")
+        seconds = F.coalesce(F.unix_timestamp(version) - F.unix_timestamp(F.lit("1900-01-01").cast("timestamp")), F.lit(0))
+        out = within(F.col("rank"), _RANKS)
+        out = out * _SECONDS + (_SECONDS - 1 - within(seconds, _SECONDS))
+        out = out * _DAYS + (_DAYS - 1 - within(F.datediff("date", F.lit("1900-01-01").cast("date")), _DAYS))
+        for column, names in self.parts:
+            out = out * len(names) + (F.array_position(F.array(*map(F.lit, names)), F.col(column)) - 1)
+        return out * 2 + F.col("fallback").cast("long")
+
+    def taken(self, key: Column) -> dict[str, Column]:
+        """The columns that a key stands for, but the date."""
+        out, rest = {"fallback": key % 2 == 1}, F.shiftright(key, 1) % self.size
+        for column, names in reversed(self.parts):
+            out[column] = F.element_at(F.array(*map(F.lit, names)), (rest % len(names) + 1).cast("int"))
+            rest = F.floor(rest / len(names))
+        return out
+
+
+def request_level(lines: DataFrame, items: DataFrame, versions: Sequence[str] = VERSIONS) -> DataFrame:
     """One row per request: sums of its lines, and the date of its latest valid version.
 
-    The version is the one with a date, the best field, the newest change, the latest date;
-    further ties fall to the first of the other columns, so the choice is the same each time.
+    The version is the one with a date, the best field, the greatest of its timestamps (to the second, 1900 without
+    any), the latest date; further ties fall to the first of the other columns, so the choice is the same each time.
     """
-    own = lines.where("date is not null").join(items.select("sku", "kilos", "m3"), "sku", "left")
+    choice = Choice([f for names in (*PREFERRED.values(), *FALLBACK.values()) for f in names])
+    stamps = [F.col(c).cast("timestamp") for c in versions if c in lines.columns]
+    newest = F.greatest(*stamps) if len(stamps) > 1 else stamps[0] if stamps else F.lit(None).cast("timestamp")
+    own = lines.join(items.select("sku", "kilos", "m3"), "sku", "left").withColumn("key", choice.of(newest))
+    # a filter on the date would be pushed below the projections and repeat there all that leads to it
+    dated = lambda c: F.when(F.col("date").isNotNull(), c)
     units = F.coalesce("requested_quantity", F.lit(0.0))
-    order = F.struct(F.col("rank").alias("rank"), -F.coalesce(F.unix_timestamp(F.col("modified_at").cast("timestamp")), F.lit(0)), -F.datediff("date", F.lit("1970-01-01").cast("date")), "service_type", "service_class", "field", "date", "fallback")
     out = own.groupBy("generic_code").agg(
-        F.count("*").alias("lines"), F.countDistinct("sku").alias("items"), F.sum(units).alias("units"), F.sum(units * F.coalesce("kilos", F.lit(0.0))).alias("kg"), F.sum(units * F.coalesce("m3", F.lit(0.0))).alias("m3"),
-        F.min("created_date").alias("created_date"), F.min(order).alias("v"),
-    )
-    return out.select(*[c for c in out.columns if c != "v"], *[f"v.{c}" for c in ("date", "service_type", "service_class", "field", "fallback")]).withColumn("lead_days", F.datediff("date", "created_date"))
+        F.count("date").alias("lines"), F.countDistinct(dated(F.col("sku"))).alias("items"), F.sum(dated(units)).alias("units"), F.sum(dated(units * F.coalesce("kilos", F.lit(0.0)))).alias("kg"),
+        F.sum(dated(units * F.coalesce("m3", F.lit(0.0)))).alias("m3"), F.min(dated(F.col("created_date"))).alias("created_date"), F.min(dated(F.col("key"))).alias("key"), F.min_by("date", dated(F.col("key"))).alias("date"),
+    ).where("lines > 0")
+    found = choice.taken(F.col("key"))
+    return out.select(*[c for c in out.columns if c not in ("key", "date")], "date", *[found[c].alias(c) for c in ("service_type", "service_class", "field", "fallback")]).withColumn("lead_days", F.datediff("date", "created_date"))
 
 
 def _counts() -> list[Column]:

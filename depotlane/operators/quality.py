@@ -65,12 +65,24 @@ def prefix_frequencies(df: DataFrame, code: str, n: int = 50) -> DataFrame:
     return df.groupBy(F.coalesce(letters, F.lit("OTHER")).alias("prefix")).count().orderBy(F.col("count").desc(), "prefix").limit(n)
 
 
-def classification_qa(df: DataFrame, code: str = "service_code", concept: str = "concept") -> DataFrame:
-    """Per class: rows, share, and up to five example codes."""
-    own = Window.partitionBy("service_class")
-    ranked = df.withColumn("k", F.row_number().over(own.orderBy(code, concept)))
-    out = ranked.groupBy("service_class").agg(F.count("*").alias("rows"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.col(code)))), ",").alias("examples"))
-    return out.withColumn("share", F.col("rows") / F.sum("rows").over(Window.partitionBy()))
+def classification_qa(df: DataFrame, code: str = "service_code", concept: str = "concept", n: int = 5) -> DataFrame:
+    """Per class: rows, share, and up to n example codes, the first by code and concept.
+
+    The filter on the rank lets Spark keep n rows of each class in every task before any are shuffled.
+    """
+    rank = F.row_number().over(Window.partitionBy("service_class").orderBy(code, concept))
+    first = df.select("service_class", code, concept).withColumn("k", rank).where(F.col("k") <= n)
+    examples = first.groupBy("service_class").agg(F.array_join(F.array_sort(F.collect_list(code)), ",").alias("examples"))
+    out = df.groupBy("service_class").agg(F.count("*").alias("rows")).join(F.broadcast(examples), "service_class", "left")  # a row for each class
+    return out.select("service_class", "rows", "examples", (F.col("rows") / F.sum("rows").over(Window.partitionBy())).alias("share"))
+
+
+def unknown_concepts(df: DataFrame, concept: str = "concept", n: int = 50) -> DataFrame:
+    """The n most frequent concepts of rows without a class, with the share of such rows in all."""
+    counts = df.groupBy(F.coalesce(F.col(concept), F.lit("<EMPTY>")).alias("concept")).agg(F.count("*").alias("all"), F.count_if(F.col("service_class") == "UNK").alias("rows"))
+    share = counts.agg((F.sum("rows") / F.sum("all")).alias("unknown_pct"))
+    top = counts.where("rows > 0").orderBy(F.col("rows").desc(), "concept").limit(n)
+    return top.select("concept", "rows").crossJoin(F.broadcast(share))  # one row
 
 
 def date_field_usage(df: DataFrame) -> DataFrame:
@@ -96,11 +108,51 @@ def unmatched_keys(left: DataFrame, right: DataFrame, key: str, n: int = 20) ->
     return lost.groupBy(key).count().orderBy(F.col("count").desc(), key).limit(n)
 
 
-def several_dates(df: DataFrame, code: str, date: str) -> DataFrame:
-    """Codes with several target dates: share, and how far first and last lie apart."""
-    per = df.where(F.col(date).isNotNull()).groupBy(code).agg(F.countDistinct(date).alias("n"), F.datediff(F.max(date), F.min(date)).alias("shift"))
-    many = F.when(F.col("n") > 1, F.col("shift"))
-    return per.agg(F.count("*").alias("codes"), F.count_if(F.col("n") > 1).alias("with_several"), F.avg((F.col("n") > 1).cast("int")).alias("share"), F.percentile(many, F.lit(0.5)).alias("median_shift"), F.percentile(many, F.lit(0.9)).alias("p90_shift"), F.max(many).alias("max_shift"))
+def _moves(df: DataFrame, code: str, date: str, version: Column) -> DataFrame:
+    """Per code with a date: number of dates, first, last and latest known one, and days from first to latest known.
+
+    The latest known date is that of the newest version, then the latest: both in one number, so that it is found by
+    hash aggregation. Dates and versions count from 1900.
+    """
+    seconds = F.coalesce(F.unix_timestamp(version.cast("timestamp")) - F.unix_timestamp(F.lit("1900-01-01").cast("timestamp")), F.lit(0))
+    key = F.when(F.col(date).isNotNull(), seconds * 2**18 + F.datediff(date, F.lit("1900-01-01").cast("date")))
+    out = df.groupBy(code).agg(F.countDistinct(date).alias("dates"), F.min(date).alias("first"), F.max(date).alias("last"), F.max_by(date, key).alias("latest")).where("dates > 0")
+    return out.withColumn("shift", F.datediff("latest", "first"))
+
+
+def several_dates(df: DataFrame, code: str, date: str, version: Column) -> DataFrame:
+    """Codes with several target dates: how many, how many of these moved, and by how far from first to latest known."""
+    per = _moves(df, code, date, version)
+    many = F.when(F.col("dates") > 1, F.col("shift"))
+    return per.agg(
+        F.count("*").alias("codes"), F.count_if(F.col("dates") > 1).alias("with_several"), F.avg((F.col("dates") > 1).cast("int")).alias("share"), F.coalesce(F.avg((many != 0).cast("int")), F.lit(0.0)).alias("moved_share"),
+        F.percentile(many, F.lit(0.5)).alias("median_shift"), F.percentile(many, F.lit(0.9)).alias("p90_shift"), F.max(many).alias("max_shift"),
+    )
+
+
+def most_moved(df: DataFrame, code: str, date: str, version: Column, n: int = 20) -> DataFrame:
+    """The n codes with several dates that moved farthest."""
+    return _moves(df, code, date, version).where("dates > 1").orderBy(F.col("shift").desc(), code).limit(n)
+
+
+def reference_coverage(compared: DataFrame, kpis: Sequence[str], value: str = "reference") -> DataFrame:
+    """Per KPI of a comparison (date, kpi, value): rows, known and missing values, their sum and range; an error without any."""
+    wanted = compared.sparkSession.createDataFrame([(k,) for k in kpis], "kpi string")
+    own = compared.groupBy("kpi").agg(F.count("*").alias("rows"), F.count(value).alias("known"), F.sum(value).alias("total"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    out = wanted.join(own, "kpi", "left").fillna(0, ["rows", "known"])
+    return out.withColumns({
+        "missing": F.col("rows") - F.col("known"), "missing_pct": F.coalesce(F.try_divide(F.col("rows") - F.col("known"), F.col("rows")), F.lit(0.0)), "status": F.when(F.col("known") > 0, "ok").otherwise("error"),
+    })
+
+
+def reference_alignment(forecasts: DataFrame, compared: DataFrame, kpis: Sequence[str], value: str = "reference") -> DataFrame:
+    """Per KPI and quarter that any of the KPIs is forecast in: rows and sums of forecast and reference, an error without reference."""
+    own = forecasts.where(F.col("kpi").isin(*kpis)).groupBy("kpi", F.quarter("date").alias("quarter")).agg(F.count("*").alias("forecast_rows"), F.sum("forecast_value").alias("forecast_sum"))
+    other = compared.groupBy("kpi", F.quarter("date").alias("quarter")).agg(F.count("*").alias("reference_rows"), F.count(value).alias("reference_known"), F.sum(value).alias("reference_sum"))
+    grid = own.select("quarter").distinct().withColumn("kpi", F.explode(F.array(*map(F.lit, kpis))))  # four quarters at most
+    out = grid.join(own, ["kpi", "quarter"], "left").join(other, ["kpi", "quarter"], "left")
+    out = out.fillna(0, ["forecast_rows", "reference_rows", "reference_known"]).fillna(0.0, ["forecast_sum", "reference_sum"])
+    return out.withColumn("status", F.when(F.col("reference_known") > 0, "ok").otherwise("error"))
 
 
 def delta_report(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str, by: str) -> DataFrame:

@@ -128,8 +128,15 @@ def basket_similarity_matrix(spark, sf_dir):
 
 
 def basket_describe(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    return _round(basket.describe(basket.transactions(lines), basket.transaction_items(lines)), "value", digits=6)
+    return _round(basket.describe(basket.transactions(_lines(spark, sf_dir))), "value", digits=6)
+
+
+def basket_owner_items(spark, sf_dir):
+    return basket.owner_items(_items(spark, sf_dir))
+
+
+def basket_item_summary(spark, sf_dir):
+    return _round(basket.item_summary(basket.owner_items(_items(spark, sf_dir))), "mean_quantity", digits=6)
 
 
 def basket_highlights(spark, sf_dir):
@@ -138,7 +145,7 @@ def basket_highlights(spark, sf_dir):
 
 
 def basket_series(spark, sf_dir):
-    described = basket.describe(basket.transactions(_lines(spark, sf_dir)), _items(spark, sf_dir))
+    described = basket.describe(basket.transactions(_lines(spark, sf_dir)))
     return _round(basket.unified_series(described, basket.temporal_pairs(_thin(spark, sf_dir))), "value", digits=6)
 
 
@@ -197,7 +204,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         basket_items, basket_transactions, basket_transactions_mode, basket_item_sets, basket_sku_locations, basket_sku_attributes, basket_pairs, basket_threshold, basket_pair_metrics, basket_item_metrics,
-        basket_rules, basket_temporal_pairs, basket_stability, basket_layout_scores, basket_graph_edges, basket_similarity_matrix, basket_describe, basket_highlights, basket_series,
+        basket_rules, basket_temporal_pairs, basket_stability, basket_layout_scores, basket_graph_edges, basket_similarity_matrix, basket_describe, basket_owner_items, basket_item_summary, basket_highlights, basket_series,
     )
 }
 ORACLES = {
@@ -226,6 +233,8 @@ SELECT r.article AS "row", c.article AS "column", round(CASE WHEN r.article = c.
     "basket_describe": f"""{_BASE}, {_TX}, g AS (SELECT 'overall' AS section, 'all' AS key, basket_size, total_quantity FROM x UNION ALL SELECT 'year', year::VARCHAR, basket_size, total_quantity FROM x UNION ALL SELECT 'quarter', quarter, basket_size, total_quantity FROM x
 UNION ALL SELECT 'month', month, basket_size, total_quantity FROM x UNION ALL SELECT 'basket_size', basket_size::VARCHAR, basket_size, total_quantity FROM x), a AS (SELECT section, key, count(*)::DOUBLE AS transactions, avg(basket_size)::DOUBLE AS mean_basket, quantile_cont(basket_size, 0.5)::DOUBLE AS median_basket, sum(total_quantity)::DOUBLE AS quantity FROM g GROUP BY ALL)
 SELECT section, key, metric, round(value, 6) AS value FROM (UNPIVOT a ON transactions, mean_basket, median_basket, quantity INTO NAME metric VALUE value)""",
+    "basket_owner_items": f"{_BASE} SELECT owner, article, count(DISTINCT transaction_id) AS transaction_frequency, count(*) AS row_frequency, sum(quantity_sum) AS total_quantity, min(last_completion_date) AS first_seen, max(last_completion_date) AS last_seen FROM i GROUP BY ALL",
+    "basket_item_summary": f"{_BASE} SELECT article, count(DISTINCT transaction_id)::BIGINT AS transaction_frequency, count(*)::BIGINT AS row_frequency, sum(quantity_sum) AS total_quantity, count(DISTINCT owner) AS owner_count, min(last_completion_date) AS first_seen, max(last_completion_date) AS last_seen, round(avg(quantity_sum), 6) AS mean_quantity FROM i GROUP BY ALL",
     "basket_series": f"""{_BASE}, {_TX}, {_TM}, g AS (SELECT 'year' AS granularity, year::VARCHAR AS period, basket_size, total_quantity FROM x UNION ALL SELECT 'quarter', quarter, basket_size, total_quantity FROM x UNION ALL SELECT 'month', month, basket_size, total_quantity FROM x),
 a AS (SELECT granularity, period, count(*)::DOUBLE AS transactions, avg(basket_size)::DOUBLE AS mean_basket, quantile_cont(basket_size, 0.5)::DOUBLE AS median_basket, sum(total_quantity)::DOUBLE AS quantity FROM g GROUP BY ALL),
 b AS (SELECT CASE WHEN period = 'full_history' THEN period ELSE split_part(period, '_', 1) END AS granularity, period, article_a, article_b, shared_transactions::DOUBLE AS shared_transactions, joint_support::DOUBLE AS joint_support, lift::DOUBLE AS lift, jaccard::DOUBLE AS jaccard, npmi::DOUBLE AS npmi FROM tmet)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from depotlane.functions import text as t
 from depotlane.lineage import cut
-from depotlane.operators import basket, enrich, facts, forecast, graph, histories, learned, nowcast, replay, tracking
+from depotlane.operators import basket, enrich, facts, forecast, graph, histories, learned, nowcast, quality, replay, tracking
 from depotlane.operators.calendar import weekly_calendar
 from depotlane.plans import basket as baskets
 from depotlane.plans.service import _ACT, _CAL, _FR, _LV, _days, _level, _picking, _round, _series
@@ -285,6 +285,15 @@ def consumption_year_daily(spark, sf_dir):
     return _round(_yoy(spark, sf_dir)[0], "diff_pct")
 
 
+def quality_reference_coverage(spark, sf_dir):
+    return _round(quality.reference_coverage(_yoy(spark, sf_dir)[0], [*KPIS, "items"]), "missing_pct")
+
+
+def quality_reference_alignment(spark, sf_dir):
+    compared, current = _yoy(spark, sf_dir)
+    return quality.reference_alignment(current, compared, KPIS)
+
+
 def consumption_year_weekly(spark, sf_dir):
     weekly = facts.actuals_weekly(facts.actuals_daily(_picking(spark, sf_dir), KPIS))
     return _round(tracking.year_on_year_weekly(tracking.full_year(spark, 2001, KPIS, weekly=True), weekly, 1997), "diff_pct")
@@ -327,7 +336,7 @@ QUERIES = {
     for f in (
         forecast_folds, forecast_seasonal_naive, forecast_baselines, forecast_weekly, forecast_weekly_fitted, forecast_backtest, forecast_backtest_naive, forecast_metrics, forecast_rank_baselines, forecast_ranking, forecast_next, forecast_ablations,
         forecast_ridge, forecast_features, nowcast_maturity, nowcast_scalers, nowcast_blend, nowcast_postprocess, nowcast_transformer, nowcast_direct, nowcast_direct_metrics, forecast_replay, forecast_replay_report, forecast_replay_weekly,
-        tracking_history, tracking_weekly, tracking_errors, tracking_horizons, tracking_impact, consumption_daily, consumption_year_daily, consumption_year_weekly, consumption_progress, consumption_checks, graph_components, graph_clusters, graph_hubs,
+        tracking_history, tracking_weekly, tracking_errors, tracking_horizons, tracking_impact, consumption_daily, consumption_year_daily, quality_reference_coverage, quality_reference_alignment, consumption_year_weekly, consumption_progress, consumption_checks, graph_components, graph_clusters, graph_hubs,
     )
 }
 
@@ -469,6 +478,10 @@ CASE WHEN delta_mae <= -0.05 OR delta_wape <= -0.02 THEN 'helpful' WHEN delta_ma
     "tracking_impact": f"{_HI}, {_ERR}, {_WA} SELECT kpi, round(b.wape, 6) AS before, round(a.wape, 6) AS after, round(a.wape - b.wape, 6) AS delta, CASE WHEN a.wape - b.wape < -0.01 THEN 'helpful' WHEN a.wape - b.wape > 0.01 THEN 'harmful' ELSE 'neutral' END AS impact, round(a.wape, 6) AS wape, CASE WHEN a.wape <= 0.35 THEN 'operational' WHEN a.wape <= 0.70 THEN 'indicative' ELSE 'exploratory' END AS use FROM wp a JOIN wp b USING (kpi) WHERE a.run_id = 'run0' AND b.run_id = 'run2'",
     "consumption_daily": f"{_HI} SELECT target_date, kpi, forecast_value, source FROM hi WHERE k = 2",
     "consumption_year_daily": f"{_HI}, {_YD} SELECT date, kpi, reference_date, actual, forecast, reference, {_DIFF} FROM yj",
+    "quality_reference_coverage": f"{_HI}, {_YD} SELECT k.kpi, count(date) AS rows, count(reference) AS known, sum(reference) AS total, min(date) AS first_date, max(date) AS last_date, count(date) - count(reference) AS missing, round(coalesce((count(date) - count(reference)) / nullif(count(date), 0), 0), 6) AS missing_pct, CASE WHEN count(reference) > 0 THEN 'ok' ELSE 'error' END AS status FROM (VALUES ('lines'), ('units'), ('items')) AS k(kpi) LEFT JOIN yj USING (kpi) GROUP BY k.kpi",
+    "quality_reference_alignment": f"""{_HI}, {_YD}, f AS (SELECT kpi, quarter(target_date)::INT AS quarter, count(*) AS forecast_rows, sum(forecast_value) AS forecast_sum FROM hi WHERE k = 2 GROUP BY ALL), r AS (SELECT kpi, quarter(date)::INT AS quarter, count(*) AS reference_rows, count(reference) AS reference_known, sum(reference) AS reference_sum FROM yj GROUP BY ALL)
+SELECT kpi, quarter, coalesce(forecast_rows, 0) AS forecast_rows, coalesce(forecast_sum, 0) AS forecast_sum, coalesce(reference_rows, 0) AS reference_rows, coalesce(reference_known, 0) AS reference_known, coalesce(reference_sum, 0) AS reference_sum, CASE WHEN reference_known > 0 THEN 'ok' ELSE 'error' END AS status
+FROM (SELECT DISTINCT quarter FROM f) CROSS JOIN (VALUES ('lines'), ('units')) AS k(kpi) LEFT JOIN f USING (kpi, quarter) LEFT JOIN r USING (kpi, quarter)""",
     "consumption_year_weekly": f"""WITH {CTES}, {_ACT}, aw AS (SELECT date_trunc('week', date)::DATE AS date, kpi, sum(actual_value) AS actual FROM al WHERE kpi <> 'items' GROUP BY ALL),
 yw AS (SELECT d AS date, kpi, CASE WHEN isoyear(date_trunc('week', DATE '1997-01-04') + INTERVAL (7 * (weekofyear(d) - 1)) DAY) = 1997 THEN (date_trunc('week', DATE '1997-01-04') + INTERVAL (7 * (weekofyear(d) - 1)) DAY)::DATE END AS reference_date FROM (SELECT unnest(generate_series(DATE '2001-01-01', DATE '2001-12-31', INTERVAL 7 DAY))::DATE AS d), (VALUES ('lines'), ('units')) AS k(kpi)),
 j AS (SELECT yw.date, yw.kpi, reference_date, a.actual, r.actual AS reference FROM yw LEFT JOIN aw a USING (date, kpi) LEFT JOIN aw r ON r.date = reference_date AND r.kpi = yw.kpi) SELECT *, {_DIFF} FROM j""",

@@ -77,8 +77,23 @@ def quality_date_fields(spark, sf_dir):
     return _round(quality.date_field_usage(request_dates(spark, sf_dir)), "fallback_pct", "missing_pct", "share")
 
 
+def quality_unknown_concepts(spark, sf_dir):
+    return _round(quality.unknown_concepts(facts.with_class(staging.requests(spark, sf_dir), "generic_code")), "unknown_pct")
+
+
+def _versions(spark, sf_dir):
+    """Request lines with target dates, and the greatest of their timestamps."""
+    return facts.prepare_requests(staging.requests(spark, sf_dir)), F.greatest(*[F.col(c).cast("timestamp") for c in facts.VERSIONS])
+
+
 def quality_several_dates(spark, sf_dir):
-    return _round(quality.several_dates(request_dates(spark, sf_dir), "generic_code", "date"), "share")
+    lines, version = _versions(spark, sf_dir)
+    return _round(quality.several_dates(lines, "generic_code", "date", version), "share", "moved_share")
+
+
+def quality_most_moved(spark, sf_dir):
+    lines, version = _versions(spark, sf_dir)
+    return quality.most_moved(lines, "generic_code", "date", version)
 
 
 def quality_years(spark, sf_dir):
@@ -91,10 +106,19 @@ def quality_delta(spark, sf_dir):
     return quality.delta_report(long, long.withColumn("value", F.when(F.month("week") == 1, F.col("value") + 1).otherwise(F.col("value"))), ["week", "kpi"], "value", "kpi")
 
 
+#: Orders of two movements in three by what was moved; some stand for two orders.
+_LOOKUP = {k: staging.MOVEMENTS[k] for k in enrich.LOOKUP_KEYS} | {
+    "order_id": "CAST(l_orderkey AS STRING)", "external_order_id": "CASE WHEN l_linenumber % 5 <> 4 THEN 'E' || CAST(l_orderkey AS STRING) END", "client": "'K' || CAST(o_custkey AS STRING)", "external_client": "CASE WHEN o_custkey % 2 = 0 THEN 'X' || CAST(o_custkey AS STRING) END",
+}
+_FILLED = {"client": "CASE WHEN l_linenumber % 2 = 0 THEN 'own' END", "order_id": "CAST(NULL AS STRING)", "external_client": "CAST(NULL AS STRING)"}
+
+
 def join_lookup_fill(spark, sf_dir):
-    m = staging.movements(spark, sf_dir)
-    lookup = enrich.unambiguous(m.where("movement_type = 'PI' and external_order_id is not null"), ["owner", "sku"], ["external_order_id"])
-    return enrich.fill_orders(m, lookup, ["owner", "sku"]).groupBy("movement_type", "source", "enriched").agg(F.count("*").alias("rows"), F.countDistinct("external_order_id").alias("orders"))
+    lines = staging._lines(spark, sf_dir)
+    lookup = staging._select(lines.where("l_linenumber % 3 <> 1"), _LOOKUP)
+    lookup = lookup.unionByName(lookup).unionByName(staging._select(lines.where("l_linenumber = 2 and l_orderkey % 4 = 0"), _LOOKUP | {"external_order_id": "'other'"}))
+    moved = staging._select(lines, staging.MOVEMENTS | _FILLED)
+    return enrich.fill_orders(moved, lookup).select("movement_type", *enrich.LOOKUP_KEYS, *enrich.LOOKUP_FILL, "source", "enriched")
 
 
 def join_impute(spark, sf_dir):
@@ -228,6 +252,14 @@ def normalize_movements(spark, sf_dir):
     return normalize.movements(raw).select("movement_type", "started_at", "completed_at", "operational_date", "date_fallback", "duration_seconds", "sku", "sku_description", "quantity", "owner", "external_order_id", "external_order_id_source", "external_order_id_enriched", "transaction_id")
 
 
+def normalize_lookup(spark, sf_dir):
+    """Movements whose orders come from a raw lookup file, and no other."""
+    keys = dict(Artículo="concat('0', l_partkey)", Fecha_finalización="date_format(l_shipdate, 'd/M/yyyy H:mm')", Cantidad="cast(l_quantity as string)", Propietario="concat('c', o_custkey % 50)", Paleta="concat('p', l_suppkey)")
+    raw = _raw(spark, sf_dir, Tipo_movimiento="if(l_linenumber = 3, 'CR', 'PI')", Pedido_externo="if(l_linenumber = 2, 'own', '')", **keys)
+    lookup = normalize.order_lookup(_raw(spark, sf_dir, Pedido="concat(l_orderkey, '.0')", Pedido_externo="concat('e', l_orderkey)", Cliente="concat('k', o_custkey)", **keys).where("`Pedido` not like '%7.0'"))
+    return normalize.movements(raw, lookup).select("movement_type", *enrich.LOOKUP_KEYS, *enrich.LOOKUP_FILL, "external_order_id_source", "external_order_id_enriched", "transaction_id")
+
+
 def normalize_requests(spark, sf_dir):
     raw = _raw(
         spark, sf_dir, Código_Genérico="concat('sge', o_orderkey)", Fecha_de_servicio="if(l_suppkey % 4 = 0, null, date_format(date_add(o_orderdate, cast(o_orderkey % 2 * (l_linenumber % 3) as int)), 'dd/MM/yyyy HH:mm:ss'))",
@@ -283,10 +315,10 @@ def series_offsets(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        text_normalize, text_codes, text_dates, service_classes, request_dates, quality_nulls, quality_issues, quality_duplicates, quality_model_rows, quality_top_values, quality_classes, quality_date_fields, quality_several_dates,
+        text_normalize, text_codes, text_dates, service_classes, request_dates, quality_nulls, quality_issues, quality_duplicates, quality_model_rows, quality_top_values, quality_classes, quality_date_fields, quality_several_dates, quality_most_moved, quality_unknown_concepts,
         quality_years, quality_delta, join_lookup_fill, join_impute, join_notes, join_unmatched, join_best_item, join_open_requests, join_as_of, join_key_difference, join_unique_notes, fact_requests, fact_services_notes,
         fact_services_requests, fact_services_hybrid, fact_freshness, fact_picking, fact_other_movements, fact_backlog, fact_backlog_horizon, fact_weekly, fact_actuals_daily, fact_actuals_weekly, fact_kpi_cards, calendar_days,
-        calendar_weeks, series_features, series_offsets, quality_prefixes, normalize_movements, normalize_requests, normalize_items, normalize_notes, normalize_stock,
+        calendar_weeks, series_features, series_offsets, quality_prefixes, normalize_movements, normalize_lookup, normalize_requests, normalize_items, normalize_notes, normalize_stock,
     )
 }
 
@@ -305,7 +337,7 @@ rq AS (SELECT *, CASE WHEN pick THEN coalesce(service_date, event_end, event_sta
  CASE WHEN service_date IS NOT NULL THEN 1 WHEN pick THEN CASE WHEN event_end IS NOT NULL THEN 2 WHEN event_start IS NOT NULL THEN 3 ELSE 999 END ELSE CASE WHEN event_start IS NOT NULL THEN 2 WHEN event_end IS NOT NULL THEN 3 ELSE 999 END END AS rank,
  CASE WHEN service_date IS NOT NULL THEN 'service_date' WHEN pick THEN CASE WHEN event_end IS NOT NULL THEN 'event_end' WHEN event_start IS NOT NULL THEN 'event_start' ELSE '<MISSING>' END ELSE CASE WHEN event_start IS NOT NULL THEN 'event_start' WHEN event_end IS NOT NULL THEN 'event_end' ELSE '<MISSING>' END END AS field FROM r1)"""
 _LV = f"""{_RQ}, lv0 AS (SELECT generic_code, count(*) AS lines, count(DISTINCT sku) AS items, sum(requested_quantity) AS units, sum(requested_quantity * coalesce(kilos, 0)) AS kg, sum(requested_quantity * coalesce(i.m3, 0)) AS m3, min(created_date) AS created_date,
- arg_min({{'date': date, 'service_type': service_type, 'service_class': service_class, 'field': field, 'fallback': rank > 1}}, (rank, -epoch(modified_at), -(date - DATE '1970-01-01'), service_type, service_class, field)) AS v FROM rq LEFT JOIN items i USING (sku) WHERE date IS NOT NULL GROUP BY generic_code),
+ arg_min({{'date': date, 'service_type': service_type, 'service_class': service_class, 'field': field, 'fallback': rank > 1}}, (rank, -epoch(greatest(modified_at, line_modified_at, order_created_at, request_created_at, created_date)), -(date - DATE '1970-01-01'), service_type, service_class, field)) AS v FROM rq LEFT JOIN items i USING (sku) WHERE date IS NOT NULL GROUP BY generic_code),
 lv AS (SELECT * EXCLUDE (v), v.date AS date, v.service_type AS service_type, v.service_class AS service_class, v.field AS field, v.fallback AS fallback, (v.date - created_date)::INT AS lead_days FROM lv0)"""
 _NT = f"""nt AS (SELECT *, {_class('service_code', 'action', 'concept')}, CASE urgency WHEN 'N' THEN 'NO' WHEN 'SI' THEN 'SI' WHEN 'MUY URGENTE' THEN 'MUY_URGENTE' ELSE 'UNKNOWN' END AS u, ceil(greatest(coalesce(weight_kg, 0), coalesce(volume_m3, 0) * 270))::BIGINT AS billable_kg FROM notes)"""
 _CNT = """count(*) FILTER (service_type = 'SGE' AND service_class = 'delivery') AS deliveries_sge, count(*) FILTER (service_type = 'SGP' AND service_class = 'delivery') AS deliveries_sgp, count(*) FILTER (service_type = 'EGE' AND service_class = 'pickup') AS pickups_ege,
@@ -328,6 +360,9 @@ cal AS (SELECT date, holiday_national, holiday_region, holiday_city, year(date):
  coalesce(lead(holiday) OVER w, 0) AS pre_holiday, coalesce(lag(holiday) OVER w, 0) AS post_holiday, (greatest(holiday, weekend) = 0 AND coalesce(lag(greatest(holiday, weekend)) OVER w, 0) = 1 AND coalesce(lead(greatest(holiday, weekend)) OVER w, 0) = 1)::INT AS bridge, (date - easter)::INT AS easter_days, ((date - easter) BETWEEN 1 AND 6)::INT AS easter_week FROM c1 JOIN ec ON y = year(date) WINDOW w AS (ORDER BY date))"""
 _FR = lambda w: f"(PARTITION BY series ORDER BY date ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
 
+_MOV = """mo AS (SELECT generic_code, count(DISTINCT date) AS dates, min(date) AS first, max(date) AS last, arg_max(date, (greatest(modified_at, line_modified_at, order_created_at, request_created_at, created_date), date)) AS latest, (arg_max(date, (greatest(modified_at, line_modified_at, order_created_at, request_created_at, created_date), date)) - min(date))::INT AS shift
+FROM rq WHERE date IS NOT NULL GROUP BY generic_code)"""
+
 ORACLES = {
     "text_normalize": r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(strip_accents(upper(replace(trim(text, ' '), 'ß', 'SS'))), '[^\x00-\x7F]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) AS text_sha256 FROM documents",
     "text_codes": "SELECT l_orderkey, l_linenumber, l_partkey::VARCHAR AS code, '00' || l_partkey AS identifier, l_partkey::DOUBLE AS number FROM lineitem",
@@ -342,12 +377,15 @@ SELECT issue, rows::BIGINT AS rows, round(rows / total, 6) AS share, CASE WHEN i
     "quality_top_values": f"WITH {CTES} SELECT coalesce(location, '<EMPTY>') AS value, count(*) AS count FROM movements GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "quality_classes": f"WITH {CTES}, {_NT}, k AS (SELECT service_class, service_code, row_number() OVER (PARTITION BY service_class ORDER BY service_code, service_type) AS k FROM nt) SELECT service_class, count(*) AS rows, string_agg(service_code, ',' ORDER BY service_code) FILTER (k <= 5) AS examples, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM k GROUP BY service_class",
     "quality_date_fields": f"{_RQ} SELECT service_type, field, count(*) AS rows, round(avg((rank BETWEEN 2 AND 3)::INT), 6) AS fallback_pct, round(avg((rank = 999)::INT), 6) AS missing_pct, min(date) AS first_date, max(date) AS last_date, round(count(*) / sum(count(*)) OVER (PARTITION BY service_type), 6) AS share FROM rq GROUP BY service_type, field",
-    "quality_several_dates": f"{_RQ}, p AS (SELECT generic_code, count(DISTINCT date) AS n, (max(date) - min(date))::INT AS shift FROM rq WHERE date IS NOT NULL GROUP BY 1) SELECT count(*) AS codes, count(*) FILTER (n > 1) AS with_several, round(avg((n > 1)::INT), 6) AS share, quantile_cont(shift, 0.5) FILTER (n > 1)::DOUBLE AS median_shift, quantile_cont(shift, 0.9) FILTER (n > 1)::DOUBLE AS p90_shift, max(shift) FILTER (n > 1) AS max_shift FROM p",
+    "quality_several_dates": f"{_RQ}, {_MOV} SELECT count(*) AS codes, count(*) FILTER (dates > 1) AS with_several, round(avg((dates > 1)::INT), 6) AS share, round(coalesce(avg((shift <> 0)::INT) FILTER (dates > 1), 0), 6) AS moved_share, quantile_cont(shift, 0.5) FILTER (dates > 1)::DOUBLE AS median_shift, quantile_cont(shift, 0.9) FILTER (dates > 1)::DOUBLE AS p90_shift, max(shift) FILTER (dates > 1) AS max_shift FROM mo",
+    "quality_most_moved": f"{_RQ}, {_MOV} SELECT * FROM mo WHERE dates > 1 ORDER BY shift DESC, generic_code LIMIT 20",
+    "quality_unknown_concepts": f"{_RQ} SELECT concept, count(*) AS rows, (SELECT round(avg((service_class = 'UNK')::INT), 6) FROM rq) AS unknown_pct FROM rq WHERE service_class = 'UNK' GROUP BY concept ORDER BY rows DESC, concept LIMIT 50",
     "quality_years": f"WITH {CTES} SELECT year(operational_date)::INT AS year, count(*) AS rows, sum(quantity) AS total, year(operational_date) = 2000 AS is_reference FROM movements GROUP BY ALL",
     "quality_delta": f"WITH {CTES}, {_PK}, w AS ({_WEEKLY}), l AS (SELECT week, kpi, (CASE kpi WHEN 'lines' THEN lines ELSE units END)::DOUBLE AS v FROM w, (VALUES ('lines'), ('units')) AS k(kpi)), d AS (SELECT kpi, v AS b, CASE WHEN month(week) = 1 THEN v + 1 ELSE v END AS a FROM l) SELECT kpi, sum(b) AS before, sum(a) AS after, sum(a - b) AS net_delta, sum(abs(a - b)) AS absolute_delta, count(*) FILTER (a <> b) AS changed_rows FROM d GROUP BY kpi",
-    "join_lookup_fill": f"""WITH {CTES}, u AS (SELECT owner, sku, min(external_order_id) AS o FROM movements WHERE movement_type = 'PI' AND external_order_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT external_order_id) = 1),
-f AS (SELECT movement_type, CASE WHEN external_order_id IS NOT NULL THEN 'original' WHEN movement_type = 'PI' AND o IS NOT NULL THEN 'lookup' ELSE 'missing' END AS source, (external_order_id IS NULL AND movement_type = 'PI' AND o IS NOT NULL)::INT AS enriched, coalesce(external_order_id, CASE WHEN movement_type = 'PI' THEN o END) AS x FROM movements LEFT JOIN u USING (owner, sku))
-SELECT movement_type, source, enriched, count(*) AS rows, count(DISTINCT x) AS orders FROM f GROUP BY ALL""",
+    "join_lookup_fill": f"""WITH l0 AS (SELECT l_linenumber, l_orderkey, {staging._sql(_LOOKUP)} FROM {staging._LINES}), l1 AS (SELECT * EXCLUDE (l_linenumber, l_orderkey) FROM l0 WHERE l_linenumber % 3 <> 1 UNION SELECT * EXCLUDE (l_linenumber, l_orderkey) REPLACE ('other' AS external_order_id) FROM l0 WHERE l_linenumber = 2 AND l_orderkey % 4 = 0),
+l2 AS (SELECT * FROM l1 WHERE external_order_id IS NOT NULL AND completed_at IS NOT NULL QUALIFY count(*) OVER (PARTITION BY pallet, sku, completed_at, quantity, owner) = 1),
+m AS (SELECT {staging._sql(staging.MOVEMENTS | _FILLED)} FROM {staging._LINES}), j AS (SELECT m.*, l2.order_id AS a, l2.external_order_id AS b, l2.client AS c, l2.external_client AS d FROM m LEFT JOIN l2 ON m.movement_type = 'PI' AND m.external_order_id IS NULL AND l2.pallet = m.pallet AND l2.sku = m.sku AND l2.completed_at = m.completed_at AND l2.quantity = m.quantity AND l2.owner = m.owner)
+SELECT movement_type, pallet, sku, completed_at, quantity, owner, coalesce(order_id, a) AS order_id, coalesce(external_order_id, b) AS external_order_id, coalesce(client, c) AS client, coalesce(external_client, d) AS external_client, CASE WHEN b IS NOT NULL THEN 'lookup' WHEN external_order_id IS NOT NULL THEN 'source' END AS source, (b IS NOT NULL)::INT AS enriched FROM j""",
     "join_impute": f"WITH {CTES}, w AS (SELECT *, min(service_date) OVER (PARTITION BY generic_code) AS a, max(service_date) OVER (PARTITION BY generic_code) AS b FROM requests) SELECT generic_code, sku, coalesce(service_date, CASE WHEN a = b THEN a END) AS service_date, (service_date IS NULL AND a = b AND a IS NOT NULL)::INT AS imputed FROM w",
     "join_notes": f"""WITH {CTES}, n AS (SELECT order_code, service_code, row_number() OVER (PARTITION BY order_code ORDER BY service_date, service_code) AS k FROM notes WHERE order_code IS NOT NULL), j AS (SELECT substr(service_code, 1, 2) AS type, service_code IS NOT NULL AS hit FROM movements LEFT JOIN n ON order_code = external_order_id AND k = 1)
 SELECT 'all' AS scope, count(*) AS rows, count(*) FILTER (hit) AS matched, round(avg(hit::INT), 6) AS matched_pct FROM j UNION ALL SELECT coalesce(type, '<UNMATCHED>'), count(*), count(*) FILTER (hit), round(avg(hit::INT), 6) FROM j GROUP BY type""",
@@ -379,10 +417,15 @@ round(avg(target) OVER (PARTITION BY series, isodow(date) ORDER BY date ROWS BET
     "series_offsets": f"""{_LV}, a AS (SELECT regexp_extract(generic_code, '([0-9]+)$', 1) AS code, service_type, date AS service_date FROM lv), p AS (SELECT external_order_id AS code, operational_date AS pick_date, quantity FROM movements WHERE movement_type = 'PI' AND external_order_id IS NOT NULL)
 SELECT service_type, (service_date - pick_date)::INT AS "offset", count(*) AS lines, sum(quantity) AS units FROM a JOIN p USING (code) WHERE service_date - pick_date BETWEEN 0 AND 30 GROUP BY ALL""",
     "quality_prefixes": f"WITH {CTES} SELECT coalesce(nullif(regexp_extract(upper(generic_code), '^[A-Z]+'), ''), 'OTHER') AS prefix, count(*) AS count FROM requests GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
+    "normalize_lookup": """WITH l AS (SELECT l_orderkey, l_linenumber, 'P' || l_suppkey AS pallet, l_partkey::VARCHAR AS sku, date_trunc('minute', l_shipdate)::TIMESTAMP AS completed_at, l_quantity::DOUBLE AS quantity, 'C' || (o_custkey % 50) AS owner, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+k AS (SELECT pallet, sku, completed_at, quantity, owner, min(l_orderkey) AS o, min('K' || o_custkey) AS c FROM l WHERE l_orderkey % 10 <> 7 GROUP BY ALL HAVING count(DISTINCT (l_orderkey, o_custkey)) = 1),
+j AS (SELECT l.*, CASE WHEN l_linenumber = 3 THEN 'CR' ELSE 'PI' END AS movement_type, CASE WHEN l_linenumber = 2 THEN 'OWN' END AS own, o, c FROM l LEFT JOIN k ON l_linenumber NOT IN (2, 3) AND k.pallet = l.pallet AND k.sku = l.sku AND k.completed_at = l.completed_at AND k.quantity = l.quantity AND k.owner = l.owner)
+SELECT movement_type, pallet, sku, completed_at, quantity, owner, o::VARCHAR AS order_id, coalesce(own, 'E' || o) AS external_order_id, CASE WHEN o IS NOT NULL THEN c END AS client, NULL::VARCHAR AS external_client, CASE WHEN o IS NOT NULL THEN 'lookup' WHEN own IS NOT NULL THEN 'source' END AS external_order_id_source,
+(o IS NOT NULL)::INT AS external_order_id_enriched, coalesce(own, 'E' || o) || '|' || owner AS transaction_id FROM j""",
     "normalize_movements": """WITH m AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'CR' ELSE 'PI' END AS movement_type, o_orderdate::TIMESTAMP AS started_at, CASE WHEN l_linenumber % 7 <> 0 THEN date_trunc('day', l_shipdate)::TIMESTAMP END AS completed_at, l_partkey, l_quantity::DOUBLE AS quantity, 'C' || (o_custkey % 50) AS owner,
  CASE WHEN l_suppkey % 10 <> 0 THEN l_orderkey::VARCHAR END AS external_order_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT movement_type, started_at, completed_at, coalesce(completed_at, started_at)::DATE AS operational_date, (completed_at IS NULL)::INT AS date_fallback, (epoch(completed_at) - epoch(started_at))::BIGINT AS duration_seconds, l_partkey::VARCHAR AS sku, 'ITEM ' || l_partkey AS sku_description, quantity, owner, external_order_id,
- CASE WHEN external_order_id IS NULL THEN 'missing' ELSE 'original' END AS external_order_id_source, 0 AS external_order_id_enriched, external_order_id || '|' || owner AS transaction_id FROM m""",
+ CASE WHEN external_order_id IS NOT NULL THEN 'source' END AS external_order_id_source, 0 AS external_order_id_enriched, external_order_id || '|' || owner AS transaction_id FROM m""",
     "normalize_requests": """WITH r AS (SELECT 'SGE' || o_orderkey AS generic_code, CASE WHEN l_suppkey % 4 <> 0 THEN o_orderdate::DATE + (o_orderkey % 2 * (l_linenumber % 3))::INT END AS d, o_orderdate::TIMESTAMP AS created_at, l_partkey::VARCHAR AS sku, CASE l_linenumber % 3 WHEN 0 THEN 'ENVIO' WHEN 1 THEN 'RECOGIDA' END AS action FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 w AS (SELECT *, min(d) OVER (PARTITION BY generic_code) AS a, max(d) OVER (PARTITION BY generic_code) AS b FROM r)
 SELECT generic_code, coalesce(d, CASE WHEN a = b THEN a END) AS service_date, (d IS NULL AND a IS NOT NULL AND a = b)::INT AS service_date_imputed_from_request, created_at, sku, action, CASE action WHEN 'ENVIO' THEN 'delivery' WHEN 'RECOGIDA' THEN 'pickup' END AS service_flow, NULL::DOUBLE AS requested_quantity FROM w""",

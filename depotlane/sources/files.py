@@ -17,12 +17,17 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_snapshot(spark: SparkSession, pattern: str) -> DataFrame:
-    """Rows of the files whose name holds the newest dd-mm-yyyy date, with snapshot_date."""
-    rows = spark.read.csv(pattern, header=True, inferSchema=False).select("*", F.col("_metadata.file_name").alias("_file"))
-    day = F.try_to_timestamp(F.nullif(F.regexp_extract("_file", "([0-9]{2}-[0-9]{2}-[0-9]{4})", 1), F.lit("")), F.lit("dd-MM-yyyy"))
-    rows = rows.withColumn("snapshot_date", F.to_date(day)).drop("_file")
-    newest = rows.agg(F.max("snapshot_date").alias("_newest"))
-    return rows.join(F.broadcast(newest), F.col("snapshot_date") == F.col("_newest")).drop("_newest")  # one row
+    """Rows of the files whose name holds the newest dd-mm-yyyy date, with snapshot_date; no rows if none holds one.
+
+    The date is chosen from a listing of names, so older files are never opened. That listing is all the driver sees.
+    """
+    names = spark.read.format("binaryFile").load(pattern).select("path")  # of a path alone, no content is read
+    day = F.try_to_timestamp(F.nullif(F.regexp_extract(F.element_at(F.split("path", "/"), -1), "([0-9]{2}-[0-9]{2}-[0-9]{4})", 1), F.lit("")), F.lit("dd-MM-yyyy"))
+    found = names.select("path", F.to_date(day).alias("day")).collect()
+    newest = max((r.day for r in found if r.day), default=None)
+    paths = [r.path for r in found if newest and r.day == newest]
+    rows = spark.read.csv(paths or pattern, header=True, inferSchema=False)
+    return (rows if paths else rows.limit(0)).withColumn("snapshot_date", F.lit(newest).cast("date"))
 
 
 def header(name: str) -> str:

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from depotlane.functions import text as t
+from depotlane.lineage import cut
 from depotlane.operators import enrich
 from depotlane.sources.files import header
 
@@ -39,6 +40,10 @@ NOTES = {
 STOCK = {
     "owner": ("text", "denominacion_propietario"), "owner_code": ("code", "propie"), "sku": ("code", "art_y"), "sku_description": ("text", "denominacion"), "stock_quantity": ("number", "stock_pal"), "location": ("code", "ubicacion"), "occupancy_status": ("text", "ocupacion"),
 }
+LOOKUP = {
+    "pallet": ("code", "paleta"), "sku": ("code", "articulo"), "completed_at": ("time", "fecha_finalizacion"), "quantity": ("number", "cantidad"), "owner": ("code", "propietario"),
+    "order_id": ("code", "pedido"), "external_order_id": ("code", "pedido_externo"), "client": ("code", "cliente"), "external_client": ("code", "cliente_externo"),
+}
 READERS = {"text": t.normalize_text, "code": t.normalize_code, "number": t.number, "time": t.day_first, "day": lambda c: F.to_date(t.day_first(c))}
 TYPES = {"text": "string", "code": "string", "number": "double", "time": "timestamp", "day": "date"}
 
@@ -57,14 +62,21 @@ def columns(raw: DataFrame, fields: Mapping[str, Sequence[str]]) -> DataFrame:
     return raw.select(*[one(name, *how) for name, how in fields.items()])
 
 
-def movements(raw: DataFrame, lookup: DataFrame | None = None, keys: Sequence[str] = ("pallet", "sku")) -> DataFrame:
-    """Movements with operational date, filled orders (from an unambiguous lookup, if given) and transaction id."""
+def order_lookup(raw: DataFrame) -> DataFrame:
+    """Orders by movement: rows with all keys and an order, whose keys stand for one set of values only."""
+    return enrich.unambiguous(columns(raw, LOOKUP).where("external_order_id is not null"), enrich.LOOKUP_KEYS, enrich.LOOKUP_FILL)
+
+
+def movements(raw: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
+    """Movements with operational date, orders filled from a lookup (if one is given) and transaction id.
+
+    lookup: as from `order_lookup`.
+    """
     out = columns(raw, MOVEMENTS).withColumn("d", t.operational("started_at", "completed_at")).select("*", "d.*").drop("d")
     if lookup is None:
-        known = F.when(F.col("external_order_id").isNotNull(), "original").otherwise("missing")
-        out = out.withColumns({"enriched": F.lit(0), "source": known})
+        out = out.withColumns({"enriched": F.lit(0), "source": F.when(F.col("external_order_id").isNotNull(), "source")})
     else:
-        out = enrich.fill_orders(out, lookup, list(keys))
+        out = enrich.fill_orders(cut(out), lookup)  # two branches read it, and their filters would repeat all reading of text
     out = out.withColumnsRenamed({"enriched": "external_order_id_enriched", "source": "external_order_id_source"})
     return out.withColumns({"service_code": F.col("external_order_id"), "basket_date": F.col("operational_date"), "transaction_id": F.concat("external_order_id", F.lit("|"), "owner")})
 

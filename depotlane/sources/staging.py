@@ -31,6 +31,9 @@ REQUESTS = {
     "event_start": "CASE WHEN l_suppkey % 8 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(2 AS INT) END",
     "event_end": "CAST(o_orderdate AS DATE) + CAST(l_linenumber % 4 + 3 AS INT)",
     "modified_at": "l_shipdate",
+    "line_modified_at": "CASE WHEN l_linenumber % 3 = 0 THEN l_shipdate + INTERVAL 2 DAY END",
+    "order_created_at": "o_orderdate",
+    "request_created_at": "CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 90 DAY END",
 }
 NOTES = {
     "service_code": "CASE o_orderpriority WHEN '1-URGENT' THEN 'SGP' WHEN '2-HIGH' THEN 'SGE' WHEN '4-NOT SPECIFIED' THEN 'EGE' ELSE 'ZZ' END || CAST(o_orderkey AS STRING)",

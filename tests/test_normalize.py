@@ -2,6 +2,8 @@
 
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
 from depotlane.functions import text as t
 from depotlane.operators import basket, enrich, nowcast, quality
 from depotlane.sources import normalize
@@ -9,13 +11,23 @@ from depotlane.sources import normalize
 
 def test_movements_with_lookup(spark):
     raw = spark.createDataFrame([("PI", "01/02/2024 10:00:00", "x", "022043", "5", "C1", None), ("pi", "01/02/2024", "02/02/2024 00:00:10", "9", "n", "C1", "K.0")], "`Tipo movimiento` string, `Fecha inicio` string, `Fecha finalización` string, `Artículo` string, Cantidad string, Propietario string, `Pedido externo` string")
-    lookup = spark.createDataFrame([("C1", "22043", "SGE202205972")], "owner string, sku string, external_order_id string")
-    a, b = sorted(normalize.movements(raw, lookup, ["owner", "sku"]).collect(), key=lambda r: r.sku)
-    assert (a.sku, a.external_order_id, a.external_order_id_source, a.external_order_id_enriched, a.operational_date, a.date_fallback, a.duration_seconds) == ("22043", "SGE202205972", "lookup", 1, date(2024, 2, 1), 1, None)
-    assert (b.movement_type, b.external_order_id, b.external_order_id_source, b.operational_date, b.date_fallback, b.duration_seconds, b.quantity) == ("PI", "K", "original", date(2024, 2, 2), 0, 86410, None)
+    raw = raw.withColumn("Paleta", F.lit("p1"))
+    key = ("P1", "22043", datetime(2024, 2, 1, 10, 5), 5.0, "C1")
+    raw = raw.withColumn("Fecha finalización", F.when(F.col("Artículo") == "022043", "01/02/2024 10:05:00").otherwise(F.col("Fecha finalización")))
+    columns = "paleta string, articulo string, `Fecha finalizacion` timestamp, cantidad double, propietario string, pedido string, `Pedido externo` string, cliente string, `Cliente externo` string"
+    rows = [(*key, "12345", "SGE202205972", "C001", None), (*key, "12345", "SGE202205972", "C001", None), (*key, "12345", None, "C001", None)]
+    lookup = spark.createDataFrame(rows, columns).withColumn("Fecha finalizacion", F.date_format("Fecha finalizacion", "dd/MM/yyyy HH:mm:ss"))
+    assert normalize.order_lookup(lookup).count() == 1
+    a, b = sorted(normalize.movements(raw, normalize.order_lookup(lookup)).collect(), key=lambda r: r.sku)
+    assert (a.sku, a.external_order_id, a.external_order_id_source, a.external_order_id_enriched, a.operational_date, a.date_fallback, a.duration_seconds) == ("22043", "SGE202205972", "lookup", 1, date(2024, 2, 1), 0, 300)
+    assert (a.order_id, a.client, a.external_client) == ("12345", "C001", None)
+    assert (b.movement_type, b.external_order_id, b.external_order_id_source, b.operational_date, b.date_fallback, b.duration_seconds, b.quantity) == ("PI", "K", "source", date(2024, 2, 2), 0, 86410, None)
+    other = lookup.unionByName(lookup.withColumn("Pedido externo", F.lit("other")))
+    assert [r.external_order_id for r in normalize.movements(raw, normalize.order_lookup(other)).orderBy("sku").collect()] == [None, "K"]  # the key is ambiguous
+    assert enrich.fill_orders(normalize.movements(raw).drop("enriched", "source"), normalize.columns(other, normalize.LOOKUP)).count() == 2  # nor does it multiply movements
     assert a.transaction_id == "SGE202205972|C1"
     assert normalize.movements(raw.limit(0)).count() == 0
-    assert normalize.movements(raw.select("Cantidad")).first().external_order_id_source == "missing"
+    assert normalize.movements(raw.select("Cantidad")).first().external_order_id_source is None
 
 
 def test_request_lines(spark):
