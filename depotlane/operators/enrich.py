@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def unambiguous(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Distinct rows with complete keys whose keys stand for one set of values only."""
+    """One row for each complete key that stands for one set of values only (null being a value)."""
     whole = df
     for k in keys:
         whole = whole.where(F.col(k).isNotNull())
-    out = whole.select(*keys, *values).distinct()
-    once = out.groupBy(*keys).agg(F.count("*").alias("n")).where("n = 1").drop("n")
-    return out.join(once, list(keys), "left_semi")
+    own = F.struct(*values)
+    out = whole.groupBy(*keys).agg(F.min(own).alias("_least"), F.max(own).alias("_most")).where(F.col("_least").eqNullSafe(F.col("_most")))
+    return out.select(*keys, "_least.*")
 
 
 #: What a movement is looked up by, and what a lookup fills.

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from depotlane.functions.text import monday, monday_of_iso, same_day_in
+from depotlane.functions.text import monday, monday_of_iso, same_day_in, weekly_bucket
 
 HISTORY_KEY = ("run_id", "target_date", "kpi", "model", "source", "frequency")
 
@@ -52,10 +52,30 @@ def consumption(history: DataFrame, kpis: Sequence[str], date: str = "target_dat
     return own.withColumn("_k", last).where("_k = 1").drop("_k")
 
 
+def consumption_weekly(history: DataFrame, kpis: Sequence[str], actuals_weekly: DataFrame, source: str = "daily_aggregated") -> DataFrame:
+    """One row for each week and KPI of the latest run: its days' sum, horizon in whole weeks with its bucket, and the week's actual.
+
+    actuals_weekly: week, kpi, actual_value, actual_source, actual_truth.
+    """
+    weeks = weekly_history(consumption(history, kpis)).withColumn("horizon_weeks", (F.datediff("week", monday(F.col("run_date"))) / 7).cast("int"))
+    out = weeks.withColumns({"bucket": weekly_bucket(F.col("horizon_weeks")), "source": F.lit(source)})
+    known = actuals_weekly.select("week", "kpi", "actual_value", "actual_source", "actual_truth")
+    return out.select("run_id", "week", "kpi", "forecast_value", "days", "horizon_weeks", "bucket", "source").join(known, ["week", "kpi"], "left")
+
+
+def reconciled(daily: DataFrame, totals: dict[str, Sequence[str]], by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(daily, weekly) forecasts (by, date, kpi, forecast) with totals of KPIs as further KPIs, weeks being sums of days."""
+    out = daily.select(*by, "date", "kpi", "forecast")
+    for name, parts in totals.items():
+        total = daily.where(F.col("kpi").isin(*parts)).groupBy(*by, "date").agg(F.sum("forecast").alias("forecast"))
+        out = out.unionByName(total.withColumn("kpi", F.lit(name)))
+    return out, out.groupBy(*by, monday(F.col("date")).alias("week"), "kpi").agg(F.sum("forecast").alias("forecast"))
+
+
 def full_year(spark: SparkSession, year: int, kpis: Sequence[str], weekly: bool = False) -> DataFrame:
-    """Every day (or Monday) of a year with every KPI."""
+    """Every day (or Monday that lies in the year) with every KPI."""
     step = "interval 7 days" if weekly else "interval 1 day"
-    start = f"date_trunc('week', date'{year}-01-04')" if weekly else f"date'{year}-01-01'"
+    start = f"next_day(date'{year - 1}-12-31', 'MO')" if weekly else f"date'{year}-01-01'"
     days = spark.sql(f"select explode(sequence(cast({start} as date), date'{year}-12-31', {step})) as date")
     return days.withColumn("kpi", F.explode(F.array(*[F.lit(k) for k in kpis])))
 
@@ -72,10 +92,13 @@ def year_on_year_daily(base: DataFrame, actuals: DataFrame, forecasts: DataFrame
     return _compared(out.join(a.toDF("reference_date", "kpi", "reference"), ["reference_date", "kpi"], "left"))
 
 
-def year_on_year_weekly(base: DataFrame, actuals_weekly: DataFrame, reference_year: int) -> DataFrame:
-    """Each week with its actual and the same ISO week of the reference year."""
+def year_on_year_weekly(base: DataFrame, actuals_weekly: DataFrame, reference_year: int, forecasts: DataFrame | None = None) -> DataFrame:
+    """Each week with its actual, its forecast (week, kpi, forecast_value, if given) and the same ISO week of the reference year."""
     a = actuals_weekly.select(F.col("week").alias("date"), "kpi", F.col("actual_value").alias("actual"))
-    out = base.join(a, ["date", "kpi"], "left").withColumn("reference_date", monday_of_iso(F.lit(reference_year), F.weekofyear("date")))
+    out = base.join(a, ["date", "kpi"], "left")
+    if forecasts is not None:
+        out = out.join(forecasts.select(F.col("week").alias("date"), "kpi", F.col("forecast_value").alias("forecast")), ["date", "kpi"], "left")
+    out = out.withColumn("reference_date", monday_of_iso(F.lit(reference_year), F.weekofyear("date")))
     return _compared(out.join(a.toDF("reference_date", "kpi", "reference"), ["reference_date", "kpi"], "left"))
 
 
@@ -109,15 +132,42 @@ def progress(spark: SparkSession, run_date: str, kpis: Sequence[str], plan: Data
     })
 
 
-def validations(compared: DataFrame, forecasts: DataFrame, kpis: Sequence[str], warn: float = 0.9) -> DataFrame:
-    """check, kpi, value, status: duplicate keys, forecast keys without a row, and how much of each KPI has a reference."""
-    keys = ["date", "kpi"]
-    status = lambda bad: F.when(bad, "error").otherwise("ok")
-    twice = compared.groupBy(*keys).count().where("count > 1").agg(F.count("*").cast("double").alias("value")).select(F.lit("duplicate_keys").alias("check"), F.lit("all").alias("kpi"), "value", status(F.col("value") > 0).alias("status"))
-    lost = forecasts.select(*keys).distinct().join(compared.select(*keys), keys, "left_anti").agg(F.count("*").cast("double").alias("value")).select(F.lit("forecast_without_row").alias("check"), F.lit("all").alias("kpi"), "value", status(F.col("value") > 0).alias("status"))
-    covered = compared.where(F.col("kpi").isin(*kpis)).groupBy("kpi").agg(F.avg(F.col("reference").isNotNull().cast("int")).alias("value"))
-    covered = covered.select(F.lit("reference_coverage").alias("check"), "kpi", "value", F.when(F.col("value") >= warn, "ok").when(F.col("value") > 0, "warning").otherwise("error").alias("status"))
-    return twice.unionByName(lost).unionByName(covered)
+def validations(
+    daily: DataFrame, weekly: DataFrame, compared_daily: DataFrame, compared_weekly: DataFrame, progressed: DataFrame, actuals: DataFrame, dimension: DataFrame, kpis: Sequence[str], reference_year: int,
+    allowed: Sequence[str] = ("daily_aggregated",), enough: float = 0.95,
+) -> DataFrame:
+    """check, kpi ('all' for whole tables), value, status (ok, warning, error) of the consumption tables.
+
+    daily, weekly: date, kpi (and source) of the forecasts shown; compared_*: date, kpi, reference_date, reference of
+    the year-on-year tables; progressed: rows of progress; actuals: date, kpi; dimension: kpi.
+    """
+    spark = daily.sparkSession
+    wanted = spark.createDataFrame([(k,) for k in kpis], "kpi string")
+    one = lambda df, name, value, bad, worst="error": df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("check"), F.lit("all").alias("kpi"), "value", F.when(bad(F.col("value")), worst).otherwise("ok").alias("status"))
+    sets = lambda df: df.select("kpi", F.lit(1).alias("has")).distinct().join(wanted.withColumn("want", F.lit(1)), "kpi", "full_outer")
+    differ = F.count_if(F.col("has").isNull() | F.col("want").isNull())
+    more = lambda v: v > 0
+    rows = [
+        one(sets(daily), "daily_kpis", differ, more, "warning"), one(sets(dimension), "dimension_kpis", differ, more, "warning"),
+        one(weekly, "weekly_source", F.count_if(unknown_source(weekly, allowed)), more), one(progressed, "progress_rows", F.count("*"), lambda v: v != len(kpis) * 3, "warning"),
+    ]
+    for name, shown, compared in (("daily", daily, compared_daily), ("weekly", weekly, compared_weekly)):
+        has = F.col("reference").isNotNull().cast("int")
+        rows.append(one(compared, f"{name}_coverage", F.coalesce(F.avg(has), F.lit(0.0)), lambda v: v < enough, "warning"))
+        rows.append(one(shown.groupBy("date", "kpi").count(), f"{name}_duplicates", F.coalesce(F.sum(F.col("count") - 1), F.lit(0)), more))
+        lost = wanted.join(shown.select("date", "kpi").distinct().join(compared.select("date", "kpi"), ["date", "kpi"], "left_anti"), "kpi", "left").groupBy("kpi").agg(F.count("date").alias("value"))
+        rows.append(one(lost, f"{name}_forecast_without_row", F.sum("value"), more))
+        rows.append(lost.select(F.lit(f"{name}_forecast_without_row").alias("check"), "kpi", F.col("value").cast("double").alias("value"), F.when(F.col("value") > 0, "error").otherwise("ok").alias("status")))
+        source = actuals.where(F.year("date") == reference_year).select("kpi", F.lit(True).alias("source")).distinct()
+        able = F.col("reference_date").isNotNull()
+        per = wanted.join(compared, "kpi", "left").groupBy("kpi").agg(F.count_if(able).alias("expected"), F.count_if(able & F.col("reference").isNotNull()).alias("known"))
+        per = per.join(source, "kpi", "left").withColumn("value", F.coalesce(F.try_divide(F.col("known"), F.col("expected")), F.lit(1.0)))
+        due = F.coalesce("source", F.lit(False)) & (F.col("expected") > 0)
+        rows.append(per.select(F.lit(f"{name}_reference").alias("check"), "kpi", "value", F.when(~due, "warning").when(F.col("value") < 1, "error").otherwise("ok").alias("status")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 def dim_kpi(spark: SparkSession, rows: Sequence[tuple[str, str, str, str]]) -> DataFrame:

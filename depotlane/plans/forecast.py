@@ -294,22 +294,49 @@ def quality_reference_alignment(spark, sf_dir):
     return quality.reference_alignment(current, compared, KPIS)
 
 
+def _actual_weeks(spark, sf_dir):
+    return facts.actuals_weekly(facts.actuals_daily(_picking(spark, sf_dir), KPIS))
+
+
+def _shown_weeks(spark, sf_dir):
+    return tracking.consumption_weekly(_history(spark, sf_dir), KPIS, _actual_weeks(spark, sf_dir))
+
+
+def consumption_weekly(spark, sf_dir):
+    return _shown_weeks(spark, sf_dir)
+
+
+def consumption_reconciled(spark, sf_dir):
+    days = tracking.consumption(_history(spark, sf_dir), KPIS).select(F.col("target_date").alias("date"), "kpi", F.col("forecast_value").alias("forecast"))
+    daily, weekly = tracking.reconciled(days, {"both": KPIS})
+    return daily.select(F.lit("day").alias("frequency"), "date", "kpi", "forecast").unionByName(weekly.select(F.lit("week").alias("frequency"), F.col("week").alias("date"), "kpi", "forecast"))
+
+
+def _yoy_weekly(spark, sf_dir):
+    return tracking.year_on_year_weekly(tracking.full_year(spark, 2001, KPIS, weekly=True), _actual_weeks(spark, sf_dir), 1997, _shown_weeks(spark, sf_dir))
+
+
 def consumption_year_weekly(spark, sf_dir):
-    weekly = facts.actuals_weekly(facts.actuals_daily(_picking(spark, sf_dir), KPIS))
-    return _round(tracking.year_on_year_weekly(tracking.full_year(spark, 2001, KPIS, weekly=True), weekly, 1997), "diff_pct")
+    return _round(_yoy_weekly(spark, sf_dir), "diff_pct")
 
 
-def consumption_progress(spark, sf_dir):
+def _progress(spark, sf_dir):
     history = _history(spark, sf_dir)
     plan = enrich.latest_before(history, ["kpi"], "forecast_value", "run_date", "target_date", "run_ts").withColumnRenamed("target_date", "date")
     rest = tracking.consumption(history, KPIS).select(F.col("target_date").alias("date"), "kpi", "forecast_value")
-    out = tracking.progress(spark, RUN, KPIS, plan, rest, facts.actuals_daily(_picking(spark, sf_dir), KPIS), 1996)
-    return _round(out, "fulfilled", "diff_pct")
+    return tracking.progress(spark, RUN, KPIS, plan, rest, facts.actuals_daily(_picking(spark, sf_dir), KPIS), 1996)
+
+
+def consumption_progress(spark, sf_dir):
+    return _round(_progress(spark, sf_dir), "fulfilled", "diff_pct")
 
 
 def consumption_checks(spark, sf_dir):
     compared, current = _yoy(spark, sf_dir)
-    return _round(tracking.validations(compared, current, KPIS), "value")
+    weeks = _shown_weeks(spark, sf_dir).withColumnRenamed("week", "date")
+    dimension = tracking.dim_kpi(spark, [("lines", "Lines", "lines", "picking"), ("units", "Units", "units", "picking")])
+    out = tracking.validations(current, weeks, cut(compared), cut(_yoy_weekly(spark, sf_dir)), _progress(spark, sf_dir), facts.actuals_daily(_picking(spark, sf_dir), KPIS), dimension, KPIS, 1996)
+    return _round(out, "value")
 
 
 def _graph(spark, sf_dir):
@@ -336,7 +363,7 @@ QUERIES = {
     for f in (
         forecast_folds, forecast_seasonal_naive, forecast_baselines, forecast_weekly, forecast_weekly_fitted, forecast_backtest, forecast_backtest_naive, forecast_metrics, forecast_rank_baselines, forecast_ranking, forecast_next, forecast_ablations,
         forecast_ridge, forecast_features, nowcast_maturity, nowcast_scalers, nowcast_blend, nowcast_postprocess, nowcast_transformer, nowcast_direct, nowcast_direct_metrics, forecast_replay, forecast_replay_report, forecast_replay_weekly,
-        tracking_history, tracking_weekly, tracking_errors, tracking_horizons, tracking_impact, consumption_daily, consumption_year_daily, quality_reference_coverage, quality_reference_alignment, consumption_year_weekly, consumption_progress, consumption_checks, graph_components, graph_clusters, graph_hubs,
+        tracking_history, tracking_weekly, tracking_errors, tracking_horizons, tracking_impact, consumption_daily, consumption_weekly, consumption_reconciled, consumption_year_daily, quality_reference_coverage, quality_reference_alignment, consumption_year_weekly, consumption_progress, consumption_checks, graph_components, graph_clusters, graph_hubs,
     )
 }
 
@@ -412,6 +439,11 @@ _WA = "wp AS (SELECT run_id, kpi, sum(abs_error) / nullif(sum(abs(actual_value))
 _YD = """yd AS (SELECT d AS date, kpi, make_date(1996, month(d), least(day(d), day(last_day(make_date(1996, month(d), 1))))) AS reference_date FROM (SELECT unnest(generate_series(DATE '2001-01-01', DATE '2001-12-31', INTERVAL 1 DAY))::DATE AS d), (VALUES ('lines'), ('units')) AS k(kpi)),
 yj AS (SELECT yd.date, yd.kpi, reference_date, a.actual_value AS actual, h.forecast_value AS forecast, r.actual_value AS reference FROM yd LEFT JOIN al a USING (date, kpi) LEFT JOIN hi h ON h.target_date = yd.date AND h.kpi = yd.kpi AND k = 2 LEFT JOIN al r ON r.date = reference_date AND r.kpi = yd.kpi)"""
 _DIFF = "actual - reference AS diff, round((actual - reference) / nullif(reference, 0), 6) AS diff_pct"
+_AW = "aw AS (SELECT date_trunc('week', date)::DATE AS date, kpi, sum(actual_value) AS actual FROM al WHERE kpi <> 'items' GROUP BY ALL)"
+_CW = """cw AS (SELECT run_id, date_trunc('week', target_date)::DATE AS week, kpi, sum(forecast_value) AS forecast_value, count(*) AS days, ((date_trunc('week', target_date)::DATE - date_trunc('week', run_date)::DATE) / 7)::INT AS horizon_weeks,
+CASE ((date_trunc('week', target_date)::DATE - date_trunc('week', run_date)::DATE) / 7)::INT WHEN 0 THEN NULL WHEN 1 THEN 'W+1' WHEN 2 THEN 'W+2' WHEN 3 THEN 'W+3_W+4' WHEN 4 THEN 'W+3_W+4' ELSE 'W+5' END AS bucket FROM hi WHERE k = 2 GROUP BY ALL)"""
+_YW = """y0 AS (SELECT d AS date, kpi, CASE WHEN isoyear(date_trunc('week', DATE '1997-01-04') + INTERVAL (7 * (weekofyear(d) - 1)) DAY) = 1997 THEN (date_trunc('week', DATE '1997-01-04') + INTERVAL (7 * (weekofyear(d) - 1)) DAY)::DATE END AS reference_date FROM (SELECT unnest(generate_series(DATE '2001-01-01', DATE '2001-12-31', INTERVAL 7 DAY))::DATE AS d), (VALUES ('lines'), ('units')) AS k(kpi)),
+yw AS (SELECT y0.date, y0.kpi, reference_date, a.actual, cw.forecast_value AS forecast, r.actual AS reference FROM y0 LEFT JOIN aw a USING (date, kpi) LEFT JOIN cw ON cw.week = y0.date AND cw.kpi = y0.kpi LEFT JOIN aw r ON r.date = reference_date AND r.kpi = y0.kpi)"""
 _MAT = lambda most: f"mh AS (SELECT date, service_type, h::INT AS horizon, count(*) FILTER (lead_days >= h) / count(*) AS r FROM lv, range(0, {most + 1}) AS t(h) WHERE created_date IS NOT NULL GROUP BY ALL), mc AS (SELECT service_type, horizon, least(greatest(quantile_cont(r, 0.5), 0.05), 1.0)::DOUBLE AS visible FROM mh GROUP BY ALL)"
 _SCL = "sa AS (SELECT date, service_type, count(*) FILTER (lines > 2) AS actual, count(*) AS due FROM lv GROUP BY ALL), scl AS (SELECT service_type, coalesce(quantile_cont(actual / due, 0.5), 1.0)::DOUBLE AS scaler FROM sa WHERE actual > 0 GROUP BY ALL)"
 _WTS = "(VALUES " + ", ".join(f"('{k}', '{b}', {s}::DOUBLE, {c}::DOUBLE)" for (k, b), (s, c) in nowcast.WEIGHTS.items()) + ") AS wt(wk, wb, ws, wc)"
@@ -482,16 +514,22 @@ CASE WHEN delta_mae <= -0.05 OR delta_wape <= -0.02 THEN 'helpful' WHEN delta_ma
     "quality_reference_alignment": f"""{_HI}, {_YD}, f AS (SELECT kpi, quarter(target_date)::INT AS quarter, count(*) AS forecast_rows, sum(forecast_value) AS forecast_sum FROM hi WHERE k = 2 GROUP BY ALL), r AS (SELECT kpi, quarter(date)::INT AS quarter, count(*) AS reference_rows, count(reference) AS reference_known, sum(reference) AS reference_sum FROM yj GROUP BY ALL)
 SELECT kpi, quarter, coalesce(forecast_rows, 0) AS forecast_rows, coalesce(forecast_sum, 0) AS forecast_sum, coalesce(reference_rows, 0) AS reference_rows, coalesce(reference_known, 0) AS reference_known, coalesce(reference_sum, 0) AS reference_sum, CASE WHEN reference_known > 0 THEN 'ok' ELSE 'error' END AS status
 FROM (SELECT DISTINCT quarter FROM f) CROSS JOIN (VALUES ('lines'), ('units')) AS k(kpi) LEFT JOIN f USING (kpi, quarter) LEFT JOIN r USING (kpi, quarter)""",
-    "consumption_year_weekly": f"""WITH {CTES}, {_ACT}, aw AS (SELECT date_trunc('week', date)::DATE AS date, kpi, sum(actual_value) AS actual FROM al WHERE kpi <> 'items' GROUP BY ALL),
-yw AS (SELECT d AS date, kpi, CASE WHEN isoyear(date_trunc('week', DATE '1997-01-04') + INTERVAL (7 * (weekofyear(d) - 1)) DAY) = 1997 THEN (date_trunc('week', DATE '1997-01-04') + INTERVAL (7 * (weekofyear(d) - 1)) DAY)::DATE END AS reference_date FROM (SELECT unnest(generate_series(DATE '2001-01-01', DATE '2001-12-31', INTERVAL 7 DAY))::DATE AS d), (VALUES ('lines'), ('units')) AS k(kpi)),
-j AS (SELECT yw.date, yw.kpi, reference_date, a.actual, r.actual AS reference FROM yw LEFT JOIN aw a USING (date, kpi) LEFT JOIN aw r ON r.date = reference_date AND r.kpi = yw.kpi) SELECT *, {_DIFF} FROM j""",
+    "consumption_weekly": f"{_HI}, {_AW}, {_CW} SELECT run_id, week, cw.kpi, forecast_value, days, horizon_weeks, bucket, 'daily_aggregated' AS source, actual AS actual_value, CASE WHEN actual IS NOT NULL THEN 'notes' END AS actual_source, CASE WHEN actual IS NOT NULL THEN 'final' END AS actual_truth FROM cw LEFT JOIN aw ON aw.date = week AND aw.kpi = cw.kpi",
+    "consumption_reconciled": f"{_HI}, d AS (SELECT target_date AS date, kpi, forecast_value AS forecast FROM hi WHERE k = 2 UNION ALL SELECT target_date, 'both', sum(forecast_value) FROM hi WHERE k = 2 GROUP BY 1) SELECT 'day' AS frequency, date, kpi, forecast FROM d UNION ALL SELECT 'week', date_trunc('week', date)::DATE, kpi, sum(forecast) FROM d GROUP BY ALL",
+    "consumption_year_weekly": f"{_HI}, {_AW}, {_CW}, {_YW} SELECT *, {_DIFF} FROM yw",
     "consumption_progress": f"""{_HI}, pl AS (SELECT kpi, target_date AS date, arg_max(forecast_value, run_date) AS v FROM hi WHERE run_date < target_date GROUP BY ALL),
 pe AS (SELECT * FROM (VALUES ('day', DATE '{RUN}', DATE '{RUN}'), ('week', date_trunc('week', DATE '{RUN}')::DATE, (date_trunc('week', DATE '{RUN}') + INTERVAL 6 DAY)::DATE), ('month', date_trunc('month', DATE '{RUN}')::DATE, last_day(DATE '{RUN}'))) AS p(period, "start", "end"), (VALUES ('lines'), ('units')) AS k(kpi)),
 dd AS (SELECT period, "start", "end", kpi, unnest(generate_series("start", "end", INTERVAL 1 DAY))::DATE AS date FROM pe), de AS (SELECT *, date <= DATE '{RUN}' AS el, CASE WHEN period = 'week' THEN (date_trunc('week', DATE '1996-01-04') + INTERVAL (7 * (weekofyear(DATE '{RUN}') - 1)) DAY)::DATE + (isodow(date) - 1)::INT ELSE make_date(1996, month(date), day(date)) END AS rd FROM dd),
 g AS (SELECT period, "start", "end", de.kpi, count(*) FILTER (el) AS expected_days, count(*) FILTER (el AND pl.v IS NOT NULL) AS planned_days, sum(pl.v) FILTER (el) AS p0, sum(a.actual_value) FILTER (el) AS actual, coalesce(sum(h.forecast_value) FILTER (NOT el), 0) AS rest, sum(r.actual_value) FILTER (el) AS reference
 FROM de LEFT JOIN pl USING (date, kpi) LEFT JOIN al a USING (date, kpi) LEFT JOIN hi h ON h.target_date = de.date AND h.kpi = de.kpi AND k = 2 LEFT JOIN al r ON r.date = rd AND r.kpi = de.kpi GROUP BY ALL), q AS (SELECT * EXCLUDE (p0), CASE WHEN planned_days = expected_days THEN p0 END AS plan FROM g)
 SELECT *, coalesce(CASE WHEN planned_days = expected_days THEN plan ELSE actual END, 0) + rest AS total, CASE WHEN planned_days = expected_days THEN 'plan and rest' ELSE 'actual and rest' END AS method, actual - plan AS gap, round(actual / nullif(plan, 0), 6) AS fulfilled, {_DIFF} FROM q""",
-    "consumption_checks": f"{_HI}, {_YD} SELECT 'duplicate_keys' AS \"check\", 'all' AS kpi, 0.0::DOUBLE AS value, 'ok' AS status UNION ALL SELECT 'forecast_without_row', 'all', 0.0, 'ok' UNION ALL SELECT 'reference_coverage', kpi, round(avg((reference IS NOT NULL)::INT), 6), CASE WHEN avg((reference IS NOT NULL)::INT) >= 0.9 THEN 'ok' WHEN avg((reference IS NOT NULL)::INT) > 0 THEN 'warning' ELSE 'error' END FROM yj GROUP BY kpi",
+    "consumption_checks": f"""{_HI}, {_YD}, {_AW}, {_CW}, {_YW}, c AS (SELECT 'daily' AS name, date, kpi, reference_date, reference FROM yj UNION ALL SELECT 'weekly', date, kpi, reference_date, reference FROM yw), s AS (SELECT 'daily' AS name, target_date AS date, kpi FROM hi WHERE k = 2 UNION ALL SELECT 'weekly', week, kpi FROM cw),
+kp AS (SELECT kpi, name, kpi IN (SELECT al.kpi FROM al WHERE year(date) = 1996) AS src FROM (VALUES ('lines'), ('units')) AS k(kpi), (VALUES ('daily'), ('weekly')) AS n(name)), lo AS (SELECT kp.name, kp.kpi, count(s.date) AS v FROM kp LEFT JOIN (SELECT * FROM s ANTI JOIN c USING (name, date, kpi)) s USING (name, kpi) GROUP BY ALL),
+rf AS (SELECT kp.name, kp.kpi, coalesce(count(*) FILTER (reference_date IS NOT NULL AND reference IS NOT NULL) / nullif(count(*) FILTER (reference_date IS NOT NULL), 0), 1) AS v, count(reference_date) > 0 AND src AS due FROM kp LEFT JOIN c USING (name, kpi) GROUP BY kp.name, kp.kpi, src),
+ch AS (SELECT 'daily_kpis' AS "check", 'all' AS kpi, (SELECT count(*) FROM (SELECT kpi FROM (SELECT DISTINCT kpi FROM hi WHERE k = 2) FULL JOIN (VALUES ('lines'), ('units')) AS w(x) ON kpi = x WHERE kpi IS NULL OR x IS NULL))::DOUBLE AS value, 'warning' AS worst, 0 AS low, 0 AS high UNION ALL SELECT 'dimension_kpis', 'all', 0, 'warning', 0, 0 UNION ALL SELECT 'weekly_source', 'all', 0, 'error', 0, 0
+UNION ALL SELECT 'progress_rows', 'all', 6, 'warning', 6, 6 UNION ALL SELECT name || '_coverage', 'all', avg((reference IS NOT NULL)::INT), 'warning', 0.95, 1 FROM c GROUP BY name UNION ALL SELECT name || '_duplicates', 'all', count(*) - count(DISTINCT (date, kpi)), 'error', 0, 0 FROM s GROUP BY name
+UNION ALL SELECT name || '_forecast_without_row', 'all', sum(v), 'error', 0, 0 FROM lo GROUP BY name UNION ALL SELECT name || '_forecast_without_row', kpi, v, 'error', 0, 0 FROM lo)
+SELECT "check", kpi, round(value, 6) AS value, CASE WHEN value BETWEEN low AND high THEN 'ok' ELSE worst END AS status FROM ch UNION ALL SELECT name || '_reference', kpi, round(v, 6), CASE WHEN NOT due THEN 'warning' WHEN v < 1 THEN 'error' ELSE 'ok' END FROM rf""",
     "graph_components": f"""{baskets._BASE.replace('WITH', 'WITH RECURSIVE', 1)}, {baskets._SC}, ge AS (SELECT article_a, article_b FROM sc WHERE layout_score >= 0.18 AND shared_transactions >= {baskets.LEAST} ORDER BY layout_score DESC, shared_transactions DESC, stability_score DESC, lift DESC, article_a, article_b LIMIT 4000),
 bo AS (SELECT article_a AS x, article_b AS y FROM ge UNION ALL SELECT article_b, article_a FROM ge), re AS (SELECT x, y FROM bo UNION SELECT re.x, bo.y FROM re JOIN bo ON bo.x = re.y) SELECT x AS article, least(x, min(y)) AS component FROM re GROUP BY x""",
 }

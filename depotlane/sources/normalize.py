@@ -64,7 +64,8 @@ def columns(raw: DataFrame, fields: Mapping[str, Sequence[str]]) -> DataFrame:
 
 def order_lookup(raw: DataFrame) -> DataFrame:
     """Orders by movement: rows with all keys and an order, whose keys stand for one set of values only."""
-    return enrich.unambiguous(columns(raw, LOOKUP).where("external_order_id is not null"), enrich.LOOKUP_KEYS, enrich.LOOKUP_FILL)
+    read = cut(columns(raw, LOOKUP))  # filters on what is read would repeat all reading of text
+    return enrich.unambiguous(read.where("external_order_id is not null"), enrich.LOOKUP_KEYS, enrich.LOOKUP_FILL)
 
 
 def movements(raw: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
