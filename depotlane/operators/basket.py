@@ -351,12 +351,16 @@ def unified_series(described: DataFrame, temporal: DataFrame) -> DataFrame:
 
 
 def highlights(scored: DataFrame, steady: DataFrame, n: int = 10) -> DataFrame:
-    """Executive lists of pairs: best, strong but rare, emerging; one row per list and rank."""
-    own = scored.join(steady.select(*PAIR, "trend"), PAIR, "left")
+    """Executive lists of pairs: best, strong but rare, emerging; one row per list and rank.
+
+    A pair emerges where its trend, or that of its support or lift alone, grows.
+    """
+    own = scored.join(steady.select(*PAIR, "trend", "support_trend", "lift_trend"), PAIR, "left")
+    grows = (F.col("trend") == "growing") | (F.col("support_trend") == "growing") | (F.col("lift_trend") == "growing")
     lists = {
         "best": (own, [F.col("layout_score").desc(), F.col("shared_transactions").desc()]),
-        "strong_but_rare": (own.where("manual_review"), [F.col("lift").desc(), F.col("layout_score").desc()]),
-        "emerging": (own.where("trend = 'growing'"), [F.col("layout_score").desc(), F.col("lift").desc()]),
+        "strong_but_rare": (own, [F.col("lift").desc(), F.col("shared_transactions")]),
+        "emerging": (own.where(grows), [F.col("layout_score").desc(), F.col("shared_transactions").desc()]),
     }
     out = None
     for name, (frame, order) in lists.items():

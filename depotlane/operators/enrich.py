@@ -27,8 +27,9 @@ def fill_orders(movements: DataFrame, lookup: DataFrame, keys: Sequence[str] = L
 
     Lookup rows without an order or a key don't count, and keys that stand for different values are
     dropped, so that no movement multiplies. Only picks without an order and with all keys are joined. `source`
-    is source, lookup, or null without an order.
+    is source, lookup, or null without an order. Columns of `fill` that either table lacks are left alone.
     """
+    fill = [c for c in fill if c in lookup.columns and c in movements.columns]
     known = unambiguous(lookup.where(F.col(order).isNotNull()), keys, fill).withColumnsRenamed({c: f"_{c}" for c in fill})
     may = F.col(order).isNull() & F.coalesce(F.col("movement_type") == "PI", F.lit(False))
     for k in keys:

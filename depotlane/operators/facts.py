@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -168,6 +168,19 @@ def actuals_daily(fact: DataFrame, columns: Sequence[str], source: str = "notes"
     return out.withColumns({"actual_source": F.lit(source), "actual_truth": F.lit(truth)})
 
 
+def service_actuals(fact: DataFrame, columns: Mapping[str, str], switched: str = "requests") -> DataFrame:
+    """Long table of every day and KPI of a hybrid fact (date, source, truth, counts), 0 where it has no row.
+
+    Days without a row take the labels of their side of the switch: the first day whose source is `switched`.
+    """
+    bounds = fact.agg(F.min("date").alias("a"), F.max("date").alias("b"), F.min(F.when(F.col("source") == switched, F.col("date"))).alias("switch"))
+    days = bounds.select(F.explode(F.sequence("a", "b")).alias("date"), "switch")
+    out = days.join(fact.select("date", "source", "truth", *[F.col(c).cast("double").alias(k) for k, c in columns.items()]), "date", "left").fillna(0.0, list(columns))
+    early = F.coalesce(F.col("date") < F.col("switch"), F.lit(True))
+    out = out.withColumns({"actual_source": F.coalesce("source", F.when(early, "notes").otherwise(switched)), "actual_truth": F.coalesce("truth", F.when(early, "final").otherwise("visible"))})
+    return out.select("date", "actual_source", "actual_truth", *columns).unpivot(["date", "actual_source", "actual_truth"], list(columns), "kpi", "actual_value")
+
+
 def actuals_weekly(daily: DataFrame) -> DataFrame:
     """Weekly sums; a label is kept where all days agree on it (null counting as a value), else mixed."""
     one = lambda c: F.when((F.count_if(F.col(c).isNull()) == 0) & (F.min(c) == F.max(c)), F.min(c)).when(F.count(c) == 0, F.lit(None)).otherwise("mixed").alias(c)

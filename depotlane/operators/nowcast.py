@@ -29,8 +29,14 @@ def maturity_curves(requests: DataFrame, most: int = 28) -> DataFrame:
     return out.withColumn("visible", F.least(F.greatest(F.col("visible"), F.lit(0.05)), F.lit(1.0)))
 
 
-def scalers(actuals: DataFrame, requests: DataFrame) -> DataFrame:
-    """Median ratio of actuals (date, service_type, actual) to requests due that day, by type; 1 without any."""
+def scalers(actuals: DataFrame, requests: DataFrame, truth: str | None = None) -> DataFrame:
+    """Median ratio of actuals (date, service_type, actual) to requests due that day, by type; 1 without any.
+
+    With `truth`, a column of labels, only rows that are final count, unless none is.
+    """
+    if truth:
+        any_final = F.max((F.col(truth) == "final").cast("int")).over(Window.partitionBy(F.lit(0)))  # actuals have a row for each day and type
+        actuals = actuals.withColumn("_final", any_final).where((F.col(truth) == "final") | (F.col("_final") == 0)).drop("_final")
     due = requests.groupBy("date", "service_type").agg(F.count("*").alias("due"))
     both = actuals.join(due, ["date", "service_type"], "left").withColumn("ratio", F.try_divide(F.col("actual"), F.col("due")))
     return both.groupBy("service_type").agg(F.coalesce(F.percentile("ratio", F.lit(0.5)), F.lit(1.0)).alias("scaler"))

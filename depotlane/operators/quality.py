@@ -28,6 +28,30 @@ def issues(df: DataFrame, keys: Sequence[str], quantity: str, subset: Sequence[s
     return out.select("issue", "rows", share.alias("share"), severity.alias("severity"))
 
 
+def stages(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
+    """Rows before any and after each of consecutive filters, with their share of all: one pass."""
+    kept, counts = F.lit(True), {"all": F.count("*")}
+    for name, condition in conditions.items():
+        kept &= F.coalesce(condition, F.lit(False))
+        counts[name] = F.count_if(kept)
+    out = df.agg(F.count("*").alias("total"), *[c.alias(n) for n, c in counts.items()]).unpivot(["total"], list(counts), "stage", "rows")
+    return out.select("stage", "rows", F.coalesce(F.try_divide(F.col("rows"), F.col("total")), F.lit(0.0)).alias("share"))
+
+
+def movement_qa(df: DataFrame, raw_dates: Mapping[str, Column], quantity: str = "quantity", date: str = "operational_date", order: str = "external_order_id", kind: str = "movement_type", n: int = 20) -> DataFrame:
+    """(section, key, value): rows, unreadable dates, missing quantities and dates, picks and those without an order, and the n most frequent types.
+
+    raw_dates: for each name the parsed form of a raw column of that name; a date is unreadable where only the raw one is there.
+    """
+    pick = F.col(kind) == "PI"
+    missing = lambda c: F.avg(F.col(c).isNull().cast("int"))
+    failed = {f"unreadable_{name}": F.count_if(F.nullif(F.trim(name), F.lit("")).isNotNull() & parsed.isNull()) for name, parsed in raw_dates.items()}
+    figures = {"rows": F.count("*"), **failed, "missing_quantity_pct": missing(quantity), "missing_date_pct": missing(date), "picks": F.count_if(pick), "picks_without_order_pct": F.avg(F.when(pick, F.col(order).isNull().cast("int")))}
+    whole = df.agg(*[c.cast("double").alias(k) for k, c in figures.items()]).fillna(1.0, ["picks_without_order_pct"]).unpivot([], list(figures), "key", "value")
+    types = top_values(df, kind, n).select(F.lit("type").alias("section"), F.col("value").alias("key"), F.col("count").cast("double").alias("value"))
+    return whole.select(F.lit("overall").alias("section"), "key", "value").unionByName(types)
+
+
 def potential_duplicates(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     """All members of groups that agree on the subset."""
     return df.withColumn("group_size", F.count("*").over(Window.partitionBy(*subset))).where("group_size > 1")
@@ -108,6 +132,12 @@ def unmatched_keys(left: DataFrame, right: DataFrame, key: str, n: int = 20) ->
     return lost.groupBy(key).count().orderBy(F.col("count").desc(), key).limit(n)
 
 
+def unmatched_aligned(left: DataFrame, left_key: str, right: DataFrame, right_key: str, flag: str, n: int = 50) -> DataFrame:
+    """value, left, right: the n most frequent keys without a match of two flagged tables, side by side; 0 where one hasn't it."""
+    top = lambda df, key, name: df.where(~F.col(flag)).groupBy(F.coalesce(F.col(key).cast("string"), F.lit("<NULL>")).alias("value")).agg(F.count("*").alias(name)).orderBy(F.col(name).desc(), "value").limit(n)
+    return top(left, left_key, "left").join(top(right, right_key, "right"), "value", "full").fillna(0, ["left", "right"])  # n rows each
+
+
 def _moves(df: DataFrame, code: str, date: str, version: Column) -> DataFrame:
     """Per code with a date: number of dates, first, last and latest known one, and days from first to latest known.
 
@@ -155,12 +185,17 @@ def reference_alignment(forecasts: DataFrame, compared: DataFrame, kpis: Sequenc
     return out.withColumn("status", F.when(F.col("reference_known") > 0, "ok").otherwise("error"))
 
 
-def delta_report(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str, by: str) -> DataFrame:
-    """Totals, net and absolute change and changed rows of a table before and after, by one column."""
+def delta_report(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str, by: str, date: str | None = None) -> DataFrame:
+    """Totals, net and absolute change, changed and nonzero rows of a table before and after, by one column.
+
+    With `date` (one of the keys), also the first and last date of nonzero values on either side.
+    """
     a, b = before.select(*keys, F.col(value).alias("before")), after.select(*keys, F.col(value).alias("after"))
     both = a.join(b, list(keys), "full").fillna(0.0, ["before", "after"])
     d = F.col("after") - F.col("before")
-    return both.groupBy(by).agg(F.sum("before").alias("before"), F.sum("after").alias("after"), F.sum(d).alias("net_delta"), F.sum(F.abs(d)).alias("absolute_delta"), F.count_if(d != 0).alias("changed_rows"))
+    nonzero = [F.count_if(F.col(side) != 0).alias(f"nonzero_{side}") for side in ("before", "after")]
+    dates = [f(F.when(F.col(side) != 0, F.col(date))).alias(f"{name}_{side}") for name, f in (("first", F.min), ("last", F.max)) for side in ("before", "after")] if date else []
+    return both.groupBy(by).agg(F.sum("before").alias("before"), F.sum("after").alias("after"), F.sum(d).alias("net_delta"), F.sum(F.abs(d)).alias("absolute_delta"), F.count_if(d != 0).alias("changed_rows"), *nonzero, *dates)
 
 
 def year_distribution(df: DataFrame, date: str, value: str, reference_year: int) -> DataFrame:

@@ -21,9 +21,12 @@ def stamp(forecasts: DataFrame, run_ts: str, run_id: str, switch_date: str, vers
 
 
 def append_history(history: DataFrame, rows: DataFrame, arrived: str = "run_ts", key: Sequence[str] = HISTORY_KEY) -> DataFrame:
-    """History with new rows, the last version of each key kept; columns that one side lacks are null."""
+    """History with new rows, the last version of each key kept; columns that one side lacks are null.
+
+    Of versions that arrived together, the one with the greatest hash of all its columns stays, whatever the order of rows.
+    """
     both = history.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    last = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("_new").desc(), F.col(arrived).desc_nulls_last()))
+    last = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("_new").desc(), F.col(arrived).desc_nulls_last(), F.xxhash64(*[c for c in both.columns if c != "_new"]).desc()))
     return both.withColumn("_k", last).where("_k = 1").drop("_k", "_new")
 
 

@@ -189,7 +189,7 @@ sl AS (SELECT article_a, article_b, CASE WHEN count(*) > 1 THEN regr_slope(joint
 tr AS (SELECT article_a, article_b, CASE WHEN ss > greatest(abs(sm) * 0.05, 1e-6) THEN 'growing' WHEN ss < -greatest(abs(sm) * 0.05, 1e-6) THEN 'declining' ELSE 'stable' END AS support_trend, CASE WHEN ls > greatest(abs(lm) * 0.05, 1e-6) THEN 'growing' WHEN ls < -greatest(abs(lm) * 0.05, 1e-6) THEN 'declining' ELSE 'stable' END AS lift_trend FROM sl),
 stab AS (SELECT lv.*, support_trend, lift_trend, CASE WHEN support_trend = lift_trend THEN support_trend WHEN support_trend IS NOT NULL THEN 'stable' END AS trend, periods_present / available AS presence_ratio,
   0.40 * (periods_present / available) + 0.25 * support_stability + 0.20 * lift_stability + 0.15 * CASE WHEN coalesce(support_trend, 'stable') <> 'declining' THEN 1 ELSE 0 END AS stability_score FROM lv LEFT JOIN tr USING (article_a, article_b), av)"""
-_SC = f"""{_PM}, {_ST}, s1 AS (SELECT met.*, coalesce(stability_score, 0) AS stability_score, coalesce(presence_ratio, 0) AS presence_ratio, ln(1 + greatest(lift - 1, 0)) AS ll, trend FROM met LEFT JOIN stab USING (article_a, article_b)),
+_SC = f"""{_PM}, {_ST}, s1 AS (SELECT met.*, coalesce(stability_score, 0) AS stability_score, coalesce(presence_ratio, 0) AS presence_ratio, ln(1 + greatest(lift - 1, 0)) AS ll, trend, support_trend, lift_trend FROM met LEFT JOIN stab USING (article_a, article_b)),
 cap AS (SELECT max(shared_transactions) AS max_n, max(shared_quantity) AS max_q, quantile_cont(ll, 0.9) AS cap_l, max(ll) AS max_l, quantile_cont(balanced_confidence, 0.95) AS cap_c, quantile_cont(shared_transactions, 0.99) AS p99, min(shared_transactions) AS min_n, quantile_cont(shared_transactions, 0.5) AS median_n FROM s1),
 s2 AS (SELECT *, ln(1 + shared_transactions) / ln(1 + max_n) AS fc, CASE WHEN cap_l > 0 THEN least(ll, cap_l) / cap_l ELSE least(ll, greatest(cap_l, max_l, 1e-9)) / greatest(cap_l, max_l, 1e-9) END AS lift_component, least(balanced_confidence, cap_c) / cap_c AS cc,
   (jaccard + cosine + least(weighted_cosine, 1) + least(greatest(npmi, 0), 1)) / 4 AS similarity_component, ln(1 + shared_quantity) / ln(1 + max_q) AS vc, least(greatest(stability_score, 0), 1) AS tc FROM s1, cap),
@@ -241,6 +241,6 @@ b AS (SELECT CASE WHEN period = 'full_history' THEN period ELSE split_part(perio
 SELECT 'aggregate_transactions' AS series_type, granularity, period, NULL::VARCHAR AS article_a, NULL::VARCHAR AS article_b, metric, round(value, 6) AS value FROM (UNPIVOT a ON transactions, mean_basket, median_basket, quantity INTO NAME metric VALUE value)
 UNION ALL SELECT 'pair_affinity', granularity, period, article_a, article_b, metric, round(value, 6) FROM (UNPIVOT b ON shared_transactions, joint_support, lift, jaccard, npmi INTO NAME metric VALUE value)""",
     "basket_highlights": f"""{_BASE}, {_SC}, h AS (SELECT 'best' AS list, *, row_number() OVER (ORDER BY layout_score DESC, shared_transactions DESC, article_a, article_b) AS k FROM sc
-UNION ALL SELECT 'strong_but_rare', *, row_number() OVER (ORDER BY lift DESC, layout_score DESC, article_a, article_b) FROM sc WHERE manual_review UNION ALL SELECT 'emerging', *, row_number() OVER (ORDER BY layout_score DESC, lift DESC, article_a, article_b) FROM sc WHERE trend = 'growing')
+UNION ALL SELECT 'strong_but_rare', *, row_number() OVER (ORDER BY lift DESC, shared_transactions, article_a, article_b) FROM sc UNION ALL SELECT 'emerging', *, row_number() OVER (ORDER BY layout_score DESC, shared_transactions DESC, article_a, article_b) FROM sc WHERE trend = 'growing' OR support_trend = 'growing' OR lift_trend = 'growing')
 SELECT list, article_a, article_b, round(layout_score, 6) AS layout_score, round(lift, 6) AS lift, shared_transactions FROM h WHERE k <= 10""",
 }

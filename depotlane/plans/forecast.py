@@ -9,8 +9,8 @@ from depotlane.lineage import cut
 from depotlane.operators import basket, enrich, facts, forecast, graph, histories, learned, nowcast, quality, replay, tracking
 from depotlane.operators.calendar import weekly_calendar
 from depotlane.plans import basket as baskets
-from depotlane.plans.service import _ACT, _CAL, _FR, _LV, _days, _level, _picking, _round, _series
-from depotlane.sources import staging
+from depotlane.plans.service import ORACLES as SERVICE, _ACT, _CAL, _FR, _LV, _days, _level, _picking, _round, _series, fact_service_actuals
+from depotlane.sources import files, staging
 from depotlane.sources.staging import CTES
 
 RUN, KPIS = "2001-03-14", ["lines", "units"]
@@ -136,6 +136,12 @@ def nowcast_scalers(spark, sf_dir):
     return _round(nowcast.scalers(_service_actuals(spark, sf_dir), _level(spark, sf_dir)), "scaler")
 
 
+def nowcast_scalers_final(spark, sf_dir):
+    """Scalers from the final part of the hybrid actuals."""
+    actuals = fact_service_actuals(spark, sf_dir).select("date", F.upper("kpi").alias("service_type"), F.col("actual_value").alias("actual"), "actual_truth")
+    return _round(nowcast.scalers(actuals, _level(spark, sf_dir), "actual_truth"), "scaler")
+
+
 def nowcast_blend(spark, sf_dir):
     level = _level(spark, sf_dir)
     origins = spark.sql("select explode(sequence(date'1998-01-05', date'1998-03-30', interval 7 day)) as origin")
@@ -229,6 +235,12 @@ def forecast_replay_report(spark, sf_dir):
     return _round(out, *[c for c, kind in out.dtypes if kind == "double"], digits=4)
 
 
+def forecast_replay_weekly_report(spark, sf_dir):
+    actuals = cut(_kpi_actuals(spark, sf_dir))
+    out = replay.report(cut(replay.weekly(_replayed(spark, sf_dir, actuals), actuals.withColumnRenamed("target", "actual_value"))), ["kpi"])
+    return _round(out, *[c for c, kind in out.dtypes if kind == "double"], digits=4)
+
+
 def forecast_replay_weekly(spark, sf_dir):
     actuals = cut(_kpi_actuals(spark, sf_dir))
     out = replay.weekly(_replayed(spark, sf_dir, actuals), actuals.withColumnRenamed("target", "actual_value"))
@@ -251,6 +263,12 @@ def tracking_history(spark, sf_dir):
     return _history(spark, sf_dir).select("run_id", "target_date", "kpi", "forecast_value", "source", F.col("run_date"))
 
 
+def tracking_split(spark, sf_dir):
+    official, rest = files.split_history(_history(spark, sf_dir), ["notes"])
+    columns = ["run_id", "target_date", "kpi", "source"]
+    return official.select(*columns, F.lit("official").alias("part")).unionByName(rest.select(*columns, F.lit("rest").alias("part")))
+
+
 def tracking_weekly(spark, sf_dir):
     return tracking.weekly_history(_history(spark, sf_dir)).select("run_id", "kpi", "week", "forecast_value", "days")
 
@@ -335,7 +353,7 @@ def consumption_checks(spark, sf_dir):
     compared, current = _yoy(spark, sf_dir)
     weeks = _shown_weeks(spark, sf_dir).withColumnRenamed("week", "date")
     dimension = tracking.dim_kpi(spark, [("lines", "Lines", "lines", "picking"), ("units", "Units", "units", "picking")])
-    out = tracking.validations(current, weeks, cut(compared), cut(_yoy_weekly(spark, sf_dir)), _progress(spark, sf_dir), facts.actuals_daily(_picking(spark, sf_dir), KPIS), dimension, KPIS, 1996)
+    out = tracking.validations(cut(current), cut(weeks), cut(compared), cut(_yoy_weekly(spark, sf_dir)), _progress(spark, sf_dir), cut(facts.actuals_daily(_picking(spark, sf_dir), KPIS)), dimension, KPIS, 1996)
     return _round(out, "value")
 
 
@@ -362,8 +380,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         forecast_folds, forecast_seasonal_naive, forecast_baselines, forecast_weekly, forecast_weekly_fitted, forecast_backtest, forecast_backtest_naive, forecast_metrics, forecast_rank_baselines, forecast_ranking, forecast_next, forecast_ablations,
-        forecast_ridge, forecast_features, nowcast_maturity, nowcast_scalers, nowcast_blend, nowcast_postprocess, nowcast_transformer, nowcast_direct, nowcast_direct_metrics, forecast_replay, forecast_replay_report, forecast_replay_weekly,
-        tracking_history, tracking_weekly, tracking_errors, tracking_horizons, tracking_impact, consumption_daily, consumption_weekly, consumption_reconciled, consumption_year_daily, quality_reference_coverage, quality_reference_alignment, consumption_year_weekly, consumption_progress, consumption_checks, graph_components, graph_clusters, graph_hubs,
+        forecast_ridge, forecast_features, nowcast_maturity, nowcast_scalers, nowcast_scalers_final, nowcast_blend, nowcast_postprocess, nowcast_transformer, nowcast_direct, nowcast_direct_metrics, forecast_replay, forecast_replay_report, forecast_replay_weekly, forecast_replay_weekly_report,
+        tracking_history, tracking_split, tracking_weekly, tracking_errors, tracking_horizons, tracking_impact, consumption_daily, consumption_weekly, consumption_reconciled, consumption_year_daily, quality_reference_coverage, quality_reference_alignment, consumption_year_weekly, consumption_progress, consumption_checks, graph_components, graph_clusters, graph_hubs,
     )
 }
 
@@ -504,6 +522,14 @@ SELECT kpi, bucket, n_before, n_after, {', '.join(f'round({c}_{x}, 4) AS {c}_{x}
 CASE WHEN delta_mae <= -0.05 OR delta_wape <= -0.02 THEN 'helpful' WHEN delta_mae >= 0.05 OR delta_wape >= 0.02 THEN 'harmful' ELSE 'neutral' END AS impact FROM j""",
     "forecast_replay_weekly": f"{_REP}, aw AS (SELECT date_trunc('week', date)::DATE AS week, series AS kpi, sum(target) AS actual_value FROM ds GROUP BY ALL), fw AS (SELECT variant, run_date, kpi, date_trunc('week', target_date)::DATE AS week, sum(forecast_value) AS forecast_value FROM re GROUP BY ALL) SELECT variant, run_date, kpi, week, round(forecast_value, 4) AS forecast_value, actual_value, round(forecast_value - actual_value, 4) + 0.0 AS error FROM fw LEFT JOIN aw USING (week, kpi)",
     "tracking_history": f"{_HI} SELECT run_id, target_date, kpi, forecast_value, source, run_date FROM hi",
+    "forecast_replay_weekly_report": f"""{_REP}, aw AS (SELECT date_trunc('week', date)::DATE AS week, series AS kpi, sum(target) AS actual_value FROM ds GROUP BY ALL), fw AS (SELECT variant, run_date, kpi, date_trunc('week', target_date)::DATE AS week, sum(forecast_value) AS forecast_value FROM re GROUP BY ALL),
+er AS (SELECT *, forecast_value - actual_value AS e FROM fw JOIN aw USING (week, kpi)), me AS (SELECT variant, kpi, count(*) AS n, avg(abs(e)) AS mae, sum(abs(e)) / nullif(sum(abs(actual_value)), 0) AS wape, avg(e) AS bias, quantile_cont(abs(e), 0.5) AS median_error, quantile_cont(abs(e), 0.9) AS p90_error FROM er GROUP BY ALL),
+j AS (SELECT kpi, {', '.join(f'b.{c} AS {c}_before, a.{c} AS {c}_after' for c in ('n', 'mae', 'wape', 'bias', 'median_error', 'p90_error'))}, {', '.join(f'a.{c} - b.{c} AS delta_{c}' for c in ('mae', 'wape', 'bias'))} FROM (FROM me WHERE variant = 'before') b JOIN (FROM me WHERE variant = 'after') a USING (kpi))
+SELECT kpi, n_before, n_after, {', '.join(f'round({c}_{x}, 4) AS {c}_{x}' for c in ('mae', 'wape', 'bias', 'median_error', 'p90_error') for x in ('before', 'after'))}, {', '.join(f'round(delta_{c}, 4) AS delta_{c}' for c in ('mae', 'wape', 'bias'))},
+CASE WHEN delta_mae <= -0.05 OR delta_wape <= -0.02 THEN 'helpful' WHEN delta_mae >= 0.05 OR delta_wape >= 0.02 THEN 'harmful' ELSE 'neutral' END AS impact FROM j""",
+    "tracking_split": f"{_HI} SELECT run_id, target_date, kpi, source, CASE WHEN source = 'notes' THEN 'official' ELSE 'rest' END AS part FROM hi",
+    "nowcast_scalers_final": f"""WITH fa AS ({SERVICE['fact_service_actuals']}), lr AS ({SERVICE['fact_requests']}), du AS (SELECT date, service_type, count(*) AS due FROM lr GROUP BY ALL)
+SELECT upper(kpi) AS service_type, round(coalesce(quantile_cont(actual_value / due, 0.5), 1), 6) AS scaler FROM fa LEFT JOIN du ON du.date = fa.date AND du.service_type = upper(kpi) WHERE actual_truth = 'final' GROUP BY 1""",
     "tracking_weekly": f"{_HI} SELECT run_id, kpi, date_trunc('week', target_date)::DATE AS week, sum(forecast_value) AS forecast_value, count(*) AS days FROM hi GROUP BY ALL",
     "tracking_errors": f"{_HI}, {_ERR} SELECT run_id, target_date, kpi, error, abs_error, round(ape, 6) AS ape, horizon FROM er",
     "tracking_horizons": f"{_HI}, {_ERR}, bk AS (SELECT *, CASE WHEN horizon = 1 THEN 'D+1' WHEN horizon BETWEEN 2 AND 3 THEN 'D+2_D+3' WHEN horizon BETWEEN 4 AND 7 THEN 'D+4_D+7' WHEN horizon BETWEEN 8 AND 14 THEN 'D+8_D+14' WHEN horizon BETWEEN 15 AND 28 THEN 'D+15_D+28' END AS bucket FROM er) SELECT kpi, bucket, count(*) AS n, round(avg(abs_error), 6) AS mae, round(sum(abs_error) / nullif(sum(abs(actual_value)), 0), 6) AS wape, round(avg(error), 6) AS bias, quantile_cont(abs_error, 0.5) AS median_error, quantile_cont(abs_error, 0.9) AS p90_error FROM bk WHERE bucket IS NOT NULL GROUP BY kpi, bucket",

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from depotlane.functions import text as t
-from depotlane.lineage import cut
+from depotlane.lineage import cut, scratch
 from depotlane.operators import calendar, enrich, facts, quality
-from depotlane.sources import normalize, staging
+from depotlane.sources import files, normalize, staging
 from depotlane.sources.staging import CTES
 
 SWITCH, START, END = "2000-01-01", "1995-01-01", "2001-12-31"
@@ -56,13 +57,34 @@ def quality_issues(spark, sf_dir):
     return _round(out, "share")
 
 
+def quality_stages(spark, sf_dir):
+    keys = F.col("external_order_id").isNotNull() & F.col("sku").isNotNull() & F.col("owner").isNotNull()
+    return _round(quality.stages(staging.movements(spark, sf_dir), {"picks": F.col("movement_type") == "PI", "keys": keys, "quantity": F.col("quantity") > 0, "dated": F.col("completed_at").isNotNull()}), "share")
+
+
+def quality_movements(spark, sf_dir):
+    raw = staging.movements(spark, sf_dir).withColumn("ended", F.when(F.col("quantity") % 7 == 0, "31/02/1999").when(F.col("quantity") % 5 != 0, F.date_format("completed_at", "dd/MM/yyyy")))
+    return _round(quality.movement_qa(raw, {"ended": t.day_first(F.col("ended"))}), "value")
+
+
 def quality_duplicates(spark, sf_dir):
-    return quality.potential_duplicates(staging.requests(spark, sf_dir), ["generic_code", "sku"]).groupBy("group_size").agg(F.count("*").alias("rows"))
+    return quality.potential_duplicates(staging.requests(spark, sf_dir), ["generic_code", "sku"]).select("generic_code", "sku", "requested_quantity", "modified_at", "group_size")
+
+
+def quality_deduplicated(spark, sf_dir):
+    kept, removed = quality.drop_duplicates(staging.movements(spark, sf_dir).select("owner", "sku", "location"), ["owner", "sku", "location"])
+    return kept.crossJoin(F.broadcast(removed))  # one row
 
 
 def quality_model_rows(spark, sf_dir):
     kept, out = quality.model_filter(staging.movements(spark, sf_dir), ["external_order_id", "sku", "owner"])
-    return kept.groupBy(F.lit("kept").alias("state")).count().unionByName(out.groupBy(F.col("excluded_because").alias("state")).count())
+    columns = ["movement_type", "external_order_id", "sku", "owner", "quantity"]
+    return kept.select(*columns, F.lit("kept").alias("state")).unionByName(out.select(*columns, F.col("excluded_because").alias("state")))
+
+
+def quality_unexpected(spark, sf_dir):
+    kinds = facts.with_class(staging.notes(spark, sf_dir), "service_code").withColumn("series", F.substring("service_code", 1, 3))
+    return quality.unexpected_values(kinds, "series", "service_type", {"SGP": "SGP", "SGE": "SGE", "EGE": "SGE"})
 
 
 def quality_top_values(spark, sf_dir):
@@ -103,7 +125,7 @@ def quality_years(spark, sf_dir):
 def quality_delta(spark, sf_dir):
     fact = facts.weekly(facts.picking_daily(staging.movements(spark, sf_dir), staging.items(spark, sf_dir)), ["lines", "units"])
     long = fact.select("week", F.col("lines").cast("double").alias("lines"), "units").unpivot(["week"], ["lines", "units"], "kpi", "value")
-    return quality.delta_report(long, long.withColumn("value", F.when(F.month("week") == 1, F.col("value") + 1).otherwise(F.col("value"))), ["week", "kpi"], "value", "kpi")
+    return quality.delta_report(long, long.withColumn("value", F.when(F.month("week") == 1, F.col("value") + 1).otherwise(F.col("value"))), ["week", "kpi"], "value", "kpi", "week")
 
 
 #: Orders of two movements in three by what was moved; some stand for two orders.
@@ -132,10 +154,34 @@ def _matched(spark, sf_dir):
 
 
 def join_notes(spark, sf_dir):
+    return _matched(spark, sf_dir).select("external_order_id", "owner", "sku", "quantity", "note_date", "service_code", "has_note")
+
+
+def join_coverage(spark, sf_dir):
     out = quality.join_coverage(_matched(spark, sf_dir).withColumn("type", F.substring("service_code", 1, 2)), "has_note", "type")
     return _round(out, "matched_pct")
 
 
+def _requests_matched(spark, sf_dir):
+    """Request lines with the note of their code."""
+    notes = staging.notes(spark, sf_dir).select(F.col("service_code").alias("generic_code"), F.col("service_date").alias("note_date"), "urgency")
+    return enrich.match(staging.requests(spark, sf_dir), notes, ["generic_code"], "has_note", [F.col("note_date"), F.col("urgency")])
+
+
+def join_request_notes(spark, sf_dir):
+    return _requests_matched(spark, sf_dir).select("generic_code", "sku", "requested_quantity", "note_date", "urgency", "has_note")
+
+
+def join_request_items(spark, sf_dir):
+    items = staging.items(spark, sf_dir).where("cast(sku as int) % 11 != 0")
+    out = enrich.match(staging.requests(spark, sf_dir), items, ["sku"], "has_item", [F.col("sku_name"), F.col("category"), F.col("kilos"), F.col("m3")])
+    return out.select("generic_code", "sku", "sku_name", "kilos", "m3", (F.col("requested_quantity") * F.col("kilos")).alias("kg"), "has_item")
+
+
+def join_unmatched_aligned(spark, sf_dir):
+    return quality.unmatched_aligned(_matched(spark, sf_dir), "external_order_id", _requests_matched(spark, sf_dir), "generic_code", "has_note")
+
+
 def join_unmatched(spark, sf_dir):
     return quality.unmatched_keys(staging.requests(spark, sf_dir), staging.notes(spark, sf_dir).withColumnRenamed("service_code", "generic_code"), "generic_code")
 
@@ -191,6 +237,15 @@ def fact_services_hybrid(spark, sf_dir):
     return out.select("date", "services", "deliveries", "pickups", "units", "source", "truth")
 
 
+#: KPIs of services by the counts of a fact.
+SERVICE_KPIS = {"sge": "deliveries_sge", "sgp": "deliveries_sgp", "ege": "pickups_ege"}
+
+
+def fact_service_actuals(spark, sf_dir):
+    hybrid = facts.hybrid_services(facts.services_from_notes(_notes(spark, sf_dir)), facts.services_from_requests(_level(spark, sf_dir)), SWITCH)
+    return facts.service_actuals(hybrid.where("day(date) % 9 != 0"), SERVICE_KPIS)
+
+
 def fact_freshness(spark, sf_dir):
     a, b = facts.services_from_notes(_notes(spark, sf_dir)), facts.services_from_requests(_level(spark, sf_dir))
     return facts.freshness(a, b, facts.hybrid_services(a, b, SWITCH), SWITCH)
@@ -244,6 +299,28 @@ def _raw(spark, sf_dir, **columns):
     return staging._lines(spark, sf_dir).select(*[F.expr(e).alias(n.replace("_", " ")) for n, e in columns.items()])
 
 
+def source_csv(spark, sf_dir):
+    """Movements written as text under raw headers, read back, and put under the wanted names and types."""
+    raw = staging.movements(spark, sf_dir).select(F.col("movement_type").alias("Tipo  Movimiento"), F.col("sku").alias("ARTÍCULO"), F.col("quantity").cast("string").alias("Cantidad"), F.col("operational_date").cast("string").alias("fecha"), F.lit("x").alias("other"))
+    path = scratch(spark)
+    files.write_table(raw, path, csv=True)
+    read, _, lacking = files.canonical_columns(files.read_table(spark, f"{path}.csv"), {"movement_type": ["tipo movimiento"], "sku": ["articulo"], "quantity": ["cantidad"], "operational_date": ["fecha"], "owner": []})
+    schema = StructType.fromDDL("operational_date date, movement_type string, sku long, quantity double, owner string")
+    return files.project(read, schema).withColumn("lacking", F.lit(",".join(lacking)))
+
+
+def source_parquet(spark, sf_dir):
+    path = scratch(spark)
+    files.write_table(staging.items(spark, sf_dir), path)
+    return files.read_table(spark, f"{path}.parquet")
+
+
+def source_top(spark, sf_dir):
+    path = scratch(spark)
+    files.write_top(staging.items(spark, sf_dir).select("sku", "sku_name", "kilos"), path, [F.col("kilos").desc(), "sku"], 500)
+    return spark.read.schema("sku string, sku_name string, kilos double").json(path)
+
+
 def normalize_movements(spark, sf_dir):
     raw = _raw(
         spark, sf_dir, Tipo_movimiento="case when l_returnflag = 'R' then ' cr' else 'pi ' end", Fecha_inicio="date_format(o_orderdate, 'dd/MM/yyyy HH:mm:ss')", Fecha_finalización="if(l_linenumber % 7 = 0, 'none', date_format(l_shipdate, 'd/M/yyyy'))",
@@ -315,10 +392,10 @@ def series_offsets(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        text_normalize, text_codes, text_dates, service_classes, request_dates, quality_nulls, quality_issues, quality_duplicates, quality_model_rows, quality_top_values, quality_classes, quality_date_fields, quality_several_dates, quality_most_moved, quality_unknown_concepts,
-        quality_years, quality_delta, join_lookup_fill, join_impute, join_notes, join_unmatched, join_best_item, join_open_requests, join_as_of, join_key_difference, join_unique_notes, fact_requests, fact_services_notes,
-        fact_services_requests, fact_services_hybrid, fact_freshness, fact_picking, fact_other_movements, fact_backlog, fact_backlog_horizon, fact_weekly, fact_actuals_daily, fact_actuals_weekly, fact_kpi_cards, calendar_days,
-        calendar_weeks, series_features, series_offsets, quality_prefixes, normalize_movements, normalize_lookup, normalize_requests, normalize_items, normalize_notes, normalize_stock,
+        text_normalize, text_codes, text_dates, service_classes, request_dates, quality_nulls, quality_issues, quality_duplicates, quality_stages, quality_movements, quality_deduplicated, quality_unexpected, quality_model_rows, quality_top_values, quality_classes, quality_date_fields, quality_several_dates, quality_most_moved, quality_unknown_concepts,
+        quality_years, quality_delta, join_lookup_fill, join_impute, join_notes, join_coverage, join_request_notes, join_request_items, join_unmatched_aligned, join_unmatched, join_best_item, join_open_requests, join_as_of, join_key_difference, join_unique_notes, fact_requests, fact_services_notes,
+        fact_services_requests, fact_services_hybrid, fact_service_actuals, fact_freshness, fact_picking, fact_other_movements, fact_backlog, fact_backlog_horizon, fact_weekly, fact_actuals_daily, fact_actuals_weekly, fact_kpi_cards, calendar_days,
+        calendar_weeks, series_features, series_offsets, quality_prefixes, source_csv, source_parquet, source_top, normalize_movements, normalize_lookup, normalize_requests, normalize_items, normalize_notes, normalize_stock,
     )
 }
 
@@ -363,6 +440,9 @@ _FR = lambda w: f"(PARTITION BY series ORDER BY date ROWS BETWEEN {w} PRECEDING
 _MOV = """mo AS (SELECT generic_code, count(DISTINCT date) AS dates, min(date) AS first, max(date) AS last, arg_max(date, (greatest(modified_at, line_modified_at, order_created_at, request_created_at, created_date), date)) AS latest, (arg_max(date, (greatest(modified_at, line_modified_at, order_created_at, request_created_at, created_date), date)) - min(date))::INT AS shift
 FROM rq WHERE date IS NOT NULL GROUP BY generic_code)"""
 
+_N1 = "n1 AS (SELECT order_code, service_code, service_date AS note_date FROM notes WHERE order_code IS NOT NULL QUALIFY row_number() OVER (PARTITION BY order_code ORDER BY service_date, service_code) = 1)"
+_N2 = "n2 AS (SELECT service_code AS generic_code, service_date AS note_date, urgency FROM notes QUALIFY row_number() OVER (PARTITION BY service_code ORDER BY service_date, urgency) = 1)"
+
 ORACLES = {
     "text_normalize": r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(strip_accents(upper(replace(trim(text, ' '), 'ß', 'SS'))), '[^\x00-\x7F]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) AS text_sha256 FROM documents",
     "text_codes": "SELECT l_orderkey, l_linenumber, l_partkey::VARCHAR AS code, '00' || l_partkey AS identifier, l_partkey::DOUBLE AS number FROM lineitem",
@@ -372,8 +452,13 @@ ORACLES = {
     "quality_nulls": f"WITH {CTES}, n AS (SELECT count(*) AS rows, count(*) FILTER (sku IS NULL) AS sku, count(*) FILTER (owner IS NULL) AS owner, count(*) FILTER (external_order_id IS NULL) AS external_order_id, count(*) FILTER (location IS NULL) AS location, count(*) FILTER (completed_at IS NULL) AS completed_at, count(*) FILTER (quantity IS NULL) AS quantity FROM movements) SELECT \"column\", nulls, rows, round(nulls / rows, 6) AS null_pct FROM (UNPIVOT n ON sku, owner, external_order_id, location, completed_at, quantity INTO NAME \"column\" VALUE nulls)",
     "quality_issues": f"""WITH {CTES}, d AS (SELECT *, count(*) OVER (PARTITION BY external_order_id, owner, sku, quantity, location) AS g FROM movements), n AS (SELECT count(*) AS total, count(*) FILTER (external_order_id IS NULL) AS missing_external_order_id, count(*) FILTER (location IS NULL) AS missing_location, count(*) FILTER (quantity <= 0) AS non_positive_quantity, count(*) FILTER (g > 1) AS potential_duplicates, count(*) FILTER (movement_type = 'PI' AND external_order_id IS NOT NULL AND quantity > 0) AS model_rows FROM d)
 SELECT issue, rows::BIGINT AS rows, round(rows / total, 6) AS share, CASE WHEN issue = 'model_rows' THEN 'info' WHEN rows / total > 0.10 THEN 'high' WHEN rows / total > 0.01 THEN 'medium' WHEN rows > 0 THEN 'low' ELSE 'none' END AS severity FROM (UNPIVOT n ON missing_external_order_id, missing_location, non_positive_quantity, potential_duplicates, model_rows INTO NAME issue VALUE rows)""",
-    "quality_duplicates": f"WITH {CTES} SELECT group_size, count(*) AS rows FROM (SELECT count(*) OVER (PARTITION BY generic_code, sku) AS group_size FROM requests) WHERE group_size > 1 GROUP BY 1",
-    "quality_model_rows": f"WITH {CTES} SELECT CASE WHEN movement_type <> 'PI' THEN 'not a pick' WHEN external_order_id IS NULL OR sku IS NULL OR owner IS NULL THEN 'missing key' WHEN NOT quantity > 0 THEN 'quantity not positive' ELSE 'kept' END AS state, count(*) AS count FROM movements GROUP BY 1",
+    "quality_duplicates": f"WITH {CTES} SELECT generic_code, sku, requested_quantity, modified_at, count(*) OVER (PARTITION BY generic_code, sku) AS group_size FROM requests QUALIFY group_size > 1",
+    "quality_stages": f"WITH {CTES}, c AS (SELECT count(*) AS \"all\", count(*) FILTER (a) AS picks, count(*) FILTER (a AND b) AS keys, count(*) FILTER (a AND b AND c) AS quantity, count(*) FILTER (a AND b AND c AND d) AS dated FROM (SELECT movement_type = 'PI' AS a, external_order_id IS NOT NULL AND sku IS NOT NULL AND owner IS NOT NULL AS b, quantity > 0 AS c, completed_at IS NOT NULL AS d FROM movements)) SELECT stage, rows, round(rows / (SELECT \"all\" FROM c), 6) AS share FROM (UNPIVOT c ON \"all\", picks, keys, quantity, dated INTO NAME stage VALUE rows)",
+    "quality_movements": f"""WITH {CTES}, a AS (SELECT count(*)::DOUBLE AS rows, count(*) FILTER (quantity % 7 = 0)::DOUBLE AS unreadable_ended, avg((quantity IS NULL)::INT) AS missing_quantity_pct, avg((operational_date IS NULL)::INT) AS missing_date_pct, count(*) FILTER (movement_type = 'PI')::DOUBLE AS picks, avg((external_order_id IS NULL)::INT) FILTER (movement_type = 'PI') AS picks_without_order_pct FROM movements)
+SELECT 'overall' AS section, key, round(value, 6) AS value FROM (UNPIVOT a ON rows, unreadable_ended, missing_quantity_pct, missing_date_pct, picks, picks_without_order_pct INTO NAME key VALUE value) UNION ALL SELECT * FROM (SELECT 'type', movement_type, count(*)::DOUBLE FROM movements GROUP BY 2 ORDER BY 3 DESC LIMIT 20)""",
+    "quality_deduplicated": f"WITH {CTES}, d AS (SELECT DISTINCT owner, sku, location FROM movements) SELECT d.*, (SELECT count(*) FROM movements) - (SELECT count(*) FROM d) AS removed FROM d",
+    "quality_unexpected": f"WITH {CTES}, {_NT} SELECT substr(service_code, 1, 3) AS series, min(service_type) AS value, count(DISTINCT service_type) AS values, NOT coalesce(min(service_type) = CASE substr(service_code, 1, 3) WHEN 'SGP' THEN 'SGP' WHEN 'SGE' THEN 'SGE' WHEN 'EGE' THEN 'SGE' END, false) OR count(DISTINCT service_type) > 1 AS unexpected FROM nt GROUP BY 1",
+    "quality_model_rows": f"WITH {CTES} SELECT movement_type, external_order_id, sku, owner, quantity, CASE WHEN movement_type <> 'PI' THEN 'not a pick' WHEN external_order_id IS NULL OR sku IS NULL OR owner IS NULL THEN 'missing key' WHEN NOT quantity > 0 THEN 'quantity not positive' ELSE 'kept' END AS state FROM movements",
     "quality_top_values": f"WITH {CTES} SELECT coalesce(location, '<EMPTY>') AS value, count(*) AS count FROM movements GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "quality_classes": f"WITH {CTES}, {_NT}, k AS (SELECT service_class, service_code, row_number() OVER (PARTITION BY service_class ORDER BY service_code, service_type) AS k FROM nt) SELECT service_class, count(*) AS rows, string_agg(service_code, ',' ORDER BY service_code) FILTER (k <= 5) AS examples, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM k GROUP BY service_class",
     "quality_date_fields": f"{_RQ} SELECT service_type, field, count(*) AS rows, round(avg((rank BETWEEN 2 AND 3)::INT), 6) AS fallback_pct, round(avg((rank = 999)::INT), 6) AS missing_pct, min(date) AS first_date, max(date) AS last_date, round(count(*) / sum(count(*)) OVER (PARTITION BY service_type), 6) AS share FROM rq GROUP BY service_type, field",
@@ -381,13 +466,24 @@ SELECT issue, rows::BIGINT AS rows, round(rows / total, 6) AS share, CASE WHEN i
     "quality_most_moved": f"{_RQ}, {_MOV} SELECT * FROM mo WHERE dates > 1 ORDER BY shift DESC, generic_code LIMIT 20",
     "quality_unknown_concepts": f"{_RQ} SELECT concept, count(*) AS rows, (SELECT round(avg((service_class = 'UNK')::INT), 6) FROM rq) AS unknown_pct FROM rq WHERE service_class = 'UNK' GROUP BY concept ORDER BY rows DESC, concept LIMIT 50",
     "quality_years": f"WITH {CTES} SELECT year(operational_date)::INT AS year, count(*) AS rows, sum(quantity) AS total, year(operational_date) = 2000 AS is_reference FROM movements GROUP BY ALL",
-    "quality_delta": f"WITH {CTES}, {_PK}, w AS ({_WEEKLY}), l AS (SELECT week, kpi, (CASE kpi WHEN 'lines' THEN lines ELSE units END)::DOUBLE AS v FROM w, (VALUES ('lines'), ('units')) AS k(kpi)), d AS (SELECT kpi, v AS b, CASE WHEN month(week) = 1 THEN v + 1 ELSE v END AS a FROM l) SELECT kpi, sum(b) AS before, sum(a) AS after, sum(a - b) AS net_delta, sum(abs(a - b)) AS absolute_delta, count(*) FILTER (a <> b) AS changed_rows FROM d GROUP BY kpi",
+    "quality_delta": f"WITH {CTES}, {_PK}, w AS ({_WEEKLY}), l AS (SELECT week, kpi, (CASE kpi WHEN 'lines' THEN lines ELSE units END)::DOUBLE AS v FROM w, (VALUES ('lines'), ('units')) AS k(kpi)), d AS (SELECT kpi, v AS b, CASE WHEN month(week) = 1 THEN v + 1 ELSE v END AS a, week FROM l) SELECT kpi, sum(b) AS before, sum(a) AS after, sum(a - b) AS net_delta, sum(abs(a - b)) AS absolute_delta, count(*) FILTER (a <> b) AS changed_rows, count(*) FILTER (b <> 0) AS nonzero_before, count(*) FILTER (a <> 0) AS nonzero_after, min(week) FILTER (b <> 0) AS first_before, min(week) FILTER (a <> 0) AS first_after, max(week) FILTER (b <> 0) AS last_before, max(week) FILTER (a <> 0) AS last_after FROM d GROUP BY kpi",
     "join_lookup_fill": f"""WITH l0 AS (SELECT l_linenumber, l_orderkey, {staging._sql(_LOOKUP)} FROM {staging._LINES}), l1 AS (SELECT * EXCLUDE (l_linenumber, l_orderkey) FROM l0 WHERE l_linenumber % 3 <> 1 UNION SELECT * EXCLUDE (l_linenumber, l_orderkey) REPLACE ('other' AS external_order_id) FROM l0 WHERE l_linenumber = 2 AND l_orderkey % 4 = 0),
 l2 AS (SELECT * FROM l1 WHERE external_order_id IS NOT NULL AND completed_at IS NOT NULL QUALIFY count(*) OVER (PARTITION BY pallet, sku, completed_at, quantity, owner) = 1),
 m AS (SELECT {staging._sql(staging.MOVEMENTS | _FILLED)} FROM {staging._LINES}), j AS (SELECT m.*, l2.order_id AS a, l2.external_order_id AS b, l2.client AS c, l2.external_client AS d FROM m LEFT JOIN l2 ON m.movement_type = 'PI' AND m.external_order_id IS NULL AND l2.pallet = m.pallet AND l2.sku = m.sku AND l2.completed_at = m.completed_at AND l2.quantity = m.quantity AND l2.owner = m.owner)
 SELECT movement_type, pallet, sku, completed_at, quantity, owner, coalesce(order_id, a) AS order_id, coalesce(external_order_id, b) AS external_order_id, coalesce(client, c) AS client, coalesce(external_client, d) AS external_client, CASE WHEN b IS NOT NULL THEN 'lookup' WHEN external_order_id IS NOT NULL THEN 'source' END AS source, (b IS NOT NULL)::INT AS enriched FROM j""",
     "join_impute": f"WITH {CTES}, w AS (SELECT *, min(service_date) OVER (PARTITION BY generic_code) AS a, max(service_date) OVER (PARTITION BY generic_code) AS b FROM requests) SELECT generic_code, sku, coalesce(service_date, CASE WHEN a = b THEN a END) AS service_date, (service_date IS NULL AND a = b AND a IS NOT NULL)::INT AS imputed FROM w",
-    "join_notes": f"""WITH {CTES}, n AS (SELECT order_code, service_code, row_number() OVER (PARTITION BY order_code ORDER BY service_date, service_code) AS k FROM notes WHERE order_code IS NOT NULL), j AS (SELECT substr(service_code, 1, 2) AS type, service_code IS NOT NULL AS hit FROM movements LEFT JOIN n ON order_code = external_order_id AND k = 1)
+    "join_notes": f"WITH {CTES}, {_N1} SELECT external_order_id, owner, sku, quantity, note_date, service_code, service_code IS NOT NULL AS has_note FROM movements LEFT JOIN n1 ON order_code = external_order_id",
+    "join_request_notes": f"WITH {CTES}, {_N2} SELECT r.generic_code, sku, requested_quantity, note_date, urgency, n2.generic_code IS NOT NULL AS has_note FROM requests r LEFT JOIN n2 ON n2.generic_code = r.generic_code",
+    "join_request_items": f"WITH {CTES} SELECT generic_code, r.sku, sku_name, kilos, m3, requested_quantity * kilos AS kg, i.sku IS NOT NULL AS has_item FROM requests r LEFT JOIN (SELECT * FROM items WHERE sku::INT % 11 <> 0) i ON i.sku = r.sku",
+    "join_unmatched_aligned": f"""WITH {CTES}, {_N1}, {_N2}, a AS (SELECT coalesce(external_order_id, '<NULL>') AS value, count(*) AS "left" FROM movements ANTI JOIN n1 ON order_code = external_order_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50),
+b AS (SELECT coalesce(generic_code, '<NULL>') AS value, count(*) AS "right" FROM requests ANTI JOIN n2 USING (generic_code) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50) SELECT value, coalesce("left", 0) AS "left", coalesce("right", 0) AS "right" FROM a FULL JOIN b USING (value)""",
+    "fact_service_actuals": f"""{_LV}, {_NT}, {_SN}, {_SR}, h AS (SELECT date, deliveries_sge AS sge, deliveries_sgp AS sgp, pickups_ege AS ege, source, truth FROM sn WHERE date < DATE '{SWITCH}' UNION ALL SELECT date, deliveries_sge, deliveries_sgp, pickups_ege, source, truth FROM sr WHERE date >= DATE '{SWITCH}'), k AS (SELECT * FROM h WHERE day(date) % 9 <> 0),
+w AS (SELECT min(date) FILTER (source = 'requests') AS s, min(date) AS a, max(date) AS z FROM k), g AS (SELECT unnest(generate_series(a, z, INTERVAL 1 DAY))::DATE AS date, s FROM w), f AS (SELECT g.date, coalesce(sge, 0)::DOUBLE AS sge, coalesce(sgp, 0)::DOUBLE AS sgp, coalesce(ege, 0)::DOUBLE AS ege, coalesce(source, CASE WHEN s IS NULL OR g.date < s THEN 'notes' ELSE 'requests' END) AS actual_source, coalesce(truth, CASE WHEN s IS NULL OR g.date < s THEN 'final' ELSE 'visible' END) AS actual_truth FROM g LEFT JOIN k USING (date))
+SELECT date, kpi, actual_value, actual_source, actual_truth FROM (UNPIVOT f ON sge, sgp, ege INTO NAME kpi VALUE actual_value)""",
+    "source_csv": f"WITH {CTES} SELECT operational_date, movement_type, sku::BIGINT AS sku, quantity::DOUBLE AS quantity, NULL::VARCHAR AS owner, 'owner' AS lacking FROM movements",
+    "source_parquet": f"WITH {CTES} SELECT * FROM items",
+    "source_top": f"WITH {CTES} SELECT sku, sku_name, kilos FROM items ORDER BY kilos DESC, sku LIMIT 500",
+    "join_coverage": f"""WITH {CTES}, n AS (SELECT order_code, service_code, row_number() OVER (PARTITION BY order_code ORDER BY service_date, service_code) AS k FROM notes WHERE order_code IS NOT NULL), j AS (SELECT substr(service_code, 1, 2) AS type, service_code IS NOT NULL AS hit FROM movements LEFT JOIN n ON order_code = external_order_id AND k = 1)
 SELECT 'all' AS scope, count(*) AS rows, count(*) FILTER (hit) AS matched, round(avg(hit::INT), 6) AS matched_pct FROM j UNION ALL SELECT coalesce(type, '<UNMATCHED>'), count(*), count(*) FILTER (hit), round(avg(hit::INT), 6) FROM j GROUP BY type""",
     "join_unmatched": f"WITH {CTES} SELECT generic_code, count(*) AS count FROM requests WHERE generic_code NOT IN (SELECT service_code FROM notes) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "join_best_item": "SELECT *, count(*) OVER (PARTITION BY p_name) AS rows FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_retailprice DESC, p_partkey) = 1",

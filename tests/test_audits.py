@@ -95,3 +95,40 @@ def test_snapshot_is_chosen_by_name(spark, tmp_path):
     assert got.collect()[0].asDict() == {"a": "1", "b": "2", "snapshot_date": date(2024, 1, 28)}
     none = files.latest_snapshot(spark, str(tmp_path / "stock.csv"))
     assert none.count() == 0 and none.columns == ["a", "b", "snapshot_date"]
+
+
+def test_stages_and_movement_report(spark):
+    rows = [("PI", "K", 2.0, "01/02/2024"), ("PI", None, 0.0, "31/02/2024"), ("CR", "K", None, " "), (None, None, 1.0, None)]
+    df = spark.createDataFrame(rows, "movement_type string, external_order_id string, quantity double, ended string").withColumn("operational_date", F.to_date(F.lit("2024-01-01")))
+    got = {r.stage: r.rows for r in quality.stages(df, {"picks": F.col("movement_type") == "PI", "quantity": F.col("quantity") > 0}).collect()}
+    assert got == {"all": 4, "picks": 2, "quantity": 1}
+    from depotlane.functions.text import day_first
+    report = {(r.section, r.key): r.value for r in quality.movement_qa(df, {"ended": day_first(F.col("ended"))}).collect()}
+    assert report["overall", "unreadable_ended"] == 1 and report["overall", "missing_quantity_pct"] == 0.25 and report["overall", "picks_without_order_pct"] == 0.5
+    assert (report["type", "PI"], report["type", "<EMPTY>"], report["overall", "picks"]) == (2, 1, 2)
+    none = {r.key: r.value for r in quality.movement_qa(df.limit(0), {}).collect()}
+    assert none["rows"] == 0 and none["picks_without_order_pct"] == 1.0
+
+
+def test_unmatched_side_by_side(spark):
+    left = spark.createDataFrame([("a", False), ("a", False), (None, False), ("m", True)], "k string, has boolean")
+    right = spark.createDataFrame([("a", False), ("b", False), ("m", True)], "c string, has boolean")
+    got = {r.value: (r.left, r.right) for r in quality.unmatched_aligned(left, "k", right, "c", "has").collect()}
+    assert got == {"a": (2, 1), "<NULL>": (1, 0), "b": (0, 1)}
+
+
+def test_service_actuals_around_the_switch(spark):
+    rows = [(DAY, "notes", "final", 2), (DAY + timedelta(days=2), "requests", "visible", 3), (DAY + timedelta(days=4), "requests", "visible", 4)]
+    fact = spark.createDataFrame(rows, "date date, source string, truth string, deliveries_sge long")
+    got = [(r.date.day, r.actual_value, r.actual_source, r.actual_truth) for r in facts.service_actuals(fact, {"sge": "deliveries_sge"}).orderBy("date").collect()]
+    assert got == [(1, 2.0, "notes", "final"), (2, 0.0, "notes", "final"), (3, 3.0, "requests", "visible"), (4, 0.0, "requests", "visible"), (5, 4.0, "requests", "visible")]
+    early = facts.service_actuals(fact.where("source = 'notes'"), {"sge": "deliveries_sge"}).collect()
+    assert [(r.actual_source, r.actual_truth) for r in early] == [("notes", "final")]
+
+
+def test_delta_ranges(spark):
+    before = spark.createDataFrame([(DAY, "k", 0.0), (DAY + timedelta(days=1), "k", 2.0)], "date date, kpi string, value double")
+    after = spark.createDataFrame([(DAY, "k", 1.0)], "date date, kpi string, value double")
+    r = quality.delta_report(before, after, ["date", "kpi"], "value", "kpi", "date").first()
+    assert (r.before, r.after, r.net_delta, r.absolute_delta, r.changed_rows, r.nonzero_before, r.nonzero_after) == (2.0, 1.0, -1.0, 3.0, 2, 1, 1)
+    assert (r.first_before, r.first_after, r.last_before, r.last_after) == (DAY + timedelta(days=1), DAY, DAY + timedelta(days=1), DAY)

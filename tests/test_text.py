@@ -49,8 +49,8 @@ def test_target_dates_and_imputation(spark):
 def test_lookup_and_quality(spark):
     m = spark.createDataFrame([("PI", "22043", "C1", None), ("PI", "9", "C1", None), ("CR", "22043", "C1", None), ("PI", "22043", "C1", "K")], "movement_type string, sku string, owner string, external_order_id string")
     lookup = spark.createDataFrame([("C1", "22043", "SGE202205972"), ("C1", "9", "A"), ("C1", "9", "B"), (None, "9", "Z")], "owner string, sku string, external_order_id string")
-    got = sorted((r.movement_type, r.sku, str(r.external_order_id), r.enriched, r.source) for r in enrich.fill_orders(m, enrich.unambiguous(lookup, ["owner", "sku"], ["external_order_id"]), ["owner", "sku"]).collect())
-    assert got == [("CR", "22043", "None", 0, "missing"), ("PI", "22043", "K", 0, "original"), ("PI", "22043", "SGE202205972", 1, "lookup"), ("PI", "9", "None", 0, "missing")]
+    got = sorted((r.movement_type, r.sku, str(r.external_order_id), r.enriched, str(r.source)) for r in enrich.fill_orders(m, enrich.unambiguous(lookup, ["owner", "sku"], ["external_order_id"]), ["owner", "sku"]).collect())
+    assert got == [("CR", "22043", "None", 0, "None"), ("PI", "22043", "K", 0, "source"), ("PI", "22043", "SGE202205972", 1, "lookup"), ("PI", "9", "None", 0, "None")]
     profile = {r.column: r.nulls for r in quality.null_profile(m).collect()}
     assert profile == {"movement_type": 0, "sku": 0, "owner": 0, "external_order_id": 3}
     assert quality.null_profile(m.limit(0)).count() == 4
