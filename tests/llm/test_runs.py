@@ -1,7 +1,10 @@
 """Periodic runs against all lags by brute force."""
 
+import hashlib
+import os
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -101,3 +104,37 @@ def test_best_and_ties():
     assert runs.best([(0, 8, 2), (3, 40, 10), (5, 9, 2)]) == (5, 9, 2)
     assert runs.best([(0, 8, 2), (3, 40, 10)]) == (0, 8, 2)
     assert runs.collapsed([b"a", b"b"] * 5, [(0, 10, 2)]) == b"a b"
+
+
+def by_lag(words):
+    """All runs of an array of word numbers: one comparison for each lag."""
+    found = []
+    for q in range(1, len(words) // runs.TURNS + 1):
+        same = np.concatenate([[False], words[q:] == words[:-q], [False]]).astype(np.int8)
+        edges = np.flatnonzero(np.diff(same))
+        for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            length = end - start + q
+            stretch = words[start : start + length]
+            if length >= max(runs.LEAST, runs.TURNS * q) and not any(np.array_equal(stretch[p:], stretch[:-p]) for p in range(1, q)):
+                found.append((start, length, q))
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_whole_table_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in runs.op12_runs(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(docs)
+    found = 0
+    for doc_id, text in docs:
+        words = runs.planted((text or "").encode().split(), str(doc_id))
+        want = by_lag(runs.numbered([words])[0])
+        found += len(want)
+        kept = [w for i, w in enumerate(words) if not any(s + q <= i < s + n for s, n, q in want)]
+        r = got[doc_id]
+        assert r.n_runs == len(want) and r.runs_sha256 == hashlib.sha256("".join(f"{s},{n},{q}\n" for s, n, q in want).encode()).hexdigest(), doc_id
+        assert r.collapsed_sha256 == hashlib.sha256(b" ".join(kept)).hexdigest()
+        if want:
+            s, n, q = min(want, key=lambda x: (-Fraction(x[1], x[2]), x[0], x[2]))
+            assert (r.start, r.length, r.period, r.exponent_milli) == (s, n, q, 1000 * n // q)
+    assert found > 10
