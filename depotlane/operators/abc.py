@@ -173,6 +173,15 @@ def temporality(pi: DataFrame, current: DataFrame) -> DataFrame:
     return out.withColumns({"may_move": F.col("decision").isin("review for secondary store", "move off season"), "may_keep": F.col("decision") == "keep accessible"})
 
 
+def decision_counts(decided: DataFrame) -> DataFrame:
+    """(section, key, items): items by demand pattern, by decision, and those that may move or stay, in one pass."""
+    out = decided.groupingSets([["pattern"], ["decision"], []], "pattern", "decision").agg(F.grouping_id().alias("set"), F.count("*").alias("n"), F.count_if("may_move").alias("may_move"), F.count_if("may_keep").alias("may_keep"))
+    row = lambda section, key, n: F.struct(F.lit(section).alias("section"), key.alias("key"), n.alias("items"))
+    flags = F.array(*[row("flag", F.lit(c), F.col(c)) for c in ("may_move", "may_keep")])
+    rows = F.when(F.col("set") == 1, F.array(row("pattern", F.col("pattern"), F.col("n")))).when(F.col("set") == 2, F.array(row("decision", F.col("decision"), F.col("n")))).otherwise(flags)
+    return out.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def relocation_candidates(classified: DataFrame, n: int = 500) -> DataFrame:
     """The first n items with stock that advice doesn't leave in place, least picked first."""
     out = classified.where("relocation_advice in ('review for secondary store', 'review excess stock')")

@@ -197,3 +197,26 @@ def kpi_cards(actuals: DataFrame, forecasts: DataFrame, groups: dict[str, str],
     out = both.groupBy(F.coalesce(F.try_element_at(pairs, F.col("kpi")), F.col("kpi")).alias("group")).agg(F.sum("actual").alias("actual"), F.sum("forecast_value").alias("forecast"))
     return out.withColumns({"headline": F.coalesce("actual", "forecast"), "delta_pct": F.try_divide(F.col("actual") - F.col("forecast"), F.col("forecast"))})
 
+
+def group_points(forecasts: DataFrame, compared: DataFrame, groups: Mapping[str, str], quarters: Sequence[int]) -> DataFrame:
+    """(date, group, actual, forecast, reference): null-preserving sums of KPI groups, of the latest year of both tables and the quarters.
+
+    forecasts: date, kpi, forecast_value; compared: date, kpi, actual, reference, as of the year-on-year tables. KPIs
+    without a group are left out; points without any value too.
+    """
+    pairs = F.create_map(*[F.lit(x) for p in groups.items() for x in p])
+    both = compared.select("date", "kpi", "actual", "reference").join(forecasts.select("date", "kpi", F.col("forecast_value").alias("forecast")), ["date", "kpi"], "full")
+    own = both.withColumn("group", F.try_element_at(pairs, F.col("kpi"))).where(F.col("group").isNotNull() & F.quarter("date").isin(*quarters))
+    year = both.agg(F.max(F.year("date")).alias("year"))
+    out = own.join(F.broadcast(year), F.year("date") == F.col("year"))  # one row
+    out = out.groupBy("date", "group").agg(*[F.sum(c).alias(c) for c in ("actual", "forecast", "reference")])
+    return out.where("actual is not null or forecast is not null or reference is not null")
+
+
+def cards(points: DataFrame, names: Sequence[str]) -> DataFrame:
+    """A card for each group: totals, the first of actual, forecast and reference that it has, and its actual's distance from the others."""
+    wanted = points.sparkSession.createDataFrame([(n,) for n in names], "group string")
+    out = wanted.join(points.groupBy("group").agg(*[F.sum(c).alias(c) for c in ("actual", "forecast", "reference")]), "group", "left")
+    label = F.when(F.col("actual").isNotNull(), "actual").when(F.col("forecast").isNotNull(), "forecast").when(F.col("reference").isNotNull(), "reference").otherwise("none")
+    delta = lambda c: F.try_divide(F.col("actual") - F.col(c), F.abs(c))
+    return out.withColumns({"headline": F.coalesce("actual", "forecast", "reference"), "headline_from": label, "forecast_delta": delta("forecast"), "reference_delta": delta("reference")})

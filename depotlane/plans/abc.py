@@ -59,6 +59,10 @@ def abc_temporality(spark, sf_dir):
     return _round(out, "mean_lines", "std_lines", "cv_lines", digits=6)
 
 
+def abc_decision_counts(spark, sf_dir):
+    return abc.decision_counts(abc.temporality(abc.split(movements(spark, sf_dir))[0], _since(spark, sf_dir, YEAR)[1]))
+
+
 def abc_candidates(spark, sf_dir):
     return abc.relocation_candidates(abc.classify_abc(movements(spark, sf_dir), stock(spark, sf_dir))).select("sku", "abc_class", "lines", "stock_quantity", "relocation_advice")
 
@@ -124,7 +128,7 @@ o AS (SELECT * EXCLUDE (cover), round(cover, 9) AS stock_coverage_lines, CASE WH
 _YTD = lambda roll: _full(["sku"] if roll else ["owner", "sku"], "roll" if roll else "agg", start=YEAR, roll=roll)
 _QUARTERS = _full(["period", "sku"], "agg", quarter=True)
 
-QUERIES = {f.__name__: f for f in (abc_article, abc_owner_ytd, abc_article_ytd, abc_article_30d, abc_quarterly, abc_quarterly_owner, abc_transitions, abc_monthly_activity, abc_temporality, abc_candidates, abc_class_summary, abc_kpis)}
+QUERIES = {f.__name__: f for f in (abc_article, abc_owner_ytd, abc_article_ytd, abc_article_30d, abc_quarterly, abc_quarterly_owner, abc_transitions, abc_monthly_activity, abc_temporality, abc_decision_counts, abc_candidates, abc_class_summary, abc_kpis)}
 ORACLES = {
     "abc_article": f"{_CLASSIFIED} SELECT * FROM o",
     "abc_candidates": f"{_CLASSIFIED} SELECT sku, abc_class, lines, stock_quantity, relocation_advice FROM o WHERE relocation_advice LIKE 'review%' ORDER BY stock_quantity DESC NULLS LAST, lines, sku LIMIT 500",
@@ -150,3 +154,5 @@ SELECT abc_class, count(DISTINCT sku)::BIGINT AS items, sum(lines)::BIGINT AS li
 SELECT count(*) AS items, sum(lines)::BIGINT AS lines, count(*) FILTER (c = 'A') AS class_a, count(*) FILTER (c = 'B') AS class_b, count(*) FILTER (c = 'C') AS class_c, count(*) FILTER (c = 'D') AS class_d,
   (SELECT count(*) FROM agg) AS owner_items, (SELECT sum(stock_quantity) FROM stock) AS stock_total FROM g""",
 }
+ORACLES["abc_decision_counts"] = f"""WITH t AS ({ORACLES["abc_temporality"]}) SELECT 'pattern' AS section, pattern AS key, count(*) AS items FROM t GROUP BY 2 UNION ALL SELECT 'decision', decision, count(*) FROM t GROUP BY 2
+UNION ALL SELECT 'flag', 'may_move', count(*) FILTER (may_move) FROM t UNION ALL SELECT 'flag', 'may_keep', count(*) FILTER (may_keep) FROM t"""

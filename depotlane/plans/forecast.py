@@ -98,6 +98,12 @@ def forecast_next(spark, sf_dir):
     return forecast.forecast(daily, _calendar(spark), cut(chosen), RUN, HORIZON, exclude_years=[LEFT_OUT])
 
 
+def forecast_next_baselines(spark, sf_dir):
+    daily = _daily_series(spark, sf_dir)
+    chosen = forecast.best_model(forecast.summarize(cut(_oof(spark, sf_dir, forecast.BASELINES))), daily)
+    return _round(forecast.forecast(daily, _calendar(spark), cut(chosen), RUN, HORIZON, exclude_years=[LEFT_OUT]), "forecast")
+
+
 def _last_folds(spark, sf_dir):
     """Histories with their last folds, those of ablations."""
     return cut(_folded(spark, sf_dir).withColumn("folds", histories.last(F.col("folds"), forecast.RECENT)))
@@ -345,6 +351,20 @@ def _progress(spark, sf_dir):
     return tracking.progress(spark, RUN, KPIS, plan, rest, facts.actuals_daily(_picking(spark, sf_dir), KPIS), 1996)
 
 
+#: KPI groups of cards and charts, and the quarters that are shown.
+GROUPS, QUARTERS = {"lines": "picking_lines", "units": "picking_units"}, [1, 2]
+
+
+def fact_cards(spark, sf_dir):
+    compared, current = _yoy(spark, sf_dir)
+    out = facts.cards(facts.group_points(current, compared, GROUPS, QUARTERS), [*GROUPS.values(), "services"])
+    return _round(out, "forecast_delta", "reference_delta")
+
+
+def fact_weekly_points(spark, sf_dir):
+    return facts.group_points(_shown_weeks(spark, sf_dir).withColumnRenamed("week", "date"), _yoy_weekly(spark, sf_dir), {"lines": "picking", "units": "picking"}, QUARTERS)
+
+
 def consumption_progress(spark, sf_dir):
     return _round(_progress(spark, sf_dir), "fulfilled", "diff_pct")
 
@@ -379,9 +399,9 @@ def graph_hubs(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        forecast_folds, forecast_seasonal_naive, forecast_baselines, forecast_weekly, forecast_weekly_fitted, forecast_backtest, forecast_backtest_naive, forecast_metrics, forecast_rank_baselines, forecast_ranking, forecast_next, forecast_ablations,
+        forecast_folds, forecast_seasonal_naive, forecast_baselines, forecast_weekly, forecast_weekly_fitted, forecast_backtest, forecast_backtest_naive, forecast_metrics, forecast_rank_baselines, forecast_ranking, forecast_next, forecast_next_baselines, forecast_ablations,
         forecast_ridge, forecast_features, nowcast_maturity, nowcast_scalers, nowcast_scalers_final, nowcast_blend, nowcast_postprocess, nowcast_transformer, nowcast_direct, nowcast_direct_metrics, forecast_replay, forecast_replay_report, forecast_replay_weekly, forecast_replay_weekly_report,
-        tracking_history, tracking_split, tracking_weekly, tracking_errors, tracking_horizons, tracking_impact, consumption_daily, consumption_weekly, consumption_reconciled, consumption_year_daily, quality_reference_coverage, quality_reference_alignment, consumption_year_weekly, consumption_progress, consumption_checks, graph_components, graph_clusters, graph_hubs,
+        tracking_history, tracking_split, tracking_weekly, tracking_errors, tracking_horizons, tracking_impact, consumption_daily, consumption_weekly, consumption_reconciled, consumption_year_daily, quality_reference_coverage, quality_reference_alignment, consumption_year_weekly, consumption_progress, fact_cards, fact_weekly_points, consumption_checks, graph_components, graph_clusters, graph_hubs,
     )
 }
 
@@ -543,6 +563,10 @@ FROM (SELECT DISTINCT quarter FROM f) CROSS JOIN (VALUES ('lines'), ('units')) A
     "consumption_weekly": f"{_HI}, {_AW}, {_CW} SELECT run_id, week, cw.kpi, forecast_value, days, horizon_weeks, bucket, 'daily_aggregated' AS source, actual AS actual_value, CASE WHEN actual IS NOT NULL THEN 'notes' END AS actual_source, CASE WHEN actual IS NOT NULL THEN 'final' END AS actual_truth FROM cw LEFT JOIN aw ON aw.date = week AND aw.kpi = cw.kpi",
     "consumption_reconciled": f"{_HI}, d AS (SELECT target_date AS date, kpi, forecast_value AS forecast FROM hi WHERE k = 2 UNION ALL SELECT target_date, 'both', sum(forecast_value) FROM hi WHERE k = 2 GROUP BY 1) SELECT 'day' AS frequency, date, kpi, forecast FROM d UNION ALL SELECT 'week', date_trunc('week', date)::DATE, kpi, sum(forecast) FROM d GROUP BY ALL",
     "consumption_year_weekly": f"{_HI}, {_AW}, {_CW}, {_YW} SELECT *, {_DIFF} FROM yw",
+    "fact_cards": f"""{_HI}, {_YD}, g AS (SELECT 'picking_' || kpi AS "group", sum(actual) AS actual, sum(forecast) AS forecast, sum(reference) AS reference FROM yj WHERE year(date) = 2001 AND quarter(date) IN (1, 2) GROUP BY 1)
+SELECT w.x AS "group", actual, forecast, reference, coalesce(actual, forecast, reference) AS headline, CASE WHEN actual IS NOT NULL THEN 'actual' WHEN forecast IS NOT NULL THEN 'forecast' WHEN reference IS NOT NULL THEN 'reference' ELSE 'none' END AS headline_from, round((actual - forecast) / nullif(abs(forecast), 0), 6) AS forecast_delta, round((actual - reference) / nullif(abs(reference), 0), 6) AS reference_delta
+FROM (VALUES ('picking_lines'), ('picking_units'), ('services')) AS w(x) LEFT JOIN g ON g."group" = x""",
+    "fact_weekly_points": f"""{_HI}, {_AW}, {_CW}, {_YW} SELECT date, 'picking' AS "group", sum(actual) AS actual, sum(forecast) AS forecast, sum(reference) AS reference FROM yw WHERE quarter(date) IN (1, 2) GROUP BY 1""",
     "consumption_progress": f"""{_HI}, pl AS (SELECT kpi, target_date AS date, arg_max(forecast_value, run_date) AS v FROM hi WHERE run_date < target_date GROUP BY ALL),
 pe AS (SELECT * FROM (VALUES ('day', DATE '{RUN}', DATE '{RUN}'), ('week', date_trunc('week', DATE '{RUN}')::DATE, (date_trunc('week', DATE '{RUN}') + INTERVAL 6 DAY)::DATE), ('month', date_trunc('month', DATE '{RUN}')::DATE, last_day(DATE '{RUN}'))) AS p(period, "start", "end"), (VALUES ('lines'), ('units')) AS k(kpi)),
 dd AS (SELECT period, "start", "end", kpi, unnest(generate_series("start", "end", INTERVAL 1 DAY))::DATE AS date FROM pe), de AS (SELECT *, date <= DATE '{RUN}' AS el, CASE WHEN period = 'week' THEN (date_trunc('week', DATE '1996-01-04') + INTERVAL (7 * (weekofyear(DATE '{RUN}') - 1)) DAY)::DATE + (isodow(date) - 1)::INT ELSE make_date(1996, month(date), day(date)) END AS rd FROM dd),
@@ -559,3 +583,5 @@ SELECT "check", kpi, round(value, 6) AS value, CASE WHEN value BETWEEN low AND h
     "graph_components": f"""{baskets._BASE.replace('WITH', 'WITH RECURSIVE', 1)}, {baskets._SC}, ge AS (SELECT article_a, article_b FROM sc WHERE layout_score >= 0.18 AND shared_transactions >= {baskets.LEAST} ORDER BY layout_score DESC, shared_transactions DESC, stability_score DESC, lift DESC, article_a, article_b LIMIT 4000),
 bo AS (SELECT article_a AS x, article_b AS y FROM ge UNION ALL SELECT article_b, article_a FROM ge), re AS (SELECT x, y FROM bo UNION SELECT re.x, bo.y FROM re JOIN bo ON bo.x = re.y) SELECT x AS article, least(x, min(y)) AS component FROM re GROUP BY x""",
 }
+ORACLES["forecast_next_baselines"] = f"""{_DS.replace('WITH', 'WITH RECURSIVE', 1)}, fo AS (SELECT DISTINCT series, 0::BIGINT AS fold, DATE '{RUN}' AS origin FROM ds), {_made(1, HORIZON, 7, 7)}, rk AS ({ORACLES['forecast_rank_baselines']})
+SELECT series, model, date, step, round(y_pred, 6) AS forecast FROM bl JOIN rk USING (series, model) WHERE rank = 1"""

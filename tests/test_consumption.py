@@ -2,7 +2,7 @@
 
 from datetime import date, datetime
 
-from depotlane.operators import tracking
+from depotlane.operators import abc, facts, tracking
 
 RUN = datetime(2024, 1, 10, 6)  # a Wednesday
 
@@ -55,3 +55,18 @@ def test_checks(spark):
     assert bad["daily_coverage", "all"][1] == "warning"
     assert bad["daily_reference", "a"] == (0.0, "error")  # there is a source, but no reference
     assert bad["daily_reference", "b"] == (1.0, "warning")  # nothing in the reference year to compare with
+
+
+def test_cards_and_points(spark):
+    compared = spark.createDataFrame([(date(2024, 1, 2), "a", 4.0, 8.0), (date(2024, 5, 2), "a", 1.0, 1.0), (date(2023, 1, 2), "a", 99.0, 99.0), (date(2024, 1, 3), "b", None, None), (date(2024, 1, 2), "x", 7.0, 7.0)], "date date, kpi string, actual double, reference double")
+    forecasts = spark.createDataFrame([(date(2024, 1, 2), "a", 5.0), (date(2024, 1, 4), "b", 3.0)], "date date, kpi string, forecast_value double")
+    points = facts.group_points(forecasts, compared, {"a": "first", "b": "second"}, [1])
+    assert {(r.date.day, r.group): (r.actual, r.forecast, r.reference) for r in points.collect()} == {(2, "first"): (4.0, 5.0, 8.0), (4, "second"): (None, 3.0, None)}
+    got = {r.group: tuple(r)[1:] for r in facts.cards(points, ["first", "second", "third"]).collect()}
+    assert got["first"] == (4.0, 5.0, 8.0, 4.0, "actual", -0.2, -0.5) and got["second"] == (None, 3.0, None, 3.0, "forecast", None, None) and got["third"] == (None, None, None, None, "none", None, None)
+
+
+def test_decision_counts(spark):
+    rows = [("regular", "keep accessible", False, True), ("regular", "move off season", True, False), ("new", "keep accessible", False, True)]
+    got = {(r.section, r.key): r["items"] for r in abc.decision_counts(spark.createDataFrame(rows, "pattern string, decision string, may_move boolean, may_keep boolean")).collect()}
+    assert got == {("pattern", "regular"): 2, ("pattern", "new"): 1, ("decision", "keep accessible"): 2, ("decision", "move off season"): 1, ("flag", "may_move"): 1, ("flag", "may_keep"): 2}
