@@ -41,14 +41,23 @@ def weekly_calendar(days: DataFrame) -> DataFrame:
     )
 
 
-def assemble(series: DataFrame, calendar: DataFrame, target: str = "target", key: str = "series") -> DataFrame:
-    """Every series on every calendar day: target 0 where it has none, is_actual from its first to its last day."""
+def assemble(series: DataFrame, calendar: DataFrame, target: str = "target", key: str = "series", switch: DataFrame | None = None) -> DataFrame:
+    """Every series on every calendar day: target 0 where it has none, is_actual from its first to its last day.
+
+    switch: key and date of the first day from another source, if any; then source and truth are labelled: notes and
+    final before it (or without one), requests and visible from it on, with is_final as a number.
+    """
     spans = series.groupBy(key).agg(F.min("date").alias("first"), F.max("date").alias("last"))
     days = calendar.agg(F.min("date").alias("a"), F.max("date").alias("b"))  # one row
     grid = spans.join(F.broadcast(days), F.lit(True)).select(key, "first", "last", F.explode(F.sequence("a", "b")).alias("date"))
     out = grid.join(series.select(key, "date", target), [key, "date"], "left").fillna(0, [target])
     actual = (F.col("date") >= F.col("first")) & (F.col("date") <= F.col("last"))
-    return out.withColumns({"is_actual": actual, "regime": regime(F.col("date"))}).drop("first", "last")
+    out = out.withColumns({"is_actual": actual, "regime": regime(F.col("date"))}).drop("first", "last")
+    if switch is None:
+        return out
+    out = out.join(switch.select(key, F.col("date").alias("_switch")), key, "left")  # a row for each series
+    early = F.coalesce(F.col("date") < F.col("_switch"), F.lit(True))
+    return out.withColumns({"source": F.when(early, "notes").otherwise("requests"), "truth": F.when(early, "final").otherwise("visible"), "is_final": early.cast("int")}).drop("_switch")
 
 
 def add_lags(df: DataFrame, lags: Sequence[int] = (7, 14, 28), windows: Sequence[int] = (7, 14, 28), target: str = "target", key: str = "series") -> DataFrame:

@@ -35,7 +35,7 @@ def base(folded: DataFrame, types: Mapping[str, str], horizon: int, model: str =
 
 
 def replay(rows: DataFrame, signal: DataFrame, settings: Mapping[str, Settings]) -> DataFrame:
-    """One row for each variant, run date, target date and KPI: base, signal, weights, value, actual and errors.
+    """One row for each variant, run date, target date and KPI: base, signal, weights, blend, final value, actual and errors.
 
     rows: of `base`; signal: of `nowcast.signals` at the run dates; only dates within a horizon bucket stay.
     """
@@ -46,8 +46,8 @@ def replay(rows: DataFrame, signal: DataFrame, settings: Mapping[str, Settings])
         service = F.col("service_type").isNotNull()
         own = own.select(
             F.lit(name).alias("variant"), F.col("origin").alias("run_date"), F.col("date").alias("target_date"), "horizon", "bucket", "kpi", F.col("forecast").alias("base"), "signal",
-            *[F.when(service, F.col(c)).alias(c) for c in ("statistical", "backlog")], F.when(service, F.col("blended")).otherwise(F.col("forecast")).alias("forecast_value"), "actual_value",
-        )
+            *[F.when(service, F.col(c)).alias(c) for c in ("statistical", "backlog")], F.when(service, F.col("blended")).otherwise(F.col("forecast")).alias("blended"), "actual_value",
+        ).withColumn("forecast_value", F.col("blended"))
         own = nowcast.postprocess(own, s.policies, value="forecast_value")
         out = own if out is None else out.unionByName(own)
     e = F.col("forecast_value") - F.col("actual_value")

@@ -11,11 +11,14 @@ from depotlane.functions.text import monday, monday_of_iso, same_day_in, weekly_
 HISTORY_KEY = ("run_id", "target_date", "kpi", "model", "source", "frequency")
 
 
-def stamp(forecasts: DataFrame, run_ts: str, run_id: str, switch_date: str, version: str = "v1", frequency: str = "daily") -> DataFrame:
-    """Forecast rows with run, source context (by switch date) and version, ready for the history."""
-    ts = F.lit(run_ts).cast("timestamp")
+def stamp(forecasts: DataFrame, run_ts: str | Column, run_id: str | Column, switch_date: str, version: str = "v1", frequency: str = "daily") -> DataFrame:
+    """Forecast rows with run, source context (by switch date) and version, ready for the history.
+
+    Run time and id are given for all rows, or as columns for rows of many runs.
+    """
+    ts = (F.lit(run_ts) if isinstance(run_ts, str) else run_ts).cast("timestamp")
     return forecasts.withColumns({
-        "run_ts": ts, "run_date": F.to_date(ts), "run_id": F.lit(run_id), "version": F.lit(version), "frequency": F.lit(frequency),
+        "run_ts": ts, "run_date": F.to_date(ts), "run_id": F.lit(run_id) if isinstance(run_id, str) else run_id, "version": F.lit(version), "frequency": F.lit(frequency),
         "source": F.when(F.col("target_date") < F.lit(switch_date).cast("date"), "notes").otherwise("requests"),
     })
 

@@ -131,7 +131,7 @@ def forecast_features(spark, sf_dir):
 
 
 def nowcast_maturity(spark, sf_dir):
-    return _round(nowcast.maturity_curves(_level(spark, sf_dir), 10), "visible")
+    return _round(nowcast.maturity_curves(_level(spark, sf_dir), HORIZON), "visible")
 
 
 def _service_actuals(spark, sf_dir):
@@ -150,7 +150,7 @@ def nowcast_scalers_final(spark, sf_dir):
 
 def nowcast_blend(spark, sf_dir):
     level = _level(spark, sf_dir)
-    origins = spark.sql("select explode(sequence(date'1998-01-05', date'1998-03-30', interval 7 day)) as origin")
+    origins = spark.sql("select explode(sequence(date'1995-01-02', date'2001-06-25', interval 7 day)) as origin")
     opened = enrich.open_at(level, origins, "created_date", "date", ["service_type"])
     plain = origins.withColumn("service_type", F.explode(F.array(*[F.lit(x) for x in ("SGE", "SGP", "EGE", "UNK")]))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(14))))
     plain = plain.select("origin", F.date_add("origin", F.col("step")).alias("date"), "service_type", (F.col("step") + 0.5).cast("double").alias("forecast"))
@@ -233,7 +233,7 @@ def _replayed(spark, sf_dir, actuals):
 
 def forecast_replay(spark, sf_dir):
     out = _replayed(spark, sf_dir, cut(_kpi_actuals(spark, sf_dir)))
-    return _round(out, "base", "signal", "forecast_value", "error", "abs_error", digits=4)
+    return _round(out, "base", "signal", "blended", "forecast_value", "error", "abs_error", digits=4)
 
 
 def forecast_replay_report(spark, sf_dir):
@@ -253,16 +253,20 @@ def forecast_replay_weekly(spark, sf_dir):
     return _round(out, "forecast_value", "error", digits=4)
 
 
+#: First of the runs in the history, a week apart up to RUN, and the number of the last one.
+RUN_FROM, LAST_RUN = "2000-03-15", 52
+
+
 def _history(spark, sf_dir):
-    """Three runs of plain forecasts of the picking KPIs, 28 days each."""
-    daily = facts.actuals_daily(_picking(spark, sf_dir), KPIS)
-    out = None
-    for k, run in enumerate(("2001-02-28", "2001-03-07", RUN)):
-        own = daily.where(F.col("date").between(F.lit(run).cast("date"), F.date_add(F.lit(run).cast("date"), 28)))
-        own = own.select(F.col("date").alias("target_date"), "kpi", (F.col("actual_value") + k + F.day("date")).alias("forecast_value"), F.lit("naive").alias("model"))
-        rows = tracking.stamp(own, f"{run} 06:00:00", f"run{k}", "2001-03-10")
-        out = rows if out is None else tracking.append_history(out, rows.unionByName(rows.withColumn("forecast_value", F.lit(-1.0)).withColumn("run_ts", F.lit(f"{run} 05:00:00").cast("timestamp"))))
-    return out
+    """Weekly runs of a year that forecast the picking KPIs by seasonal naive, each told twice, the later telling being right."""
+    actuals = facts.actuals_daily(_picking(spark, sf_dir), KPIS).select("date", "kpi", F.col("actual_value").alias("target"))
+    runs = histories.run_dates(histories.dense(histories.fill(actuals, key="kpi"), key="kpi"), RUN_FROM, RUN).withColumn("folds", F.filter("folds", lambda f: f["fold"] % 7 == 0))
+    made = histories.baselines(runs, HORIZON, ["seasonal_naive"], key="kpi").select("origin", F.col("date").alias("target_date"), "kpi", F.col("y_pred").alias("forecast_value"), F.lit("naive").alias("model"))
+    run = F.datediff("origin", F.lit(RUN_FROM).cast("date")) / 7
+    rows = tracking.stamp(cut(made), F.col("origin").cast("timestamp") + F.expr("interval 6 hours"), F.concat(F.lit("run"), run.cast("int").cast("string")), "2001-03-10").drop("origin")
+    early = rows.withColumn("forecast_value", F.lit(-1.0)).withColumn("run_ts", F.col("run_ts") - F.expr("interval 1 hour"))
+    old = F.col("run_date") < F.lit("2000-09-01").cast("date")
+    return cut(tracking.append_history(rows.where(old).unionByName(early.where(old)), rows.where(~old).unionByName(early.where(~old))))  # read by several parts
 
 
 def tracking_history(spark, sf_dir):
@@ -292,7 +296,7 @@ def tracking_horizons(spark, sf_dir):
 def tracking_impact(spark, sf_dir):
     rows = tracking.against_actuals(_history(spark, sf_dir), facts.actuals_daily(_picking(spark, sf_dir), KPIS))
     per = lambda run: nowcast.horizon_metrics(rows.where(F.col("run_id") == run), ["kpi"], "forecast_value", "actual_value")
-    return _round(nowcast.impact(per("run2"), per("run0"), ["kpi"]).join(nowcast.usage(per("run0")), "kpi"), "before", "after", "delta", "wape")
+    return _round(nowcast.impact(per(f"run{LAST_RUN}"), per("run0"), ["kpi"]).join(nowcast.usage(per("run0")), "kpi"), "before", "after", "delta", "wape")
 
 
 def consumption_daily(spark, sf_dir):
@@ -371,9 +375,11 @@ def consumption_progress(spark, sf_dir):
 
 def consumption_checks(spark, sf_dir):
     compared, current = _yoy(spark, sf_dir)
-    weeks = _shown_weeks(spark, sf_dir).withColumnRenamed("week", "date")
+    weeks = cut(_shown_weeks(spark, sf_dir))
+    compared_weeks = tracking.year_on_year_weekly(tracking.full_year(spark, 2001, KPIS, weekly=True), _actual_weeks(spark, sf_dir), 1997, weeks)
     dimension = tracking.dim_kpi(spark, [("lines", "Lines", "lines", "picking"), ("units", "Units", "units", "picking")])
-    out = tracking.validations(cut(current), cut(weeks), cut(compared), cut(_yoy_weekly(spark, sf_dir)), _progress(spark, sf_dir), cut(facts.actuals_daily(_picking(spark, sf_dir), KPIS)), dimension, KPIS, 1996)
+    actuals = cut(facts.actuals_daily(_picking(spark, sf_dir), KPIS))
+    out = tracking.validations(cut(current), weeks.withColumnRenamed("week", "date"), cut(compared), cut(compared_weeks), _progress(spark, sf_dir), actuals, dimension, KPIS, 1996)
     return _round(out, "value")
 
 
@@ -470,16 +476,16 @@ JOIN gr t ON t.series = sl.series AND t.fold = sl.fold AND t.i = {size + 1} AND
 SELECT series, fold::INT AS fold, model, [{', '.join(f"'{n}'" for n in names)}][i] AS feature, round(slope, 4) AS slope FROM sl UNION ALL SELECT series, fold::INT, model, 'level', round(slope, 4) FROM lv"""
 
 
-_HI = f"""WITH {CTES}, {_ACT}, runs AS (SELECT * FROM (VALUES (0, DATE '2001-02-28'), (1, DATE '2001-03-07'), (2, DATE '{RUN}')) AS r(k, run)),
-hi AS (SELECT 'run' || k AS run_id, k, run AS run_date, date AS target_date, kpi, actual_value + k + day(date) AS forecast_value, actual_value, CASE WHEN date < DATE '2001-03-10' THEN 'notes' ELSE 'requests' END AS source FROM al JOIN runs ON date BETWEEN run AND run + 28 WHERE kpi <> 'items')"""
+_HI = f"""WITH {CTES}, {_ACT}, runs AS (SELECT k::INT AS k, (DATE '{RUN_FROM}' + (7 * k)::INT)::DATE AS run FROM range(0, {LAST_RUN + 1}) AS t(k)), steps AS (SELECT k, run, (run + h::INT)::DATE AS d, (run + (h - 7 * ceil(h / 7))::INT)::DATE AS look FROM runs, range(1, {HORIZON + 1}) AS t(h)),
+hi AS (SELECT 'run' || k AS run_id, k, run AS run_date, d AS target_date, v.kpi, v.actual_value AS forecast_value, al.actual_value, CASE WHEN d < DATE '2001-03-10' THEN 'notes' ELSE 'requests' END AS source FROM steps JOIN al v ON v.date = look AND v.kpi <> 'items' LEFT JOIN al ON al.date = d AND al.kpi = v.kpi)"""
 _ERR = "er AS (SELECT run_id, target_date, kpi, forecast_value - actual_value AS error, abs(forecast_value - actual_value) AS abs_error, abs(forecast_value - actual_value) / nullif(abs(actual_value), 0) AS ape, (target_date - run_date)::INT AS horizon, actual_value FROM hi)"
 _WA = "wp AS (SELECT run_id, kpi, sum(abs_error) / nullif(sum(abs(actual_value)), 0) AS wape FROM er GROUP BY ALL)"
-_YD = """yd AS (SELECT d AS date, kpi, make_date(1996, month(d), least(day(d), day(last_day(make_date(1996, month(d), 1))))) AS reference_date FROM (SELECT unnest(generate_series(DATE '2001-01-01', DATE '2001-12-31', INTERVAL 1 DAY))::DATE AS d), (VALUES ('lines'), ('units')) AS k(kpi)),
-yj AS (SELECT yd.date, yd.kpi, reference_date, a.actual_value AS actual, h.forecast_value AS forecast, r.actual_value AS reference FROM yd LEFT JOIN al a USING (date, kpi) LEFT JOIN hi h ON h.target_date = yd.date AND h.kpi = yd.kpi AND k = 2 LEFT JOIN al r ON r.date = reference_date AND r.kpi = yd.kpi)"""
+_YD = f"""yd AS (SELECT d AS date, kpi, make_date(1996, month(d), least(day(d), day(last_day(make_date(1996, month(d), 1))))) AS reference_date FROM (SELECT unnest(generate_series(DATE '2001-01-01', DATE '2001-12-31', INTERVAL 1 DAY))::DATE AS d), (VALUES ('lines'), ('units')) AS k(kpi)),
+yj AS (SELECT yd.date, yd.kpi, reference_date, a.actual_value AS actual, h.forecast_value AS forecast, r.actual_value AS reference FROM yd LEFT JOIN al a USING (date, kpi) LEFT JOIN hi h ON h.target_date = yd.date AND h.kpi = yd.kpi AND k = {LAST_RUN} LEFT JOIN al r ON r.date = reference_date AND r.kpi = yd.kpi)"""
 _DIFF = "actual - reference AS diff, round((actual - reference) / nullif(reference, 0), 6) AS diff_pct"
 _AW = "aw AS (SELECT date_trunc('week', date)::DATE AS date, kpi, sum(actual_value) AS actual FROM al WHERE kpi <> 'items' GROUP BY ALL)"
-_CW = """cw AS (SELECT run_id, date_trunc('week', target_date)::DATE AS week, kpi, sum(forecast_value) AS forecast_value, count(*) AS days, ((date_trunc('week', target_date)::DATE - date_trunc('week', run_date)::DATE) / 7)::INT AS horizon_weeks,
-CASE ((date_trunc('week', target_date)::DATE - date_trunc('week', run_date)::DATE) / 7)::INT WHEN 0 THEN NULL WHEN 1 THEN 'W+1' WHEN 2 THEN 'W+2' WHEN 3 THEN 'W+3_W+4' WHEN 4 THEN 'W+3_W+4' ELSE 'W+5' END AS bucket FROM hi WHERE k = 2 GROUP BY ALL)"""
+_CW = f"""cw AS (SELECT run_id, date_trunc('week', target_date)::DATE AS week, kpi, sum(forecast_value) AS forecast_value, count(*) AS days, ((date_trunc('week', target_date)::DATE - date_trunc('week', run_date)::DATE) / 7)::INT AS horizon_weeks,
+CASE ((date_trunc('week', target_date)::DATE - date_trunc('week', run_date)::DATE) / 7)::INT WHEN 0 THEN NULL WHEN 1 THEN 'W+1' WHEN 2 THEN 'W+2' WHEN 3 THEN 'W+3_W+4' WHEN 4 THEN 'W+3_W+4' ELSE 'W+5' END AS bucket FROM hi WHERE k = {LAST_RUN} GROUP BY ALL)"""
 _YW = """y0 AS (SELECT d AS date, kpi, CASE WHEN isoyear(date_trunc('week', DATE '1997-01-04') + INTERVAL (7 * (weekofyear(d) - 1)) DAY) = 1997 THEN (date_trunc('week', DATE '1997-01-04') + INTERVAL (7 * (weekofyear(d) - 1)) DAY)::DATE END AS reference_date FROM (SELECT unnest(generate_series(DATE '2001-01-01', DATE '2001-12-31', INTERVAL 7 DAY))::DATE AS d), (VALUES ('lines'), ('units')) AS k(kpi)),
 yw AS (SELECT y0.date, y0.kpi, reference_date, a.actual, cw.forecast_value AS forecast, r.actual AS reference FROM y0 LEFT JOIN aw a USING (date, kpi) LEFT JOIN cw ON cw.week = y0.date AND cw.kpi = y0.kpi LEFT JOIN aw r ON r.date = reference_date AND r.kpi = y0.kpi)"""
 _MAT = lambda most: f"mh AS (SELECT date, service_type, h::INT AS horizon, count(*) FILTER (lead_days >= h) / count(*) AS r FROM lv, range(0, {most + 1}) AS t(h) WHERE created_date IS NOT NULL GROUP BY ALL), mc AS (SELECT service_type, horizon, least(greatest(quantile_cont(r, 0.5), 0.05), 1.0)::DOUBLE AS visible FROM mh GROUP BY ALL)"
@@ -519,9 +525,9 @@ w AS (SELECT series, model, quantile_cont(abs(y_pred - y_true), 0.9) AS p90_abs_
 SELECT series, model, {', '.join(f'round({c}, 6) AS {c}' for c in ('mean_mae', 'median_mae', 'std_mae', 'mean_wape', 'mean_bias', 'p90_abs_error', 'mae_peak', 'wape_peak'))}, row_number() OVER (PARTITION BY series ORDER BY mean_wape NULLS LAST, mean_mae NULLS LAST, p90_abs_error, model)::INT AS rank FROM a JOIN w USING (series, model)""",
     "forecast_ridge": _ridge_sql(),
     "forecast_features": f"{_FE}, u AS (UNPIVOT (SELECT target, {', '.join(f'{n}::DOUBLE AS {n}' for n in (*_CALENDAR, *_LOOK))} FROM fe) ON {', '.join((*_CALENDAR, *_LOOK))} INTO NAME feature VALUE value) SELECT feature, count(*) AS n, round(avg(value), 5) AS mean, min(value) AS least, max(value) AS most, round(avg(value * target), 5) AS product FROM u GROUP BY feature",
-    "nowcast_maturity": f"{_LV}, {_MAT(10)} SELECT service_type, horizon, round(visible, 6) AS visible FROM mc",
+    "nowcast_maturity": f"{_LV}, {_MAT(HORIZON)} SELECT service_type, horizon, round(visible, 6) AS visible FROM mc",
     "nowcast_scalers": f"{_LV}, {_SCL} SELECT service_type, round(scaler, 6) AS scaler FROM scl",
-    "nowcast_blend": f"""{_LV}, {_MAT(14)}, {_SCL}, og AS (SELECT unnest(generate_series(DATE '1998-01-05', DATE '1998-03-30', INTERVAL 7 DAY))::DATE AS origin), op AS (SELECT origin, date, service_type, count(*) AS n FROM lv JOIN og ON created_date <= origin AND origin <= date GROUP BY ALL),
+    "nowcast_blend": f"""{_LV}, {_MAT(14)}, {_SCL}, og AS (SELECT unnest(generate_series(DATE '1995-01-02', DATE '2001-06-25', INTERVAL 7 DAY))::DATE AS origin), op AS (SELECT origin, date, service_type, count(*) AS n FROM lv JOIN og ON created_date <= origin AND origin <= date GROUP BY ALL),
 sg AS (SELECT origin, date, op.service_type, n / coalesce(visible, 1) * coalesce(scaler, 1) AS signal FROM op LEFT JOIN mc ON mc.service_type = op.service_type AND horizon = greatest(date - origin, 0) LEFT JOIN scl ON scl.service_type = op.service_type),
 pf AS (SELECT origin, (origin + h::INT)::DATE AS date, service_type, h + 0.5::DOUBLE AS forecast, CASE WHEN h = 1 THEN 'D+1' WHEN h <= 3 THEN 'D+2_D+3' WHEN h <= 7 THEN 'D+4_D+7' ELSE 'D+8_D+14' END AS bucket, h FROM og, (SELECT DISTINCT service_type FROM lv), range(1, 15) AS t(h)),
 bl AS (SELECT pf.*, CASE WHEN h <= 7 THEN coalesce(ws, 0.35) ELSE 1 END::DOUBLE AS statistical, CASE WHEN h <= 7 THEN coalesce(wc, 0.65) ELSE 0 END::DOUBLE AS backlog, signal FROM pf LEFT JOIN sg USING (origin, date, service_type) LEFT JOIN {_WTS} ON wk = service_type AND wb = bucket)
@@ -535,7 +541,7 @@ SELECT (date - o)::DATE AS pick_date, service_type, round(sum(f * x * s * l), 6)
     "nowcast_direct": f"{_DIR} SELECT origin, kpi, date, source, y_true, round(y_pred, 6) AS y_pred FROM di",
     "nowcast_direct_metrics": f"""{_DIR}, dp AS (SELECT *, sum(abs(y_true)) OVER w <> 0 AND y_true >= quantile_cont(y_true, 0.9) OVER w AS peak FROM di WINDOW w AS (PARTITION BY origin, kpi, source)), e AS (SELECT kpi, origin, source, {_ERRORS}, avg(abs(y_pred - y_true)) FILTER (peak) AS mae_peak, sum(abs(y_pred - y_true)) FILTER (peak) / nullif(sum(abs(y_true)) FILTER (peak), 0) AS wape_peak FROM dp GROUP BY ALL)
 SELECT kpi, origin, source, n, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(wape, 4) AS wape, round(mae_peak, 4) AS mae_peak, round(wape_peak, 4) AS wape_peak FROM e""",
-    "forecast_replay": f"{_REP} SELECT variant, run_date, target_date, horizon, bucket, kpi, round(base, 4) AS base, round(signal, 4) AS signal, statistical, backlog, round(forecast_value, 4) AS forecast_value, actual_value, round(forecast_value - actual_value, 4) + 0.0 AS error, round(abs(forecast_value - actual_value), 4) AS abs_error FROM re",
+    "forecast_replay": f"{_REP} SELECT variant, run_date, target_date, horizon, bucket, kpi, round(base, 4) AS base, round(signal, 4) AS signal, statistical, backlog, round(v, 4) AS blended, round(forecast_value, 4) AS forecast_value, actual_value, round(forecast_value - actual_value, 4) + 0.0 AS error, round(abs(forecast_value - actual_value), 4) AS abs_error FROM re",
     "forecast_replay_report": f"""{_REP}, er AS (SELECT *, forecast_value - actual_value AS e FROM re WHERE actual_value IS NOT NULL), me AS (SELECT variant, kpi, bucket, count(*) AS n, avg(abs(e)) AS mae, sum(abs(e)) / nullif(sum(abs(actual_value)), 0) AS wape, avg(e) AS bias, quantile_cont(abs(e), 0.5) AS median_error, quantile_cont(abs(e), 0.9) AS p90_error FROM er GROUP BY ALL),
 j AS (SELECT kpi, bucket, {', '.join(f'b.{c} AS {c}_before, a.{c} AS {c}_after' for c in ('n', 'mae', 'wape', 'bias', 'median_error', 'p90_error'))}, {', '.join(f'a.{c} - b.{c} AS delta_{c}' for c in ('mae', 'wape', 'bias'))} FROM (FROM me WHERE variant = 'before') b JOIN (FROM me WHERE variant = 'after') a USING (kpi, bucket))
 SELECT kpi, bucket, n_before, n_after, {', '.join(f'round({c}_{x}, 4) AS {c}_{x}' for c in ('mae', 'wape', 'bias', 'median_error', 'p90_error') for x in ('before', 'after'))}, {', '.join(f'round(delta_{c}, 4) AS delta_{c}' for c in ('mae', 'wape', 'bias'))},
@@ -553,15 +559,15 @@ SELECT upper(kpi) AS service_type, round(coalesce(quantile_cont(actual_value / d
     "tracking_weekly": f"{_HI} SELECT run_id, kpi, date_trunc('week', target_date)::DATE AS week, sum(forecast_value) AS forecast_value, count(*) AS days FROM hi GROUP BY ALL",
     "tracking_errors": f"{_HI}, {_ERR} SELECT run_id, target_date, kpi, error, abs_error, round(ape, 6) AS ape, horizon FROM er",
     "tracking_horizons": f"{_HI}, {_ERR}, bk AS (SELECT *, CASE WHEN horizon = 1 THEN 'D+1' WHEN horizon BETWEEN 2 AND 3 THEN 'D+2_D+3' WHEN horizon BETWEEN 4 AND 7 THEN 'D+4_D+7' WHEN horizon BETWEEN 8 AND 14 THEN 'D+8_D+14' WHEN horizon BETWEEN 15 AND 28 THEN 'D+15_D+28' END AS bucket FROM er) SELECT kpi, bucket, count(*) AS n, round(avg(abs_error), 6) AS mae, round(sum(abs_error) / nullif(sum(abs(actual_value)), 0), 6) AS wape, round(avg(error), 6) AS bias, quantile_cont(abs_error, 0.5) AS median_error, quantile_cont(abs_error, 0.9) AS p90_error FROM bk WHERE bucket IS NOT NULL GROUP BY kpi, bucket",
-    "tracking_impact": f"{_HI}, {_ERR}, {_WA} SELECT kpi, round(b.wape, 6) AS before, round(a.wape, 6) AS after, round(a.wape - b.wape, 6) AS delta, CASE WHEN a.wape - b.wape < -0.01 THEN 'helpful' WHEN a.wape - b.wape > 0.01 THEN 'harmful' ELSE 'neutral' END AS impact, round(a.wape, 6) AS wape, CASE WHEN a.wape <= 0.35 THEN 'operational' WHEN a.wape <= 0.70 THEN 'indicative' ELSE 'exploratory' END AS use FROM wp a JOIN wp b USING (kpi) WHERE a.run_id = 'run0' AND b.run_id = 'run2'",
-    "consumption_daily": f"{_HI} SELECT target_date, kpi, forecast_value, source FROM hi WHERE k = 2",
+    "tracking_impact": f"{_HI}, {_ERR}, {_WA} SELECT kpi, round(b.wape, 6) AS before, round(a.wape, 6) AS after, round(a.wape - b.wape, 6) AS delta, CASE WHEN a.wape - b.wape < -0.01 THEN 'helpful' WHEN a.wape - b.wape > 0.01 THEN 'harmful' ELSE 'neutral' END AS impact, round(a.wape, 6) AS wape, CASE WHEN a.wape <= 0.35 THEN 'operational' WHEN a.wape <= 0.70 THEN 'indicative' ELSE 'exploratory' END AS use FROM wp a JOIN wp b USING (kpi) WHERE a.run_id = 'run0' AND b.run_id = 'run{LAST_RUN}'",
+    "consumption_daily": f"{_HI} SELECT target_date, kpi, forecast_value, source FROM hi WHERE k = {LAST_RUN}",
     "consumption_year_daily": f"{_HI}, {_YD} SELECT date, kpi, reference_date, actual, forecast, reference, {_DIFF} FROM yj",
     "quality_reference_coverage": f"{_HI}, {_YD} SELECT k.kpi, count(date) AS rows, count(reference) AS known, sum(reference) AS total, min(date) AS first_date, max(date) AS last_date, count(date) - count(reference) AS missing, round(coalesce((count(date) - count(reference)) / nullif(count(date), 0), 0), 6) AS missing_pct, CASE WHEN count(reference) > 0 THEN 'ok' ELSE 'error' END AS status FROM (VALUES ('lines'), ('units'), ('items')) AS k(kpi) LEFT JOIN yj USING (kpi) GROUP BY k.kpi",
-    "quality_reference_alignment": f"""{_HI}, {_YD}, f AS (SELECT kpi, quarter(target_date)::INT AS quarter, count(*) AS forecast_rows, sum(forecast_value) AS forecast_sum FROM hi WHERE k = 2 GROUP BY ALL), r AS (SELECT kpi, quarter(date)::INT AS quarter, count(*) AS reference_rows, count(reference) AS reference_known, sum(reference) AS reference_sum FROM yj GROUP BY ALL)
+    "quality_reference_alignment": f"""{_HI}, {_YD}, f AS (SELECT kpi, quarter(target_date)::INT AS quarter, count(*) AS forecast_rows, sum(forecast_value) AS forecast_sum FROM hi WHERE k = {LAST_RUN} GROUP BY ALL), r AS (SELECT kpi, quarter(date)::INT AS quarter, count(*) AS reference_rows, count(reference) AS reference_known, sum(reference) AS reference_sum FROM yj GROUP BY ALL)
 SELECT kpi, quarter, coalesce(forecast_rows, 0) AS forecast_rows, coalesce(forecast_sum, 0) AS forecast_sum, coalesce(reference_rows, 0) AS reference_rows, coalesce(reference_known, 0) AS reference_known, coalesce(reference_sum, 0) AS reference_sum, CASE WHEN reference_known > 0 THEN 'ok' ELSE 'error' END AS status
 FROM (SELECT DISTINCT quarter FROM f) CROSS JOIN (VALUES ('lines'), ('units')) AS k(kpi) LEFT JOIN f USING (kpi, quarter) LEFT JOIN r USING (kpi, quarter)""",
     "consumption_weekly": f"{_HI}, {_AW}, {_CW} SELECT run_id, week, cw.kpi, forecast_value, days, horizon_weeks, bucket, 'daily_aggregated' AS source, actual AS actual_value, CASE WHEN actual IS NOT NULL THEN 'notes' END AS actual_source, CASE WHEN actual IS NOT NULL THEN 'final' END AS actual_truth FROM cw LEFT JOIN aw ON aw.date = week AND aw.kpi = cw.kpi",
-    "consumption_reconciled": f"{_HI}, d AS (SELECT target_date AS date, kpi, forecast_value AS forecast FROM hi WHERE k = 2 UNION ALL SELECT target_date, 'both', sum(forecast_value) FROM hi WHERE k = 2 GROUP BY 1) SELECT 'day' AS frequency, date, kpi, forecast FROM d UNION ALL SELECT 'week', date_trunc('week', date)::DATE, kpi, sum(forecast) FROM d GROUP BY ALL",
+    "consumption_reconciled": f"{_HI}, d AS (SELECT target_date AS date, kpi, forecast_value AS forecast FROM hi WHERE k = {LAST_RUN} UNION ALL SELECT target_date, 'both', sum(forecast_value) FROM hi WHERE k = {LAST_RUN} GROUP BY 1) SELECT 'day' AS frequency, date, kpi, forecast FROM d UNION ALL SELECT 'week', date_trunc('week', date)::DATE, kpi, sum(forecast) FROM d GROUP BY ALL",
     "consumption_year_weekly": f"{_HI}, {_AW}, {_CW}, {_YW} SELECT *, {_DIFF} FROM yw",
     "fact_cards": f"""{_HI}, {_YD}, g AS (SELECT 'picking_' || kpi AS "group", sum(actual) AS actual, sum(forecast) AS forecast, sum(reference) AS reference FROM yj WHERE year(date) = 2001 AND quarter(date) IN (1, 2) GROUP BY 1)
 SELECT w.x AS "group", actual, forecast, reference, coalesce(actual, forecast, reference) AS headline, CASE WHEN actual IS NOT NULL THEN 'actual' WHEN forecast IS NOT NULL THEN 'forecast' WHEN reference IS NOT NULL THEN 'reference' ELSE 'none' END AS headline_from, round((actual - forecast) / nullif(abs(forecast), 0), 6) AS forecast_delta, round((actual - reference) / nullif(abs(reference), 0), 6) AS reference_delta
@@ -571,12 +577,12 @@ FROM (VALUES ('picking_lines'), ('picking_units'), ('services')) AS w(x) LEFT JO
 pe AS (SELECT * FROM (VALUES ('day', DATE '{RUN}', DATE '{RUN}'), ('week', date_trunc('week', DATE '{RUN}')::DATE, (date_trunc('week', DATE '{RUN}') + INTERVAL 6 DAY)::DATE), ('month', date_trunc('month', DATE '{RUN}')::DATE, last_day(DATE '{RUN}'))) AS p(period, "start", "end"), (VALUES ('lines'), ('units')) AS k(kpi)),
 dd AS (SELECT period, "start", "end", kpi, unnest(generate_series("start", "end", INTERVAL 1 DAY))::DATE AS date FROM pe), de AS (SELECT *, date <= DATE '{RUN}' AS el, CASE WHEN period = 'week' THEN (date_trunc('week', DATE '1996-01-04') + INTERVAL (7 * (weekofyear(DATE '{RUN}') - 1)) DAY)::DATE + (isodow(date) - 1)::INT ELSE make_date(1996, month(date), day(date)) END AS rd FROM dd),
 g AS (SELECT period, "start", "end", de.kpi, count(*) FILTER (el) AS expected_days, count(*) FILTER (el AND pl.v IS NOT NULL) AS planned_days, sum(pl.v) FILTER (el) AS p0, sum(a.actual_value) FILTER (el) AS actual, coalesce(sum(h.forecast_value) FILTER (NOT el), 0) AS rest, sum(r.actual_value) FILTER (el) AS reference
-FROM de LEFT JOIN pl USING (date, kpi) LEFT JOIN al a USING (date, kpi) LEFT JOIN hi h ON h.target_date = de.date AND h.kpi = de.kpi AND k = 2 LEFT JOIN al r ON r.date = rd AND r.kpi = de.kpi GROUP BY ALL), q AS (SELECT * EXCLUDE (p0), CASE WHEN planned_days = expected_days THEN p0 END AS plan FROM g)
+FROM de LEFT JOIN pl USING (date, kpi) LEFT JOIN al a USING (date, kpi) LEFT JOIN hi h ON h.target_date = de.date AND h.kpi = de.kpi AND k = {LAST_RUN} LEFT JOIN al r ON r.date = rd AND r.kpi = de.kpi GROUP BY ALL), q AS (SELECT * EXCLUDE (p0), CASE WHEN planned_days = expected_days THEN p0 END AS plan FROM g)
 SELECT *, coalesce(CASE WHEN planned_days = expected_days THEN plan ELSE actual END, 0) + rest AS total, CASE WHEN planned_days = expected_days THEN 'plan and rest' ELSE 'actual and rest' END AS method, actual - plan AS gap, round(actual / nullif(plan, 0), 6) AS fulfilled, {_DIFF} FROM q""",
-    "consumption_checks": f"""{_HI}, {_YD}, {_AW}, {_CW}, {_YW}, c AS (SELECT 'daily' AS name, date, kpi, reference_date, reference FROM yj UNION ALL SELECT 'weekly', date, kpi, reference_date, reference FROM yw), s AS (SELECT 'daily' AS name, target_date AS date, kpi FROM hi WHERE k = 2 UNION ALL SELECT 'weekly', week, kpi FROM cw),
+    "consumption_checks": f"""{_HI}, {_YD}, {_AW}, {_CW}, {_YW}, c AS (SELECT 'daily' AS name, date, kpi, reference_date, reference FROM yj UNION ALL SELECT 'weekly', date, kpi, reference_date, reference FROM yw), s AS (SELECT 'daily' AS name, target_date AS date, kpi FROM hi WHERE k = {LAST_RUN} UNION ALL SELECT 'weekly', week, kpi FROM cw),
 kp AS (SELECT kpi, name, kpi IN (SELECT al.kpi FROM al WHERE year(date) = 1996) AS src FROM (VALUES ('lines'), ('units')) AS k(kpi), (VALUES ('daily'), ('weekly')) AS n(name)), lo AS (SELECT kp.name, kp.kpi, count(s.date) AS v FROM kp LEFT JOIN (SELECT * FROM s ANTI JOIN c USING (name, date, kpi)) s USING (name, kpi) GROUP BY ALL),
 rf AS (SELECT kp.name, kp.kpi, coalesce(count(*) FILTER (reference_date IS NOT NULL AND reference IS NOT NULL) / nullif(count(*) FILTER (reference_date IS NOT NULL), 0), 1) AS v, count(reference_date) > 0 AND src AS due FROM kp LEFT JOIN c USING (name, kpi) GROUP BY kp.name, kp.kpi, src),
-ch AS (SELECT 'daily_kpis' AS "check", 'all' AS kpi, (SELECT count(*) FROM (SELECT kpi FROM (SELECT DISTINCT kpi FROM hi WHERE k = 2) FULL JOIN (VALUES ('lines'), ('units')) AS w(x) ON kpi = x WHERE kpi IS NULL OR x IS NULL))::DOUBLE AS value, 'warning' AS worst, 0 AS low, 0 AS high UNION ALL SELECT 'dimension_kpis', 'all', 0, 'warning', 0, 0 UNION ALL SELECT 'weekly_source', 'all', 0, 'error', 0, 0
+ch AS (SELECT 'daily_kpis' AS "check", 'all' AS kpi, (SELECT count(*) FROM (SELECT kpi FROM (SELECT DISTINCT kpi FROM hi WHERE k = {LAST_RUN}) FULL JOIN (VALUES ('lines'), ('units')) AS w(x) ON kpi = x WHERE kpi IS NULL OR x IS NULL))::DOUBLE AS value, 'warning' AS worst, 0 AS low, 0 AS high UNION ALL SELECT 'dimension_kpis', 'all', 0, 'warning', 0, 0 UNION ALL SELECT 'weekly_source', 'all', 0, 'error', 0, 0
 UNION ALL SELECT 'progress_rows', 'all', 6, 'warning', 6, 6 UNION ALL SELECT name || '_coverage', 'all', avg((reference IS NOT NULL)::INT), 'warning', 0.95, 1 FROM c GROUP BY name UNION ALL SELECT name || '_duplicates', 'all', count(*) - count(DISTINCT (date, kpi)), 'error', 0, 0 FROM s GROUP BY name
 UNION ALL SELECT name || '_forecast_without_row', 'all', sum(v), 'error', 0, 0 FROM lo GROUP BY name UNION ALL SELECT name || '_forecast_without_row', kpi, v, 'error', 0, 0 FROM lo)
 SELECT "check", kpi, round(value, 6) AS value, CASE WHEN value BETWEEN low AND high THEN 'ok' ELSE worst END AS status FROM ch UNION ALL SELECT name || '_reference', kpi, round(v, 6), CASE WHEN NOT due THEN 'warning' WHEN v < 1 THEN 'error' ELSE 'ok' END FROM rf""",

@@ -383,6 +383,13 @@ def series_features(spark, sf_dir):
     return _round(out, "mean_7", "mean_14", "mean_28", "mean_same_weekday")
 
 
+def series_labels(spark, sf_dir):
+    """Series on the calendar with the labels around the switch; one series never switches."""
+    series = _series(spark, sf_dir)
+    switch = series.where(F.col("series") != "5-LOW").groupBy("series").agg(F.min(F.when(F.col("date") >= F.lit(SWITCH).cast("date"), F.col("date"))).alias("date"))
+    return calendar.assemble(series, _days(spark), switch=switch)
+
+
 def series_offsets(spark, sf_dir):
     level = _level(spark, sf_dir).select(F.regexp_extract("generic_code", "([0-9]+)$", 1).alias("code"), "service_type", F.col("date").alias("service_date"))
     picks = staging.movements(spark, sf_dir).where("movement_type = 'PI' and external_order_id is not null").select(F.col("external_order_id").alias("code"), F.date_add("operational_date", 0).alias("pick_date"), "quantity")
@@ -395,7 +402,7 @@ QUERIES = {
         text_normalize, text_codes, text_dates, service_classes, request_dates, quality_nulls, quality_issues, quality_duplicates, quality_stages, quality_movements, quality_deduplicated, quality_unexpected, quality_model_rows, quality_top_values, quality_classes, quality_date_fields, quality_several_dates, quality_most_moved, quality_unknown_concepts,
         quality_years, quality_delta, join_lookup_fill, join_impute, join_notes, join_coverage, join_request_notes, join_request_items, join_unmatched_aligned, join_unmatched, join_best_item, join_open_requests, join_as_of, join_key_difference, join_unique_notes, fact_requests, fact_services_notes,
         fact_services_requests, fact_services_hybrid, fact_service_actuals, fact_freshness, fact_picking, fact_other_movements, fact_backlog, fact_backlog_horizon, fact_weekly, fact_actuals_daily, fact_actuals_weekly, fact_kpi_cards, calendar_days,
-        calendar_weeks, series_features, series_offsets, quality_prefixes, source_csv, source_parquet, source_top, normalize_movements, normalize_lookup, normalize_requests, normalize_items, normalize_notes, normalize_stock,
+        calendar_weeks, series_features, series_labels, series_offsets, quality_prefixes, source_csv, source_parquet, source_top, normalize_movements, normalize_lookup, normalize_requests, normalize_items, normalize_notes, normalize_stock,
     )
 }
 
@@ -510,6 +517,9 @@ SELECT 'all' AS scope, count(*) AS rows, count(*) FILTER (hit) AS matched, round
 f AS (SELECT g.series, g.date, coalesce(target, 0) AS target, g.date BETWEEN a AND z AS is_actual, 'normal' AS regime FROM g LEFT JOIN s USING (series, date))
 SELECT *, lag(target, 7) OVER o AS lag_7, lag(target, 14) OVER o AS lag_14, lag(target, 28) OVER o AS lag_28, {', '.join(f"round(avg(target) OVER {_FR(w)}, 6) AS mean_{w}, quantile_cont(target, 0.5) OVER {_FR(w)} AS median_{w}" for w in (7, 14, 28))},
 round(avg(target) OVER (PARTITION BY series, isodow(date) ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 6) AS mean_same_weekday FROM f WINDOW o AS (PARTITION BY series ORDER BY date)""",
+    "series_labels": f"""WITH s AS (SELECT o_orderpriority AS series, o_orderdate::DATE AS date, count(*)::DOUBLE AS target FROM orders GROUP BY ALL), b AS (SELECT series, min(date) AS a, max(date) AS z, CASE WHEN series <> '5-LOW' THEN min(date) FILTER (date >= DATE '{SWITCH}') END AS w FROM s GROUP BY 1),
+g AS (SELECT series, unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY))::DATE AS date, a, z, w FROM b) SELECT g.series, g.date, coalesce(target, 0) AS target, g.date BETWEEN a AND z AS is_actual, 'normal' AS regime, CASE WHEN w IS NULL OR g.date < w THEN 'notes' ELSE 'requests' END AS source,
+CASE WHEN w IS NULL OR g.date < w THEN 'final' ELSE 'visible' END AS truth, (w IS NULL OR g.date < w)::INT AS is_final FROM g LEFT JOIN s USING (series, date)""",
     "series_offsets": f"""{_LV}, a AS (SELECT regexp_extract(generic_code, '([0-9]+)$', 1) AS code, service_type, date AS service_date FROM lv), p AS (SELECT external_order_id AS code, operational_date AS pick_date, quantity FROM movements WHERE movement_type = 'PI' AND external_order_id IS NOT NULL)
 SELECT service_type, (service_date - pick_date)::INT AS "offset", count(*) AS lines, sum(quantity) AS units FROM a JOIN p USING (code) WHERE service_date - pick_date BETWEEN 0 AND 30 GROUP BY ALL""",
     "quality_prefixes": f"WITH {CTES} SELECT coalesce(nullif(regexp_extract(upper(generic_code), '^[A-Z]+'), ''), 'OTHER') AS prefix, count(*) AS count FROM requests GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",

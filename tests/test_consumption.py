@@ -2,7 +2,9 @@
 
 from datetime import date, datetime
 
-from depotlane.operators import abc, facts, tracking
+from pyspark.sql import functions as F
+
+from depotlane.operators import abc, calendar, facts, tracking
 
 RUN = datetime(2024, 1, 10, 6)  # a Wednesday
 
@@ -70,3 +72,22 @@ def test_decision_counts(spark):
     rows = [("regular", "keep accessible", False, True), ("regular", "move off season", True, False), ("new", "keep accessible", False, True)]
     got = {(r.section, r.key): r["items"] for r in abc.decision_counts(spark.createDataFrame(rows, "pattern string, decision string, may_move boolean, may_keep boolean")).collect()}
     assert got == {("pattern", "regular"): 2, ("pattern", "new"): 1, ("decision", "keep accessible"): 2, ("decision", "move off season"): 1, ("flag", "may_move"): 1, ("flag", "may_keep"): 2}
+
+
+def test_stamp_of_many_runs_and_ties(spark):
+    rows = spark.createDataFrame([(date(2024, 1, 2), date(2024, 1, 3), "a", 1.0, "m"), (date(2024, 1, 9), date(2024, 1, 10), "a", 2.0, "m")], "origin date, target_date date, kpi string, forecast_value double, model string")
+    out = tracking.stamp(rows, F.col("origin").cast("timestamp"), F.concat(F.lit("r"), F.day("origin").cast("string")), "2024-01-05")
+    assert {(r.run_id, str(r.run_date), r.source) for r in out.collect()} == {("r2", "2024-01-02", "notes"), ("r9", "2024-01-09", "requests")}
+    again = out.withColumn("forecast_value", F.col("forecast_value") + 5)  # arrived at the same time
+    one = {tuple(r) for r in tracking.append_history(out, out.unionByName(again)).collect()}
+    other = {tuple(r) for r in tracking.append_history(out, again.unionByName(out).repartition(3)).collect()}
+    assert one == other and len(one) == 2
+
+
+def test_labels_of_series(spark):
+    series = spark.createDataFrame([("a", date(2024, 1, 2), 1.0), ("b", date(2024, 1, 3), 1.0)], "series string, date date, target double")
+    days = spark.createDataFrame([(date(2024, 1, d),) for d in (1, 2, 3)], "date date")
+    switch = spark.createDataFrame([("a", date(2024, 1, 2))], "series string, date date")
+    got = {(r.series, r.date.day): (r.target, r.is_actual, r.source, r.truth, r.is_final) for r in calendar.assemble(series, days, switch=switch).collect()}
+    assert got["a", 1] == (0.0, False, "notes", "final", 1) and got["a", 2] == (1.0, True, "requests", "visible", 0) and got["b", 3] == (1.0, True, "notes", "final", 1)
+    assert "source" not in calendar.assemble(series, days).columns
