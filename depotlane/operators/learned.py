@@ -252,7 +252,7 @@ def by_ridge(state: DataFrame, slopes: DataFrame, names: Sequence[str], calendar
 
 def by_boosting(
     state: DataFrame, rows: DataFrame, names: Sequence[str], variants: Mapping[str, Sequence[str]], calendar: DataFrame, calendar_names: Sequence[str], horizon: int, frequency: Frequency,
-    recent: Mapping[str, int] | None = None, key: str = "series", block: int = BLOCK, seed_rounds: int = 120,
+    recent: Mapping[str, int] | None = None, key: str = "series", block: int = BLOCK, rounds: int = 120,
 ) -> DataFrame:
     """Forecasts of every fold by boosted trees, fitted on the rows up to its origin.
 
@@ -279,7 +279,7 @@ def by_boosting(
                     for model, dropped in variants.items():
                         if s["fold"] >= s["folds"] - recent.get(model, s["folds"]):
                             keep = [k for k, n in enumerate(names) if n not in dropped]
-                            trees = Boosting(seed_rounds).fit(features[now][:, keep], y[now])
+                            trees = Boosting(rounds).fit(features[now][:, keep], y[now])
                             made = recurse(one, [names[k] for k in keep], dates, calendar_names, horizon, frequency, trees.predict)
                             yield _made(one, [model], made, key)
 
