@@ -1,34 +1,41 @@
 """Main text of web pages by a minimum cut between content and boilerplate.
 
-A page is read into blocks: runs of text that no block-level tag interrupts. A linear
-classifier gives each block evidence for content or against it. Evidence from tags and from
-words in class and id attributes is fixed (below); the evidence of a block's shape (length,
-share of links, punctuation) is learnt, by logistic regression on blocks of a bounded sample
-of pages that semantic tags mark clearly. Positive evidence is a capacity from the source,
-negative evidence one to the sink. Blocks next to each other, and blocks that follow each
-other under one parent, are joined by edges that weaken with their distance in the tree; the
-minimum cut, found by blocking flows, is the cheapest labelling. Content blocks are joined in
-page order.
+A page is read into blocks: runs of text that no block-level tag interrupts. A logistic
+classifier gives each block its log odds of being content; positive ones are a capacity from
+the source, negative ones one to the sink. Its features are marks (inside article or main,
+inside tags of boilerplate, inside elements whose class, id or role names boilerplate) and
+shape (length, share of links, punctuation, kind of tag, text under the same parent). It is
+fitted on blocks whose marks are clear, once for each kind of page: with both sorts of marks, and
+with the marks of content, of boilerplate, or both hidden, so that shape has to decide where marks
+are missing. A page is judged by the weights of its kind. A share `NOISE` of marks is taken to be
+wrong, which bounds what marks may cost.
+
+Blocks next to each other, and blocks that follow each other under one parent, are joined by
+edges. The capacity of an edge is half the log odds that two clear blocks so joined carry one
+label, by their distance in the tree, whether their tags agree, and whether their marks differ.
+The minimum cut, found by blocking flows, is the cheapest labelling. Content blocks are joined
+in page order. Reading takes time and memory linear in the page, however deep its markup is.
 
 Cases: a null or empty page, and a page without content, give an empty text; broken markup is
 read as far as it can be; a null page_id or url is kept; repeated rows are read each; an empty
-table gives an empty table; other columns are ignored. White space is what Unicode calls so.
+table gives an empty table; pages without clear blocks are judged by the prior weights below;
+other columns are ignored. White space is what Unicode calls so.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from depotlane.llm.quality import curve
-from depotlane.llm.tables import read
+from depotlane.llm.tables import read, slices
 
 #: Tags by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,31 +53,50 @@ HINTS = re.compile(
     r"|sidebar\w*|side|widget\w*|menu\w*|nav\w*|breadcrumb\w*|header|masthead|topbar|footer\w*|copyright|legal|comments?|commentlist|disqus|repl(?:y|ies)|respond|share\w*|sharing|social|related|recommend\w*|pagination|pager|toolbar|navigation|complementary|contentinfo)(?:[^a-z]|$)"
 )
 
-#: Evidence: inside article or main, inside tags and hints of boilerplate, shape at most.
-INSIDE, BOILERPLATE, SHAPE = 6.0, 20.0, 3.0
-#: Weight of an edge between neighbours with the same parent; halved with each step more in the tree.
-EDGE = 2.0
-#: Pages to learn from, by hash of the id.
-SAMPLE = 2000
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+ITEMS = set("li dt dd td th caption figcaption summary legend".split())
+
+#: Weights before anything is learnt: constant, inside article or main, tags and hints of boilerplate, log length,
+#: share of links, punctuation, heading, item of a list or table, log length of all text under the same parent.
+PRIOR = (-3.0, 4.0, -4.0, -4.0, 0.3, -2.0, 0.5, 0.0, -0.5, 0.4)
+#: How many labelled blocks the prior weights count as, in the fit of weights and of each class of edges.
+STRENGTH = 20.0
+#: Share of marks that are taken to be wrong.
+NOISE = 0.01
+#: Steps in the tree that edges distinguish, and the prior capacity at none; halved with each step.
+STEPS, EDGE = 4, 1.0
+#: Bounds of what the fit sees: pages, by hash; labelled blocks of either label, by hash.
+SAMPLE, LABELLED = 2000, 20000
+#: Bytes of pages that a worker holds at once.
+HELD = 1 << 22
 
 
 class Block:
-    __slots__ = ("linked", "parts", "path", "size")
+    __slots__ = ("against", "hint", "inside", "linked", "node", "parts", "size", "tag", "under")
 
-    def __init__(self, path: tuple):
-        self.path, self.parts, self.size, self.linked = path, [], 0, 0
+    def __init__(self, node: int, tag: str, inside: bool, against: bool, hint: bool):
+        self.node, self.tag, self.inside, self.against, self.hint = node, tag, inside, against, hint
+        self.parts, self.size, self.linked, self.under = [], 0, 0, 0
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
+    def label(self) -> int:
+        """-1 in boilerplate, 1 in article or main and not in boilerplate, else 0, by marks alone."""
+        return -1 if self.against or self.hint else int(self.inside)
+
 
 class Reader(HTMLParser):
-    """Blocks of a page, each with the open elements around it: (number, tag, role)."""
+    """Blocks of a page, and the tree of its block-level elements as parents and depths; node 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[int, str, int]] = []
-        self.count = self.hidden = self.links = 0
+        self.open: list[tuple[str, bool, bool, bool, bool]] = []  # tag, node of its own, content, tag of boilerplate, hint
+        self.levels: list[int] = []  # places in `open` of block-level tags
+        self.nodes: list[int] = [0]  # open nodes
+        self.parent, self.depth = [0], [0]
+        self.tags: Counter[str] = Counter()
+        self.hidden = self.inside = self.against = self.hints = 0
         self.blocks: list[Block] = []
         self.fresh = True
 
@@ -83,21 +109,24 @@ class Reader(HTMLParser):
             return
         if tag in BLOCKS:
             self.fresh = True
-            if ends := ENDS.get(tag):
-                for k in range(len(self.open) - 1, -1, -1):
-                    if self.open[k][1] in ends:
-                        self.shut(k)
-                        break
-                    if self.open[k][1] in BLOCKS:
-                        break
-        inside = any(t in ("article", "main") for _, t, _ in self.open)
-        hints = " ".join(v for k, v in attributes if v and k in ("class", "id", "role")).lower()
-        against = tag in AGAINST or tag == "header" and not inside or bool(hints and tag not in ("html", "body") and HINTS.search(hints))
-        role = -1 if against else 1 if tag in ("article", "main") else 0
-        self.count += 1
-        self.open.append((self.count, tag, role))
+            if self.levels and self.open[self.levels[-1]][0] in ENDS.get(tag, ()):
+                self.shut(self.levels[-1])
+        named = " ".join(v for k, v in attributes if v and k in ("class", "id", "role")).lower()
+        content, against = tag in ("article", "main"), tag in AGAINST or tag == "header" and not self.inside
+        hint = bool(named and tag not in ("html", "body") and HINTS.search(named))
+        own = tag in BLOCKS or content or against or hint
+        if tag in BLOCKS:
+            self.levels.append(len(self.open))
+        self.open.append((tag, own, content, against, hint))
+        self.tags[tag] += 1
         self.hidden += tag in HIDDEN
-        self.links += tag == "a"
+        self.inside += content
+        self.against += against
+        self.hints += hint
+        if own:
+            self.parent.append(self.nodes[-1])
+            self.depth.append(len(self.nodes))
+            self.nodes.append(len(self.parent) - 1)
 
     def handle_startendtag(self, tag, attributes):
         self.handle_starttag(tag, attributes)
@@ -105,18 +134,26 @@ class Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def shut(self, k: int) -> None:
-        for _, tag, _ in self.open[k:]:
+        while len(self.open) > k:
+            tag, own, content, against, hint = self.open.pop()
+            self.tags[tag] -= 1
             self.hidden -= tag in HIDDEN
-            self.links -= tag == "a"
-        del self.open[k:]
+            self.inside -= content
+            self.against -= against
+            self.hints -= hint
+            if own:
+                self.nodes.pop()
+            if tag in BLOCKS:
+                self.levels.pop()
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.fresh = True
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][1] == tag:
-                self.shut(k)
-                return
+        if self.tags[tag]:  # all that is passed on the way down is closed, so the search costs no more than the opening
+            k = len(self.open) - 1
+            while self.open[k][0] != tag:
+                k -= 1
+            self.shut(k)
 
     def handle_data(self, data):
         self.add(data)
@@ -127,56 +164,94 @@ class Reader(HTMLParser):
         if self.fresh:
             if not data.strip():
                 return
-            self.blocks.append(Block(tuple(e for e in self.open if e[1] in BLOCKS or e[2])))
+            tag = self.open[self.levels[-1]][0] if self.levels else ""
+            self.blocks.append(Block(self.nodes[-1], tag, self.inside > 0, self.against > 0, self.hints > 0))
             self.fresh = False
         block, size = self.blocks[-1], len(data.strip())
         block.parts.append(data)
         block.size += size
-        if self.links:
+        if self.tags["a"]:
             block.linked += size
 
 
-def blocks(html: str | None) -> list[Block]:
+@dataclass
+class Page:
+    """Blocks of a page; edges as (earlier block, later block, steps in the tree)."""
+
+    blocks: list[Block]
+    edges: list[tuple[int, int, int]]
+
+
+def parse(html: str | None) -> Page:
     if not html:
-        return []
+        return Page([], [])
     reader = Reader()
     reader.feed(html)
     reader.close()
-    return [b for b in reader.blocks if b.size]
+    found = [b for b in reader.blocks if b.size]
+    parent, depth = reader.parent, reader.depth
+    under: Counter[int] = Counter()
+    last: dict[int, int] = {}
+    edges = []
+    for i, block in enumerate(found):
+        above = parent[block.node]
+        under[above] += block.size
+        if i:  # walking up from neighbours passes each element once at its start and once at its end
+            a, b = found[i - 1].node, block.node
+            while a != b:
+                if depth[a] >= depth[b]:
+                    a = parent[a]
+                else:
+                    b = parent[b]
+            apart = depth[found[i - 1].node] + depth[block.node] - 2 * depth[a] - 2
+            edges.append((i - 1, i, min(STEPS - 1, max(0, apart))))
+        if last.get(above, i - 1) != i - 1:
+            edges.append((last[above], i, 0))
+        last[above] = i
+    for block in found:
+        block.under = under[parent[block.node]]
+    return Page(found, edges)
 
 
 def shape(block: Block) -> list[float]:
-    """Features of a block that don't come from its tags."""
+    """Features of a block that don't come from its marks."""
     text = "".join(block.parts)
     ends = sum(map(text.count, ".,;:!?"))
-    return [math.log1p(block.size), block.linked / max(1, block.size), min(1.0, 10 * ends / max(1, block.size))]
+    return [
+        math.log1p(block.size), block.linked / max(1, block.size), min(1.0, 10 * ends / max(1, block.size)),
+        float(block.tag in HEADINGS), float(block.tag in ITEMS), math.log1p(block.under),
+    ]
 
 
-def structure(block: Block) -> int:
-    """-1 in boilerplate, 1 in article or main and not in boilerplate, else 0."""
-    roles = {role for _, _, role in block.path}
-    return -1 if -1 in roles else 1 if 1 in roles else 0
+def marks(block: Block) -> list[float]:
+    return [float(block.label() > 0), float(block.against), float(block.hint)]
 
 
-def evidence(block: Block, weights: list[float]) -> float:
-    learnt = weights[0] + sum(w * x for w, x in zip(weights[1:], shape(block), strict=True))
-    tags = structure(block)
-    return max(-SHAPE, min(SHAPE, learnt)) + (INSIDE if tags > 0 else -BOILERPLATE if tags < 0 else 0.0)
+@dataclass
+class Model:
+    """Weights by kind of page (any marks of content, any of boilerplate), and capacities of edges by (steps, tags agree, marks differ)."""
 
+    weights: dict[tuple[bool, bool], list[float]]
+    edges: dict[tuple[int, bool, bool], float]
+
+
+def prior_edge(steps: int) -> float:
+    return EDGE / 2**steps
+
+
+def kind(a: Block, b: Block, steps: int) -> tuple[int, bool, bool]:
+    return steps, a.tag == b.tag, marks(a) != marks(b)
 
-def edges(found: list[Block]) -> Iterator[tuple[int, int, float]]:
-    """Neighbours in page order and successive blocks under one parent."""
-    last: dict[int, int] = {}
-    for i, block in enumerate(found):
-        parent = block.path[-2][0] if len(block.path) > 1 else 0
-        pairs = {i - 1} if i else set()
-        if parent in last:
-            pairs.add(last[parent])
-        for j in pairs:
-            a, b = block.path, found[j].path
-            shared = sum(1 for x, y in zip(a, b) if x[0] == y[0])
-            yield j, i, EDGE / 2 ** max(0, len(a) + len(b) - 2 * shared - 2)
-        last[parent] = i
+
+def costs(page: Page, model: Model) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Log odds of the blocks, and capacities of the edges."""
+    seen = any(b.inside for b in page.blocks), any(b.against or b.hint for b in page.blocks)
+    unary = [sum(w * x for w, x in zip(model.weights[seen], (1.0, *marks(b), *shape(b)), strict=True)) for b in page.blocks]
+    links = []
+    for a, b, steps in page.edges:
+        found = kind(page.blocks[a], page.blocks[b], steps)
+        links.append((a, b, model.edges.get(found, 0.0 if found[2] else prior_edge(steps))))
+    return unary, links
 
 
 def content_side(unary: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
@@ -233,46 +308,105 @@ def content_side(unary: list[float], links: list[tuple[int, int, float]]) -> lis
                 break
 
 
-def main_text(html: str | None, weights: list[float]) -> str:
-    found = blocks(html)
-    if not found:
+def main_text(html: str | None, model: Model) -> str:
+    page = parse(html)
+    if not page.blocks:
         return ""
-    keep = content_side([evidence(b, weights) for b in found], list(edges(found)))
-    return " ".join(b.text() for b, k in zip(found, keep, strict=True) if k)
-
-
-def fit(pages: DataFrame, key: str = "page_id", html: str = "html") -> list[float]:
-    """Weights of a block's shape, from blocks whose tags mark them clearly."""
-    share = min(1.0, SAMPLE / max(1, pages.count()))
-    part = pages.where(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(html)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return " ".join(b.text() for b, k in zip(page.blocks, content_side(*costs(page, model)), strict=True) if k)
+
+
+def fit_weights(rows: list[tuple[int, list[float], list[float]]]) -> dict[tuple[bool, bool], list[float]]:
+    """Logistic regressions with a ridge towards `PRIOR`, from (label, marks, shape) of clear blocks, for each kind of page."""
+    kinds = [(True, True), (True, False), (False, True), (False, False)]
+    if not rows:
+        return {k: list(PRIOR) for k in kinds}
+    y = np.array([r[0] > 0 for r in rows])
+    seen, form = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    target = np.where(y, 1 - NOISE, NOISE)
+    return {k: ridge(np.column_stack([np.ones(len(y)), seen * np.array([k[0], k[1], k[1]]), form]), target) for k in kinds}
+
+
+def ridge(x: np.ndarray, target: np.ndarray) -> list[float]:
+    """Newton's method, with halved steps where a full one overshoots."""
+    prior, weight = np.array(PRIOR), STRENGTH / 10
+    loss = lambda b: np.logaddexp(0, x @ b).sum() - target @ (x @ b) + weight * ((b - prior) ** 2).sum() / 2
+    beta = prior.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        slope = x.T @ (target - p) - weight * (beta - prior)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(np.full(len(prior), weight)), slope)
+        size = 1.0
+        while size > 1e-6 and loss(beta + size * step) > loss(beta):
+            size /= 2
+        beta = beta + size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return beta.tolist()
+
+
+def fit_edges(counts: dict[tuple[int, bool, bool], tuple[int, int]]) -> dict[tuple[int, bool, bool], float]:
+    """Capacities from the numbers of edges whose ends carry one label, and two."""
+    found = {}
+    for which, (one, two) in counts.items():
+        before = 0.5 if which[2] else 1 / (1 + math.exp(-2 * prior_edge(which[0])))
+        share = min(1 - NOISE, (one + STRENGTH * before) / (one + two + STRENGTH))
+        found[which] = max(0.0, math.log(share / (1 - share)) / 2)
+    return found
+
+
+def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = SAMPLE, labelled: int = LABELLED) -> Model:
+    """The model, from at most about `sample` pages and `labelled` blocks of either label."""
+    share = min(1.0, sample / max(1, pages.count()))
+    part = pages.select(pages[key].alias("key"), pages[html].cast("string").alias("html"))
+    part = part.where(F.pmod(F.xxhash64("key", "html", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("html")
+
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(structure(b), *[round(x, 1) for x in shape(b)]) for h in batch.column(0).to_pylist() for b in blocks(h)]
-            rows = [r for r in rows if r[0]]
-            yield pa.RecordBatch.from_arrays([pa.array([float(r[k]) for r in rows], pa.float64()) for k in range(4)], ["y", "a", "b", "c"])
+            for piece in slices(batch, 0, HELD):
+                rows = [(b.label(), marks(b), [round(x, 3) for x in shape(b)]) for h in piece.column(0).to_pylist() for b in parse(h).blocks if b.label()]
+                columns = [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.list_(pa.float64())) for k in (1, 2))]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "marks", "shape"])
 
-    rows = part.mapInArrow(sums, "y double, a double, b double, c double").groupBy("y", "a", "b", "c").count()
-    rows = rows.orderBy("y", "a", "b", "c").collect()  # a histogram over rounded features: some thousands of rows
-    if len({r.y for r in rows}) < 2:
-        return [0.0, 0.0, 0.0, 0.0]
-    x = np.array([(r.a, r.b, r.c) for r in rows])
-    y = np.array([float(r.y > 0) for r in rows])
-    return curve(x, y, np.array([float(r["count"]) for r in rows])).tolist()
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for piece in slices(batch, 0, HELD):
+                for page in map(parse, piece.column(0).to_pylist()):
+                    for i, j, steps in page.edges:
+                        a, b = page.blocks[i], page.blocks[j]
+                        if a.label() and b.label():
+                            which = kind(a, b, steps)
+                            for view in {which, (*which[:2], False)}:  # as it is, and without marks
+                                counts[*view, a.label() == b.label()] += 1
+            rows = [(*k, n) for k, n in counts.items()]
+            kinds = (pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["steps", "agree", "differ", "one", "n"])
+
+    blocks = part.mapInArrow(clear, "label int, marks array<double>, shape array<double>")
+    rows = []
+    for label in (-1, 1):
+        mixed = F.xxhash64("label", "marks", "shape", F.lit(5))
+        rows += blocks.where(F.col("label") == label).orderBy(mixed, "marks", "shape").limit(labelled).collect()
+    counts: dict[tuple[int, bool, bool], list[int]] = {}
+    found = part.mapInArrow(joined, "steps int, agree boolean, differ boolean, one boolean, n long").groupBy("steps", "agree", "differ", "one").agg(F.sum("n").alias("n"))
+    for r in found.collect():  # at most STEPS * 8 rows
+        counts.setdefault((r.steps, r.agree, r.differ), [0, 0])[0 if r.one else 1] = r.n
+    return Model(fit_weights([(r.label, r.marks, r["shape"]) for r in rows]), fit_edges({k: tuple(v) for k, v in counts.items()}))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """`key`, `url` and text (the main text) of each row."""
-    weights = fit(pages, key, html)
+    model = fit(pages, key, html)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h, weights) for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["key", "url", "text"])
+            for piece in slices(batch, 2, HELD):
+                texts = [main_text(h, model) for h in piece.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(texts, pa.string())], ["key", "url", "text"])
 
     own = pages.select(pages[key].alias("key"), pages[url].cast("string").alias("url"), pages[html].cast("string").alias("html"))
-    kind = own.schema["key"].dataType.simpleString()
-    return own.mapInArrow(run, f"key {kind}, url string, text string").toDF(key, url, "text")
+    kind_of_key = own.schema["key"].dataType.simpleString()
+    return own.mapInArrow(run, f"key {kind_of_key}, url string, text string").toDF(key, url, "text")
 
 
 def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
