@@ -4,9 +4,10 @@ Every 13 consecutive words of a benchmark item are a pattern; an item of fewer w
 pattern. Patterns of one length are searched together: the last two words under the end of
 the search window look up a shift, which skips positions where no pattern can end; where
 the shift is zero, the suffix selects a bucket of patterns, and comparing their words
-confirms occurrences. Patterns go to the tasks in blocks of at most `PATTERNS_AT_ONCE`, so
-what is broadcast stays bounded however large the benchmark is; a larger benchmark takes
-further passes over the documents, whose findings are then united.
+confirms occurrences. Patterns go to the tasks in blocks of about `PATTERNS_AT_ONCE` patterns and
+`BYTES_AT_ONCE` bytes at most, so what is broadcast stays bounded however large the benchmark is;
+a larger benchmark takes further passes over the documents. Each pass is written before the next
+starts and its patterns are given up, so driver and workers hold one block at a time.
 
 Cases: a null or empty text has no words and is never contaminated; items without words
 occur nowhere; equal items are all reported; a null item_id is not listed; repeated rows
@@ -21,9 +22,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from depotlane.llm.tables import read
+from depotlane.llm.tables import cut, read
 
 #: A word: ASCII digits and lower-case letters, and all that is not ASCII (as bytes of UTF-8).
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -33,6 +35,8 @@ SPARK_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Patterns in one pass over the documents: about 100 MB in a Python worker.
 PATTERNS_AT_ONCE = 100_000
+#: Bytes of the patterns of one pass, and of the names of their items.
+BYTES_AT_ONCE = 1 << 25
 
 
 def words(text: str | None) -> list[bytes]:
@@ -58,12 +62,12 @@ class Searcher:
         self.length, self.block = length, min(2, length)
         self.far = length - self.block + 1
         self.shift: dict = {}
-        self.bucket: dict = {}
+        self.bucket: dict[object, dict[tuple[bytes, ...], tuple[str, ...]]] = {}
         for pattern, items in found:
             for end in range(self.block, length + 1):
                 key = self.key(pattern, end)
                 self.shift[key] = min(self.shift.get(key, self.far), length - end)
-            self.bucket.setdefault(self.key(pattern, length), []).append((pattern, items))
+            self.bucket.setdefault(self.key(pattern, length), {})[tuple(pattern)] = items
 
     def key(self, text: list[bytes], end: int):
         return text[end - 1] if self.block == 1 else (text[end - 2], text[end - 1])
@@ -77,9 +81,9 @@ class Searcher:
             step = shift(key, far)
             if step == 0:
                 start = end - length
-                for pattern, items in self.bucket.get(key, ()):
-                    if text[start:end] == pattern:
-                        yield start, items
+                items = self.bucket[key].get(tuple(text[start:end]))
+                if items is not None:
+                    yield start, items
                 step = 1
             end += step
 
@@ -103,8 +107,8 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _search(state: DataFrame, rows: list) -> DataFrame:
-    """One pass: what earlier passes found travels with each row, so no join is needed."""
+def _search(state: DataFrame, rows: list) -> tuple[DataFrame, Broadcast]:
+    """One pass, and its tables: what earlier passes found travels with each row, so no join is needed."""
     tables = state.sparkSession.sparkContext.broadcast(searchers(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,25 +126,29 @@ def _search(state: DataFrame, rows: list) -> DataFrame:
             arrays = pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([key, texts, *arrays], batch.schema.names)
 
-    return state.mapInArrow(run, state.schema)
+    return state.mapInArrow(run, state.schema), tables
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", at_once: int = PATTERNS_AT_ONCE
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", at_once: int = PATTERNS_AT_ONCE, bytes_at_once: int = BYTES_AT_ONCE
 ) -> DataFrame:
     """`key`, text, n_words, n_hit, items (sorted strings), spans (of hit words) and contaminated, for each row of `docs`."""
     found = patterns(benchmark)
-    blocks = -(-found.count() // at_once)
+    size = F.octet_length("words") + F.aggregate("items", F.lit(0).cast("long"), lambda n, item: n + F.octet_length(item))
+    n, total = found.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    blocks = max(-(-n // at_once), -(-total // bytes_at_once))
     state = docs.select(
         docs[key].alias("key"), docs[text].cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<string>").alias("items"), F.array().cast("array<array<int>>").alias("spans"),
     )
     if blocks <= 1:
-        state = _search(state, found.collect())
+        state, _ = _search(state, found.collect())
     else:  # twice as many blocks by hash, so that each stays below the bound
-        dealt = found.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(2 * blocks)))
+        dealt = cut(found.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(2 * blocks))))
         for block in range(2 * blocks):
-            state = _search(state, dealt.where(F.col("block") == block).select("words", "items").collect())
+            passed, tables = _search(state, dealt.where(F.col("block") == block).select("words", "items").collect())
+            state = cut(passed)
+            tables.destroy()  # what is written needs them no more
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     out = state.select(F.col("key").alias(key), F.col("text").alias(text), "n_words", hits.alias("n_hit"), "items", "spans")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

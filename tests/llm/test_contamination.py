@@ -37,8 +37,8 @@ def test_brute(spark):
     d = spark.createDataFrame([(*x, "z") for x in docs], "doc_id long, text string, items string")
     b = spark.createDataFrame(items, "item_id long, text string")
     want = sorted((str(k), *brute(t, items)) for k, t in docs)
-    for at_once in (10**6, 9):
-        got = c.contamination(d, b, at_once=at_once).collect()
+    for bounds in ({}, {"at_once": 9}, {"bytes_at_once": 300}):
+        got = c.contamination(d, b, **bounds).collect()
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"], r.contaminated) for r in got) == want
     assert not any(r.contaminated for r in c.contamination(d, b.limit(0)).collect())
     assert c.contamination(d.limit(0), b).count() == 0
