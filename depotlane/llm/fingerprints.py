@@ -9,16 +9,19 @@ fingerprint. Likeness is the share of equal digits, corrected for those equal by
 
 Cases: null and empty texts, and texts without words, have the empty fingerprint, which is
 like itself (1) and like nothing else (0); a text of fewer than five words is one shingle;
-a single row is its own successor; a null key comes last; rows with equal keys are ordered by
-text; repeated rows follow each other; an empty table gives an empty table; other columns are
-ignored. Letters are compared in lower case.
+a single row is its own successor; a null key comes last; rows with equal keys are ordered by a
+hash of the text, then by the text; rows that repeat key and text follow each other, in one task;
+keys may be of any type that Spark orders; an empty table gives an empty table; other columns
+are ignored. Letters are compared in lower case.
 """
 
 from __future__ import annotations
 
+import json
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, DataType
 
 from depotlane.llm.tables import SPACE, read, text_of
 
@@ -26,8 +29,8 @@ WORDS = 5
 BINS, BITS = 256, 4
 #: Tries before an empty bin ranks all full bins.
 TRIES = 6
-#: Rows in a block of the order, at least, and blocks at most.
-BLOCK_ROWS, BLOCKS = 2048, 100_000
+#: Rows in a block of the order, at least, blocks at most, and sampled rows for each block.
+BLOCK_ROWS, BLOCKS, SAMPLED = 2048, 20_000, 30
 
 _RULE = random.Random(17)
 STEPS = [2 * _RULE.randrange(BINS // 2) + 1 for _ in range(BINS)]
@@ -76,32 +79,54 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), F.lit(1.0)).when((F.col(a) == "") | (F.col(b) == ""), F.lit(0.0)).otherwise(estimate)
 
 
+def bounds(df: DataFrame, blocks: int, n: int) -> list:
+    """At most blocks - 1 values of `place`, ascending, that part the rows into nearly equal blocks, from a sample of `SAMPLED` rows a block.
+
+    The sample chooses where blocks end, which no result depends on.
+    """
+    if blocks < 2:
+        return []
+    shown = df.sample(min(1.0, SAMPLED * blocks / n), 29).groupBy().agg(F.to_json(F.sort_array(F.collect_list("place"))).alias("found"))
+    found = json.loads(shown.first().found)  # at most about SAMPLED * BLOCKS pairs of a key and a number
+    step = max(1, len(found) // blocks)
+    out = found[step::step]
+    return [v for k, v in enumerate(out) if k == 0 or v != out[k - 1]]
+
+
+def block_of(found: list, place: DataType) -> Column:
+    """How many of `found` are at most `place`, by halving: the bounds are one literal."""
+    if not found:
+        return F.lit(0)
+    table = F.from_json(F.lit(json.dumps(found)), ArrayType(place))
+    halves = [1 << k for k in reversed(range(len(found).bit_length()))]
+    take = lambda at, half: F.when(F.get(table, at + half - 1) <= F.col("place"), at + half).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(h) for h in halves]), F.lit(0), take)
+
+
 def with_next(df: DataFrame) -> DataFrame:
     """key, text, fingerprint and next_text, next_fingerprint of the next row in descending key order; the first row follows the last.
 
-    Blocks of consecutive keys are ordered side by side; where a block ends, the first row of
-    the next block, fetched by its key, follows. There are at most BLOCKS blocks. Fingerprints
-    are made where texts are read, once for each row and once more for each block.
+    Rows are placed by key and by a hash of the text, so that many rows without a key, or with
+    one key, part as others do, and go to blocks between quantiles of a sample. The first row of
+    each block is sent once more, to the end of the block before it, where it follows the last
+    row; so texts move in one shuffle and nothing is broadcast but the places of first rows.
     """
-    columns = ["text", "fingerprint"]
-    low, high, n = df.agg(F.min("key"), F.max("key"), F.count("*")).first()
+    n = df.count()
     blocks = max(1, min(BLOCKS, n // BLOCK_ROWS))
-    width = max(1, -(-(high - low + 1) // blocks)) if low is not None else 1
-    block = F.coalesce(F.floor((F.col("key") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
-    df = df.withColumn("block", block)
-    tops = df.groupBy("block").agg(F.max("key").alias("top")).withColumnRenamed("block", "at")
-    heads = df.join(F.broadcast(tops), (F.col("block") == F.col("at")) & F.col("key").eqNullSafe(F.col("top"))).select("block", "text")
-    heads = with_fingerprint(heads.groupBy("block").agg(F.max("text").alias("text")), "text", "fingerprint")
-    heads = heads.select("block", F.struct(*columns).alias("head"))
-    around = Window.orderBy(F.col("block").desc())  # over blocks, of which there are few
-    first = F.first("head").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select(F.col("block").alias("ends"), F.coalesce(F.lead("head").over(around), first).alias("after"))
-    df = with_fingerprint(df, "text", "fingerprint")
-    inside = Window.partitionBy("block").orderBy(F.col("key").desc_nulls_last(), F.col("text").desc())
-    out = df.withColumn("following", F.lead(F.struct(*columns)).over(inside))
-    out = out.join(F.broadcast(heads), F.when(F.col("following").isNull(), F.col("block")) == F.col("ends"), "left")
-    following = F.coalesce("following", "after")
-    return out.withColumn("following", following).select(*[c for c in df.columns if c != "block"], *[F.col("following")[c].alias(f"next_{c}") for c in columns])
+    df = df.withColumn("mark", F.xxhash64("text"))
+    df = df.withColumn("place", F.struct("key", "mark"))
+    df = df.withColumn("block", block_of(bounds(df, blocks, n), df.schema["place"].dataType))
+    tops = df.groupBy("block").agg(F.max("place").alias("top"))
+    around = Window.orderBy(F.col("block").desc())  # over at most BLOCKS rows of three numbers
+    last = F.last("block").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    tops = tops.select(F.col("top.key").alias("top_key"), F.col("top.mark").alias("top_mark"), F.coalesce(F.lag("block").over(around), last).alias("ends"))
+    firsts = df.join(F.broadcast(tops), (F.col("mark") == F.col("top_mark")) & F.col("key").eqNullSafe(F.col("top_key")))
+    firsts = firsts.groupBy("ends", "key", "mark").agg(F.max("text").alias("text")).select("key", "text", "mark", F.col("ends").alias("block"))
+    both = df.select("key", "text", "mark", "block", F.lit(0).alias("sent")).unionByName(firsts.withColumn("sent", F.lit(1)))
+    both = with_fingerprint(both, "text", "fingerprint")
+    inside = Window.partitionBy("block").orderBy("sent", F.col("key").desc_nulls_last(), F.col("mark").desc(), F.col("text").desc())
+    out = both.withColumn("following", F.lead(F.struct("text", "fingerprint")).over(inside)).where("sent = 0")
+    return out.select("key", "text", "fingerprint", F.col("following.text").alias("next_text"), F.col("following.fingerprint").alias("next_fingerprint"))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

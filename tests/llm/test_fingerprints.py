@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from depotlane.llm import fingerprints as f
 
 
@@ -39,3 +41,19 @@ def test_odd_rows(spark):
     one = f.fingerprints(df.limit(1)).collect()
     assert one[0].near_next == 1.0
     assert f.fingerprints(df.limit(0)).count() == 0
+
+
+def test_successors(spark, monkeypatch):
+    """Against a sort of all rows: keys missing in most rows, equal keys, far outliers, keys that are strings, repeated rows."""
+    monkeypatch.setattr(f, "BLOCK_ROWS", 3)
+    rng = random.Random(8)
+    keys = [None] * 60 + [7] * 30 + [rng.randint(0, 50) for _ in range(40)] + [2**62, -(2**62)]
+    rows = [(k, rng.choice(["", "same text", f"own {i}"])) for i, k in enumerate(keys)]
+    for kind, turn in (("long", lambda k: k), ("string", lambda k: None if k is None else f"k{k}é\"")):
+        df = spark.createDataFrame([(turn(k), t) for k, t in rows], f"key {kind}, text string")
+        marked = [tuple(r) for r in df.select("key", F.xxhash64("text"), "text").collect()]
+        low = "" if kind == "string" else 0
+        order = sorted(marked, key=lambda r: (r[0] is not None, low if r[0] is None else r[0], r[1], r[2]), reverse=True)
+        want = sorted((str(a[0]), a[2], b[2]) for a, b in zip(order, order[1:] + order[:1]))
+        got = f.with_next(df).select("key", "text", "next_text").collect()
+        assert sorted((str(r.key), r.text, r.next_text) for r in got) == want
