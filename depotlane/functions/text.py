@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Mapping, Sequence
 from functools import cache, reduce
@@ -23,7 +24,7 @@ def accents() -> tuple[str, str]:
 def to_ascii(c: Column) -> Column:
     """Letters without accents; what has no ASCII form is dropped."""
     plain = F.translate(F.regexp_replace(F.regexp_replace(c, "ß", "SS"), "[æÆ]", ""), *accents())
-    return F.regexp_replace(plain, "[^\\x00-\\x7F]", "")
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(plain, "[^\\x00-\\x7F]", ""))  # as many bytes as characters: ASCII
 
 
 def normalize_text(c: Column) -> Column:
@@ -61,8 +62,13 @@ FORMATS = ("d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy", "d-M-yyyy", "yyyy-MM
 
 
 def day_first(c: Column) -> Column:
-    """A timestamp from day-first text, or null."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in FORMATS])
+    """A timestamp from day-first text, or null.
+
+    A format is only tried on text of its shape, numbers between its separators, as each failure raises an exception.
+    """
+    text = F.trim(c)
+    shaped = lambda f: text.rlike(f"^{re.sub('[a-zA-Z]+', '[+-]?[0-9]+', f)}$")
+    return F.coalesce(*[F.when(shaped(f), F.try_to_timestamp(text, F.lit(f))) for f in FORMATS])
 
 
 def flow_of(action: Column) -> Column:
