@@ -54,3 +54,16 @@ def test_stability_query_shuffles_lines_and_pairs_once(spark):
         assert plan.where(F.col("presence_ratio") > 1).count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_series_from_stored_baskets(spark):
+    lines = spark.createDataFrame([(t, t[1:], "o", a, f"ITEM {a}", None if a == "b" else "L1", q, day) for t, a, q, day in ROWS if t != "t7"] + [("t9", "9", "o", "a", None, "L2", 2.0, None)] * 2, "transaction_id string, external_order_id string, owner string, article string, sku_description string, location string, quantity double, completion_date timestamp")
+    baskets = basket.whole_baskets(basket.transaction_items(lines)).localCheckpoint()
+    assert rows(basket.describe(basket.basket_figures(baskets)), "section", "key", "metric", "value") == rows(basket.describe(basket.transactions(lines)), "section", "key", "metric", "value")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plans.basket_series(spark, "/root/testdata/sf0.001")
+        assert exchanges(plan, "l_orderkey") == 0 and exchanges(plan, "transaction_id") == 2  # the two sides of pairs
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
