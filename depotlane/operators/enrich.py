@@ -26,18 +26,27 @@ def fill_orders(movements: DataFrame, lookup: DataFrame, keys: Sequence[str] = L
     """Fills picks without an order from a lookup: every column of `fill` that is null, with `enriched` and `source`.
 
     Lookup rows without an order or a key don't count, and keys that stand for different values are
-    dropped, so that no movement multiplies. Only picks without an order and with all keys are joined. `source`
+    dropped, so that no movement multiplies. Only picks without an order and with all keys are looked up. `source`
     is source, lookup, or null without an order. Columns of `fill` that either table lacks are left alone.
+
+    Both tables are dealt by the keys together, once, and each is read once: nothing is filtered before, which would
+    repeat the reading of text below. Rows that don't take part lie apart, so that missing keys don't meet in one task.
     """
     fill = [c for c in fill if c in lookup.columns and c in movements.columns]
-    known = unambiguous(lookup.where(F.col(order).isNotNull()), keys, fill).withColumnsRenamed({c: f"_{c}" for c in fill})
-    may = F.col(order).isNull() & F.coalesce(F.col("movement_type") == "PI", F.lit(False))
+    whole = F.lit(True)
     for k in keys:
-        may &= F.col(k).isNotNull()
-    label = lambda df, flag: df.withColumns({"enriched": flag, "source": F.when(flag == 1, "lookup").when(F.col(order).isNotNull(), "source")})
-    found = movements.where(may).join(known, list(keys), "left").withColumn("_hit", F.col(f"_{order}").isNotNull().cast("int"))
-    found = label(found.withColumns({c: F.coalesce(c, f"_{c}") for c in fill}), F.col("_hit")).drop("_hit", *[f"_{c}" for c in fill])
-    return label(movements.where(~may), F.lit(0)).unionByName(found)
+        whole &= F.col(k).isNotNull()
+    apart = lambda takes_part, columns: F.when(takes_part, 0).otherwise(1 + F.pmod(F.xxhash64(*columns), F.lit(4096))).alias("_apart")
+    may = F.col(order).isNull() & F.coalesce(F.col("movement_type") == "PI", F.lit(False)) & whole
+    asking = movements.select("*", apart(may, movements.columns), F.lit(True).alias("_asks"))
+    known = F.col(order).isNotNull() & whole
+    telling = lookup.select(*[F.col(k).cast(movements.schema[k].dataType).alias(k) for k in keys], apart(known, [*keys, *fill]), F.when(known, F.struct(*fill)).alias("_told"))
+    own = Window.partitionBy("_apart", *keys)
+    out = asking.unionByName(telling, allowMissingColumns=True).withColumns({"_least": F.min("_told").over(own), "_most": F.max("_told").over(own)}).where("_asks")
+    out = out.withColumn("_found", F.when(F.col("_least").eqNullSafe(F.col("_most")), F.col("_least")))  # of one set of values only, null being a value
+    out = out.withColumns({"enriched": F.col("_found").isNotNull().cast("int"), **{c: F.coalesce(c, F.col("_found")[c]) for c in fill}})
+    out = out.withColumn("source", F.when(F.col("enriched") == 1, "lookup").when(F.col(order).isNotNull(), "source"))
+    return out.select(*movements.columns, "enriched", "source")
 
 
 def impute_single(df: DataFrame, code: str, date: str) -> DataFrame:

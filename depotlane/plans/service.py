@@ -333,8 +333,8 @@ def normalize_lookup(spark, sf_dir):
     """Movements whose orders come from a raw lookup file, and no other."""
     keys = dict(Artículo="concat('0', l_partkey)", Fecha_finalización="date_format(l_shipdate, 'd/M/yyyy H:mm')", Cantidad="cast(l_quantity as string)", Propietario="concat('c', o_custkey % 50)", Paleta="concat('p', l_suppkey)")
     raw = _raw(spark, sf_dir, Tipo_movimiento="if(l_linenumber = 3, 'CR', 'PI')", Pedido_externo="if(l_linenumber = 2, 'own', '')", **keys)
-    lookup = normalize.order_lookup(_raw(spark, sf_dir, Pedido="concat(l_orderkey, '.0')", Pedido_externo="concat('e', l_orderkey)", Cliente="concat('k', o_custkey)", **keys).where("`Pedido` not like '%7.0'"))
-    return normalize.movements(raw, lookup).select("movement_type", *enrich.LOOKUP_KEYS, *enrich.LOOKUP_FILL, "external_order_id_source", "external_order_id_enriched", "transaction_id")
+    lookup = _raw(spark, sf_dir, Pedido="concat(l_orderkey, '.0')", Pedido_externo="concat('e', l_orderkey)", Cliente="concat('k', o_custkey)", **keys).where("`Pedido` not like '%7.0'")
+    return normalize.movements(raw, normalize.columns(lookup, normalize.LOOKUP)).select("movement_type", *enrich.LOOKUP_KEYS, *enrich.LOOKUP_FILL, "external_order_id_source", "external_order_id_enriched", "transaction_id")
 
 
 def normalize_requests(spark, sf_dir):

@@ -71,13 +71,13 @@ def order_lookup(raw: DataFrame) -> DataFrame:
 def movements(raw: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
     """Movements with operational date, orders filled from a lookup (if one is given) and transaction id.
 
-    lookup: as from `order_lookup`.
+    lookup: rows with the columns of LOOKUP, as from `columns` or `order_lookup`.
     """
     out = columns(raw, MOVEMENTS).withColumn("d", t.operational("started_at", "completed_at")).select("*", "d.*").drop("d")
     if lookup is None:
         out = out.withColumns({"enriched": F.lit(0), "source": F.when(F.col("external_order_id").isNotNull(), "source")})
     else:
-        out = enrich.fill_orders(cut(out), lookup)  # two branches read it, and their filters would repeat all reading of text
+        out = enrich.fill_orders(out, lookup)
     out = out.withColumnsRenamed({"enriched": "external_order_id_enriched", "source": "external_order_id_source"})
     return out.withColumns({"service_code": F.col("external_order_id"), "basket_date": F.col("operational_date"), "transaction_id": F.concat("external_order_id", F.lit("|"), "owner")})
 

@@ -67,3 +67,14 @@ def test_transformer_by_urgency(spark):
     forecast = spark.createDataFrame([(date(2024, 1, 10), "A", 8.0), (date(2024, 1, 10), "B", 8.0)], "date date, service_type string, forecast double")
     got = {str(r.pick_date): (r.service_type, r.lines, r.units) for r in nowcast.apply_transformer(forecast, nowcast.fit_transformer(matched, services)).collect()}
     assert got == {"2024-01-10": ("A", 8 * 0.25 * 2 * 0.5 + 8 * 0.75 * 1, 8 * 0.25 * 8 * 0.5 + 8 * 0.75 * 1), "2024-01-09": ("A", 2.0, 8.0)}
+
+
+def test_lookup_reads_and_shuffles_once(spark):
+    movements = spark.createDataFrame([("PI", "1", "C1", None), ("PI", "1", "C1", "K"), ("PI", None, "C1", None), (None, "1", "C1", None), ("PI", "2", "C1", None), ("PI", "3", "C1", None), ("CR", "1", "C1", None)] * 2, "movement_type string, sku string, owner string, external_order_id string")
+    lookup = spark.createDataFrame([("1", "C1", "A", None), ("1", "C1", "A", None), ("1", "C1", None, "x"), ("2", "C1", "A", "x"), ("2", "C1", "A", None), (None, "C1", "B", None)], "sku string, owner string, external_order_id string, client string")
+    out = enrich.fill_orders(movements.withColumn("client", F.when(F.col("sku") == "3", "own")), lookup, ["sku", "owner"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = sorted(str((r.movement_type, r.sku, r.external_order_id, r.client, r.enriched, r.source)) for r in out.collect())
+    wanted = [("PI", "1", "A", None, 1, "lookup"), ("PI", "1", "K", None, 0, "source"), ("PI", None, None, None, 0, None), (None, "1", None, None, 0, None), ("PI", "2", None, None, 0, None), ("PI", "3", None, "own", 0, None), ("CR", "1", None, None, 0, None)]
+    assert got == sorted(str(r) for r in wanted * 2)
