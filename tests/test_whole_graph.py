@@ -25,6 +25,15 @@ def test_clusters_of_more_than_4000_edges(spark, edges):
     assert len(summary) == 4101 and [(r.articles, r.edges) for r in summary if r.cluster_id.startswith("w-")] == [("w,x,y,z", 3)]  # in so large a graph the chain gains as a whole
 
 
+def test_hubs_of_more_than_4000_edges_in_parts(spark, edges, monkeypatch):
+    monkeypatch.setattr(graph, "STEPS", 4)  # the chain of 4 items and 3 edges takes 3 tasks
+    found = {r.article: r for r in graph.hubs(edges, graph.clusters(edges)).collect()}
+    n = 2 * 4100 + 4
+    assert len(found) == n and all(found[k].degree == d for k, d in {"w": 1, "x": 2, "y": 2, "z": 1, "00000a": 1}.items())
+    scale = 2 / ((n - 1) * (n - 2))
+    assert all(abs(found[k].betweenness - b * scale) < 1e-15 for k, b in {"w": 0, "x": 2, "y": 2, "z": 0, "00000a": 0}.items())
+
+
 def test_merged_communities_follow_each_other():
     chain = [(f"{k:03d}", f"{k + 1:03d}", 1.0) for k in range(0, 300)]
     groups = graph.communities(chain, 300.0)
